@@ -142,3 +142,84 @@ QUERIES = {
     "q12_run_summary": q12_run_summary,
     "q12b_corpus_size": q12b_corpus_size,
 }
+
+
+# --- S2 article records (XML) ------------------------------------------------
+
+def q13_article_metadata(spark, sf_dir):
+    from ..sources.readers import ARTICLE_SCHEMA, flatten_article
+    x = tb.article_xml(spark, sf_dir)
+    parsed = x.select("batch", F.from_xml("xml", ARTICLE_SCHEMA).alias("r"))
+    flat = flatten_article(parsed, "r", keep=("batch",))
+    # Several deliveries of one record — the last batch wins.
+    latest = flat.groupBy("pmid").agg(F.max_by(F.struct(
+        "title", "abstract", "pubtypes_joined", "n_sections"), "batch").alias("m"))
+    return latest.select("pmid", "m.title", "m.abstract",
+                         F.col("m.pubtypes_joined").alias("pubtypes"),
+                         F.col("m.n_sections").cast("bigint").alias("n_sections"))
+
+
+# --- S3 crosswalk and landing ------------------------------------------------
+
+def _xwalk(spark, sf_dir):
+    from ..functions.text import parse_id_lines
+    from ..operators import crosswalk as xw
+    ids = parse_id_lines(tb.id_lines(spark, sf_dir), "value")
+    return xw.crosswalk(ids, tb.crosswalk_answers(spark, sf_dir))
+
+
+def q14_id_crosswalk(spark, sf_dir):
+    from ..operators import crosswalk as xw
+    return xw.mapped(_xwalk(spark, sf_dir))
+
+
+def q14b_crosswalk_coverage(spark, sf_dir):
+    from ..operators import crosswalk as xw
+    return xw.coverage(_xwalk(spark, sf_dir))
+
+
+def q15_unmapped_ids(spark, sf_dir):
+    from ..operators import crosswalk as xw
+    return xw.unmapped(_xwalk(spark, sf_dir))
+
+
+LAND = cfgmod.LandConfig(needle="license")
+
+
+def q16_landing_status(spark, sf_dir):
+    from ..operators import landing as ld
+    st = ld.land(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir), LAND)
+    return ld.status_counts(st)
+
+
+def q17_pending(spark, sf_dir):
+    from ..operators import landing as ld
+    return ld.pending(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir))
+
+
+def q17s_stream_landing(spark, sf_dir):
+    """J1 as a stream, run twice (the second time with a fresh checkpoint, as
+    after losing it): the landed table must hold each document once."""
+    from ..session import shared_dir
+    from ..streaming import landing_stream as ls
+    schema = tb.table(spark, sf_dir, "documents").schema
+    # A glob path, so the file source watches matching files, not a directory.
+    src = (spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+           .select(F.col("doc_id").cast("string").alias("pmcid"),
+                   F.when(F.col("doc_id") % tb.EMPTY_DOC_MOD == 0, F.lit(""))
+                   .otherwise(F.col("text")).alias("content")))
+    target = shared_dir(spark, "landed")
+    for run in (1, 2):
+        ls.run(spark, src, target, shared_dir(spark, f"landing-ckpt{run}"), LAND)
+    return spark.read.parquet(target).select("pmcid", "status", "n_bytes")
+
+
+QUERIES.update({
+    "q13_article_metadata": q13_article_metadata,
+    "q14_id_crosswalk": q14_id_crosswalk,
+    "q14b_crosswalk_coverage": q14b_crosswalk_coverage,
+    "q15_unmapped_ids": q15_unmapped_ids,
+    "q16_landing_status": q16_landing_status,
+    "q17_pending": q17_pending,
+    "q17s_stream_landing": q17s_stream_landing,
+})

@@ -177,3 +177,59 @@ FROM sv, st GROUP BY st.rec""",
 SELECT n AS candidates, mn AS min_id, mx AS max_id, ms AS max_score, CAST(rec AS BIGINT) AS recommended FROM st""",
     "q12b_corpus_size": "SELECT count(*) AS documents FROM documents",
 }
+
+
+_XWALK = """
+WITH ids AS (
+  SELECT split_part(replace(CAST(c_custkey AS VARCHAR) || chr(9) || c_name || chr(13), chr(13), ''),
+                    chr(9), 1) AS id
+  FROM customer),
+ans AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS pmid, CAST(o_orderkey AS VARCHAR) AS pmcid,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
+  FROM orders WHERE o_orderstatus = 'F'),
+x AS (SELECT ids.id AS pmid, a.pmcid FROM ids LEFT JOIN ans a ON ids.id = a.pmid AND a.rn = 1)
+"""
+
+_LAND = f"""
+WITH f AS (
+  SELECT CAST(doc_id AS VARCHAR) AS pmcid,
+         CASE WHEN doc_id % {tb.EMPTY_DOC_MOD} = 0 THEN '' ELSE text END AS content
+  FROM documents),
+l AS (
+  SELECT f.pmcid, strlen(f.content) AS n_bytes
+  FROM labels JOIN f ON CAST(labels.doc_id AS VARCHAR) = f.pmcid),
+present AS (SELECT DISTINCT pmcid FROM l WHERE n_bytes > 0),
+s AS (
+  SELECT f.pmcid, strlen(f.content) AS n_bytes,
+         CASE WHEN p.pmcid IS NOT NULL THEN 'skipped'
+              WHEN strpos(f.content, 'license') > 0 THEN 'restricted'
+              WHEN strlen(f.content) > 0 THEN 'ok'
+              ELSE 'failed' END AS status,
+         CASE WHEN strpos(f.content, 'license') > 0 THEN 'restricted'
+              WHEN strlen(f.content) > 0 THEN 'ok'
+              ELSE 'failed' END AS fresh_status
+  FROM f LEFT JOIN present p ON f.pmcid = p.pmcid)
+"""
+
+ORACLE.update({
+    "q13_article_metadata": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, source, lang FROM documents)
+SELECT doc_id AS pmid,
+       regexp_replace(CASE WHEN doc_id % 10 = 0 THEN '{tb.CORRECTED}' ELSE '' END || ls[1],
+                      '<[^>]+>', '', 'g') AS title,
+       array_to_string(ls[2:], ' ') AS abstract,
+       source || ';' || lang AS pubtypes,
+       CAST(len(ls) - 1 AS BIGINT) AS n_sections
+FROM d""",
+    "q14_id_crosswalk": _XWALK + "SELECT pmid, pmcid, 'PMC' || pmcid AS pmc_ref FROM x WHERE pmcid IS NOT NULL",
+    "q14b_crosswalk_coverage": _XWALK + "SELECT count(*) AS processed, count(pmcid) AS mapped FROM x",
+    "q15_unmapped_ids": _XWALK + "SELECT pmid FROM x WHERE pmcid IS NULL",
+    "q16_landing_status": _LAND + """
+SELECT coalesce(outcome, 'total') AS outcome, detail, count(*) AS n
+FROM (SELECT CASE WHEN status = 'restricted' THEN 'failed' ELSE status END AS outcome,
+             status AS detail FROM s)
+GROUP BY ROLLUP (outcome, detail)""",
+    "q17_pending": _LAND + "SELECT DISTINCT pmcid FROM f WHERE pmcid NOT IN (SELECT pmcid FROM present)",
+    "q17s_stream_landing": _LAND + "SELECT pmcid, fresh_status AS status, n_bytes FROM s",
+})

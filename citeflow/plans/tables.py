@@ -19,6 +19,7 @@ NO_META_MOD = 4                  # documents with doc_id % 4 = 0 have no article
 EMPTY_DOC_MOD = 41               # landing: documents with doc_id % 41 = 0 arrive empty
 BIBLIO_MOD = 3                   # truncation: a heading is spliced into doc_id % 3 = 0
 BLANK_PRIMARY_MOD = 5            # rendition fallback: primary blank for page_id % 5 = 0
+CORRECTED = "Corrected: "        # title prefix of the second delivery of a record
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +79,85 @@ TERM_LINE_SQL = """CASE p_size % 8
   WHEN 6 THEN p_type || ' : ' || p_name || ': x|' || p_brand
   ELSE '  ' || p_brand || ':' || replace(p_name, ' ', ' |') || '  '
 END"""
+
+
+# --- article records as PubMed-style XML (q13, q18) ---------------------------
+
+def _xml_escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmid, batch, xml): one PubmedArticle per document — title = first line,
+    one AbstractText per further line, publication types = source and lang.
+
+    Every 7th title carries inline markup, every 10th record also lists a
+    second PMID inside a corrections list (must not start a new record), and
+    every 10th document is delivered twice: batch 1 carries a corrected title
+    ("Corrected: " prefix) that must win over batch 0.
+    """
+    d = table(spark, sf_dir, "documents")
+    lines = F.split(F.col("text"), "\n")
+
+    def marked(raw):
+        t = _xml_escape(raw)
+        return F.when(F.col("doc_id") % 7 == 0,
+                      F.regexp_replace(t, r"^(\S+)", "<i>$1</i>")).otherwise(t)
+
+    title = marked(F.element_at(lines, 1))
+    sections = F.array_join(F.transform(F.slice(lines, 2, 1 << 30),
+                                        lambda s: F.concat(F.lit("<AbstractText>"), _xml_escape(s),
+                                                           F.lit("</AbstractText>"))), "")
+    corrections = F.when(F.col("doc_id") % 10 == 0, F.concat(
+        F.lit("<CommentsCorrectionsList><CommentsCorrections><PMID>"),
+        (F.col("doc_id") + 1).cast("string"),
+        F.lit("</PMID></CommentsCorrections></CommentsCorrectionsList>"))).otherwise(F.lit(""))
+
+    def record(t):
+        return F.concat(
+            F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("doc_id").cast("string"),
+            F.lit("</PMID><Article><ArticleTitle>"), t, F.lit("</ArticleTitle><Abstract>"),
+            sections, F.lit("</Abstract><PublicationTypeList><PublicationType>"), F.col("source"),
+            F.lit("</PublicationType><PublicationType>"), F.col("lang"),
+            F.lit("</PublicationType></PublicationTypeList></Article>"), corrections,
+            F.lit("</MedlineCitation></PubmedArticle>"))
+
+    first = d.select(F.col("doc_id").alias("pmid"), F.lit(0).alias("batch"), record(title).alias("xml"))
+    again = d.where(F.col("doc_id") % 10 == 0).select(
+        F.col("doc_id").alias("pmid"), F.lit(1).alias("batch"), record(marked(F.concat(F.lit(CORRECTED), F.element_at(lines, 1)))).alias("xml"))
+    return first.unionByName(again)
+
+
+# --- crosswalk and landing (q14-q17) --------------------------------------------
+
+def id_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested-id lines as a ranked TSV would carry them: id<TAB>name<CR>."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.col("c_custkey").cast("string"), F.lit("\t"), F.col("c_name"),
+                             F.lit("\r")).alias("value"))
+
+
+def crosswalk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmid, pmcid, ord): catalogue answers — finished orders of each customer,
+    earliest (date, key) first."""
+    o = table(spark, sf_dir, "orders")
+    return o.where(F.col("o_orderstatus") == "F").select(
+        F.col("o_custkey").cast("string").alias("pmid"),
+        F.col("o_orderkey").cast("string").alias("pmcid"),
+        F.struct("o_orderdate", "o_orderkey").alias("ord"))
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmcid, content): what a fetch returns — every 41st document empty."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("pmcid"),
+                    F.when(F.col("doc_id") % EMPTY_DOC_MOD == 0, F.lit("")).otherwise(F.col("text"))
+                    .alias("content"))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmcid, n_bytes): targets already present — the labelled documents."""
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("pmcid"))
+    return lab.join(fetched(spark, sf_dir), "pmcid").select(
+        "pmcid", F.octet_length("content").alias("n_bytes"))

@@ -92,18 +92,21 @@ def articles_xml(spark: SparkSession, path: str) -> DataFrame:
     return flatten_article(raw)
 
 
-def flatten_article(df: DataFrame, col: str | None = None) -> DataFrame:
-    """Record → (pmid, title, abstract, pubtypes, pubtypes_joined)."""
+def flatten_article(df: DataFrame, col: str | None = None, keep=()) -> DataFrame:
+    """Record → (pmid, title, abstract, pubtypes, pubtypes_joined,
+    n_sections), plus the ``keep`` columns."""
     mc = F.col(col).getField("MedlineCitation") if col else F.col("MedlineCitation")
     art = mc.getField("Article")
     sections = art.getField("Abstract").getField("AbstractText")
     types = art.getField("PublicationTypeList").getField("PublicationType")
     return df.select(
+        *keep,
         tx.clean_id(mc.getField("PMID")).alias("pmid"),
         F.coalesce(tx.strip_tags(art.getField("ArticleTitle")), F.lit("")).alias("title"),
         F.coalesce(F.array_join(sections, " "), F.lit("")).alias("abstract"),
         F.coalesce(types, F.array().cast("array<string>")).alias("pubtypes"),
         F.coalesce(F.array_join(types, ";"), F.lit("")).alias("pubtypes_joined"),
+        F.coalesce(F.size(sections), F.lit(0)).alias("n_sections"),
     )
 
 
