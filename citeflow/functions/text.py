@@ -162,7 +162,7 @@ def markup_to_text(col) -> Column:
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     t = F.regexp_replace(t, r"\n{2,}", "\n")
-    return F.trim(t)
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def conversion_status(src, out) -> Column:

@@ -90,7 +90,7 @@ def category_frequency(df: DataFrame, flags) -> DataFrame:
     return long.groupBy("category").agg(
         F.count_if(F.col("flag")).alias("yes"),
         F.count("flag").alias("answered"),
-    ).withColumn("share", F.round(F.col("yes") / F.col("answered"), 6))
+    ).withColumn("share", F.round(F.try_divide(F.col("yes"), F.col("answered")), 6))
 
 
 def entity_frequency(df: DataFrame, list_col: str, key: str) -> DataFrame:

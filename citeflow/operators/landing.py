@@ -34,7 +34,7 @@ def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig()) ->
               .when(c.contains(cfg.needle), "restricted")
               .when(F.octet_length(c) > 0, "ok")
               .otherwise("failed"))
-    return t.select("pmcid", status.alias("status"), F.octet_length(c).alias("n_bytes"))
+    return t.select("pmcid", status.alias("status"), F.octet_length(c).cast("bigint").alias("n_bytes"))
 
 
 def outcome(status_col: str = "status"):

@@ -66,5 +66,5 @@ def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str
     local = (sim.withColumn("_b", b).withColumn("_r", F.row_number().over(w1))
              .where(F.col("_r") <= k))
     w2 = Window.partitionBy(seed_key).orderBy(*order)
-    return (local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    return (local.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
             .select(seed_key, "rank", doc_key, "sim"))

@@ -223,3 +223,186 @@ QUERIES.update({
     "q17_pending": q17_pending,
     "q17s_stream_landing": q17s_stream_landing,
 })
+
+
+# --- S4 conversion, QA, bibliography cut --------------------------------------
+
+def q18_format_sniff(spark, sf_dir):
+    from ..operators import convert as cv
+    return cv.sniff(tb.sniff_inputs(spark, sf_dir)).select("path", "format")
+
+
+def _converted(spark, sf_dir):
+    from ..operators import convert as cv
+    return cv.convert(tb.raw_pages(spark, sf_dir))
+
+
+def q19_markup_to_text(spark, sf_dir):
+    return _converted(spark, sf_dir).select("page_id", "text", "status")
+
+
+def q20_conversion_qa(spark, sf_dir):
+    from ..operators import convert as cv
+    q = cv.qa(_converted(spark, sf_dir), "path", tb.RAW_ROOT, tb.MD_ROOT)
+    return q.select("page_id", "out_path", F.col("out_bytes").cast("bigint").alias("out_bytes"),
+                    "ratio", "small_output", F.col("lines").cast("bigint").alias("lines"), "line_class")
+
+
+def q21_truncate_bibliography(spark, sf_dir):
+    from ..operators import convert as cv
+    return cv.truncate(tb.spliced_documents(spark, sf_dir)).select("doc_id", "body", "cut")
+
+
+def q24_rendition_fallback(spark, sf_dir):
+    from ..functions.text import first_nonempty
+    from ..sources.sinks import output_name_for_format
+    r = tb.renditions(spark, sf_dir)
+    chosen = F.when(F.col("fmt") == "html", first_nonempty("primary", "standard")).otherwise(
+        F.nullif(F.col("primary"), F.lit("")))
+    rendition = (F.when(F.nullif(F.col("primary"), F.lit("")).isNotNull(), "full")
+                 .when((F.col("fmt") == "html") & (F.nullif(F.col("standard"), F.lit("")).isNotNull()),
+                       "standard")
+                 .otherwise("none"))
+    return r.select(
+        "page_id", F.col("fmt").alias("format"),
+        output_name_for_format(F.col("fmt"), F.col("page_id")).alias("out_name"),
+        rendition.alias("rendition"),
+        F.coalesce(F.octet_length(chosen), F.lit(0)).cast("bigint").alias("n_bytes"),
+        chosen.isNotNull().alias("success"))
+
+
+# --- S1 corpus search --------------------------------------------------------
+
+def _search_fields():
+    return {"tiab": [F.col("text")], "pt": [F.array(F.col("source"))], "mesh": [F.array(F.col("lang"))]}
+
+
+def boolean_query():
+    """Stand-in of the bibliographic query: fielded phrases, truncation, groups."""
+    from ..functions.patterns import Phrase, Tag, all_of, any_of
+    return (all_of(any_of(Phrase("the"), Phrase("und"), Phrase("que")),
+                   any_of(Phrase("tion*"), Phrase("ation"), Phrase("enti*")))
+            & ~Tag("de", "mesh") & ~Tag("fr", "mesh")
+            & ~any_of(Phrase("license"), Tag("src3", "pt"), Tag("src7", "pt")))
+
+
+def keyword_query():
+    """Free-text AND / NOT with a publication-type field."""
+    from ..functions.patterns import Phrase, Tag, all_of
+    return all_of(Phrase("the"), Phrase("and"), Phrase("of")) & ~Tag("src3", "pt")
+
+
+KEYWORD_LIMIT = 50
+
+
+def q22_boolean_search(spark, sf_dir):
+    from ..operators import search as se
+    return se.search(_docs(spark, sf_dir), boolean_query(), _search_fields())
+
+
+def q23_keyword_ids(spark, sf_dir):
+    from ..operators import search as se
+    hits = se.search(_docs(spark, sf_dir), keyword_query(), _search_fields())
+    return se.first_hits(hits, KEYWORD_LIMIT)
+
+
+def q23b_keyword_hit_count(spark, sf_dir):
+    from ..operators import search as se
+    return se.hit_count(se.search(_docs(spark, sf_dir), keyword_query(), _search_fields()))
+
+
+# --- S6 extraction tables ----------------------------------------------------
+
+def _typed_v25(spark, sf_dir):
+    from ..operators import extraction as ex
+    raw = tb.extraction_rows(spark, sf_dir, ex.V25_RENAME, labelled=True)
+    return ex.typed(ex.canonical(raw, ex.V25_RENAME))
+
+
+def _typed_v23(spark, sf_dir):
+    from ..operators import extraction as ex
+    raw = tb.extraction_rows(spark, sf_dir, ex.V23_RENAME, labelled=False, list_sep=", ")
+    return ex.typed(ex.canonical(raw, ex.V23_RENAME))
+
+
+def _joined(c):
+    return F.array_join(c, "|")
+
+
+def _n(c):
+    return F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+
+
+def q25_extraction_typed(spark, sf_dir):
+    from ..operators import extraction as ex
+    t = _typed_v25(spark, sf_dir)
+    lo, hi = ex.quantity_bounds(F.col("sel_coef_value"))
+    return t.select(
+        "pmid", "year", _joined("authors").alias("authors"), "sweeps",
+        _joined("sweep_methods").alias("sweep_methods"), "sel_coef",
+        lo.alias("coef_lo"), hi.alias("coef_hi"), "pooled", "soft_sweeps",
+        _joined("genes").alias("genes"), _n("genes").alias("n_genes"),
+        "samples_n", "polygenic", _joined("polygenic_traits").alias("polygenic_traits"))
+
+
+def _union(spark, sf_dir):
+    from ..operators import extraction as ex
+    return ex.union_layouts(_typed_v25(spark, sf_dir), _typed_v23(spark, sf_dir))
+
+
+def q26_category_frequency(spark, sf_dir):
+    from ..operators import extraction as ex
+    return ex.category_frequency(_union(spark, sf_dir), ex.FLAG_COLUMNS)
+
+
+def q27_entity_frequency(spark, sf_dir):
+    from ..operators import extraction as ex
+    p = tb.table(spark, sf_dir, "part").select(
+        "p_partkey", F.split(F.col("p_name"), " ").alias("words"))
+    return ex.entity_frequency(p, "words", "p_partkey")
+
+
+def q28_quantity_ranges(spark, sf_dir):
+    from ..operators import extraction as ex
+    li = tb.table(spark, sf_dir, "lineitem").select("l_returnflag", F.expr(tb.QUANTITY_SQL).alias("q"))
+    lo, hi = ex.quantity_bounds(F.col("q"))
+    kind = F.when(F.col("q").rlike(ex.RANGE_RX), "range").otherwise("count")
+    return (li.select("l_returnflag", kind.alias("kind"), lo.alias("lo"), hi.alias("hi"))
+            .groupBy("l_returnflag", "kind")
+            .agg(F.count("*").alias("n"), F.min("lo").alias("min_lo"), F.max("hi").alias("max_hi"),
+                 F.round(F.avg("lo"), 6).alias("avg_lo"), F.round(F.avg("hi"), 6).alias("avg_hi")))
+
+
+def q29_extraction_union(spark, sf_dir):
+    u = _union(spark, sf_dir)
+    return u.select("doi", "pmid", "pmcid", "year", "sweeps", "pooled", "polygenic",
+                    _n("genes").alias("n_genes"), "samples_n",
+                    _joined("sweep_methods").alias("sweep_methods"))
+
+
+# --- K2 related-item discovery -----------------------------------------------
+
+RELATED_K = 5
+
+
+def q30_related_items(spark, sf_dir):
+    from ..operators import similarity as sm
+    return sm.related_items(tb.table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), k=RELATED_K)
+
+
+QUERIES.update({
+    "q18_format_sniff": q18_format_sniff,
+    "q19_markup_to_text": q19_markup_to_text,
+    "q20_conversion_qa": q20_conversion_qa,
+    "q21_truncate_bibliography": q21_truncate_bibliography,
+    "q22_boolean_search": q22_boolean_search,
+    "q23_keyword_ids": q23_keyword_ids,
+    "q23b_keyword_hit_count": q23b_keyword_hit_count,
+    "q24_rendition_fallback": q24_rendition_fallback,
+    "q25_extraction_typed": q25_extraction_typed,
+    "q26_category_frequency": q26_category_frequency,
+    "q27_entity_frequency": q27_entity_frequency,
+    "q28_quantity_ranges": q28_quantity_ranges,
+    "q29_extraction_union": q29_extraction_union,
+    "q30_related_items": q30_related_items,
+})

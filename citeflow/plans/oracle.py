@@ -233,3 +233,228 @@ GROUP BY ROLLUP (outcome, detail)""",
     "q17_pending": _LAND + "SELECT DISTINCT pmcid FROM f WHERE pmcid NOT IN (SELECT pmcid FROM present)",
     "q17s_stream_landing": _LAND + "SELECT pmcid, fresh_status AS status, n_bytes FROM s",
 })
+
+
+# --- conversion (q18-q21, q24) -------------------------------------------------
+
+def _chain(x: str) -> str:
+    """The markup → text chain, spelled in DuckDB (RE2, 'g' flag)."""
+    from ..functions import text as tx
+    t = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in tx.DROPPED_ELEMENTS:
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
+    for level in range(1, 7):
+        t = f"regexp_replace({t}, '(?i)<h{level}\\b[^>]*>', chr(10) || '{'#' * level} ', 'g')"
+    t = f"regexp_replace({t}, '{tx.BREAK_TAGS}', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', '', 'g')"
+    for ent, ch in tx.ENTITIES:
+        t = f"replace({t}, {_sq(ent)}, {_sq(ch)})"
+    t = f"regexp_replace({t}, '[ \t]+', ' ', 'g')"
+    t = f"regexp_replace({t}, ' ?\\n ?', chr(10), 'g')"
+    t = f"regexp_replace({t}, '\\n{{2,}}', chr(10), 'g')"
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PAGES = f"""
+WITH p AS (
+  SELECT page_id, html, {tb.PAGE_PATH_SQL} AS path, strlen(html) AS src_bytes, {_chain('html')} AS t
+  FROM pages)
+"""
+
+_STATUS = """CASE WHEN html IS NULL THEN 'failed' WHEN t = '' THEN 'empty'
+            WHEN regexp_matches(t, '[<>]|&[A-Za-z#0-9]+;') THEN 'ok_with_warnings' ELSE 'ok' END"""
+
+_BIB = r"(?i)^\s*(#+\s*)?(References|Reference|Bibliography|Literature Cited)\b"
+
+
+def _m(word: str) -> str:
+    return f"regexp_matches(text, {_sq(_word_rx([word]))})"
+
+
+def _trunc(word: str) -> str:
+    return f"regexp_matches(text, {_sq('(?i)' + WB_L + chr(92) + 'Q' + word + chr(92) + 'E')})"
+
+
+_BOOLEAN = (f"({_m('the')} OR {_m('und')} OR {_m('que')}) AND ({_trunc('tion')} OR {_m('ation')} OR {_trunc('enti')})"
+            f" AND NOT lower(lang) = 'de' AND NOT lower(lang) = 'fr'"
+            f" AND NOT ({_m('license')} OR lower(source) = 'src3' OR lower(source) = 'src7')")
+_KEYWORD = f"{_m('the')} AND {_m('and')} AND {_m('of')} AND NOT lower(source) = 'src3'"
+
+ORACLE.update({
+    "q18_format_sniff": f"""
+WITH s AS (
+  SELECT url AS path, html AS content FROM pages
+  UNION ALL
+  SELECT 'PMC' || CAST(doc_id AS VARCHAR) || '.xml' AS path, {tb.SNIFF_DOC_SQL} AS content FROM documents)
+SELECT path,
+       CASE WHEN regexp_matches(array_to_string(string_split(content, chr(10))[1:5], chr(10)),
+                                'pmc-articleset|jats|article xmlns') THEN 'jats' ELSE 'html' END AS format
+FROM s""",
+    "q19_markup_to_text": _PAGES + f"SELECT page_id, t AS text, {_STATUS} AS status FROM p",
+    "q20_conversion_qa": _PAGES + f""",
+r AS (
+  SELECT *, CASE WHEN starts_with(path, '{tb.RAW_ROOT}/') THEN substr(path, {len(tb.RAW_ROOT) + 2}) END AS rel,
+         regexp_extract(path, '[^/]*$', 0) AS base,
+         length(t) - length(replace(t, chr(10), '')) AS n_lines,
+         CASE WHEN src_bytes > 0 THEN strlen(t) * 100 // src_bytes END AS ratio
+  FROM p)
+SELECT page_id,
+       '{tb.MD_ROOT}/' || CASE WHEN rel IS NULL THEN '.' WHEN strpos(rel, '/') > 0
+                          THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END
+       || '/' || regexp_replace(base, '\\.[^.]*$', '') || '.md' AS out_path,
+       CAST(strlen(t) AS BIGINT) AS out_bytes, CAST(ratio AS BIGINT) AS ratio, ratio < 10 AS small_output,
+       CAST(n_lines AS BIGINT) AS lines,
+       CASE WHEN n_lines < 50 THEN 'warn' WHEN n_lines < 100 THEN 'info' ELSE 'ok' END AS line_class
+FROM r""",
+    "q21_truncate_bibliography": f"""
+WITH d AS (SELECT doc_id, {tb.SPLICE_SQL} AS t FROM documents),
+l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM d),
+p AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, {_sq(_BIB)})), true) AS pos FROM l),
+b AS (SELECT doc_id, t, CASE WHEN pos IS NULL OR pos = 0 THEN t WHEN pos = 1 THEN ''
+                             ELSE array_to_string(ls[1:pos - 1], chr(10)) END AS body FROM p)
+SELECT doc_id, body, body <> t AS cut FROM b""",
+    "q22_boolean_search": f"SELECT doc_id FROM documents WHERE {_BOOLEAN}",
+    "q23_keyword_ids": f"SELECT doc_id FROM documents WHERE {_KEYWORD} ORDER BY doc_id LIMIT {cat.KEYWORD_LIMIT}",
+    "q23b_keyword_hit_count": f"SELECT count(*) AS hits FROM documents WHERE {_KEYWORD}",
+    "q24_rendition_fallback": f"""
+WITH r AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'xml' END AS fmt,
+         CASE WHEN page_id % {tb.BLANK_PRIMARY_MOD} = 0 THEN '' ELSE html END AS prim,
+         '<html><body>' || url || '</body></html>' AS std
+  FROM pages),
+c AS (SELECT *, CASE WHEN fmt = 'html' THEN coalesce(nullif(prim, ''), nullif(std, ''))
+                     ELSE nullif(prim, '') END AS chosen FROM r)
+SELECT page_id, fmt AS format, 'PMC' || CAST(page_id AS VARCHAR) || '.' || fmt AS out_name,
+       CASE WHEN nullif(prim, '') IS NOT NULL THEN 'full'
+            WHEN fmt = 'html' AND nullif(std, '') IS NOT NULL THEN 'standard' ELSE 'none' END AS rendition,
+       CAST(coalesce(strlen(chosen), 0) AS BIGINT) AS n_bytes, chosen IS NOT NULL AS success
+FROM c""",
+})
+
+
+# --- extraction (q25-q29) ------------------------------------------------------
+
+_RANGE = r"^\D*?(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)"
+
+
+def _raw(list_sep: str) -> str:
+    cols = []
+    for c, e in tb.EXTRACTION_SQL:
+        if list_sep != "; ":
+            e = f"replace({e}, '; ', '{list_sep}')"
+        cols.append(f"nullif(trim({e}), '') AS {c}")
+    return ", ".join(cols)
+
+
+def _yn(c):
+    return f"CASE lower({c}) WHEN 'yes' THEN true WHEN 'no' THEN false END"
+
+
+def _lst(c):
+    parts = f"list_filter(regexp_split_to_array({c}, '\\s*[;,]\\s*'), lambda y: y <> '')"
+    return f"CASE WHEN len({parts}) > 0 THEN {parts} END"
+
+
+_FLAGS = ("sweeps", "sel_coef", "pooled", "soft_sweeps", "balancing", "purifying",
+          "go_enrichment", "polygenic")
+_LISTS = ("authors", "sweep_methods", "soft_sweep_tools", "go_terms", "genes",
+          "sweep_genes", "polygenic_traits")
+
+
+def _typed_select(has_ids: bool) -> str:
+    out = []
+    for c, _ in tb.EXTRACTION_SQL:
+        if c in ("pmid", "pmcid") and not has_ids:
+            out.append(f"NULL AS {c}")
+        elif c in _FLAGS:
+            out.append(f"{_yn(c)} AS {c}")
+        elif c in _LISTS:
+            out.append(f"{_lst(c)} AS {c}")
+        elif c == "year":
+            out.append("TRY_CAST(year AS INTEGER) AS year")
+        elif c == "pmid":
+            out.append("TRY_CAST(pmid AS BIGINT) AS pmid")
+        elif c == "samples":
+            out.append("samples, TRY_CAST(regexp_extract(samples, '^\\s*(\\d+)', 1) AS INTEGER) AS samples_n")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+_EXTRACT = f"""
+WITH v25 AS (
+  SELECT {_raw('; ')} FROM documents d JOIN labels l USING (doc_id)),
+v23 AS (
+  SELECT {_raw(', ')}
+  FROM (SELECT d.*, CAST(NULL AS INTEGER) AS quality, CAST(NULL AS INTEGER) AS toxic
+        FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels))),
+t25 AS (SELECT {_typed_select(True)} FROM v25),
+t23 AS (SELECT {_typed_select(False)} FROM v23),
+u AS (SELECT * FROM t25 UNION ALL SELECT * FROM t23)
+"""
+
+
+def _bounds(v):
+    single = f"TRY_CAST(regexp_extract({v}, '(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE)"
+    lo = (f"CASE WHEN regexp_matches({v}, '{_RANGE}') THEN TRY_CAST(regexp_extract({v}, '{_RANGE}', 1) AS DOUBLE)"
+          f" ELSE {single} END")
+    hi = (f"CASE WHEN regexp_matches({v}, '{_RANGE}') THEN TRY_CAST(regexp_extract({v}, '{_RANGE}', 2) AS DOUBLE)"
+          f" ELSE {single} END")
+    return lo, hi
+
+
+_LO, _HI = _bounds("sel_coef_value")
+_QLO, _QHI = _bounds("q")
+
+ORACLE.update({
+    "q25_extraction_typed": _EXTRACT + f"""
+SELECT pmid, year, array_to_string(authors, '|') AS authors, sweeps,
+       array_to_string(sweep_methods, '|') AS sweep_methods, sel_coef,
+       {_LO} AS coef_lo, {_HI} AS coef_hi, pooled, soft_sweeps,
+       array_to_string(genes, '|') AS genes, CAST(len(genes) AS BIGINT) AS n_genes,
+       samples_n, polygenic, array_to_string(polygenic_traits, '|') AS polygenic_traits
+FROM t25""",
+    "q26_category_frequency": _EXTRACT + "SELECT category, count(*) FILTER (WHERE flag) AS yes, "
+    "count(flag) AS answered, round(count(*) FILTER (WHERE flag) / count(flag), 6) AS share FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS category, {f} AS flag FROM u" for f in _FLAGS)
+    + ") GROUP BY category",
+    "q27_entity_frequency": """
+SELECT entity, count(*) AS papers
+FROM (SELECT DISTINCT p_partkey, entity
+      FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS entity FROM part)
+      WHERE entity <> '')
+GROUP BY entity""",
+    "q28_quantity_ranges": f"""
+WITH li AS (SELECT l_returnflag, {tb.QUANTITY_SQL} AS q FROM lineitem),
+v AS (SELECT l_returnflag, CASE WHEN regexp_matches(q, '{_RANGE}') THEN 'range' ELSE 'count' END AS kind,
+             {_QLO} AS lo, {_QHI} AS hi FROM li)
+SELECT l_returnflag, kind, count(*) AS n, min(lo) AS min_lo, max(hi) AS max_hi,
+       round(avg(lo), 6) AS avg_lo, round(avg(hi), 6) AS avg_hi
+FROM v GROUP BY l_returnflag, kind""",
+    "q29_extraction_union": _EXTRACT + """
+SELECT doi, pmid, pmcid, year, sweeps, pooled, polygenic, CAST(len(genes) AS BIGINT) AS n_genes,
+       samples_n, array_to_string(sweep_methods, '|') AS sweep_methods
+FROM u""",
+    "q30_related_items": f"""
+WITH dt AS (
+  SELECT doc_id, tok, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS tok FROM documents)
+  WHERE tok <> '' GROUP BY doc_id, tok),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM dt),
+idf AS (SELECT tok, ln((SELECT n FROM n) / count(*)) AS idf FROM dt GROUP BY tok),
+idf2 AS (SELECT * FROM idf WHERE idf > 0),
+dw AS (SELECT doc_id, tok, tf * idf AS w FROM dt JOIN idf2 USING (tok)),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM dw GROUP BY doc_id),
+st AS (
+  SELECT item_id, tok, count(*) AS tf
+  FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS tok FROM benchmark)
+  WHERE tok <> '' GROUP BY item_id, tok),
+sw AS (SELECT item_id, tok, tf * idf AS ws FROM st JOIN idf2 USING (tok)),
+sn AS (SELECT item_id, sqrt(sum(ws * ws)) AS sn FROM sw GROUP BY item_id),
+dot AS (SELECT item_id, doc_id, sum(w * ws) AS dot FROM dw JOIN sw USING (tok) GROUP BY item_id, doc_id),
+sim AS (SELECT item_id, doc_id, round(dot / (dn * sn), 6) AS sim
+        FROM dot JOIN dn USING (doc_id) JOIN sn USING (item_id))
+SELECT item_id, rank, doc_id, sim
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS rank FROM sim)
+WHERE rank <= {cat.RELATED_K}""",
+})

@@ -161,3 +161,128 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("pmcid"))
     return lab.join(fetched(spark, sf_dir), "pmcid").select(
         "pmcid", F.octet_length("content").alias("n_bytes"))
+
+
+# --- raw markup documents (q18-q21, q24) ----------------------------------------
+
+RAW_ROOT = "/data/raw"
+MD_ROOT = "/data/md"
+
+
+def sniff_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): web pages plus article XML whose format marker sits on
+    line 1..6 (line 6 is past the sniff window)."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("PMC"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"),
+        F.expr(SNIFF_DOC_SQL).alias("content"))
+    return pages.unionByName(docs)
+
+
+SNIFF_DOC_SQL = """repeat(chr(10), CAST(doc_id % 6 AS INT)) || '<!-- ' ||
+  CASE doc_id % 3 WHEN 0 THEN 'pmc-articleset' WHEN 1 THEN 'jats' ELSE 'article xmlns' END
+  || ' -->' || chr(10) || text"""
+
+
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, path, src_bytes, content): pages as landed files; every 7th sits
+    outside the raw root (its output goes to the top of the output root)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.expr(PAGE_PATH_SQL).alias("path"),
+                    F.octet_length("html").alias("src_bytes"), F.col("html").alias("content"))
+
+
+PAGE_PATH_SQL = f"""CASE WHEN page_id % 7 = 0 THEN '/elsewhere/' || CAST(page_id AS STRING) || '.htm'
+  ELSE '{RAW_ROOT}/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || '.html' END"""
+
+
+def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents with bibliography headings spliced in (none has
+    one natively): after the body, on line 1, a look-alike that must not cut,
+    and a 'Reference genome' body line that does cut (as in the original)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.expr(SPLICE_SQL).alias("text"))
+
+
+SPLICE_SQL = """CASE doc_id % 6
+  WHEN 0 THEN text || chr(10) || '## References' || chr(10) || 'Smith J (2020) A cited work.'
+  WHEN 1 THEN text || chr(10) || 'BIBLIOGRAPHY' || chr(10) || '[1] Doe J.'
+  WHEN 2 THEN text || chr(10) || 'Referenced works follow.'
+  WHEN 3 THEN '  # Literature Cited' || chr(10) || text
+  WHEN 4 THEN substr(text, 1, instr(text, chr(10))) || 'Reference genome v2 was used.' || chr(10) || text
+  ELSE text END"""
+
+
+def renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, fmt, primary, standard): full rendition blank for every 5th page."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        "page_id",
+        F.when(F.col("page_id") % 2 == 0, "html").otherwise("xml").alias("fmt"),
+        F.when(F.col("page_id") % BLANK_PRIMARY_MOD == 0, F.lit("")).otherwise(F.col("html")).alias("primary"),
+        F.concat(F.lit("<html><body>"), F.col("url"), F.lit("</body></html>")).alias("standard"))
+
+
+# --- extraction tables (q25-q29) -----------------------------------------------
+
+# Canonical field → portable SQL (Spark and DuckDB) over documents ⟕ labels.
+EXTRACTION_SQL = (
+    ("authors", "'Author ' || upper(lang) || '; Author ' || source"),
+    ("title", "split_part(text, chr(10), 1)"),
+    ("journal", "source"),
+    ("year", "CAST(2000 + doc_id % 25 AS STRING)"),
+    ("doi", "'10.1000/' || CAST(doc_id AS STRING)"),
+    ("pmid", "CAST(doc_id AS STRING)"),
+    ("pmcid", "'PMC' || CAST(doc_id AS STRING)"),
+    ("species", "lang"),
+    ("samples", "CAST(n_chars AS STRING) || ' (' || CAST(n_chars % 100 AS STRING) || ' contemporary + '"
+                " || CAST(n_chars - n_chars % 100 AS STRING) || ' historical)'"),
+    ("sweeps", "CASE WHEN coalesce(quality, 0) = 1 THEN 'Yes' ELSE 'No' END"),
+    ("sweep_methods", "CASE WHEN coalesce(quality, 0) = 1 THEN 'XPEHH; iHS' ELSE '' END"),
+    ("sel_coef", "CASE WHEN coalesce(toxic, 0) = 1 THEN 'Yes' ELSE 'No' END"),
+    ("sel_coef_value", "CASE WHEN coalesce(toxic, 0) = 1 THEN '~0.0' || CAST(doc_id % 9 AS STRING)"
+                       " || '-0.1' || CAST(doc_id % 7 AS STRING) ELSE '' END"),
+    ("pooled", "CASE WHEN doc_id % 2 = 0 THEN ' yes ' ELSE 'NO' END"),
+    ("soft_sweeps", "CASE WHEN doc_id % 5 = 0 THEN 'Yes' ELSE 'No' END"),
+    ("soft_sweep_tools", "CASE WHEN doc_id % 5 = 0 THEN 'H12/H1; diploS/HIC' ELSE '' END"),
+    ("balancing", "CASE WHEN doc_id % 11 = 0 THEN 'Yes' ELSE 'No' END"),
+    ("purifying", "CASE WHEN coalesce(toxic, 0) = 0 THEN 'Yes' ELSE 'No' END"),
+    ("go_enrichment", "'No'"),
+    ("go_terms", "''"),
+    ("genes", "split_part(text, ' ', 1) || '; ' || split_part(text, ' ', 2) || '; ' || split_part(text, ' ', 3)"),
+    ("sweep_genes", "split_part(text, ' ', 1)"),
+    ("polygenic", "CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE 'unsure' END"),
+    ("polygenic_traits", "CASE WHEN doc_id % 3 = 0 THEN 'height; yield' ELSE '' END"),
+    ("notes", "'n=' || CAST(n_chars AS STRING)"),
+)
+
+
+def extraction_layout_exprs(rename: dict, list_sep: str = "; ", quote: str = "`"):
+    """SELECT list that renders the stand-in rows under a layout's headers."""
+    canon = dict(EXTRACTION_SQL)
+    out = []
+    for header, c in rename.items():
+        e = canon[c]
+        if list_sep != "; ":
+            e = f"replace({e}, '; ', '{list_sep}')"
+        out.append(f"{e} AS {quote}{header}{quote}")
+    return out
+
+
+def extraction_rows(spark: SparkSession, sf_dir: str, rename: dict, labelled: bool,
+                    list_sep: str = "; ") -> DataFrame:
+    """Extraction-table rows in a given layout: labelled documents (25-column
+    layout) or unlabelled ones (23-column layout)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    src = d.join(lab, "doc_id", "inner" if labelled else "left_anti")
+    if not labelled:
+        src = src.select("*", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    return src.selectExpr(*extraction_layout_exprs(rename, list_sep))
+
+
+QUANTITY_SQL = """CASE l_linenumber % 3
+  WHEN 0 THEN '~' || printf('%.2f', l_discount) || '-' || printf('%.2f', l_tax)
+  WHEN 1 THEN printf('%.2f', l_discount) || '–' || printf('%.2f', l_tax) || ' per year'
+  ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' (' || CAST(l_linenumber AS STRING)
+       || ' contemporary + ' || CAST(l_suppkey % 100 AS STRING) || ' historical)' END"""
