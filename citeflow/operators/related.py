@@ -71,15 +71,22 @@ def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig
     candidate without a record is kept unboosted (fail-open, D7), which needs
     an explicit presence marker: absent is not the same as empty.
     """
-    # One record per id; with an ``ord`` column (batch order) the last one wins.
-    order = F.col("ord") if "ord" in articles.columns else F.lit(0)
-    meta = (articles.groupBy("pmid").agg(F.max_by(F.struct("title", "abstract", "pubtypes"),
-                                                  order).alias("m"))
-            .select("pmid", "m.*", F.lit(True).alias("_has_meta")))
-    j = cands.join(meta, "pmid", "left")
-    content = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")),
-                                  F.coalesce("abstract", F.lit(""))))
-    pubtypes = F.lower(F.coalesce(F.col("pubtypes"), F.lit("")))
+    # Only records of candidates matter: a semi join (a broadcast filter when
+    # the candidate ids are small) keeps the corpus text from being shuffled.
+    recs = articles.join(cands.select("pmid"), "pmid", "left_semi")
+    if "ord" in articles.columns:
+        # Several deliveries of one record — the last ``ord`` wins. The key
+        # aggregate carries fixed-width values only (no sort of texts).
+        last = recs.groupBy("pmid").agg(F.max("ord").alias("ord"))
+        recs = recs.join(last, ["pmid", "ord"], "left_semi")
+    meta = recs.select("pmid", "title", "abstract", "pubtypes", F.lit(True).alias("_has_meta"))
+    j = cands.join(meta, "pmid", "left").select(
+        *cands.columns, "_has_meta",
+        F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")),
+                            F.coalesce("abstract", F.lit("")))).alias("_content"),
+        F.lower(F.coalesce(F.col("pubtypes"), F.lit(""))).alias("_pubtypes"))
+    content = F.col("_content")
+    pubtypes = F.col("_pubtypes")
     has = F.col("_has_meta").isNotNull()
     comp = has & content.rlike(python_regex(cfg.comparative))
     reason = F.when(~has, "kept_no_metadata")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import sized_broadcast
+from .util import row_bound
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -52,9 +52,15 @@ def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str
     idf_df = idf(ctf, doc_key)
     dw = weights(ctf, idf_df, doc_key)
     dn = dw.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    sw = weights(term_frequencies(seeds, seed_key, text), idf_df, seed_key)
+    stf = term_frequencies(seeds, seed_key, text)
+    # The size check reads the seed table only; seed weights have at most as
+    # many rows as the seed term frequencies.
+    small = row_bound(stf, seed_broadcast_rows)
+    sw = weights(stf, idf_df, seed_key)
     sn = sw.groupBy(seed_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("sn"))
-    sw = sized_broadcast(sw.withColumnRenamed("w", "ws"), seed_broadcast_rows)
+    sw = sw.withColumnRenamed("w", "ws")
+    if small:
+        sw = F.broadcast(sw)
     dot = (dw.join(sw, "tok")
            .groupBy(seed_key, doc_key).agg(F.sum(F.col("w") * F.col("ws")).alias("dot")))
     sim = (dot.join(dn, doc_key).join(sn, seed_key)

@@ -27,3 +27,18 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str = "rows"):
     if len(rows) > max_rows:
         raise ValueError(f"{what} exceeds {max_rows} rows; refusing to collect to the driver")
     return rows
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy per-row work (regex over whole texts) runs on at
+    least ``min_partitions`` tasks (default: the session's parallelism).
+
+    A large input already scans as many splits and is returned untouched (no
+    shuffle); only an input that arrives as a few big splits is redistributed
+    round-robin, which costs one pass over data that fits in a few tasks.
+    """
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)

@@ -11,6 +11,7 @@ from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
 from ..operators import related as rel
 from ..operators import terms as tm
+from ..operators.util import spread
 from . import tables as tb
 
 # FIXED VALUES: the test dictionary (term groups with a zero-hit group and an
@@ -36,7 +37,8 @@ STANDIN_RANK = RankConfig(
 
 
 def _docs(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents")
+    # Whole-text regex work follows every use: spread it over the cores.
+    return spread(tb.table(spark, sf_dir, "documents"))
 
 
 def _groups(spark: SparkSession, lines=TERM_LINES, cfg: TermConfig = TermConfig()):
@@ -229,12 +231,12 @@ QUERIES.update({
 
 def q18_format_sniff(spark, sf_dir):
     from ..operators import convert as cv
-    return cv.sniff(tb.sniff_inputs(spark, sf_dir)).select("path", "format")
+    return cv.sniff(spread(tb.sniff_inputs(spark, sf_dir))).select("path", "format")
 
 
 def _converted(spark, sf_dir):
     from ..operators import convert as cv
-    return cv.convert(tb.raw_pages(spark, sf_dir))
+    return cv.convert(spread(tb.raw_pages(spark, sf_dir)))
 
 
 def q19_markup_to_text(spark, sf_dir):
