@@ -128,15 +128,21 @@ def recommended(max_score: Column) -> Column:
     return F.greatest(F.lit(2).cast("bigint"), F.floor(max_score / 10).cast("bigint"))
 
 
+def with_stats(survivors: DataFrame) -> DataFrame:
+    """Attach the run scalars as one struct column ``_st``: the subquery appears
+    once in the plan however many expressions read its fields."""
+    return survivors.withColumn("_st", run_stats(survivors))
+
+
 def weighted(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """Age-decayed, boosted score; unrounded (rounding only at output)."""
-    st = run_stats(survivors)
-    mn, mx = st["min_id"], st["max_id"]
+    s = with_stats(survivors)
+    mn, mx = F.col("_st.min_id"), F.col("_st.max_id")
     age = (mx - F.col("pmid")) / (mx - mn)
     decayed = F.when(mx == mn, F.col("score").cast("double")).otherwise(
         F.col("score") * (F.lit(1.0) - F.lit(cfg.beta) * F.pow(age, F.lit(cfg.gamma))))
     w = F.when(F.col("comparative"), decayed * F.lit(cfg.boost)).otherwise(decayed)
-    return survivors.withColumn("weighted", w)
+    return s.withColumn("weighted", w).drop("_st")
 
 
 def ranked(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
@@ -150,21 +156,21 @@ def score_histogram(survivors: DataFrame) -> DataFrame:
 
 
 def thresholds(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> Column:
-    """I4: distinct {2,3,5,10} ∪ {recommended} as an array (≤ 5 elements).
+    """I4: distinct {2,3,5,10} ∪ {recommended} as an array (≤ 5 elements);
+    reads ``_st`` (see ``with_stats``).
 
     Only thresholds ≤ max score produce lists; since every score is ≤ the max,
     ``score >= threshold`` below implies it.
     """
-    st = run_stats(survivors)
     return F.array_distinct(F.array(*[F.lit(t).cast("bigint") for t in cfg.thresholds],
-                                    recommended(st["max_score"])))
+                                    recommended(F.col("_st.max_score"))))
 
 
 def threshold_lists(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """(threshold, pmid) for score ≥ threshold — the range join is a
     per-row explode over the (≤ 5 element) threshold array, not a join."""
     thr = thresholds(survivors, cfg)
-    return (survivors.select(F.explode(thr).alias("threshold"), "pmid", "score")
+    return (with_stats(survivors).select(F.explode(thr).alias("threshold"), "pmid", "score")
             .where(F.col("score") >= F.col("threshold")).select("threshold", "pmid"))
 
 
@@ -176,15 +182,14 @@ def threshold_counts(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> Da
 def confidence_tiers(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """High (≥ rec), medium (3 ≤ s < rec), low (< 3). Overlapping at
     rec = 2 like the Python twin unless ``cfg.exclusive_tiers``."""
-    st = run_stats(survivors)
-    rec = recommended(st["max_score"])
+    rec = recommended(F.col("_st.max_score"))
     s = F.col("score")
     high = s >= rec
     med = (s >= 3) & (s < rec)
     low = s < 3
     if cfg.exclusive_tiers:
         low = low & ~high
-    return survivors.agg(
+    return with_stats(survivors).agg(
         F.first(rec).alias("recommended"),
         F.count_if(high).alias("high"), F.count_if(med).alias("medium"), F.count_if(low).alias("low"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import row_bound
+from .util import materialize, row_bound
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -41,16 +41,26 @@ def weights(tf: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
     return tf.join(idf_df, "tok").select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
 
 
+def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
+    """Build the corpus side once: (doc, tok, w) weights and (tok, idf).
+
+    Term frequencies and weights are materialised (checkpointed) so that the
+    norms, the dot products and the idf all read one tokenisation pass."""
+    ctf = materialize(term_frequencies(corpus, doc_key, text))
+    idf_df = idf(ctf, doc_key)
+    index = materialize(weights(ctf, idf_df, doc_key))
+    return index, idf_df
+
+
 def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str = "item_id",
                   doc_key: str = "doc_id", text: str = "text", buckets: int = 64,
-                  seed_broadcast_rows: int = 2_000_000) -> DataFrame:
+                  seed_broadcast_rows: int = 2_000_000, index=None) -> DataFrame:
     """(seed_key, rank, doc_key, sim): the k most similar documents per seed.
 
     Order is sim (rounded to 6 places) descending, then document id; cosine over
-    TF-IDF vectors in the corpus vocabulary (idf from the corpus)."""
-    ctf = term_frequencies(corpus, doc_key, text)
-    idf_df = idf(ctf, doc_key)
-    dw = weights(ctf, idf_df, doc_key)
+    TF-IDF vectors in the corpus vocabulary (idf from the corpus). ``index`` may
+    be a prebuilt ``tfidf_index(corpus)`` to serve many seed sets."""
+    dw, idf_df = index if index is not None else tfidf_index(corpus, doc_key, text)
     dn = dw.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     stf = term_frequencies(seeds, seed_key, text)
     # The size check reads the seed table only; seed weights have at most as

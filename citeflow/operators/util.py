@@ -42,3 +42,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= n:
         return df
     return df.repartition(n)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    cluster's shared checkpoint folder (``spark.checkpoint.dir``), so later
+    readers — including scalar subqueries over it — never recompute the
+    upstream joins, and a lost executor does not force a recomputation."""
+    from ..session import shared_dir
+    shared_dir(df.sparkSession, "ckpt")  # makes sure the checkpoint dir is set
+    return df.checkpoint(eager=True)

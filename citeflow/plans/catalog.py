@@ -11,7 +11,7 @@ from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
 from ..operators import related as rel
 from ..operators import terms as tm
-from ..operators.util import spread
+from ..operators.util import materialize, spread
 from . import tables as tb
 
 # FIXED VALUES: the test dictionary (term groups with a zero-hit group and an
@@ -78,7 +78,9 @@ def _classified(spark, sf_dir, cfg=STANDIN_RANK):
 
 
 def _survivors(spark, sf_dir, cfg=STANDIN_RANK):
-    return rel.filtered(_classified(spark, sf_dir, cfg))
+    # Summaries, thresholds and the ranking all read the surviving candidates
+    # (and their run scalars): compute them once.
+    return materialize(rel.filtered(_classified(spark, sf_dir, cfg)))
 
 
 def q04_candidate_scores(spark, sf_dir):
