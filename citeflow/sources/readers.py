@@ -39,12 +39,11 @@ def corpus(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     many files spread over many tasks. Unreadable files are skipped.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
@@ -56,7 +55,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     for configuration-sized inputs only.
     """
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"),
                 F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "value"))
         .select("path", (F.col("pos") + 1).alias("line_no"),

@@ -60,16 +60,17 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     spark = hits.sparkSession
     rule = "=" * cfg.REPORT_RULE_WIDTH
     total = total_docs if not isinstance(total_docs, int) else F.lit(total_docs)
-    head = spark.range(1).select(F.inline(F.array(
-        F.struct(F.lit(0).alias("line_no"), F.lit("Search Results").alias("line")),
-        F.struct(F.lit(1), F.lit(rule)),
-        F.struct(F.lit(2), F.format_string("Total Markdown files searched: %d", total)),
-        F.struct(F.lit(3), F.lit(rule)),
-        F.struct(F.lit(4), F.format_string(
-            f"%-{cfg.REPORT_NAME_WIDTH}s | %{cfg.REPORT_COUNT_WIDTH}s", F.lit("Search Term"),
-            F.lit("Papers Found"))),
-        F.struct(F.lit(5), F.lit("-" * cfg.REPORT_RULE_WIDTH)),
-    )))
+    header = [
+        F.lit("Search Results"),
+        F.lit(rule),
+        F.format_string("Total Markdown files searched: %d", total),
+        F.lit(rule),
+        F.format_string(f"%-{cfg.REPORT_NAME_WIDTH}s | %{cfg.REPORT_COUNT_WIDTH}s",
+                        F.lit("Search Term"), F.lit("Papers Found")),
+        F.lit("-" * cfg.REPORT_RULE_WIDTH),
+    ]
+    head = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("line_no"), c.alias("line")) for i, c in enumerate(header)])))
     body = hits.select(
         F.format_string(f"%-{cfg.REPORT_NAME_WIDTH}s | %{cfg.REPORT_COUNT_WIDTH}d",
                         "term", "papers").alias("line"),
@@ -78,7 +79,7 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     # The body is one row per term group (dictionary-sized), so a global
     # row_number over it is bounded by the dictionary, not by the corpus.
     w = Window.orderBy(F.desc("papers"), F.asc("term"))
-    body = body.select((F.row_number().over(w) + 5).alias("line_no"), "line")
+    body = body.select((F.row_number().over(w) + len(header) - 1).alias("line_no"), "line")
     return head.unionByName(body)
 
 
