@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, row_bound
+from .util import materialize, row_bound, salted_join
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -36,9 +36,11 @@ def idf(corpus_tf: DataFrame, key: str) -> DataFrame:
             .where(F.col("idf") > 0))
 
 
-def weights(tf: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
-    """(key, tok, w) with w = tf · idf."""
-    return tf.join(idf_df, "tok").select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
+def weights(tf: DataFrame, idf_df: DataFrame, key: str, salts: int = 0) -> DataFrame:
+    """(key, tok, w) with w = tf · idf. With ``salts``, the join on token is
+    salted: a token found in most documents is spread over that many tasks."""
+    j = salted_join(tf, idf_df, "tok", salts) if salts else tf.join(idf_df, "tok")
+    return j.select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
@@ -48,7 +50,7 @@ def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
     norms, the dot products and the idf all read one tokenisation pass."""
     ctf = materialize(term_frequencies(corpus, doc_key, text))
     idf_df = idf(ctf, doc_key)
-    index = materialize(weights(ctf, idf_df, doc_key))
+    index = materialize(weights(ctf, idf_df, doc_key, salts=32))
     return index, idf_df
 
 
@@ -76,11 +78,42 @@ def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str
     sim = (dot.join(dn, doc_key).join(sn, seed_key)
            .select(seed_key, doc_key,
                    F.round(F.col("dot") / (F.col("dn") * F.col("sn")), 6).alias("sim")))
-    order = [F.desc("sim"), F.asc(doc_key)]
-    b = F.pmod(F.xxhash64(doc_key), F.lit(buckets))
+    return top_k(sim, seed_key, doc_key, k, buckets)
+
+
+def vector_neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
+                      group: str = "label", k: int = 5, buckets: int = 64,
+                      max_centroid_rows: int = 5_000_000) -> DataFrame:
+    """K2 over vectors: (centroid, rank, key, sim) — the k vectors closest (cosine)
+    to each group's mean vector.
+
+    Vectors are exploded per dimension and joined with the (size-checked,
+    broadcast) centroid table on the dimension index. All rows of one vector
+    come from one input row, so they sit in one partition and the partial
+    aggregate folds them into one row per (vector, centroid) before any shuffle.
+    """
+    ex = vectors.select(key, group, F.posexplode(vec).alias("dim", "x")) \
+        .withColumn("x", F.col("x").cast("double"))
+    cent = ex.groupBy(group, "dim").agg(F.avg("x").alias("c")).withColumnRenamed(group, "centroid")
+    cent = F.broadcast(cent) if row_bound(cent, max_centroid_rows) else cent
+    cn = cent.groupBy("centroid").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
+    vn = vectors.select(key, F.sqrt(F.aggregate(
+        vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("vn"))
+    dot = (ex.join(cent, "dim").groupBy(key, "centroid")
+           .agg(F.sum(F.col("x") * F.col("c")).alias("dot")))
+    sim = (dot.join(vn, key).join(cn, "centroid")
+           .select("centroid", key, F.round(F.col("dot") / (F.col("vn") * F.col("cn")), 6).alias("sim")))
+    return top_k(sim, "centroid", key, k, buckets)
+
+
+def top_k(sim: DataFrame, seed_key: str, item_key: str, k: int, buckets: int = 64) -> DataFrame:
+    """Exact top-k per seed by (sim desc, item asc) in two phases, so no seed's
+    full candidate list is ever sorted in one task."""
+    order = [F.desc("sim"), F.asc(item_key)]
+    b = F.pmod(F.xxhash64(item_key), F.lit(buckets))
     w1 = Window.partitionBy(seed_key, "_b").orderBy(*order)
     local = (sim.withColumn("_b", b).withColumn("_r", F.row_number().over(w1))
              .where(F.col("_r") <= k))
     w2 = Window.partitionBy(seed_key).orderBy(*order)
     return (local.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
-            .select(seed_key, "rank", doc_key, "sim"))
+            .select(seed_key, "rank", item_key, "sim"))

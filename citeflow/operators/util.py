@@ -52,3 +52,36 @@ def materialize(df: DataFrame) -> DataFrame:
     from ..session import shared_dir
     shared_dir(df.sparkSession, "ckpt")  # makes sure the checkpoint dir is set
     return df.checkpoint(eager=True)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Equi-join where single keys of ``big`` may hold a large share of its rows.
+
+    Rows of ``big`` get a salt from a hash of their own columns, and each row of
+    ``small`` is replicated once per salt, so one hot key is spread over
+    ``salts`` tasks instead of one."""
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return b.join(s, [key, "_salt"]).drop("_salt")
+
+
+def global_rank(sorted_df: DataFrame, name: str = "rank") -> DataFrame:
+    """1-based position of every row of a globally sorted DataFrame,
+    computed without a single-partition window.
+
+    The sorted rows are checkpointed (fixed partitions and order), each row is
+    tagged with its partition and its position inside it, partition sizes are
+    turned into offsets over a table with one row per partition (bounded by
+    the partition count, hence a safe broadcast), and rank = offset + position.
+    """
+    from pyspark.sql import Window
+    ck = materialize(sorted_df)
+    tagged = ck.select("*", F.spark_partition_id().alias("_p"),
+                       F.monotonically_increasing_id().alias("_m"))
+    counts = tagged.groupBy("_p").agg(F.count("*").alias("_n"))
+    offsets = counts.select(
+        "_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
+                         F.lit(0)).alias("_off"))
+    pos = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
+    return (tagged.join(F.broadcast(offsets), "_p")
+            .select(*ck.columns, (F.col("_off") + pos + 1).alias(name)))

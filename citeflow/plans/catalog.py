@@ -11,7 +11,7 @@ from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
 from ..operators import related as rel
 from ..operators import terms as tm
-from ..operators.util import materialize, spread
+from ..operators.util import global_rank, materialize, spread
 from . import tables as tb
 
 # FIXED VALUES: the test dictionary (term groups with a zero-hit group and an
@@ -101,8 +101,8 @@ def q06_filtered_candidates(spark, sf_dir):
 
 
 def q07_ranked_candidates(spark, sf_dir):
-    r = rel.ranked(_survivors(spark, sf_dir), STANDIN_RANK)
-    return r.select("pmid", "score", F.round("weighted", 6).alias("weighted"),
+    r = global_rank(rel.ranked(_survivors(spark, sf_dir), STANDIN_RANK))
+    return r.select("rank", "pmid", "score", F.round("weighted", 6).alias("weighted"),
                     rel.seeds_text().alias("seeds"))
 
 
@@ -394,7 +394,13 @@ def q30_related_items(spark, sf_dir):
     return sm.related_items(tb.table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), k=RELATED_K)
 
 
+def q30b_vector_neighbours(spark, sf_dir):
+    from ..operators import similarity as sm
+    return sm.vector_neighbours(tb.table(spark, sf_dir, "embeddings"), k=RELATED_K)
+
+
 QUERIES.update({
+    "q30b_vector_neighbours": q30b_vector_neighbours,
     "q18_format_sniff": q18_format_sniff,
     "q19_markup_to_text": q19_markup_to_text,
     "q20_conversion_qa": q20_conversion_qa,

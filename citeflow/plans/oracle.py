@@ -149,14 +149,16 @@ ORACLE = {
     + "SELECT reason, count(*) AS candidates FROM classified GROUP BY reason",
     "q06_filtered_candidates": _ranking_ctes() + "SELECT pmid, score, comparative, reason FROM sv",
     "q07_ranked_candidates": _ranking_ctes() + f"""
-SELECT pmid, score,
-       round(CASE WHEN comparative THEN w * {_R.boost}e0 ELSE w END, 6) AS weighted, seeds
+SELECT row_number() OVER (ORDER BY wf DESC, score DESC, pmid) AS rank,
+       pmid, score, round(wf, 6) AS weighted, seeds
 FROM (
-  SELECT sv.*, CASE WHEN st.mx = st.mn THEN CAST(score AS DOUBLE)
-                    ELSE score * (1.0e0 - {_R.beta}e0 * power(CAST(st.mx - pmid AS DOUBLE) / (st.mx - st.mn), {_R.gamma}e0))
-               END AS w
-  FROM sv, st)
-ORDER BY weighted DESC, score DESC, pmid""",
+  SELECT *, CASE WHEN comparative THEN w * {_R.boost}e0 ELSE w END AS wf
+  FROM (
+    SELECT sv.*, CASE WHEN st.mx = st.mn THEN CAST(score AS DOUBLE)
+                      ELSE score * (1.0e0 - {_R.beta}e0 * power(CAST(st.mx - pmid AS DOUBLE) / (st.mx - st.mn), {_R.gamma}e0))
+                 END AS w
+    FROM sv, st))
+ORDER BY rank""",
     "q08_score_histogram": _ranking_ctes()
     + "SELECT score, count(*) AS candidates FROM sv GROUP BY score ORDER BY score DESC",
     "q09_threshold_lists": _ranking_ctes() + """,
@@ -458,3 +460,20 @@ SELECT item_id, rank, doc_id, sim
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS rank FROM sim)
 WHERE rank <= {cat.RELATED_K}""",
 })
+
+
+ORACLE["q30b_vector_neighbours"] = f"""
+WITH e AS (
+  SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+         generate_subscripts(embedding, 1) - 1 AS dim
+  FROM embeddings),
+cent AS (SELECT label AS centroid, dim, avg(x) AS c FROM e GROUP BY label, dim),
+cn AS (SELECT centroid, sqrt(sum(c * c)) AS cn FROM cent GROUP BY centroid),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS vn FROM e GROUP BY vec_id),
+dot AS (SELECT e.vec_id, cent.centroid, sum(e.x * cent.c) AS dot FROM e JOIN cent ON e.dim = cent.dim
+        GROUP BY e.vec_id, cent.centroid),
+sim AS (SELECT centroid, vec_id, round(dot / (vn * cn), 6) AS sim
+        FROM dot JOIN vn USING (vec_id) JOIN cn USING (centroid))
+SELECT centroid, rank, vec_id, sim
+FROM (SELECT *, row_number() OVER (PARTITION BY centroid ORDER BY sim DESC, vec_id) AS rank FROM sim)
+WHERE rank <= {cat.RELATED_K}"""
