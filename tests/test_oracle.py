@@ -59,5 +59,5 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["pmid", "score", "weighted", "seeds"]
+    assert df.columns == ["rank", "pmid", "score", "weighted", "seeds"]
     assert df.count() > 0
