@@ -28,13 +28,20 @@ def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig()) ->
     run (T14, ``retry_restricted``).
     """
     present = landed_nonempty(landed).select("pmcid", F.lit(True).alias("_present"))
-    t = todo.dropDuplicates(["pmcid"]).join(present, "pmcid", "left")
     c = F.coalesce(F.col("content"), F.lit(""))
+    # An id requested twice is landed once. Only fixed-width facts about
+    # the content are carried through the de-duplicating aggregate, never the
+    # text itself (copies of one id are identical fetches).
+    facts = todo.select("pmcid", c.contains(cfg.needle).alias("_restricted"),
+                        F.octet_length(c).cast("bigint").alias("n_bytes"))
+    once = facts.groupBy("pmcid").agg(F.max("_restricted").alias("_restricted"),
+                                      F.max("n_bytes").alias("n_bytes"))
+    t = once.join(present, "pmcid", "left")
     status = (F.when(F.col("_present").isNotNull(), "skipped")
-              .when(c.contains(cfg.needle), "restricted")
-              .when(F.octet_length(c) > 0, "ok")
+              .when(F.col("_restricted"), "restricted")
+              .when(F.col("n_bytes") > 0, "ok")
               .otherwise("failed"))
-    return t.select("pmcid", status.alias("status"), F.octet_length(c).cast("bigint").alias("n_bytes"))
+    return t.select("pmcid", status.alias("status"), "n_bytes")
 
 
 def outcome(status_col: str = "status"):

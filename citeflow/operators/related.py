@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions.patterns import python_regex
-from .util import sized_broadcast
+from .util import latest, sized_broadcast
 
 KEPT = ("kept", "kept_no_metadata")
 
@@ -77,8 +77,7 @@ def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig
     if "ord" in articles.columns:
         # Several deliveries of one record — the last ``ord`` wins. The key
         # aggregate carries fixed-width values only (no sort of texts).
-        last = recs.groupBy("pmid").agg(F.max("ord").alias("ord"))
-        recs = recs.join(last, ["pmid", "ord"], "left_semi")
+        recs = latest(recs, "pmid", "ord")
     meta = recs.select("pmid", "title", "abstract", "pubtypes", F.lit(True).alias("_has_meta"))
     j = cands.join(meta, "pmid", "left").select(
         *cands.columns, "_has_meta",

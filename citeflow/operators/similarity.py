@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, row_bound, salted_join
+from .util import materialize, row_bound
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -28,30 +28,56 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     return toks.where(F.col("tok") != "").groupBy(key, "tok").agg(F.count("*").alias("tf"))
 
 
-def idf(corpus_tf: DataFrame, key: str) -> DataFrame:
-    """(tok, idf) with idf = ln(N / df); tokens with idf 0 are dropped (exact)."""
+def doc_freq(corpus_tf: DataFrame, key: str) -> DataFrame:
+    """(tok, df, idf) with idf = ln(N / df); N = documents with a token."""
     n_docs = corpus_tf.select(F.count_distinct(key)).scalar()
-    dfreq = corpus_tf.groupBy("tok").agg(F.count("*").alias("df"))
-    return (dfreq.select("tok", F.log(n_docs / F.col("df")).alias("idf"))
-            .where(F.col("idf") > 0))
+    return (corpus_tf.groupBy("tok").agg(F.count("*").alias("df"))
+            .select("tok", "df", F.log(n_docs / F.col("df")).alias("idf")))
+
+
+def idf(corpus_tf: DataFrame, key: str) -> DataFrame:
+    """(tok, idf); tokens in every document (idf 0) are dropped — exactly, as
+    they add nothing to any dot product or norm."""
+    return doc_freq(corpus_tf, key).where(F.col("idf") > 0).select("tok", "idf")
 
 
-def weights(tf: DataFrame, idf_df: DataFrame, key: str, salts: int = 0) -> DataFrame:
-    """(key, tok, w) with w = tf · idf. With ``salts``, the join on token is
-    salted: a token found in most documents is spread over that many tasks."""
-    j = salted_join(tf, idf_df, "tok", salts) if salts else tf.join(idf_df, "tok")
-    return j.select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
+def weights(tf: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
+    """(key, tok, w) with w = tf · idf."""
+    return tf.join(idf_df, "tok").select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def corpus_weights(ctf: DataFrame, vocab: DataFrame, key: str, hot_fraction: int = 64,
+                   max_hot_rows: int = 5_000_000) -> DataFrame:
+    """Skew-aware ``weights`` for the corpus side; ``vocab`` is (tok, df, idf, n).
+
+    A token found in many documents is a hot join key. Tokens with
+    df ≥ N / ``hot_fraction`` are joined map-side against a broadcast table —
+    there are at most ``hot_fraction`` × (mean distinct tokens per document) of
+    them, a bound that does not grow with N — and the remaining rows go
+    through a shuffle join in which no key holds more than N / hot_fraction rows.
+    """
+    is_hot = F.col("df") * hot_fraction >= F.col("n")
+    hot = vocab.where(is_hot).select("tok", "idf")
+    cold = vocab.where(~is_hot).select("tok", "idf")
+    if not row_bound(hot, max_hot_rows):
+        return weights(ctf, vocab.select("tok", "idf"), key)
+    hot_b = F.broadcast(hot)
+    w_hot = ctf.join(hot_b, "tok")
+    w_cold = ctf.join(hot_b.select("tok"), "tok", "left_anti").join(cold, "tok")
+    return w_hot.unionByName(w_cold).select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
     """Build the corpus side once: (doc, tok, w) weights and (tok, idf).
 
-    Term frequencies and weights are materialised (checkpointed) so that the
-    norms, the dot products and the idf all read one tokenisation pass."""
+    Term frequencies, the vocabulary and the weights are materialised
+    (checkpointed), so norms, dot products and seed weights all read one
+    tokenisation pass."""
     ctf = materialize(term_frequencies(corpus, doc_key, text))
-    idf_df = idf(ctf, doc_key)
-    index = materialize(weights(ctf, idf_df, doc_key, salts=32))
-    return index, idf_df
+    n_docs = ctf.select(F.count_distinct(doc_key)).scalar()
+    vocab = materialize(doc_freq(ctf, doc_key).where(F.col("idf") > 0).withColumn("n", n_docs))
+    index = materialize(corpus_weights(ctf, vocab, doc_key))
+    return index, vocab.select("tok", "idf")
 
 
 def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str = "item_id",

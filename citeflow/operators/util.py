@@ -85,3 +85,12 @@ def global_rank(sorted_df: DataFrame, name: str = "rank") -> DataFrame:
     pos = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
     return (tagged.join(F.broadcast(offsets), "_p")
             .select(*ck.columns, (F.col("_off") + pos + 1).alias(name)))
+
+
+def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Last delivery per key (largest ``order``) — I5, last write wins.
+
+    The per-key maximum is a fixed-width hash aggregate and the rows are kept by
+    a semi join, so wide payloads (texts) are never sorted by an aggregate."""
+    last = df.groupBy(key).agg(F.max(order).alias(order))
+    return df.join(last, [key, order], "left_semi")

@@ -11,7 +11,7 @@ from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
 from ..operators import related as rel
 from ..operators import terms as tm
-from ..operators.util import global_rank, materialize, spread
+from ..operators.util import global_rank, latest, materialize, spread
 from . import tables as tb
 
 # FIXED VALUES: the test dictionary (term groups with a zero-hit group and an
@@ -156,11 +156,9 @@ def q13_article_metadata(spark, sf_dir):
     parsed = x.select("batch", F.from_xml("xml", ARTICLE_SCHEMA).alias("r"))
     flat = flatten_article(parsed, "r", keep=("batch",))
     # Several deliveries of one record — the last batch wins.
-    latest = flat.groupBy("pmid").agg(F.max_by(F.struct(
-        "title", "abstract", "pubtypes_joined", "n_sections"), "batch").alias("m"))
-    return latest.select("pmid", "m.title", "m.abstract",
-                         F.col("m.pubtypes_joined").alias("pubtypes"),
-                         F.col("m.n_sections").cast("bigint").alias("n_sections"))
+    return latest(flat, "pmid", "batch").select(
+        "pmid", "title", "abstract", F.col("pubtypes_joined").alias("pubtypes"),
+        F.col("n_sections").cast("bigint").alias("n_sections"))
 
 
 # --- S3 crosswalk and landing ------------------------------------------------
