@@ -151,6 +151,7 @@ class RankConfig:
     assembly_only_exclude: bool = True
     thresholds: tuple = FIXED_THRESHOLDS
     exclusive_tiers: bool = False     # False = overlapping tiers as in the Python twin
+    whole_word: bool = False          # True: content patterns match whole words only (T18)
     max_seeds: int | None = None      # first N seeds by ord; None/0 = all
     seed_broadcast_rows: int = 1_000_000
 

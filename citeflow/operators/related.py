@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as cfgmod
 from ..config import RankConfig
 from ..functions.patterns import python_regex
 from .util import latest, sized_broadcast
@@ -86,16 +87,20 @@ def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig
         F.lower(F.coalesce(F.col("pubtypes"), F.lit(""))).alias("_pubtypes"))
     content = F.col("_content")
     pubtypes = F.col("_pubtypes")
+
+    def rx(pattern: str) -> str:
+        return python_regex(f"\\b(?:{pattern})\\b" if cfg.whole_word else pattern)
+
     has = F.col("_has_meta").isNotNull()
-    comp = has & content.rlike(python_regex(cfg.comparative))
+    comp = has & content.rlike(rx(cfg.comparative))
     reason = F.when(~has, "kept_no_metadata")
     if cfg.assembly_only_exclude:
-        reason = reason.when(content.rlike(python_regex(cfg.assembly)) & ~comp, "assembly")
+        reason = reason.when(content.rlike(rx(cfg.assembly)) & ~comp, "assembly")
     reason = (reason
-              .when((pubtypes != "") & pubtypes.rlike(python_regex(cfg.pubtype)), "pubtype")
-              .when(content.rlike(python_regex(cfg.negative)), "negative"))
+              .when((pubtypes != "") & pubtypes.rlike(rx(cfg.pubtype)), "pubtype")
+              .when(content.rlike(rx(cfg.negative)), "negative"))
     if cfg.require_positive:
-        reason = reason.when(~content.rlike(python_regex(cfg.positive)), "no_positive")
+        reason = reason.when(~content.rlike(rx(cfg.positive)), "no_positive")
     reason = reason.otherwise("kept")
     keep = [c for c in cands.columns]
     return j.select(*keep, comp.alias("comparative"), reason.alias("reason"))
@@ -124,7 +129,8 @@ def run_stats(survivors: DataFrame) -> Column:
 
 def recommended(max_score: Column) -> Column:
     """max(2, max_score // 10)."""
-    return F.greatest(F.lit(2).cast("bigint"), F.floor(max_score / 10).cast("bigint"))
+    return F.greatest(F.lit(cfgmod.RECOMMENDED_FLOOR).cast("bigint"),
+                      F.floor(max_score / cfgmod.RECOMMENDED_DIVISOR).cast("bigint"))
 
 
 def with_stats(survivors: DataFrame) -> DataFrame:
@@ -149,9 +155,11 @@ def ranked(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     return weighted(survivors, cfg).orderBy(F.desc("weighted"), F.desc("score"), F.asc("pmid"))
 
 
-def score_histogram(survivors: DataFrame) -> DataFrame:
-    """(score, candidates), score descending."""
-    return survivors.groupBy("score").agg(F.count("*").alias("candidates")).orderBy(F.desc("score"))
+def score_histogram(survivors: DataFrame, top: int | None = None) -> DataFrame:
+    """(score, candidates), score descending; ``top`` keeps the first rows
+    (the shell twin prints 20)."""
+    h = survivors.groupBy("score").agg(F.count("*").alias("candidates")).orderBy(F.desc("score"))
+    return h.limit(top) if top else h
 
 
 def thresholds(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> Column:
@@ -184,8 +192,8 @@ def confidence_tiers(survivors: DataFrame, cfg: RankConfig = RankConfig()) -> Da
     rec = recommended(F.col("_st.max_score"))
     s = F.col("score")
     high = s >= rec
-    med = (s >= 3) & (s < rec)
-    low = s < 3
+    med = (s >= cfgmod.MEDIUM_TIER_FLOOR) & (s < rec)
+    low = s < cfgmod.MEDIUM_TIER_FLOOR
     if cfg.exclusive_tiers:
         low = low & ~high
     return with_stats(survivors).agg(
