@@ -302,6 +302,20 @@ def q22_boolean_search(spark, sf_dir):
     return se.search(_docs(spark, sf_dir), boolean_query(), _search_fields())
 
 
+def q22b_study_query(spark, sf_dir):
+    """The original study's own boolean query, over the whole corpus."""
+    from ..operators import search as se
+    return se.search(_docs(spark, sf_dir), se.study_query(), _search_fields())
+
+
+def q23c_study_keyword_ids(spark, sf_dir):
+    """The original free-text search (AND of words, NOT review publications)."""
+    from .. import config as c
+    from ..operators import search as se
+    q = se.keyword_query_from(c.SEARCH_QUERY_TERMS, c.SEARCH_QUERY_EXCLUDED_PUBTYPE)
+    return se.search(_docs(spark, sf_dir), q, _search_fields())
+
+
 def q23_keyword_ids(spark, sf_dir):
     from ..operators import search as se
     hits = se.search(_docs(spark, sf_dir), keyword_query(), _search_fields())
@@ -405,6 +419,8 @@ QUERIES.update({
     "q21_truncate_bibliography": q21_truncate_bibliography,
     "q22_boolean_search": q22_boolean_search,
     "q23_keyword_ids": q23_keyword_ids,
+    "q22b_study_query": q22b_study_query,
+    "q23c_study_keyword_ids": q23c_study_keyword_ids,
     "q23b_keyword_hit_count": q23b_keyword_hit_count,
     "q24_rendition_fallback": q24_rendition_fallback,
     "q25_extraction_typed": q25_extraction_typed,

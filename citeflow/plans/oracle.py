@@ -477,3 +477,33 @@ sim AS (SELECT centroid, vec_id, round(dot / (vn * cn), 6) AS sim
 SELECT centroid, rank, vec_id, sim
 FROM (SELECT *, row_number() OVER (PARTITION BY centroid ORDER BY sim DESC, vec_id) AS rank FROM sim)
 WHERE rank <= {cat.RELATED_K}"""
+
+
+def _phrase_sql(t: str) -> str:
+    if t.endswith("*"):
+        return _trunc(t[:-1])
+    return _m(t)
+
+
+def _study_sql() -> str:
+    from ..operators import search as se
+    parts = [f"lower(source) = {_sq(se.REQUIRED_PT)}"]
+    for group in (se.PLANT_TERMS, se.RESEQUENCING_TERMS, se.SELECTION_TERMS):
+        parts.append("(" + " OR ".join(_phrase_sql(t) for t in group) + ")")
+    for m in se.EXCLUDED_MESH:
+        parts.append(f"NOT lower(lang) = {_sq(m.lower())}")
+    excl = [_phrase_sql(t) for t in se.EXCLUDED_TIAB] + [f"lower(source) = {_sq(p)}" for p in se.EXCLUDED_PT]
+    parts.append("NOT (" + " OR ".join(excl) + ")")
+    return "SELECT doc_id FROM documents WHERE " + " AND ".join(parts)
+
+
+def _study_keyword_sql() -> str:
+    from .. import config as c
+    words = [w for t in c.SEARCH_QUERY_TERMS for w in t.split()]
+    cond = " AND ".join(_m(w) for w in words)
+    return (f"SELECT doc_id FROM documents WHERE {cond} "
+            f"AND NOT lower(source) = {_sq(c.SEARCH_QUERY_EXCLUDED_PUBTYPE)}")
+
+
+ORACLE["q22b_study_query"] = _study_sql()
+ORACLE["q23c_study_keyword_ids"] = _study_keyword_sql()
