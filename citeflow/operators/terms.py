@@ -19,6 +19,8 @@ n-grams up to the longest phrase are formed, and an equi-join against the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +85,45 @@ def _n_alternatives(groups) -> int:
     return sum(len(p) for _, p in groups)
 
 
+# Non-ASCII characters that java.util.regex with (?iu) treats as equal to an
+# ASCII letter (their upper or lower case is ASCII): dotted capital I,
+# dotless small i, long s, Kelvin sign. FIXED VALUES.
+ASCII_CASE_TWINS = ("\u0130\u0131\u017f\u212a", "iisk")
+_ELIGIBLE = re.compile(r"^[\x20-\x7e]+$")
+
+
+def folded(text_col):
+    """Lower-cased text with the ASCII case twins mapped to ASCII: if a
+    case-insensitive regex matches an ASCII literal somewhere, this string
+    contains the lower-cased literal."""
+    return F.lower(F.translate(text_col, *ASCII_CASE_TWINS))
+
+
+def _prefilter(fold, alternatives, cfg: TermConfig):
+    """Cheap necessary condition for a group (substring search on the folded
+    text), so the Unicode regex only runs on documents that can match. None
+    when an alternative is not a printable-ASCII literal (no safe filter)."""
+    if cfg.regex or cfg.normalize_ws or not cfg.case_insensitive:
+        return None
+    if not all(_ELIGIBLE.match(a) for a in alternatives):
+        return None
+    cond = None
+    for a in alternatives:
+        c = fold.contains(a.lower())
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
+def _guarded(fold, text_col, alternatives, cfg: TermConfig, single: bool = False):
+    rx = (literal_regex(alternatives[0], cfg.case_insensitive, cfg.whole_word, cfg.regex,
+                        cfg.normalize_ws) if single else
+          alternation_regex(alternatives, cfg.case_insensitive, cfg.whole_word, cfg.regex,
+                            cfg.normalize_ws))
+    pre = _prefilter(fold, alternatives, cfg)
+    m = text_col.rlike(rx)
+    return m if pre is None else (pre & m)
+
+
 def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id",
               cfg: TermConfig = TermConfig()) -> DataFrame:
     """q01: (term, papers) — distinct documents per group, zero-hit groups kept."""
@@ -90,12 +131,10 @@ def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id"
         return corpus.sparkSession.createDataFrame([], "term string, papers bigint")
     if _n_alternatives(groups) > cfg.max_regex_alternatives and not cfg.regex:
         return _term_hits_tokens(corpus, groups, text, key, cfg)
-    aggs = [
-        F.count_if(F.col(text).rlike(alternation_regex(
-            pats, cfg.case_insensitive, cfg.whole_word, cfg.regex, cfg.normalize_ws))).alias(f"g{i}")
-        for i, (_, pats) in enumerate(groups)
-    ]
-    wide = corpus.select(text).agg(*aggs)
+    src = corpus.select(F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
+    aggs = [F.count_if(_guarded(F.col("_f"), F.col("_t"), pats, cfg)).alias(f"g{i}")
+            for i, (_, pats) in enumerate(groups)]
+    wide = src.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(name).alias("term"), F.col(f"g{i}").cast("bigint").alias("papers"))
         for i, (name, _) in enumerate(groups)
@@ -108,16 +147,16 @@ def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_
     """q02 / B7: one row per (term, pattern, document) that matches, single scan."""
     hit_type = T.StructType([T.StructField("term", T.StringType()),
                              T.StructField("pattern", T.StringType())])
+    src = corpus.select(key, F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
     cands = [
-        F.when(F.col(text).rlike(literal_regex(p, cfg.case_insensitive, cfg.whole_word,
-                                               cfg.regex, cfg.normalize_ws)),
+        F.when(_guarded(F.col("_f"), F.col("_t"), [p], cfg, single=True),
                F.struct(F.lit(name).alias("term"), F.lit(p).alias("pattern")))
         for name, pats in groups for p in pats
     ]
     if not cands:
         return corpus.sparkSession.createDataFrame([], f"term string, pattern string, {key} bigint")
     hits = F.filter(F.array(*cands).cast(T.ArrayType(hit_type)), lambda x: x.isNotNull())
-    return (corpus.select(key, F.explode(hits).alias("h"))
+    return (src.select(key, F.explode(hits).alias("h"))
             .select("h.term", "h.pattern", key))
 
 

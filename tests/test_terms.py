@@ -98,3 +98,13 @@ def test_report_lines(spark):
     assert lines[2] == "Total Markdown files searched: 9"
     assert lines[6] == f"{'c':<40} | {5:>12}"
     assert lines[7].startswith("a ") and lines[8].startswith("b ")
+
+
+def test_prefilter_keeps_case_twins(spark):
+    """Non-ASCII characters that the case-insensitive regex equates with ASCII
+    letters must survive the substring prefilter."""
+    corpus = spark.createDataFrame([(1, "ſnp and İndex at 5 Kelvin"), (2, "nothing")],
+                                   "doc_id long, text string")
+    groups = [("snp", ["snp"]), ("index", ["index"]), ("kelvin", ["kelvin"])]
+    got = {r["term"]: r["papers"] for r in tm.term_hits(corpus, groups).collect()}
+    assert got == {"snp": 1, "index": 1, "kelvin": 1}
