@@ -65,16 +65,19 @@ def seeds_text(col: str = "seeds") -> Column:
     return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), ",")
 
 
-def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig(),
+             id_broadcast_rows: int = 5_000_000) -> DataFrame:
     """q05/q06 core: add ``comparative`` and ``reason`` (ordered cascade).
 
     ``articles``: (pmid, title, abstract, pubtypes STRING joined by ';'). A
     candidate without a record is kept unboosted (fail-open, D7), which needs
-    an explicit presence marker: absent is not the same as empty.
+    an explicit presence marker: absent is not the same as empty. ``cands`` is
+    read twice (ids, then rows), so pass a materialised frame for large inputs.
     """
     # Only records of candidates matter: a semi join (a broadcast filter when
     # the candidate ids are small) keeps the corpus text from being shuffled.
-    recs = articles.join(cands.select("pmid"), "pmid", "left_semi")
+    ids = sized_broadcast(cands.select("pmid"), id_broadcast_rows)
+    recs = articles.join(ids, "pmid", "left_semi")
     if "ord" in articles.columns:
         # Several deliveries of one record — the last ``ord`` wins. The key
         # aggregate carries fixed-width values only (no sort of texts).

@@ -74,7 +74,8 @@ def _cands(spark, sf_dir, cfg=STANDIN_RANK):
 
 
 def _classified(spark, sf_dir, cfg=STANDIN_RANK):
-    return rel.classify(_cands(spark, sf_dir, cfg), tb.articles(spark, sf_dir), cfg)
+    # The candidate table feeds both the record filter and the join: compute once.
+    return rel.classify(materialize(_cands(spark, sf_dir, cfg)), tb.articles(spark, sf_dir), cfg)
 
 
 def _survivors(spark, sf_dir, cfg=STANDIN_RANK):
@@ -152,11 +153,11 @@ QUERIES = {
 
 def q13_article_metadata(spark, sf_dir):
     from ..sources.readers import ARTICLE_SCHEMA, flatten_article
-    x = tb.article_xml(spark, sf_dir)
+    # Several deliveries of one record — the last batch wins. Resolved on
+    # the raw records (id and batch only), so only winning records are parsed.
+    x = latest(tb.article_xml(spark, sf_dir), "pmid", "batch")
     parsed = x.select("batch", F.from_xml("xml", ARTICLE_SCHEMA).alias("r"))
-    flat = flatten_article(parsed, "r", keep=("batch",))
-    # Several deliveries of one record — the last batch wins.
-    return latest(flat, "pmid", "batch").select(
+    return flatten_article(parsed, "r", keep=("batch",)).select(
         "pmid", "title", "abstract", F.col("pubtypes_joined").alias("pubtypes"),
         F.col("n_sections").cast("bigint").alias("n_sections"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import LandConfig
 from ..operators import landing
+from ..operators.util import sized_broadcast
 
 
 def _existing(spark: SparkSession, target: str) -> DataFrame | None:
@@ -24,16 +25,24 @@ def _existing(spark: SparkSession, target: str) -> DataFrame | None:
         return None
 
 
-def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig()) -> None:
+def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig(),
+               batch_broadcast_rows: int = 5_000_000) -> None:
     spark = batch.sparkSession
     prior = _existing(spark, target)
     # Every id already recorded (whatever its status) counts as landed here, so
     # a replayed batch writes nothing; retrying failed or restricted documents
     # is the batch ``landing.pending`` path.
-    landed = (prior.select("pmcid", F.greatest(F.col("n_bytes"), F.lit(1)).alias("n_bytes"))
-              if prior is not None else spark.createDataFrame([], "pmcid string, n_bytes int"))
+    if prior is not None:
+        # Only this batch's ids can collide: filter the landed table by them
+        # (a broadcast filter when the batch is small) instead of joining it whole.
+        ids = sized_broadcast(batch.select("pmcid").distinct(), batch_broadcast_rows)
+        landed = (prior.join(ids, "pmcid", "left_semi")
+                  .select("pmcid", F.greatest(F.col("n_bytes"), F.lit(1)).alias("n_bytes")))
+    else:
+        landed = spark.createDataFrame([], "pmcid string, n_bytes long")
     out = landing.land(batch, landed, cfg).where(F.col("status") != "skipped")
-    out.write.mode("append").parquet(target)
+    # Routed by status (restricted documents land in their own folder).
+    out.write.mode("append").partitionBy("status").parquet(target)
 
 
 def run(spark: SparkSession, source: DataFrame, target: str, checkpoint: str,
