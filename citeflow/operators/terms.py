@@ -11,10 +11,10 @@ and the wide result row is turned into ``(term, papers)`` rows. Groups with
 no hit come out with 0 for free. No shuffle of document data happens at all.
 
 Beyond ``TermConfig.max_regex_alternatives`` alternatives, the regex path is
-replaced by a token-join path: documents are tokenised on word boundaries,
-n-grams up to the longest phrase are formed, and an equi-join against the
-(broadcast, size-checked) n-gram dictionary finds matches; distinct
-``(term, doc)`` pairs are then counted.
+replaced by a token-join path: each document row is cut into word tokens,
+n-grams up to the longest phrase are formed with array functions inside the
+row, and a join against the (broadcast, size-checked) n-gram dictionary finds
+matches; distinct ``(term, doc)`` pairs are then counted.
 """
 
 from __future__ import annotations
@@ -165,13 +165,13 @@ def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_
 def _term_hits_tokens(corpus: DataFrame, groups, text: str, key: str, cfg: TermConfig) -> DataFrame:
     """Equi-join form of E5 for dictionaries too large for one regex per group.
 
-    A document becomes rows (doc, pos, token, separator) where tokens are the
-    maximal runs of word characters, lower-cased. A phrase of n words matches
-    exactly where n consecutive tokens equal its words and the n-1 separators
-    between them are single spaces — the same places ``\\bphrase\\b`` matches.
-    n-grams are built by equi-joins on (doc, pos), so no document is ever
-    gathered into one group. Alternatives that are not word runs separated by
-    single spaces are matched by their own regex scan.
+    Per document (one row, so no grouping), the text is cut into maximal runs
+    of word characters (lower-cased) with the separators between them; the
+    n-grams whose inner separators are single spaces — exactly the places
+    where ``\\bphrase\\b`` can match — are built with array functions, and
+    the distinct grams of a document are joined against the broadcast
+    dictionary. Only matching (term, document) pairs are shuffled. Alternatives
+    that are not word runs separated by single spaces get their own regex scan.
     """
     spark = corpus.sparkSession
     simple, rest = [], []
@@ -179,30 +179,35 @@ def _term_hits_tokens(corpus: DataFrame, groups, text: str, key: str, cfg: TermC
         for p in pats:
             words = p.lower().split(" ")
             if all(w and w.replace("_", "").isalnum() for w in words):
-                simple.append((name, " ".join(words), len(words)))
+                simple.append((name, " ".join(words)))
             else:
                 rest.append((name, p))
-    dictionary = spark.createDataFrame(simple, "term string, gram string, n int")
-    max_n = max((n for _, _, n in simple), default=1)
+    dictionary = spark.createDataFrame(simple, "term string, gram string")
+    max_n = max((len(g.split(" ")) for _, g in simple), default=1)
     low = F.lower(F.col(text))
-    toks = corpus.select(
-        key,
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all(low, F.lit(r"(?U)(\w+)(\W*)"), 1).alias("tok"),
-            F.regexp_extract_all(low, F.lit(r"(?U)(\w+)(\W*)"), 2).alias("sep"),
-        )).alias("pos", "z"),
-    ).select(key, "pos", F.col("z.tok").alias("tok"), F.col("z.sep").alias("sep"))
-    grams = toks.select(key, "pos", F.col("tok").alias("gram"), F.lit(1).alias("n"),
-                        F.col("sep").alias("last_sep"))
-    cur, out = grams, grams
+    rx = F.lit(r"(?U)(\w+)(\W*)")
+    # Tokens and separators become real columns first, so the per-position
+    # lambdas below index arrays instead of re-running the tokenizer.
+    toks = corpus.select(key, F.regexp_extract_all(low, rx, 1).alias("_w"),
+                         F.regexp_extract_all(low, rx, 2).alias("_s"))
+    w, sp = F.col("_w"), F.col("_s")
+
+    def gram_at(n):
+        # n-gram starting at token i, or NULL when a separator inside is not one space
+        def f(i):
+            ok = F.lit(True)
+            for k in range(n - 1):
+                ok = ok & (F.element_at(sp, i + k) == F.lit(" "))
+            return F.when(ok, F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)]))
+        return f
+
+    per_n = [w]
     for n in range(2, max_n + 1):
-        nxt = toks.select(key, (F.col("pos") - (n - 1)).alias("pos"), F.col("tok").alias("t"),
-                          F.col("sep").alias("s"))
-        cur = (cur.where(F.col("last_sep") == " ").join(nxt, [key, "pos"])
-               .select(key, "pos", F.concat_ws(" ", "gram", "t").alias("gram"),
-                       F.lit(n).alias("n"), F.col("s").alias("last_sep")))
-        out = out.unionByName(cur)
-    hits = out.join(sized_broadcast(dictionary, 5_000_000), ["gram", "n"]).select("term", key)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        grams = F.filter(F.transform(starts, gram_at(n)), lambda x: x.isNotNull())
+        per_n.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
+    doc_grams = toks.select(key, F.explode(F.array_distinct(F.flatten(F.array(*per_n)))).alias("gram"))
+    hits = doc_grams.join(sized_broadcast(dictionary, 5_000_000), "gram").select("term", key)
     for name, p in rest:
         rx = literal_regex(p, cfg.case_insensitive, cfg.whole_word, False, cfg.normalize_ws)
         hits = hits.unionByName(corpus.where(F.col(text).rlike(rx)).select(F.lit(name).alias("term"), key))

@@ -52,6 +52,11 @@ def q01_term_hits(spark, sf_dir):
     return tm.term_hits(_docs(spark, sf_dir), _groups(spark))
 
 
+def q01b_term_hits_token_join(spark, sf_dir):
+    """q01 through the large-dictionary strategy (token n-grams ⋈ dictionary)."""
+    return tm.term_hits(_docs(spark, sf_dir), _groups(spark), cfg=TermConfig(max_regex_alternatives=0))
+
+
 def q02_term_matches(spark, sf_dir):
     return tm.term_matches(_docs(spark, sf_dir), _groups(spark, TEST_TERM_LINES))
 
@@ -133,6 +138,7 @@ def q12b_corpus_size(spark, sf_dir):
 
 QUERIES = {
     "q01_term_hits": q01_term_hits,
+    "q01b_term_hits_token_join": q01b_term_hits_token_join,
     "q02_term_matches": q02_term_matches,
     "q03_parse_terms": q03_parse_terms,
     "q04_candidate_scores": q04_candidate_scores,

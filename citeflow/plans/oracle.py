@@ -141,6 +141,7 @@ _R = cat.STANDIN_RANK
 
 ORACLE = {
     "q01_term_hits": _q01(),
+    "q01b_term_hits_token_join": _q01(),
     "q02_term_matches": _q02(),
     "q03_parse_terms": Q03,
     "q04_candidate_scores": _ranking_ctes() + "SELECT pmid, score, seeds FROM scores",
