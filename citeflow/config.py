@@ -152,6 +152,7 @@ class RankConfig:
     thresholds: tuple = FIXED_THRESHOLDS
     exclusive_tiers: bool = False     # False = overlapping tiers as in the Python twin
     whole_word: bool = False          # True: content patterns match whole words only (T18)
+    pubtype_strict: bool = False      # True: exact type membership instead of substring (D4)
     max_seeds: int | None = None      # first N seeds by ord; None/0 = all
     seed_broadcast_rows: int = 1_000_000
 

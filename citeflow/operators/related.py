@@ -99,8 +99,14 @@ def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig
     reason = F.when(~has, "kept_no_metadata")
     if cfg.assembly_only_exclude:
         reason = reason.when(content.rlike(rx(cfg.assembly)) & ~comp, "assembly")
+    if cfg.pubtype_strict:
+        # D4 strict: exact (case-insensitive) membership of a listed type.
+        listed = F.array(*[F.lit(t.lower()) for t in cfg.pubtype.split("|")])
+        pt_hit = F.arrays_overlap(F.split(pubtypes, ";"), listed)
+    else:
+        pt_hit = pubtypes.rlike(rx(cfg.pubtype))
     reason = (reason
-              .when((pubtypes != "") & pubtypes.rlike(rx(cfg.pubtype)), "pubtype")
+              .when((pubtypes != "") & pt_hit, "pubtype")
               .when(content.rlike(rx(cfg.negative)), "negative"))
     if cfg.require_positive:
         reason = reason.when(~content.rlike(rx(cfg.positive)), "no_positive")

@@ -104,3 +104,25 @@ def test_ranking_order(spark):
                                "pmid long, score long, comparative boolean")
     order = [r["pmid"] for r in rel.ranked(sv, CFG).collect()]
     assert order == [20, 10, 30]
+
+
+def test_pubtype_strict_and_whole_word(spark):
+    seeds = spark.createDataFrame([(1, 1)], "seed_id long, ord int")
+    excl = spark.createDataFrame([], "pmid long")
+    edges = spark.createDataFrame([(1, 200), (1, 300)], "seed_id long, cand_id long")
+    arts = spark.createDataFrame([
+        (200, "the tion", "", "Journal Article;Commentary"),   # 'Comment' inside a longer type
+        (300, "the station", "", "Review"),
+    ], "pmid long, title string, abstract string, pubtypes string")
+    base = dict(CFG.__dict__)
+    base["pubtype"] = "Review|Comment"
+    loose = RankConfig(**base)
+    strict = RankConfig(**{**base, "pubtype_strict": True})
+    c = rel.candidate_scores(edges, seeds, excl, loose)
+    r1 = {x["pmid"]: x["reason"] for x in rel.classify(c, arts, loose).collect()}
+    r2 = {x["pmid"]: x["reason"] for x in rel.classify(c, arts, strict).collect()}
+    assert r1 == {200: "pubtype", 300: "pubtype"}
+    assert r2 == {200: "kept", 300: "pubtype"}
+    ww = RankConfig(**{**base, "whole_word": True})
+    cl = {x["pmid"]: x["comparative"] for x in rel.classify(c, arts, ww).collect()}
+    assert cl == {200: True, 300: False}    # 'tion' as a word, not inside 'station'
