@@ -105,11 +105,17 @@ def entity_frequency(df: DataFrame, list_col: str, key: str) -> DataFrame:
 RANGE_RX = r"^\D*?(\d+(?:\.\d+)?)\s*[-\x{2013}]\s*(\d+(?:\.\d+)?)"
 
 
+def is_range(col: Column) -> Column:
+    """True when the cell holds a lo–hi range."""
+    return F.regexp_extract(col, RANGE_RX, 1) != ""
+
+
 def quantity_bounds(col: Column) -> tuple[Column, Column]:
     """K6: ``~0.01-0.16`` / ``0.06–0.20 per year`` → (lo, hi); a single number or a
     leading integer → (x, x)."""
-    is_range = col.rlike(RANGE_RX)
-    lo_r = F.regexp_extract(col, RANGE_RX, 1).try_cast("double")
+    lo_s = F.regexp_extract(col, RANGE_RX, 1)
+    is_range = lo_s != ""
+    lo_r = lo_s.try_cast("double")
     hi_r = F.regexp_extract(col, RANGE_RX, 2).try_cast("double")
     single = F.regexp_extract(col, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     return (F.when(is_range, lo_r).otherwise(single), F.when(is_range, hi_r).otherwise(single))

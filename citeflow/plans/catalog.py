@@ -387,9 +387,10 @@ def q27_entity_frequency(spark, sf_dir):
 
 def q28_quantity_ranges(spark, sf_dir):
     from ..operators import extraction as ex
-    li = tb.table(spark, sf_dir, "lineitem").select("l_returnflag", F.expr(tb.QUANTITY_SQL).alias("q"))
+    li = spread(tb.table(spark, sf_dir, "lineitem")).select(
+        "l_returnflag", F.expr(tb.QUANTITY_SQL).alias("q"))
     lo, hi = ex.quantity_bounds(F.col("q"))
-    kind = F.when(F.col("q").rlike(ex.RANGE_RX), "range").otherwise("count")
+    kind = F.when(ex.is_range(F.col("q")), "range").otherwise("count")
     return (li.select("l_returnflag", kind.alias("kind"), lo.alias("lo"), hi.alias("hi"))
             .groupBy("l_returnflag", "kind")
             .agg(F.count("*").alias("n"), F.min("lo").alias("min_lo"), F.max("hi").alias("max_hi"),
