@@ -61,12 +61,6 @@ def python_regex(pattern: str, case_insensitive: bool = True) -> str:
     return flags(case_insensitive) + pattern
 
 
-def matches(col: Column | str, pattern: str) -> Column:
-    """``rlike`` with a foldable pattern."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.rlike(pattern)
-
-
 # ---------------------------------------------------------------------------
 # Boolean bibliographic queries as a predicate tree (no string parser).
 # A query is built from Python objects and compiled to one Spark Column.

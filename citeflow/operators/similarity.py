@@ -35,12 +35,6 @@ def doc_freq(corpus_tf: DataFrame, key: str) -> DataFrame:
             .select("tok", "df", F.log(n_docs / F.col("df")).alias("idf")))
 
 
-def idf(corpus_tf: DataFrame, key: str) -> DataFrame:
-    """(tok, idf); tokens in every document (idf 0) are dropped — exactly, as
-    they add nothing to any dot product or norm."""
-    return doc_freq(corpus_tf, key).where(F.col("idf") > 0).select("tok", "idf")
-
-
 def weights(tf: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
     """(key, tok, w) with w = tf · idf."""
     return tf.join(idf_df, "tok").select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))

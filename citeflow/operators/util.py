@@ -54,17 +54,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Equi-join where single keys of ``big`` may hold a large share of its rows.
-
-    Rows of ``big`` get a salt from a hash of their own columns, and each row of
-    ``small`` is replicated once per salt, so one hot key is spread over
-    ``salts`` tasks instead of one."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return b.join(s, [key, "_salt"]).drop("_salt")
-
-
 def global_rank(sorted_df: DataFrame, name: str = "rank") -> DataFrame:
     """1-based position of every row of a globally sorted DataFrame,
     computed without a single-partition window.

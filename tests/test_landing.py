@@ -43,3 +43,8 @@ def test_stream_landing_twice_equals_once(spark, scratch):
         ls.run(spark, src, target, f"{scratch}/ckpt{run}", cfg)
     rows = sorted(tuple(r) for r in spark.read.parquet(target).select("pmcid", "status").collect())
     assert rows == [("1", "ok"), ("2", "failed"), ("3", "restricted")]
+
+
+def test_identity_crosswalk(spark):
+    ids = spark.createDataFrame([("PMC1",), ("PMC2",)], "id string")
+    assert [tuple(r) for r in xw.identity_crosswalk(ids).collect()] == [("PMC1", "PMC1"), ("PMC2", "PMC2")]

@@ -108,3 +108,8 @@ def test_prefilter_keeps_case_twins(spark):
     groups = [("snp", ["snp"]), ("index", ["index"]), ("kelvin", ["kelvin"])]
     got = {r["term"]: r["papers"] for r in tm.term_hits(corpus, groups).collect()}
     assert got == {"snp": 1, "index": 1, "kelvin": 1}
+
+
+def test_ranked_hits_order(spark):
+    hits = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("B", 2)], "term string, papers long")
+    assert [r["term"] for r in tm.ranked_hits(hits).collect()] == ["c", "B", "a", "b"]
