@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 
 from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
+from ..functions.patterns import Phrase, Tag, all_of, any_of
+from ..functions.text import first_nonempty, parse_id_lines
+from ..operators import convert as cv
+from ..operators import crosswalk as xw
+from ..operators import extraction as ex
+from ..operators import landing as ld
 from ..operators import related as rel
+from ..operators import search as se
+from ..operators import similarity as sm
 from ..operators import terms as tm
 from ..operators.util import global_rank, latest, materialize, spread
+from ..session import shared_dir
+from ..sources.readers import ARTICLE_SCHEMA, flatten_article
+from ..sources.sinks import output_name_for_format
+from ..streaming import landing_stream as ls
 from . import tables as tb
 
 # FIXED VALUES: the test dictionary (term groups with a zero-hit group and an
@@ -158,7 +170,6 @@ QUERIES = {
 # --- S2 article records (XML) ------------------------------------------------
 
 def q13_article_metadata(spark, sf_dir):
-    from ..sources.readers import ARTICLE_SCHEMA, flatten_article
     # Several deliveries of one record — the last batch wins. Resolved on
     # the raw records (id and batch only), so only winning records are parsed.
     x = latest(tb.article_xml(spark, sf_dir), "pmid", "batch")
@@ -171,24 +182,19 @@ def q13_article_metadata(spark, sf_dir):
 # --- S3 crosswalk and landing ------------------------------------------------
 
 def _xwalk(spark, sf_dir):
-    from ..functions.text import parse_id_lines
-    from ..operators import crosswalk as xw
     ids = parse_id_lines(tb.id_lines(spark, sf_dir), "value")
     return xw.crosswalk(ids, tb.crosswalk_answers(spark, sf_dir))
 
 
 def q14_id_crosswalk(spark, sf_dir):
-    from ..operators import crosswalk as xw
     return xw.mapped(_xwalk(spark, sf_dir))
 
 
 def q14b_crosswalk_coverage(spark, sf_dir):
-    from ..operators import crosswalk as xw
     return xw.coverage(_xwalk(spark, sf_dir))
 
 
 def q15_unmapped_ids(spark, sf_dir):
-    from ..operators import crosswalk as xw
     return xw.unmapped(_xwalk(spark, sf_dir))
 
 
@@ -196,21 +202,17 @@ LAND = cfgmod.LandConfig(needle="license")
 
 
 def q16_landing_status(spark, sf_dir):
-    from ..operators import landing as ld
     st = ld.land(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir), LAND)
     return ld.status_counts(st)
 
 
 def q17_pending(spark, sf_dir):
-    from ..operators import landing as ld
     return ld.pending(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir))
 
 
 def q17s_stream_landing(spark, sf_dir):
     """J1 as a stream, run twice (the second time with a fresh checkpoint, as
     after losing it): the landed table must hold each document once."""
-    from ..session import shared_dir
-    from ..streaming import landing_stream as ls
     schema = tb.table(spark, sf_dir, "documents").schema
     # A glob path, so the file source watches matching files, not a directory.
     src = (spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
@@ -237,12 +239,10 @@ QUERIES.update({
 # --- S4 conversion, QA, bibliography cut --------------------------------------
 
 def q18_format_sniff(spark, sf_dir):
-    from ..operators import convert as cv
     return cv.sniff(spread(tb.sniff_inputs(spark, sf_dir))).select("path", "format")
 
 
 def _converted(spark, sf_dir):
-    from ..operators import convert as cv
     return cv.convert(spread(tb.raw_pages(spark, sf_dir)))
 
 
@@ -251,20 +251,16 @@ def q19_markup_to_text(spark, sf_dir):
 
 
 def q20_conversion_qa(spark, sf_dir):
-    from ..operators import convert as cv
     q = cv.qa(_converted(spark, sf_dir), "path", tb.RAW_ROOT, tb.MD_ROOT)
     return q.select("page_id", "out_path", F.col("out_bytes").cast("bigint").alias("out_bytes"),
                     "ratio", "small_output", F.col("lines").cast("bigint").alias("lines"), "line_class")
 
 
 def q21_truncate_bibliography(spark, sf_dir):
-    from ..operators import convert as cv
     return cv.truncate(tb.spliced_documents(spark, sf_dir)).select("doc_id", "body", "cut")
 
 
 def q24_rendition_fallback(spark, sf_dir):
-    from ..functions.text import first_nonempty
-    from ..sources.sinks import output_name_for_format
     r = tb.renditions(spark, sf_dir)
     chosen = F.when(F.col("fmt") == "html", first_nonempty("primary", "standard")).otherwise(
         F.nullif(F.col("primary"), F.lit("")))
@@ -288,7 +284,6 @@ def _search_fields():
 
 def boolean_query():
     """Stand-in of the bibliographic query: fielded phrases, truncation, groups."""
-    from ..functions.patterns import Phrase, Tag, all_of, any_of
     return (all_of(any_of(Phrase("the"), Phrase("und"), Phrase("que")),
                    any_of(Phrase("tion*"), Phrase("ation"), Phrase("enti*")))
             & ~Tag("de", "mesh") & ~Tag("fr", "mesh")
@@ -297,7 +292,6 @@ def boolean_query():
 
 def keyword_query():
     """Free-text AND / NOT with a publication-type field."""
-    from ..functions.patterns import Phrase, Tag, all_of
     return all_of(Phrase("the"), Phrase("and"), Phrase("of")) & ~Tag("src3", "pt")
 
 
@@ -305,45 +299,37 @@ KEYWORD_LIMIT = 50
 
 
 def q22_boolean_search(spark, sf_dir):
-    from ..operators import search as se
     return se.search(_docs(spark, sf_dir), boolean_query(), _search_fields())
 
 
 def q22b_study_query(spark, sf_dir):
     """The original study's own boolean query, over the whole corpus."""
-    from ..operators import search as se
     return se.search(_docs(spark, sf_dir), se.study_query(), _search_fields())
 
 
 def q23c_study_keyword_ids(spark, sf_dir):
     """The original free-text search (AND of words, NOT review publications)."""
-    from .. import config as c
-    from ..operators import search as se
-    q = se.keyword_query_from(c.SEARCH_QUERY_TERMS, c.SEARCH_QUERY_EXCLUDED_PUBTYPE)
+    q = se.keyword_query_from(cfgmod.SEARCH_QUERY_TERMS, cfgmod.SEARCH_QUERY_EXCLUDED_PUBTYPE)
     return se.search(_docs(spark, sf_dir), q, _search_fields())
 
 
 def q23_keyword_ids(spark, sf_dir):
-    from ..operators import search as se
     hits = se.search(_docs(spark, sf_dir), keyword_query(), _search_fields())
     return se.first_hits(hits, KEYWORD_LIMIT)
 
 
 def q23b_keyword_hit_count(spark, sf_dir):
-    from ..operators import search as se
     return se.hit_count(se.search(_docs(spark, sf_dir), keyword_query(), _search_fields()))
 
 
 # --- S6 extraction tables ----------------------------------------------------
 
 def _typed_v25(spark, sf_dir):
-    from ..operators import extraction as ex
     raw = tb.extraction_rows(spark, sf_dir, ex.V25_RENAME, labelled=True)
     return ex.typed(ex.canonical(raw, ex.V25_RENAME))
 
 
 def _typed_v23(spark, sf_dir):
-    from ..operators import extraction as ex
     raw = tb.extraction_rows(spark, sf_dir, ex.V23_RENAME, labelled=False, list_sep=", ")
     return ex.typed(ex.canonical(raw, ex.V23_RENAME))
 
@@ -357,7 +343,6 @@ def _n(c):
 
 
 def q25_extraction_typed(spark, sf_dir):
-    from ..operators import extraction as ex
     t = _typed_v25(spark, sf_dir)
     lo, hi = ex.quantity_bounds(F.col("sel_coef_value"))
     return t.select(
@@ -369,24 +354,20 @@ def q25_extraction_typed(spark, sf_dir):
 
 
 def _union(spark, sf_dir):
-    from ..operators import extraction as ex
     return ex.union_layouts(_typed_v25(spark, sf_dir), _typed_v23(spark, sf_dir))
 
 
 def q26_category_frequency(spark, sf_dir):
-    from ..operators import extraction as ex
     return ex.category_frequency(_union(spark, sf_dir), ex.FLAG_COLUMNS)
 
 
 def q27_entity_frequency(spark, sf_dir):
-    from ..operators import extraction as ex
     p = tb.table(spark, sf_dir, "part").select(
         "p_partkey", F.split(F.col("p_name"), " ").alias("words"))
     return ex.entity_frequency(p, "words", "p_partkey")
 
 
 def q28_quantity_ranges(spark, sf_dir):
-    from ..operators import extraction as ex
     li = spread(tb.table(spark, sf_dir, "lineitem")).select(
         "l_returnflag", F.expr(tb.QUANTITY_SQL).alias("q"))
     lo, hi = ex.quantity_bounds(F.col("q"))
@@ -410,12 +391,10 @@ RELATED_K = 5
 
 
 def q30_related_items(spark, sf_dir):
-    from ..operators import similarity as sm
     return sm.related_items(tb.table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), k=RELATED_K)
 
 
 def q30b_vector_neighbours(spark, sf_dir):
-    from ..operators import similarity as sm
     return sm.vector_neighbours(tb.table(spark, sf_dir, "embeddings"), k=RELATED_K)
 
 
@@ -438,3 +417,5 @@ QUERIES.update({
     "q29_extraction_union": q29_extraction_union,
     "q30_related_items": q30_related_items,
 })
+
+QUERIES = dict(sorted(QUERIES.items()))
