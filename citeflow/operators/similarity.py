@@ -61,7 +61,8 @@ def corpus_weights(ctf: DataFrame, vocab: DataFrame, key: str, hot_fraction: int
     return w_hot.unionByName(w_cold).select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
+def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text",
+                hot_fraction: int = 64):
     """Build the corpus side once: (doc, tok, w) weights and (tok, idf).
 
     Term frequencies, the vocabulary and the weights are materialised
@@ -70,7 +71,7 @@ def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text"):
     ctf = materialize(term_frequencies(corpus, doc_key, text))
     n_docs = ctf.select(F.count_distinct(doc_key)).scalar()
     vocab = materialize(doc_freq(ctf, doc_key).where(F.col("idf") > 0).withColumn("n", n_docs))
-    index = materialize(corpus_weights(ctf, vocab, doc_key))
+    index = materialize(corpus_weights(ctf, vocab, doc_key, hot_fraction))
     return index, vocab.select("tok", "idf")
 
 

@@ -32,10 +32,17 @@ def brute(k=2):
     return out
 
 
-def test_related_items_brute_force(spark):
+import pytest
+
+from citeflow.operators.similarity import tfidf_index
+
+
+@pytest.mark.parametrize("hot_fraction", [1, 2, 64])   # all cold, mixed, all hot
+def test_related_items_brute_force(spark, hot_fraction):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     seeds = spark.createDataFrame(SEEDS, "item_id long, text string")
+    index = tfidf_index(docs, hot_fraction=hot_fraction)
     got = {}
-    for r in related_items(seeds, docs, k=2, buckets=3).orderBy("item_id", "rank").collect():
+    for r in related_items(seeds, docs, k=2, buckets=3, index=index).orderBy("item_id", "rank").collect():
         got.setdefault(r["item_id"], []).append(r["doc_id"])
     assert got == brute(2)
