@@ -36,20 +36,33 @@ def limit_seeds(seeds: DataFrame, n: int | None) -> DataFrame:
     return seeds.orderBy("ord").limit(n)
 
 
-def candidate_scores(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
-                     cfg: RankConfig = RankConfig()) -> DataFrame:
-    """q04: (pmid, score, seeds ARRAY<BIGINT> in seed order).
+def candidate_edges(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
+                    cfg: RankConfig = RankConfig()) -> DataFrame:
+    """Surviving (cand_id, seed_id, ord) edges — the long form.
 
-    score = number of edges from seeds (list length, not distinct, F2). Filters
-    use the *full* seed list even when the seeds processed are limited (D1).
+    Filters use the *full* seed list even when the seeds processed are limited
+    (D1). This long table is the scale-safe representation of "which seeds
+    found which candidate": it never puts one candidate's seeds into one row.
     """
     all_seeds = dedupe_seeds(seeds)
     used = sized_broadcast(limit_seeds(all_seeds, cfg.max_seeds), cfg.seed_broadcast_rows)
     excl = exclusions.select(F.col("pmid").alias("cand_id")).distinct()
-    e = (edges.where(F.col("cand_id") >= F.lit(cfg.min_id))
-         .join(used, "seed_id")
-         .join(all_seeds.select(F.col("seed_id").alias("cand_id")), "cand_id", "left_anti")
-         .join(excl, "cand_id", "left_anti"))
+    return (edges.where(F.col("cand_id") >= F.lit(cfg.min_id))
+            .join(used, "seed_id")
+            .join(all_seeds.select(F.col("seed_id").alias("cand_id")), "cand_id", "left_anti")
+            .join(excl, "cand_id", "left_anti"))
+
+
+def candidate_scores(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
+                     cfg: RankConfig = RankConfig()) -> DataFrame:
+    """q04: (pmid, score, seeds ARRAY<BIGINT> in seed order).
+
+    score = number of edges from seeds (list length, not distinct, F2). The
+    per-candidate list is the ranked table's Seeds column; its length is
+    bounded by the seed list (partial aggregation before the shuffle).
+    ``candidate_edges`` gives the same information in long form.
+    """
+    e = candidate_edges(edges, seeds, exclusions, cfg)
     return e.groupBy("cand_id").agg(
         F.count("*").alias("score"),
         F.array_sort(F.collect_list(F.struct("ord", "seed_id"))).alias("_s"),
