@@ -26,6 +26,7 @@ def build_session(app: str = "citeflow", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     for k, v in (extra or {}).items():
