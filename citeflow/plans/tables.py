@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.util import spread
+
 # FIXED VALUES of the stand-in mapping (shared with the DuckDB oracle).
 SEED_MOD, SEED_REM = 9, 4        # seeds: parts with key % 9 = 4
 EXCL_MOD = 23                    # exclusions: parts with key % 23 = 0
@@ -43,7 +45,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     directions, distinct. Built by an equi-join on (order, line number) so that
     an order with very many lines never becomes one join group: the output is
     linear in lineitem, never all pairs within an order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     nxt = li.select(F.col("l_orderkey"), (F.col("l_linenumber") - 1).alias("l_linenumber"),
                     F.col("l_partkey").alias("b"))
     fwd = li.join(nxt, ["l_orderkey", "l_linenumber"]).select(
