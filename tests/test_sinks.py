@@ -54,3 +54,18 @@ def test_converted_paths_and_collisions(spark, scratch):
     assert c["sources"] == 2
     sinks.write_converted(q.select("out_path", "text"), f"{scratch}/md")
     assert spark.read.parquet(f"{scratch}/md").count() == 2
+
+
+def test_ranked_file_feeds_id_list(spark, scratch):
+    """Hand-off: the ranked table (header) and a threshold list (no header)
+    are read back as id lists without losing the first id (T12)."""
+    from citeflow.sources import readers as rd
+    r = spark.createDataFrame([(11, 3, 2.5, "1,2"), (12, 2, 2.0, "3")],
+                              "pmid long, score long, weighted double, seeds string")
+    sinks.write_ranked(r, f"{scratch}/ranked", single_file=True)
+    ids = [x["id"] for x in rd.id_list(spark, f"{scratch}/ranked", header=True).collect()]
+    assert ids == ["11", "12"]
+    lists = spark.createDataFrame([(2, 11), (2, 12)], "threshold long, pmid long")
+    sinks.write_threshold_lists(lists, f"{scratch}/lists")
+    ids = sorted(x["id"] for x in rd.id_list(spark, f"{scratch}/lists/threshold=2", header=False).collect())
+    assert ids == ["11", "12"]
