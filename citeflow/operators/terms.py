@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ..config import TermConfig
 from ..functions.patterns import alternation_regex, literal_regex
 from ..functions.text import py_strip
-from .util import bounded_collect, sized_broadcast
+from .util import bounded_collect, latest, row_bound, sized_broadcast
 
 TERM_GROUP_SCHEMA = "line_no int, name string, patterns array<string>"
 
@@ -81,6 +81,20 @@ def term_groups(parsed: DataFrame, cfg: TermConfig = TermConfig(), max_groups: i
     return list(out.items())
 
 
+def dictionary_alternatives(parsed: DataFrame, cfg: TermConfig = TermConfig()) -> DataFrame:
+    """(term, alt): one row per accepted alternative, computed in Spark.
+
+    Duplicate group names raise unless ``cfg.last_wins`` (then the group on the
+    last line wins) — the check is a bounded probe, not a collect."""
+    ok = parsed.where(F.col("status") == "ok").select("line_no", "name", "patterns")
+    dup = ok.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if dup.limit(1).count():
+        if not cfg.last_wins:
+            raise ValueError("duplicate term group names in dictionary")
+        ok = latest(ok, "name", "line_no")
+    return ok.select(F.col("name").alias("term"), F.explode("patterns").alias("alt"))
+
+
 def _n_alternatives(groups) -> int:
     return sum(len(p) for _, p in groups)
 
@@ -126,11 +140,25 @@ def _guarded(fold, text_col, alternatives, cfg: TermConfig, single: bool = False
 
 def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id",
               cfg: TermConfig = TermConfig()) -> DataFrame:
-    """q01: (term, papers) — distinct documents per group, zero-hit groups kept."""
+    """q01: (term, papers) — distinct documents per group, zero-hit groups kept.
+
+    ``groups`` is either a driver list [(name, [alternatives])] or the parsed
+    dictionary DataFrame of ``parse_terms``. A DataFrame dictionary is only
+    brought to the driver when a bounded probe shows it is small enough for the
+    regex path; a large one stays in Spark end to end (token-join path).
+    """
+    if isinstance(groups, DataFrame):
+        alts = dictionary_alternatives(groups, cfg)
+        if cfg.regex or row_bound(alts, cfg.max_regex_alternatives):
+            groups = term_groups(groups, cfg)
+        else:
+            return _term_hits_tokens(corpus, alts, text, key, cfg)
     if not groups:
         return corpus.sparkSession.createDataFrame([], "term string, papers bigint")
     if _n_alternatives(groups) > cfg.max_regex_alternatives and not cfg.regex:
-        return _term_hits_tokens(corpus, groups, text, key, cfg)
+        alts = corpus.sparkSession.createDataFrame(
+            [(n, a) for n, pats in groups for a in pats], "term string, alt string")
+        return _term_hits_tokens(corpus, alts, text, key, cfg)
     src = corpus.select(F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
     aggs = [F.count_if(_guarded(F.col("_f"), F.col("_t"), pats, cfg)).alias(f"g{i}")
             for i, (_, pats) in enumerate(groups)]
@@ -162,28 +190,28 @@ def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_
 
 # --- token-join path for large dictionaries ----------------------------------
 
-def _term_hits_tokens(corpus: DataFrame, groups, text: str, key: str, cfg: TermConfig) -> DataFrame:
+def _term_hits_tokens(corpus: DataFrame, alts: DataFrame, text: str, key: str,
+                      cfg: TermConfig, max_complex: int = 500) -> DataFrame:
     """Equi-join form of E5 for dictionaries too large for one regex per group.
 
-    Per document (one row, so no grouping), the text is cut into maximal runs
-    of word characters (lower-cased) with the separators between them; the
-    n-grams whose inner separators are single spaces — exactly the places
-    where ``\\bphrase\\b`` can match — are built with array functions, and
-    the distinct grams of a document are joined against the broadcast
-    dictionary. Only matching (term, document) pairs are shuffled. Alternatives
-    that are not word runs separated by single spaces get their own regex scan.
+    Per document (one row, so no grouping), the lower-cased text is cut into
+    maximal word runs w1, w2, … and the separator runs s1, s2, … between them.
+    An alternative that starts and ends with a word character matches as a
+    whole word exactly where some w_i s_i … w_{i+n-1} equals it (n = its number
+    of word runs), so every such n-gram of the document is formed with array
+    functions and the distinct grams are joined with the dictionary on the gram
+    (broadcast when its size is checked small, otherwise a shuffle join). Only
+    matching (term, document) pairs are shuffled. Alternatives that start or end
+    with a non-word character (few in practice, bounded) get their own regex.
     """
     spark = corpus.sparkSession
-    simple, rest = [], []
-    for name, pats in groups:
-        for p in pats:
-            words = p.lower().split(" ")
-            if all(w and w.replace("_", "").isalnum() for w in words):
-                simple.append((name, " ".join(words)))
-            else:
-                rest.append((name, p))
-    dictionary = spark.createDataFrame(simple, "term string, gram string")
-    max_n = max((len(g.split(" ")) for _, g in simple), default=1)
+    a = alts.select("term", F.lower(F.col("alt")).alias("gram"), F.col("alt"))
+    simple_rule = F.col("alt").rlike(r"(?U)^\w(.*\w)?$")
+    simple = a.where(simple_rule).select(
+        "term", "gram", F.size(F.regexp_extract_all("gram", F.lit(r"(?U)\w+"), 0)).alias("n"))
+    complex_alts = bounded_collect(a.where(~simple_rule).select("term", "alt"), max_complex,
+                                   what="alternatives with non-word edges")
+    max_n = simple.agg(F.max("n")).first()[0] or 1
     low = F.lower(F.col(text))
     rx = F.lit(r"(?U)(\w+)(\W*)")
     # Tokens and separators become real columns first, so the per-position
@@ -193,26 +221,29 @@ def _term_hits_tokens(corpus: DataFrame, groups, text: str, key: str, cfg: TermC
     w, sp = F.col("_w"), F.col("_s")
 
     def gram_at(n):
-        # n-gram starting at token i, or NULL when a separator inside is not one space
         def f(i):
-            ok = F.lit(True)
-            for k in range(n - 1):
-                ok = ok & (F.element_at(sp, i + k) == F.lit(" "))
-            return F.when(ok, F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)]))
+            parts = []
+            for k in range(n):
+                parts.append(F.element_at(w, i + k))
+                if k < n - 1:
+                    parts.append(F.element_at(sp, i + k))
+            return F.concat(*parts)
         return f
 
     per_n = [w]
     for n in range(2, max_n + 1):
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        grams = F.filter(F.transform(starts, gram_at(n)), lambda x: x.isNotNull())
+        grams = F.transform(starts, gram_at(n))
         per_n.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
     doc_grams = toks.select(key, F.explode(F.array_distinct(F.flatten(F.array(*per_n)))).alias("gram"))
+    dictionary = simple.select("term", "gram")
     hits = doc_grams.join(sized_broadcast(dictionary, 5_000_000), "gram").select("term", key)
-    for name, p in rest:
-        rx = literal_regex(p, cfg.case_insensitive, cfg.whole_word, False, cfg.normalize_ws)
-        hits = hits.unionByName(corpus.where(F.col(text).rlike(rx)).select(F.lit(name).alias("term"), key))
+    for r in complex_alts:
+        rx_c = literal_regex(r["alt"], cfg.case_insensitive, cfg.whole_word, False, cfg.normalize_ws)
+        hits = hits.unionByName(
+            corpus.where(F.col(text).rlike(rx_c)).select(F.lit(r["term"]).alias("term"), key))
     counts = hits.distinct().groupBy("term").agg(F.count("*").alias("papers"))
-    names = spark.createDataFrame([(n,) for n, _ in groups], "term string")
+    names = alts.select("term").distinct()
     return names.join(counts, "term", "left").select(
         "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
 

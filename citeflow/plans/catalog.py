@@ -65,8 +65,11 @@ def q01_term_hits(spark, sf_dir):
 
 
 def q01b_term_hits_token_join(spark, sf_dir):
-    """q01 through the large-dictionary strategy (token n-grams ⋈ dictionary)."""
-    return tm.term_hits(_docs(spark, sf_dir), _groups(spark), cfg=TermConfig(max_regex_alternatives=0))
+    """q01 through the large-dictionary strategy: the parsed dictionary stays a
+    DataFrame and is matched as token n-grams ⋈ dictionary."""
+    lines = spark.createDataFrame(list(enumerate(TERM_LINES, 1)), "line_no int, value string")
+    return tm.term_hits(_docs(spark, sf_dir), tm.parse_terms(lines),
+                        cfg=TermConfig(max_regex_alternatives=0))
 
 
 def q02_term_matches(spark, sf_dir):

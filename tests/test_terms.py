@@ -113,3 +113,22 @@ def test_prefilter_keeps_case_twins(spark):
 def test_ranked_hits_order(spark):
     hits = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("B", 2)], "term string, papers long")
     assert [r["term"] for r in tm.ranked_hits(hits).collect()] == ["c", "B", "a", "b"]
+
+
+def test_dataframe_dictionary_token_path(spark):
+    corpus = spark.createDataFrame(CORPUS, "doc_id long, text string")
+    lines = ["SNP: SNP", "caf: caf", "etude: étude", "gwas: genome-wide association", "lit: a.b",
+             "cpp: C++", "none: zzz", "# comment"]
+    parsed = tm.parse_terms(_lines(spark, lines))
+    got = {r["term"]: r["papers"] for r in
+           tm.term_hits(corpus, parsed, cfg=TermConfig(max_regex_alternatives=0)).collect()}
+    want = {r["term"]: r["papers"] for r in tm.term_hits(corpus, tm.term_groups(parsed)).collect()}
+    assert got == want and got["gwas"] == 1 and got["lit"] == 1 and got["none"] == 0
+    dup = tm.parse_terms(_lines(spark, ["A: snp", "A: étude"]))
+    try:
+        tm.term_hits(corpus, dup, cfg=TermConfig(max_regex_alternatives=0))
+        raise AssertionError("duplicate accepted")
+    except ValueError:
+        pass
+    last = tm.term_hits(corpus, dup, cfg=TermConfig(max_regex_alternatives=0, last_wins=True)).collect()
+    assert [(r["term"], r["papers"]) for r in last] == [("A", 1)]
