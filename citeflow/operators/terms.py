@@ -172,7 +172,17 @@ def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id"
 
 def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id",
                  cfg: TermConfig = TermConfig()) -> DataFrame:
-    """q02 / B7: one row per (term, pattern, document) that matches, single scan."""
+    """q02 / B7: one row per (term, pattern, document) that matches, single scan.
+
+    A parsed-dictionary DataFrame too large for per-pattern regexes is matched
+    through the token-join path instead (it never reaches the driver)."""
+    if isinstance(groups, DataFrame):
+        alts = dictionary_alternatives(groups, cfg)
+        if cfg.regex or row_bound(alts, cfg.max_regex_alternatives):
+            groups = term_groups(groups, cfg)
+        else:
+            return (_token_matches(corpus, alts, text, key, cfg).distinct()
+                    .select("term", F.col("alt").alias("pattern"), key))
     hit_type = T.StructType([T.StructField("term", T.StringType()),
                              T.StructField("pattern", T.StringType())])
     src = corpus.select(key, F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
@@ -192,6 +202,16 @@ def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_
 
 def _term_hits_tokens(corpus: DataFrame, alts: DataFrame, text: str, key: str,
                       cfg: TermConfig, max_complex: int = 500) -> DataFrame:
+    """Counts of distinct documents per term from the token-join matches."""
+    hits = _token_matches(corpus, alts, text, key, cfg, max_complex).select("term", key)
+    counts = hits.distinct().groupBy("term").agg(F.count("*").alias("papers"))
+    names = alts.select("term").distinct()
+    return names.join(counts, "term", "left").select(
+        "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
+
+
+def _token_matches(corpus: DataFrame, alts: DataFrame, text: str, key: str,
+                   cfg: TermConfig, max_complex: int = 500) -> DataFrame:
     """Equi-join form of E5 for dictionaries too large for one regex per group.
 
     Per document (one row, so no grouping), the lower-cased text is cut into
@@ -208,7 +228,7 @@ def _term_hits_tokens(corpus: DataFrame, alts: DataFrame, text: str, key: str,
     a = alts.select("term", F.lower(F.col("alt")).alias("gram"), F.col("alt"))
     simple_rule = F.col("alt").rlike(r"(?U)^\w(.*\w)?$")
     simple = a.where(simple_rule).select(
-        "term", "gram", F.size(F.regexp_extract_all("gram", F.lit(r"(?U)\w+"), 0)).alias("n"))
+        "term", "alt", "gram", F.size(F.regexp_extract_all("gram", F.lit(r"(?U)\w+"), 0)).alias("n"))
     complex_alts = bounded_collect(a.where(~simple_rule).select("term", "alt"), max_complex,
                                    what="alternatives with non-word edges")
     max_n = simple.agg(F.max("n")).first()[0] or 1
@@ -236,16 +256,13 @@ def _term_hits_tokens(corpus: DataFrame, alts: DataFrame, text: str, key: str,
         grams = F.transform(starts, gram_at(n))
         per_n.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
     doc_grams = toks.select(key, F.explode(F.array_distinct(F.flatten(F.array(*per_n)))).alias("gram"))
-    dictionary = simple.select("term", "gram")
-    hits = doc_grams.join(sized_broadcast(dictionary, 5_000_000), "gram").select("term", key)
+    dictionary = simple.select("term", "alt", "gram")
+    hits = doc_grams.join(sized_broadcast(dictionary, 5_000_000), "gram").select("term", "alt", key)
     for r in complex_alts:
         rx_c = literal_regex(r["alt"], cfg.case_insensitive, cfg.whole_word, False, cfg.normalize_ws)
-        hits = hits.unionByName(
-            corpus.where(F.col(text).rlike(rx_c)).select(F.lit(r["term"]).alias("term"), key))
-    counts = hits.distinct().groupBy("term").agg(F.count("*").alias("papers"))
-    names = alts.select("term").distinct()
-    return names.join(counts, "term", "left").select(
-        "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
+        hits = hits.unionByName(corpus.where(F.col(text).rlike(rx_c)).select(
+            F.lit(r["term"]).alias("term"), F.lit(r["alt"]).alias("alt"), key))
+    return hits
 
 
 def ranked_hits(hits: DataFrame) -> DataFrame:

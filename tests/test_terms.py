@@ -132,3 +132,12 @@ def test_dataframe_dictionary_token_path(spark):
         pass
     last = tm.term_hits(corpus, dup, cfg=TermConfig(max_regex_alternatives=0, last_wins=True)).collect()
     assert [(r["term"], r["papers"]) for r in last] == [("A", 1)]
+
+
+def test_term_matches_token_path(spark):
+    corpus = spark.createDataFrame(CORPUS, "doc_id long, text string")
+    parsed = tm.parse_terms(_lines(spark, ["SNP: SNP|zzz", "g: genome-wide association", "c: C++"]))
+    a = sorted(tuple(r) for r in tm.term_matches(corpus, parsed, cfg=TermConfig(max_regex_alternatives=0)).collect())
+    b = sorted(tuple(r) for r in tm.term_matches(corpus, tm.term_groups(parsed)).collect())
+    # "C++" never matches as a whole word before a space (a boundary after "+" needs a word character)
+    assert a == b and ("g", "genome-wide association", 4) in a and not any(r[0] == "c" for r in a)
