@@ -244,9 +244,9 @@ def _token_matches(corpus: DataFrame, alts: DataFrame, text: str, key: str,
         def f(i):
             parts = []
             for k in range(n):
-                parts.append(F.element_at(w, i + k))
+                parts.append(F.try_element_at(w, i + k))
                 if k < n - 1:
-                    parts.append(F.element_at(sp, i + k))
+                    parts.append(F.try_element_at(sp, i + k))
             return F.concat(*parts)
         return f
 

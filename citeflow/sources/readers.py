@@ -105,7 +105,7 @@ def flatten_article(df: DataFrame, col: str | None = None, keep=()) -> DataFrame
         F.coalesce(F.array_join(sections, " "), F.lit("")).alias("abstract"),
         F.coalesce(types, F.array().cast("array<string>")).alias("pubtypes"),
         F.coalesce(F.array_join(types, ";"), F.lit("")).alias("pubtypes_joined"),
-        F.coalesce(F.size(sections), F.lit(0)).alias("n_sections"),
+        F.when(sections.isNotNull(), F.size(sections)).otherwise(F.lit(0)).alias("n_sections"),
     )
 
 
