@@ -2,10 +2,12 @@
 similarity of seed texts against a corpus, exact top-k per seed.
 
 Plan shape:
-  corpus → tokens → tf per (doc, token)            (hash aggregate)
+  corpus → tokens → tf per (doc, token)            (hash aggregate, checkpointed)
          → df per token → idf = ln(N / df)         (hash aggregate; N as scalar subquery)
   tokens in every document have idf 0 and add nothing to any dot product or
   norm, so they are dropped exactly (no frequency cap).
+  tf ⋈ idf: hot tokens (df ≥ N/64) map-side against a broadcast table, the
+  rest through a shuffle join without hot keys; weights are checkpointed.
   seeds (size-checked, broadcast) ⋈ doc weights on token → partial sum per
   (seed, doc) in the same stage as the join → cosine.
   top-k: first per (seed, doc-bucket), then per seed over at most k × buckets
