@@ -2,7 +2,7 @@
 similarity of seed texts against a corpus, exact top-k per seed.
 
 Plan shape:
-  corpus → tokens → tf per (doc, token)            (hash aggregate, checkpointed)
+  corpus → tokens → tf per (doc, token)            (hash aggregate, persisted while building)
          → df per token → idf = ln(N / df)         (hash aggregate; N as scalar subquery)
   tokens in every document have idf 0 and add nothing to any dot product or
   norm, so they are dropped exactly (no frequency cap).
@@ -16,6 +16,7 @@ Plan shape:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,13 +68,18 @@ def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text",
                 hot_fraction: int = 64):
     """Build the corpus side once: (doc, tok, w) weights and (tok, idf).
 
-    Term frequencies, the vocabulary and the weights are materialised
-    (checkpointed), so norms, dot products and seed weights all read one
-    tokenisation pass."""
-    ctf = materialize(term_frequencies(corpus, doc_key, text))
-    n_docs = ctf.select(F.count_distinct(doc_key)).scalar()
-    vocab = materialize(doc_freq(ctf, doc_key).where(F.col("idf") > 0).withColumn("n", n_docs))
-    index = materialize(corpus_weights(ctf, vocab, doc_key, hot_fraction))
+    The vocabulary and the weights are materialised (checkpointed), so norms,
+    dot products and seed weights all read one tokenisation pass."""
+    # Term frequencies feed three passes (document count, vocabulary, weights)
+    # that all finish inside this function, so they are persisted (lineage kept,
+    # a lost block is recomputed) and released once the weights are written.
+    ctf = term_frequencies(corpus, doc_key, text).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_docs = ctf.select(F.count_distinct(doc_key)).scalar()
+        vocab = materialize(doc_freq(ctf, doc_key).where(F.col("idf") > 0).withColumn("n", n_docs))
+        index = materialize(corpus_weights(ctf, vocab, doc_key, hot_fraction))
+    finally:
+        ctf.unpersist()
     return index, vocab.select("tok", "idf")
 
 
