@@ -47,10 +47,15 @@ def candidate_edges(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
     all_seeds = dedupe_seeds(seeds)
     used = sized_broadcast(limit_seeds(all_seeds, cfg.max_seeds), cfg.seed_broadcast_rows)
     excl = exclusions.select(F.col("pmid").alias("cand_id")).distinct()
-    return (edges.where(F.col("cand_id") >= F.lit(cfg.min_id))
-            .join(used, "seed_id")
-            .join(all_seeds.select(F.col("seed_id").alias("cand_id")), "cand_id", "left_anti")
-            .join(excl, "cand_id", "left_anti"))
+    e = (edges.where(F.col("cand_id") >= F.lit(cfg.min_id))
+         .join(used, "seed_id")
+         .join(all_seeds.select(F.col("seed_id").alias("cand_id")), "cand_id", "left_anti")
+         .join(excl, "cand_id", "left_anti"))
+    if cfg.distinct_edges:
+        # De-duplicate after the seed and exclusion filters: same result as
+        # de-duplicating the whole edge table, on far fewer rows.
+        e = e.select("cand_id", "seed_id", "ord").distinct()
+    return e
 
 
 def candidate_scores(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,

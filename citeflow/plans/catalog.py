@@ -45,6 +45,7 @@ STANDIN_RANK = RankConfig(
     pubtype="src1",
     negative="license",
     positive="the",
+    distinct_edges=True,
 )
 
 

@@ -42,16 +42,18 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seed_id, cand_id): parts on neighbouring lines of the same order, both
-    directions, distinct. Built by an equi-join on (order, line number) so that
-    an order with very many lines never becomes one join group: the output is
-    linear in lineitem, never all pairs within an order."""
+    directions (a pair seen in several orders repeats; the ranking treats the
+    edges as a set, ``RankConfig.distinct_edges``). Built by an equi-join on
+    (order, line number) so that an order with very many lines never becomes
+    one join group: the output is linear in lineitem, never all pairs within
+    an order."""
     li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     nxt = li.select(F.col("l_orderkey"), (F.col("l_linenumber") - 1).alias("l_linenumber"),
                     F.col("l_partkey").alias("b"))
     fwd = li.join(nxt, ["l_orderkey", "l_linenumber"]).select(
         F.col("l_partkey").alias("seed_id"), F.col("b").alias("cand_id"))
     back = fwd.select(F.col("cand_id").alias("seed_id"), F.col("seed_id").alias("cand_id"))
-    return fwd.unionByName(back).where(F.col("seed_id") != F.col("cand_id")).distinct()
+    return fwd.unionByName(back).where(F.col("seed_id") != F.col("cand_id"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,11 @@ def test_pubtype_strict_and_whole_word(spark):
     ww = RankConfig(**{**base, "whole_word": True})
     cl = {x["pmid"]: x["comparative"] for x in rel.classify(c, arts, ww).collect()}
     assert cl == {200: True, 300: False}    # 'tion' as a word, not inside 'station'
+
+
+def test_distinct_edges_option(spark):
+    seeds, excl, edges, _ = _frames(spark)
+    cfg = RankConfig(**{**CFG.__dict__, "distinct_edges": True})
+    c = {r["pmid"]: (r["score"], r["seeds"]) for r in rel.candidate_scores(edges, seeds, excl, cfg).collect()}
+    assert c[300] == (1, [2])      # the repeated edge counts once
+    assert c[200] == (3, [1, 2, 3])
