@@ -82,6 +82,14 @@ def edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return df.select(F.col("seed_id").cast("bigint"), F.col("cand_id").cast("bigint"))
 
 
+def edge_rejects(raw: DataFrame) -> DataFrame:
+    """Raw edge lines that are not blank but do not clean to a digit id,
+    counted (the original drops them; here they are reported)."""
+    v = F.regexp_replace(F.col("value").cast("string"), r"(?U)^\s+|\s+$", "")
+    bad = (v != "") & tx.clean_id(F.col("value")).isNull()
+    return raw.agg(F.count_if(bad).alias("rejected"), F.count("*").alias("lines"))
+
+
 def articles_xml(spark: SparkSession, path: str) -> DataFrame:
     """A5: PubMed XML files → one row per PubmedArticle (row tag), explicit schema."""
     raw = (

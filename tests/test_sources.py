@@ -90,3 +90,9 @@ def test_extraction_tsv_layout(spark, scratch):
     df = rd.extraction_tsv(spark, f"{scratch}/v25.tsv", cfg.EXTRACTION_V25_COLUMNS)
     (r,) = df.collect()
     assert r["Authors"] == "A, B" and r["Publication year"] == "2022"
+
+
+def test_edge_rejects(spark):
+    raw = spark.createDataFrame([(1, ' "5" '), (1, "x7"), (2, ""), (2, "8\r"), (3, "  ")], "seed_id long, value string")
+    (r,) = rd.edge_rejects(raw).collect()
+    assert (r["rejected"], r["lines"]) == (1, 5)
