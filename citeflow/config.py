@@ -175,8 +175,7 @@ class LandConfig:
     """Parameters of crosswalk and landing."""
 
     needle: str = RESTRICTED_NEEDLE
-    retry_restricted: bool = True
-    header_lines: int = 0
+    retry_restricted: bool = True     # False: restricted documents are not fetched again (T14)
     prefix: str = PMC_PREFIX
 
 

@@ -14,9 +14,16 @@ def landed_nonempty(landed: DataFrame) -> DataFrame:
     return landed.where(F.col("n_bytes") > 0).select("pmcid").distinct()
 
 
-def pending(todo: DataFrame, landed: DataFrame) -> DataFrame:
-    """Ids still to fetch — de-duplicated, minus non-empty landed ones."""
-    return todo.select("pmcid").distinct().join(landed_nonempty(landed), "pmcid", "left_anti")
+def pending(todo: DataFrame, landed: DataFrame, restricted: DataFrame | None = None,
+            cfg: LandConfig = LandConfig()) -> DataFrame:
+    """Ids still to fetch — de-duplicated, minus non-empty landed ones.
+
+    Restricted documents were routed away, so by default (T14) they are tried
+    again; with ``cfg.retry_restricted`` off, the ``restricted`` ids are skipped."""
+    out = todo.select("pmcid").distinct().join(landed_nonempty(landed), "pmcid", "left_anti")
+    if restricted is not None and not cfg.retry_restricted:
+        out = out.join(restricted.select("pmcid").distinct(), "pmcid", "left_anti")
+    return out
 
 
 def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:

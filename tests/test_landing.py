@@ -48,3 +48,12 @@ def test_stream_landing_twice_equals_once(spark, scratch):
 def test_identity_crosswalk(spark):
     ids = spark.createDataFrame([("PMC1",), ("PMC2",)], "id string")
     assert [tuple(r) for r in xw.identity_crosswalk(ids).collect()] == [("PMC1", "PMC1"), ("PMC2", "PMC2")]
+
+
+def test_restricted_retry_option(spark):
+    todo = spark.createDataFrame([("a", "x"), ("b", "y")], "pmcid string, content string")
+    landed = spark.createDataFrame([], "pmcid string, n_bytes long")
+    restricted = spark.createDataFrame([("b",)], "pmcid string")
+    again = sorted(r[0] for r in ld.pending(todo, landed, restricted).collect())
+    skip = sorted(r[0] for r in ld.pending(todo, landed, restricted, LandConfig(retry_restricted=False)).collect())
+    assert again == ["a", "b"] and skip == ["a"]
