@@ -22,7 +22,7 @@ from ..operators import terms as tm
 from ..operators.util import global_rank, latest, materialize, spread
 from ..session import shared_dir
 from ..sources.readers import ARTICLE_SCHEMA, flatten_article
-from ..sources.sinks import output_name_for_format
+from ..sources.sinks import output_name_for_format, report_lines
 from ..streaming import landing_stream as ls
 from . import tables as tb
 
@@ -73,6 +73,14 @@ def q01b_term_hits_token_join(spark, sf_dir):
                         cfg=TermConfig(max_regex_alternatives=0))
 
 
+def q01c_term_report(spark, sf_dir):
+    """The fixed-width report (header with the number of documents searched,
+    then one padded line per group, count descending, name ascending)."""
+    docs = _docs(spark, sf_dir)
+    total = docs.select(F.count("*")).scalar()
+    return report_lines(tm.term_hits(docs, _groups(spark)), total)
+
+
 def q02_term_matches(spark, sf_dir):
     return tm.term_matches(_docs(spark, sf_dir), _groups(spark, TEST_TERM_LINES))
 
@@ -155,6 +163,7 @@ def q12b_corpus_size(spark, sf_dir):
 QUERIES = {
     "q01_term_hits": q01_term_hits,
     "q01b_term_hits_token_join": q01b_term_hits_token_join,
+    "q01c_term_report": q01c_term_report,
     "q02_term_matches": q02_term_matches,
     "q03_parse_terms": q03_parse_terms,
     "q04_candidate_scores": q04_candidate_scores,
