@@ -40,6 +40,10 @@ RECOMMENDED_DIVISOR = 10
 MEDIUM_TIER_FLOOR = 3          # medium tier: 3 <= score < recommended
 
 # Report layout of the term-count table.
+REPORT_TITLE = "Search Results"
+REPORT_TOTAL_LABEL = "Total Markdown files searched: "
+REPORT_NAME_HEADER = "Search Term"
+REPORT_COUNT_HEADER = "Papers Found"
 REPORT_NAME_WIDTH = 40
 REPORT_COUNT_WIDTH = 12
 REPORT_RULE_WIDTH = 59

@@ -518,11 +518,11 @@ def _q01c() -> str:
     return f"""
 WITH hits AS ({_q01()}),
 n AS (SELECT count(*) AS n FROM documents)
-SELECT 0 AS line_no, 'Search Results' AS line
+SELECT 0 AS line_no, {_sq(c.REPORT_TITLE)} AS line
 UNION ALL SELECT 1, '{rule}'
-UNION ALL SELECT 2, 'Total Markdown files searched: ' || CAST(n AS VARCHAR) FROM n
+UNION ALL SELECT 2, {_sq(c.REPORT_TOTAL_LABEL)} || CAST(n AS VARCHAR) FROM n
 UNION ALL SELECT 3, '{rule}'
-UNION ALL SELECT 4, printf('%-{nw}s | %{cw}s', 'Search Term', 'Papers Found')
+UNION ALL SELECT 4, printf('%-{nw}s | %{cw}s', {_sq(c.REPORT_NAME_HEADER)}, {_sq(c.REPORT_COUNT_HEADER)})
 UNION ALL SELECT 5, '{dash}'
 UNION ALL SELECT CAST(5 + row_number() OVER (ORDER BY papers DESC, term) AS INTEGER),
                  printf('%-{nw}s | %{cw}d', term, papers) FROM hits"""

@@ -61,12 +61,12 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     rule = "=" * cfg.REPORT_RULE_WIDTH
     total = total_docs if not isinstance(total_docs, int) else F.lit(total_docs)
     header = [
-        F.lit("Search Results"),
+        F.lit(cfg.REPORT_TITLE),
         F.lit(rule),
-        F.format_string("Total Markdown files searched: %d", total),
+        F.format_string(cfg.REPORT_TOTAL_LABEL + "%d", total),
         F.lit(rule),
         F.format_string(f"%-{cfg.REPORT_NAME_WIDTH}s | %{cfg.REPORT_COUNT_WIDTH}s",
-                        F.lit("Search Term"), F.lit("Papers Found")),
+                        F.lit(cfg.REPORT_NAME_HEADER), F.lit(cfg.REPORT_COUNT_HEADER)),
         F.lit("-" * cfg.REPORT_RULE_WIDTH),
     ]
     head = spark.range(1).select(F.inline(F.array(*[
