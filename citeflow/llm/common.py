@@ -45,6 +45,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(columns: list[str], base: str) -> str:
+    """``base``, lengthened until no given column begins with it."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base = "_" + base
+    return base
+
+
 def spread_tasks(df: DataFrame) -> DataFrame:
     """At least as many tasks as cores for CPU-heavy work on a small input; an
     input that already arrives in more splits is returned as it is."""
@@ -138,6 +145,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["q"]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hash of the bytes of every non-empty span, from running sums."""
+    p, q = _powers(len(data))
+    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64)
+    low = np.where(start > 0, total[start - 1], np.uint64(0))
+    return mixed((total[end - 1] - low) * q[start] + (end - start).astype(np.uint64) * _MULT)
+
+
 def word_hashes(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (A-Z lower-cased) of the texts, in order, and the
     array ``first`` with text i owning words first[i]:first[i+1]."""
@@ -146,10 +161,7 @@ def word_hashes(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.n
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)
-    p, q = _powers(len(data))
-    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64)
-    low = np.where(start > 0, total[start - 1], np.uint64(0))
-    hashes = mixed((total[end - 1] - low) * q[start] + (end - start).astype(np.uint64) * _MULT)
+    hashes = span_hashes(data, start, end)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     first = np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))))
     return hashes, first

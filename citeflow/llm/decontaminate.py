@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffle, stored
+from .common import free_prefix, join_small_or_shuffle, stored
 
 #: Words of a window, of a hashed gram; a span of WINDOW words has WINDOW - GRAM + 1 grams.
 WINDOW, GRAM = 10, 5
@@ -166,8 +166,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with any benchmark item."""
+    p = free_prefix(docs.columns, "bad_")
     bad = (decontaminate(docs, benchmark, id_col, text_col).where("contaminated")
-           .select(F.col("doc_id").alias("x_id"), F.col("text_hash").alias("x_th")).distinct())
+           .select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}text")).distinct())
     bad = stored(bad, "contaminated")
-    on = F.col(id_col).eqNullSafe(F.col("x_id")) & (F.xxhash64(F.col(text_col)) == F.col("x_th"))
+    on = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{p}text"))
     return join_small_or_shuffle(docs, bad, on, "left_anti", bad.count(), 48)

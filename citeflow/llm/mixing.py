@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small_or_shuffle, stored
+from .common import free_prefix, join_small_or_shuffle, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -140,13 +140,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 42,
 def apply_mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 42,
               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, once, or repeated)."""
+    p = free_prefix(docs.columns, "mix_")
     plan = (mix(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("copies > 0")
-            .groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_text"))
-            .agg(F.max("copies").alias("m_copies")))
+            .groupBy(F.col("doc_id").alias(f"{p}id"), F.col("source").alias(f"{p}source"), F.col("text_hash").alias(f"{p}text"))
+            .agg(F.max("copies").alias(f"{p}copies")))
     plan = stored(plan, "mix-plan")
-    keyed = docs.withColumn("m_here", F.xxhash64(F.col(text_col)))
-    on = (F.col(id_col).eqNullSafe(F.col("m_id")) & F.col(source_col).eqNullSafe(F.col("m_source"))
-          & (F.col("m_here") == F.col("m_text")))
-    return (join_small_or_shuffle(keyed, plan, on, "inner", plan.count(), 48)
-            .withColumn("m_epoch", F.explode(F.sequence(F.lit(1), F.col("m_copies"))))
-            .select(*[F.col(c) for c in docs.columns]))
+    on = (F.col(id_col).eqNullSafe(F.col(f"{p}id")) & F.col(source_col).eqNullSafe(F.col(f"{p}source"))
+          & (F.xxhash64(F.col(text_col)) == F.col(f"{p}text")))
+    return (join_small_or_shuffle(docs, plan, on, "inner", plan.count(), 48)
+            .withColumn(f"{p}epoch", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))))
+            .select(*docs.columns))

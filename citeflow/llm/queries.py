@@ -4,9 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing
+from ..session import shared_dir
+from . import decontaminate, exact_dedup, langid, mixing, token_counts, token_output
 from .common import read_table
 
+#: Vocabulary file of the token queries, as the public tokenizer package names it.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -17,9 +35,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    token_output.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return token_output.read_tokens(spark, path)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_token_counts, op6_benchmark_decontamination, op7_exact_dedup, op8_token_output,
+                                    op10_mixing)}
