@@ -153,17 +153,22 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((total[end - 1] - low) * q[start] + (end - start).astype(np.uint64) * _MULT)
 
 
-def word_hashes(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased) of the texts, in order, and the
-    array ``first`` with text i owning words first[i]:first[i+1]."""
+def word_spans(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, ...]:
+    """(hash, first byte, end byte) of every word (A-Z lower-cased) of the texts joined by a blank, and
+    the array ``first`` with text i owning words first[i]:first[i+1]."""
     data = LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     inside = word[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)
-    hashes = span_hashes(data, start, end)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     first = np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))))
+    return span_hashes(data, start, end), start, end, first
+
+
+def word_hashes(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, in order, and where each text's words begin."""
+    hashes, _, _, first = word_spans(texts, word)
     return hashes, first
 
 

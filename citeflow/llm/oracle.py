@@ -34,3 +34,20 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
        doc_id = max(doc_id) OVER g AS kept, sha256(low) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY low)
 """
+
+ORACLE["op3_line_dedup"] = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, trim(lines[i], chr(32) || chr(9) || chr(13)) AS line
+      FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM d)),
+f AS (SELECT doc_id, pos, line, row_number() OVER w AS s, lead(line) OVER w AS after, lead(pos) OVER w AS after_pos
+      FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, after_pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, s) AS k FROM f WHERE after IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM r WHERE k > 1 UNION ALL SELECT doc_id, after_pos FROM r WHERE k > 1)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM gone GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(d.lines[l.pos + 1], chr(10) ORDER BY l.pos) AS text
+         FROM l JOIN d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY l.doc_id)
+SELECT d.doc_id, CAST((SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS BIGINT) AS n_lines,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(g.places, '') AS removed_lines,
+       CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
