@@ -35,9 +35,10 @@ class JoinConfig:
 
     k: int = 4
     percent: int = 85
-    block: int = 1000         # sets of a long list that meet at a time
-    hot_tokens: int = 200_000  # frequent shingles whose order is known exactly; the others sort by hash
-    count_tokens: int = 4_000_000  # shingles counted at a time in a task
+    block: int = 1000           # sets of a long list that meet at a time
+    compare_cost: float = 0.05  # of comparing two sets' sizes and sketches, in key rows sorted
+    hot_tokens: int = 200_000   # frequent shingles whose order is known exactly; the others sort by hash
+    count_tokens: int = 4_000_000   # shingles counted at a time in a task
 
     def least(self, n):
         """Smallest overlap of a set of size n with any set it links with."""
@@ -54,7 +55,7 @@ def _set_hash(u: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _sketch(u: np.ndarray) -> bytes:
+def sketch(u: np.ndarray) -> bytes:
     """512-bit parity bitmap: bit i is the parity of the number of shingles falling on i."""
     at = (mixed(u) >> np.uint64(55)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=512).astype(np.uint8) & 1).tobytes()
@@ -89,7 +90,8 @@ def _describe(rows: DataFrame, c: JoinConfig) -> DataFrame:
             value, count = np.unique(np.concatenate(tokens), return_counts=True)
             often = count >= max(3, sets // 1000)
             n = int(often.sum())
-            square, total = int((count.astype(np.int64) ** 2).sum()), int(count.sum())
+            rare = count[~often].astype(np.int64)  # frequent shingles come last in the order: lists of prefixes are of the others
+            square, total = int((rare ** 2).sum()), int(rare.sum())
             return record([_HOT] * n + [_SCAN], counts=count[often].tolist() + [square], values=value[often].view(np.int64).tolist() + [total])
 
         def record(kinds, ids=None, counts=None, values=None, sketches=None, hashes=None):
@@ -113,7 +115,7 @@ def _describe(rows: DataFrame, c: JoinConfig) -> DataFrame:
                 cid = _set_hash(u)
                 values.append(cid)
                 fresh = cid not in known
-                sketches.append(_sketch(u) if fresh and c.can_link(n) else None)
+                sketches.append(sketch(u) if fresh and c.can_link(n) else None)
                 if fresh:
                     known.add(cid)
                     sizes[n] = sizes.get(n, 0) + 1
@@ -134,16 +136,19 @@ def _describe(rows: DataFrame, c: JoinConfig) -> DataFrame:
 
 
 def boundary(sizes: dict[int, int], scan: float, c: JoinConfig) -> int:
-    """Largest size whose sets are enumerated: least total of subset rows below and scanned entries above."""
+    """Largest size whose sets are enumerated, by least total cost.
+
+    A set of size n costs its number of key rows: (p + 1) p / 2 subsets when small; when large p
+    inverted-list entries, plus the comparisons with the other ``scan`` - 1 sets of each list.
+    """
     order = sorted(n for n in sizes if c.can_link(n))
-    prefix = {n: n - c.least(n) + 1 for n in order}
-    total = sum(sizes[n] * prefix[n] * scan for n in order)
-    best, at = total, 0
+    best = total = at = 0.0
     for n in order:
-        total += sizes[n] * ((prefix[n] + 1) * prefix[n] / 2 - prefix[n] * scan)
-        if total < best:
+        p = n - c.least(n) + 1
+        total += sizes[n] * ((p + 1) * p / 2 - p * (1 + (scan - 1) * c.compare_cost))
+        if total <= best:
             best, at = total, n
-    return at
+    return int(at)
 
 
 # ---------------------------------------------------------------- pass 2: keys
@@ -203,7 +208,7 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], list(names))
 
 
-def _shared_keys(postings: DataFrame, c: JoinConfig) -> DataFrame:
+def shared_keys(postings: DataFrame, c: JoinConfig) -> DataFrame:
     """(key, cid, block) of the keys with two sets or more; block numbers the stretches of a long list.
 
     Rows come sorted by key and stream through, so a list of any length needs no memory.
@@ -238,7 +243,7 @@ def _shared_keys(postings: DataFrame, c: JoinConfig) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates
 
-def _candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig) -> DataFrame:
+def candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig) -> DataFrame:
     """(a, b), a < b: pairs that sizes and sketches allow, each once."""
     # a set's other shared keys of the same kind: a pair belongs to its smallest common one
     lists = shared.groupBy("cid").agg(F.collect_set("key").alias("own"))
@@ -254,7 +259,7 @@ def _candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig
             .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid"))
     percent = c.percent
 
-    def pairs_in(key, low, high, block, cid, size, sketch, earlier):
+    def pairs_in(key, low, high, block, cid, size, marks, earlier):
         """All pairs of rows of the same cell, by distance in the sorted order."""
         n = len(key)
         sets: dict[int, frozenset] = {}
@@ -271,7 +276,7 @@ def _candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig
             ok &= (low[i] == high[i]) | (block[i] != block[j])          # inside a block only once
             ok &= ((key[i] & 1) == 1) | (np.maximum(a, b) > light)       # two small sets meet under subsets
             i, j = i[ok], j[ok]
-            differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
             both = size[i] + size[j]
             ok = (100 + percent) * (both - differ) >= 2 * percent * both
             for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
@@ -286,12 +291,12 @@ def _candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig
     def run(batches):
         for t in _whole_groups(batches, ("key", "low", "high")):
             column = {name: t.column(name).to_numpy(zero_copy_only=False) for name in ("key", "low", "high", "block", "cid", "size")}
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, 8)
+            marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, 8)
             own = t.column("earlier")
             offsets, values = np.asarray(own.offsets), np.asarray(own.values)
             earlier = [values[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             left, right = pairs_in(column["key"], column["low"], column["high"], column["block"], column["cid"].tolist(),
-                                   column["size"], sketch, earlier)
+                                   column["size"], marks, earlier)
             if left:
                 yield _pairs_batch(np.minimum(left, right), np.maximum(left, right), ("a", "b"))
 
@@ -325,7 +330,7 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- verification
 
-def _verify(pairs: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
     """The pairs that link, checked on the whole sets.
 
     Pairs are dealt to cells by the smallest neighbour of each side, so the sets of a cluster
@@ -427,13 +432,13 @@ def _links(rows: DataFrame, seen: DataFrame, classes: DataFrame, c: JoinConfig)
     met = seen.where(F.col("kind") == _SCAN).agg(F.sum("n").alias("square"), F.sum("cid").alias("total"), F.count("*").alias("parts")).first()
     scan = 1 + (met["square"] / met["total"] - 1) * met["parts"] if met["total"] else 1.0
     light = boundary(sizes, scan, c)
-    shared = stored(_shared_keys(_postings(rows, token[place], rank, light, c), c), "shared-keys")
-    pairs = stored(_candidates(shared, classes.select("cid", "size", "sketch"), light, c), "candidates")
+    shared = stored(shared_keys(_postings(rows, token[place], rank, light, c), c), "shared-keys")
+    pairs = stored(candidates(shared, classes.select("cid", "size", "sketch"), light, c), "candidates")
     near = pairs.select(F.col("a").alias("c_cid")).unionByName(pairs.select(F.col("b").alias("c_cid"))).distinct()
     wanted = stored(classes.join(near, F.col("cid") == F.col("c_cid"))
                     .select(F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "wanted")
     sets = stored(_whole_sets(rows, wanted, wanted.count(), c.k), "whole-sets")
-    return stored(_verify(pairs, sets, c), "links")
+    return stored(verify(pairs, sets, c), "links")
 
 
 def _groups(links: DataFrame, classes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
-from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, token_counts, token_output
+from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, paragraph_dedup, token_counts, token_output
 from .common import read_table
 
 #: Vocabulary file of the token queries, as the public tokenizer package names it.
@@ -34,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.paragraph_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -58,5 +62,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_line_dedup, op4_token_counts, op6_benchmark_decontamination, op7_exact_dedup, op8_token_output,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_benchmark_decontamination, op7_exact_dedup, op8_token_output,
                                     op9_html_extraction, op10_mixing)}
