@@ -110,18 +110,20 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(step: list[dict[int, int]], width: int, base: int) -> np.ndarray:
-    """Flat table over (state, symbol): twice the row start of the next state, plus 1 where a phrase ends.
+    """Flat table over (state, symbol): four times the row start of the next state plus the phrases that end.
 
-    ``base`` is the first state of this automaton in the common table.
+    A symbol that no transition takes ends the phrase; if it begins no other either, it is a phrase
+    of its own. ``base`` is the first state of this automaton in the common table.
     """
-    root = np.full(width, base, dtype=np.int64)
+    root = np.full(width, base * width * 4 + 2, dtype=np.int64)
     for c, q in step[0].items():
-        root[c] = base + q
-    table = np.repeat((root * width * 2 + 1)[None, :], len(step), axis=0)
+        root[c] = (base + q) * width * 4 + 1
+    table = np.repeat(root[None, :], len(step), axis=0)
+    table[0][root == base * width * 4 + 2] -= 1  # at the root no phrase is in progress
     for s, out in enumerate(step):
         for c, q in out.items():
-            table[s, c] = (base + q) * width * 2
-    table[:, PAD] = (base + np.arange(len(step))) * width * 2
+            table[s, c] = (base + q) * width * 4
+    table[:, PAD] = (base + np.arange(len(step))) * width * 4
     return table.ravel()
 
 
@@ -164,9 +166,9 @@ class Model:
             for c in columns:
                 state += c
                 np.take(self.next, state, out=value, mode="clip")
-                count += value & 1
-                np.right_shift(value, 1, out=state)
-            count += 1  # the phrase in progress at the end of a block
+                count += value & 3
+                np.right_shift(value, 2, out=state)
+            count += state != self.starts[:, None]  # the phrase in progress at the end of a block
         owner = np.repeat(np.arange(len(texts)), blocks)
         return np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], axis=1) \
             if len(self.names) else np.zeros((len(texts), 0))

@@ -63,3 +63,58 @@ def targets(sizes, weights=(5, 2, 1), most=3):
             total -= out[s]
         left -= over
     return out
+
+
+# ---------------------------------------------------------------- n-gram join
+
+def word_list(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", low(text))
+
+
+def shingles(text, k):
+    w = word_list(text)
+    return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def near_groups(rows, k=4, percent=85):
+    """[(id, set size, component, links)] by comparing every pair."""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    parent = list(range(len(sets)))
+    links = [0] * len(sets)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    links[x] += 1
+                    links[y] += 1
+                    parent[root(x)] = root(y)
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        least[root(x)] = min(i, least.get(root(x), i))
+    return sorted((i, len(s), least[root(x)], links[x]) for x, (i, s) in enumerate(sets))
+
+
+# ---------------------------------------------------------------- lines
+
+def repeated_lines(rows, run):
+    """[(id, lines, removed places, text)] for rows of distinct ids."""
+    seen, out = set(), []
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        full = [(at, x.strip(" \t\r")) for at, x in enumerate(lines) if x.strip(" \t\r")]
+        gone = set()
+        for s in range(len(full) - run + 1):
+            key = tuple(x for _, x in full[s:s + run])
+            if key in seen:
+                gone.update(at for at, _ in full[s:s + run])
+            seen.add(key)
+        left = text if not gone else "\n".join(x for at, x in enumerate(lines) if at not in gone)
+        out.append((i, len(full), len(gone), ",".join(map(str, sorted(gone))), left))
+    return out
