@@ -57,9 +57,13 @@ def first_nonempty(*cols) -> Column:
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])
 
 
+#: Text shaped like a tag; a lone ``<`` or ``>`` of the text itself is none.
+TAG = r"</?[A-Za-z][^<>]*>"
+
+
 def strip_tags(col) -> Column:
-    """Remove inline markup from an element's text."""
-    return F.regexp_replace(_c(col), "<[^>]+>", "")
+    """Remove inline markup from an element's text, and nothing else."""
+    return F.regexp_replace(_c(col), TAG, "")
 
 
 # --- path algebra (C15) -------------------------------------------------------
@@ -113,30 +117,27 @@ def line_class(col, few: int = cfg.FEW_LINES, some: int = cfg.SOME_LINES) -> Col
 def size_ratio(out_col, src_bytes) -> Column:
     """C17: integer percentage out/src; NULL when the source size is 0."""
     src = _c(src_bytes)
-    return F.when(src > 0, (F.octet_length(_c(out_col)) * 100).cast("bigint") / src).cast("bigint")
+    out = F.octet_length(_c(out_col)).cast("bigint")
+    return F.when(src > 0, F.call_function("div", out * 100, src.cast("bigint")))
 
 
 def bibliography_regex(headings=cfg.BIBLIOGRAPHY_HEADINGS) -> str:
-    """First line that starts (after blanks and optional ``#`` marks) with a heading word.
+    """Everything from the first line that starts (after blanks and optional ``#`` marks) with a
+    heading word, with the line break before it, to the end of the text.
 
-    ``(?m)`` with ``d`` (only ``\\n`` ends a line) reproduces per-line matching;
     ``[^\\S\\n]`` keeps the leading blanks on the same line.
     """
     words = "|".join(quote(h) for h in headings)
-    return rf"(?imdUu)^[^\S\n]*(?:#+[^\S\n]*)?(?:{words})\b"
+    return rf"(?iUu)(?:\A|\n)[^\S\n]*(?:#+[^\S\n]*)?(?:{words})\b(?s:.*)\z"
 
 
 def truncate_bibliography(col, headings=cfg.BIBLIOGRAPHY_HEADINGS) -> Column:
     """Cut the text at the first bibliography heading line.
 
-    Heading on line 1 → empty text; no heading → unchanged. Done with one regex
-    search instead of splitting the document into an array of lines.
+    Heading on line 1 → empty text; no heading → unchanged. One regex replacement,
+    so no positions are counted (characters outside the BMP are safe).
     """
-    c = _c(col)
-    pos = F.regexp_instr(c, F.lit(bibliography_regex(headings)))
-    return (F.when(pos == 0, c)
-            .when(pos == 1, F.lit(""))
-            .otherwise(F.substring(c, F.lit(1), pos - 2)))
+    return F.regexp_replace(_c(col), bibliography_regex(headings), "")
 
 
 # --- markup → text (K1) -------------------------------------------------------
@@ -145,18 +146,32 @@ def truncate_bibliography(col, headings=cfg.BIBLIOGRAPHY_HEADINGS) -> Column:
 DROPPED_ELEMENTS = ("script", "style", "nav")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
             ("&amp;", "&"))
-BREAK_TAGS = r"(?i)<(br|p|/p|/h[1-6]|li|/li|/div|/tr|/title)\b[^>]*>"
+BREAK_TAGS = r"(?i)<(br|p|/p|/h[1-6]|li|/li|/div|/tr|/title|dt|/dd|sec|/sec|/article-title|/abstract)\b[^>]*>"
+CELL_TAGS = r"(?i)<(/td|/th|/dt|td|th|dd)\b[^>]*>"
+# FIXED VALUES: heading elements of the article format and their levels.
+JATS_HEADINGS = (("article-title", 1), ("title", 2))
 
 
-def markup_to_text(col) -> Column:
-    """K1: HTML/JATS markup → plain text with ``#`` headings, as a native chain."""
+def _without_markup(col, fmt=None) -> Column:
+    """Markup turned into line breaks, ``#`` headings and blanks; entities still as written."""
     t = F.regexp_replace(_c(col), r"(?s)<!--.*?-->", "")
     for tag in DROPPED_ELEMENTS:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+    if fmt is not None:
+        for tag, level in JATS_HEADINGS:
+            t = F.when(fmt == "jats", F.regexp_replace(t, rf"(?i)<{tag}\b[^>]*>", "\n" + "#" * level + " ")).otherwise(t)
     for level in range(1, 7):
         t = F.regexp_replace(t, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
     t = F.regexp_replace(t, BREAK_TAGS, "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
+    t = F.regexp_replace(t, CELL_TAGS, " ")
+    return F.regexp_replace(t, r"</?[A-Za-z!?][^<>]*>", "")
+
+
+def markup_to_text(col, fmt=None) -> Column:
+    """K1: HTML/JATS markup → plain text with ``#`` headings, as a native chain.
+
+    ``fmt`` (C16: jats | html) selects the headings of the article format."""
+    t = _without_markup(col, fmt)
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.regexp_replace(t, r"[ \t]+", " ")
@@ -165,11 +180,13 @@ def markup_to_text(col) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
-def conversion_status(src, out) -> Column:
-    """K1 status: failed (no input), empty (no text), ok_with_warnings (leftover
-    markup or unknown entities, the strict pass would fail), ok."""
+def conversion_status(src, out, fmt=None) -> Column:
+    """K1 status: failed (no input), empty (no text), ok_with_warnings (markup or entities that the
+    chain does not know, so a strict pass would fail), ok. Judged before entities are decoded:
+    an encoded ``&lt;`` is text, not left-over markup."""
     s, o = _c(src), _c(out)
+    known = "|".join(e.strip("&;") for e, _ in ENTITIES)
     return (F.when(s.isNull(), "failed")
             .when(o == "", "empty")
-            .when(o.rlike(r"[<>]|&[A-Za-z#0-9]+;"), "ok_with_warnings")
+            .when(_without_markup(s, fmt).rlike(rf"[<>]|&(?!(?:{known});)[A-Za-z#0-9]+;"), "ok_with_warnings")
             .otherwise("ok"))

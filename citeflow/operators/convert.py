@@ -15,10 +15,14 @@ def sniff(docs: DataFrame, content: str = "content", cfg: ConvertConfig = Conver
     return docs.withColumn("format", tx.sniff_format(F.col(content), cfg.markers, cfg.sniff_lines))
 
 
-def convert(docs: DataFrame, content: str = "content") -> DataFrame:
-    """K1: add ``text`` and ``status`` (ok, ok_with_warnings, failed, empty)."""
-    out = tx.markup_to_text(F.col(content))
-    return docs.withColumn("text", out).withColumn("status", tx.conversion_status(F.col(content), F.col("text")))
+def convert(docs: DataFrame, content: str = "content", cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
+    """K1: add ``format`` (if absent, sniffed), ``text`` and ``status`` (ok, ok_with_warnings,
+    failed, empty). The format selects the reader, as in the original."""
+    if "format" not in docs.columns:
+        docs = sniff(docs, content, cfg)
+    fmt = F.col("format")
+    out = tx.markup_to_text(F.col(content), fmt)
+    return docs.withColumn("text", out).withColumn("status", tx.conversion_status(F.col(content), F.col("text"), fmt))
 
 
 def qa(converted: DataFrame, path: str, root: str, out_root: str, src_bytes: str = "src_bytes",

@@ -1,20 +1,20 @@
 """Dictionary term search over a text corpus.
 
 How many documents mention each term group, where a group is a set of literal
-alternatives matched as whole words, case-insensitively.
-
-Plan shape. The dictionary is configuration-sized, so it is parsed with Spark,
-size-checked, and compiled on the driver into one *foldable* regex per group.
-The corpus is then scanned exactly once: every group becomes a ``count_if``
-column of a single global aggregate (partial per task, one tiny final merge),
-and the wide result row is turned into ``(term, papers)`` rows. Groups with
-no hit come out with 0 for free. No shuffle of document data happens at all.
-
-Beyond ``TermConfig.max_regex_alternatives`` alternatives, the regex path is
-replaced by a token-join path: each document row is cut into word tokens,
-n-grams up to the longest phrase are formed with array functions inside the
-row, and a join against the (broadcast, size-checked) n-gram dictionary finds
-matches; distinct ``(term, doc)`` pairs are then counted.
+alternatives matched as whole words, case-insensitively (``TermConfig``).
+
+A match has one definition: the regex of ``functions.patterns.literal_regex`` finds
+the alternative in the text. Two plans evaluate it, and give the same rows:
+
+* a configuration-sized dictionary is compiled into *foldable* regexes, and one
+  scan of the corpus evaluates all of them;
+* a larger dictionary stays a DataFrame. Every alternative has an *anchor*, a
+  token its match cannot do without (a whole word run, a whole run between words,
+  or, for matches inside words, a short character sequence). The documents' tokens are
+  joined with the anchors, and each candidate (document, alternative) is then
+  checked with the alternative's regex on the document's own text, in one pass.
+
+Distinct documents are counted per group; groups without a hit come out with 0.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import TermConfig
-from ..functions.patterns import alternation_regex, literal_regex
+from ..functions.patterns import alternation_regex, flags, literal_regex
 from ..functions.text import py_strip
-from .util import bounded_collect, latest, row_bound, sized_broadcast
+from .util import latest
 
 TERM_GROUP_SCHEMA = "line_no int, name string, patterns array<string>"
 
@@ -62,18 +62,15 @@ def parse_terms(lines: DataFrame, value: str = "value", line_no: str = "line_no"
     )
 
 
-def term_groups(parsed: DataFrame, cfg: TermConfig = TermConfig(), max_groups: int = 100_000):
+def term_groups(parsed: DataFrame, cfg: TermConfig = TermConfig()):
     """Accepted groups as a driver list [(name, [patterns])] in line order.
 
+    For dictionaries meant for the driver (a configuration file); a large one is
+    given to the operators below as a DataFrame and never comes here.
     Duplicate names raise unless ``cfg.last_wins`` (then the last line wins).
-    The collect is bounded: a dictionary larger than ``max_groups`` is refused.
     """
-    rows = bounded_collect(
-        parsed.where(F.col("status") == "ok").select("line_no", "name", "patterns"),
-        max_groups, what="term dictionary")
-    rows.sort(key=lambda r: r["line_no"])
     out: dict[str, list] = {}
-    for r in rows:
+    for r in parsed.where(F.col("status") == "ok").select("line_no", "name", "patterns").orderBy("line_no").toLocalIterator():
         if r["name"] in out and not cfg.last_wins:
             raise ValueError(f"duplicate term group name: {r['name']!r}")
         out.pop(r["name"], None)
@@ -95,10 +92,6 @@ def dictionary_alternatives(parsed: DataFrame, cfg: TermConfig = TermConfig()) -
     return ok.select(F.col("name").alias("term"), F.explode("patterns").alias("alt"))
 
 
-def _n_alternatives(groups) -> int:
-    return sum(len(p) for _, p in groups)
-
-
 # Non-ASCII characters that java.util.regex with (?iu) treats as equal to an
 # ASCII letter (their upper or lower case is ASCII): dotted capital I,
 # dotless small i, long s, Kelvin sign. FIXED VALUES.
@@ -138,131 +131,150 @@ def _guarded(fold, text_col, alternatives, cfg: TermConfig, single: bool = False
     return m if pre is None else (pre & m)
 
 
+def _as_alternatives(spark, groups) -> DataFrame:
+    return spark.createDataFrame([(n, a) for n, pats in groups for a in pats], "term string, alt string")
+
+
+def _plan(corpus: DataFrame, groups, cfg: TermConfig):
+    """(driver list, None) for the compiled plan, (None, alternatives) for the token plan.
+
+    Only the plan depends on the size: both give the same rows. Regex alternatives
+    have no anchor and are always compiled.
+    """
+    if isinstance(groups, DataFrame):
+        alts = dictionary_alternatives(groups, cfg)
+        if cfg.regex or alts.limit(cfg.max_regex_alternatives + 1).count() <= cfg.max_regex_alternatives:
+            return term_groups(groups, cfg), None
+        return None, alts
+    if cfg.regex or sum(len(p) for _, p in groups) <= cfg.max_regex_alternatives:
+        return groups, None
+    return None, _as_alternatives(corpus.sparkSession, groups)
+
+
 def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id",
               cfg: TermConfig = TermConfig()) -> DataFrame:
     """q01: (term, papers) — distinct documents per group, zero-hit groups kept.
 
-    ``groups`` is either a driver list [(name, [alternatives])] or the parsed
-    dictionary DataFrame of ``parse_terms``. A DataFrame dictionary is only
-    brought to the driver when a bounded probe shows it is small enough for the
-    regex path; a large one stays in Spark end to end (token-join path).
+    ``groups`` is a driver list [(name, [alternatives])] or the parsed
+    dictionary DataFrame of ``parse_terms``.
     """
-    if isinstance(groups, DataFrame):
-        alts = dictionary_alternatives(groups, cfg)
-        if cfg.regex or row_bound(alts, cfg.max_regex_alternatives):
-            groups = term_groups(groups, cfg)
-        else:
-            return _term_hits_tokens(corpus, alts, text, key, cfg)
-    if not groups:
-        return corpus.sparkSession.createDataFrame([], "term string, papers bigint")
-    if _n_alternatives(groups) > cfg.max_regex_alternatives and not cfg.regex:
-        alts = corpus.sparkSession.createDataFrame(
-            [(n, a) for n, pats in groups for a in pats], "term string, alt string")
-        return _term_hits_tokens(corpus, alts, text, key, cfg)
-    src = corpus.select(F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
-    aggs = [F.count_if(_guarded(F.col("_f"), F.col("_t"), pats, cfg)).alias(f"g{i}")
-            for i, (_, pats) in enumerate(groups)]
-    wide = src.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("term"), F.col(f"g{i}").cast("bigint").alias("papers"))
-        for i, (name, _) in enumerate(groups)
-    ])
-    return wide.select(F.inline(rows))
+    spark = corpus.sparkSession
+    listed, alts = _plan(corpus, groups, cfg)
+    if listed is not None:
+        src = corpus.select(F.col(key).alias("_k"), F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
+        tests = [F.when(_guarded(F.col("_f"), F.col("_t"), pats, cfg), F.lit(name)) for name, pats in listed if pats]
+        found = F.filter(F.array(*tests).cast("array<string>"), lambda x: x.isNotNull())
+        pairs = src.select("_k", F.explode(found).alias("term"))
+        names = spark.createDataFrame([(n,) for n, _ in listed], "term string")
+    else:
+        pairs = _token_matches(corpus, alts, text, key, cfg).select(F.col(key).alias("_k"), "term")
+        names = alts.select("term").distinct()
+    counts = pairs.distinct().groupBy("term").agg(F.count("*").alias("papers"))
+    return names.join(counts, "term", "left").select(
+        "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
 
 
 def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id",
                  cfg: TermConfig = TermConfig()) -> DataFrame:
-    """q02 / B7: one row per (term, pattern, document) that matches, single scan.
-
-    A parsed-dictionary DataFrame too large for per-pattern regexes is matched
-    through the token-join path instead (it never reaches the driver)."""
-    if isinstance(groups, DataFrame):
-        alts = dictionary_alternatives(groups, cfg)
-        if cfg.regex or row_bound(alts, cfg.max_regex_alternatives):
-            groups = term_groups(groups, cfg)
-        else:
-            return (_token_matches(corpus, alts, text, key, cfg).distinct()
-                    .select("term", F.col("alt").alias("pattern"), key))
-    hit_type = T.StructType([T.StructField("term", T.StringType()),
-                             T.StructField("pattern", T.StringType())])
+    """q02 / B7: one row per (term, pattern, document) that matches, single scan."""
+    listed, alts = _plan(corpus, groups, cfg)
+    if listed is None:
+        return (_token_matches(corpus, alts, text, key, cfg)
+                .select("term", F.col("alt").alias("pattern"), key).distinct())
     src = corpus.select(key, F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
     cands = [
         F.when(_guarded(F.col("_f"), F.col("_t"), [p], cfg, single=True),
                F.struct(F.lit(name).alias("term"), F.lit(p).alias("pattern")))
-        for name, pats in groups for p in pats
+        for name, pats in listed for p in pats
     ]
-    if not cands:
-        return corpus.sparkSession.createDataFrame([], f"term string, pattern string, {key} bigint")
-    hits = F.filter(F.array(*cands).cast(T.ArrayType(hit_type)), lambda x: x.isNotNull())
-    return (src.select(key, F.explode(hits).alias("h"))
-            .select("h.term", "h.pattern", key))
-
-
-# --- token-join path for large dictionaries ----------------------------------
-
-def _term_hits_tokens(corpus: DataFrame, alts: DataFrame, text: str, key: str,
-                      cfg: TermConfig, max_complex: int = 500) -> DataFrame:
-    """Counts of distinct documents per term from the token-join matches."""
-    hits = _token_matches(corpus, alts, text, key, cfg, max_complex).select("term", key)
-    counts = hits.distinct().groupBy("term").agg(F.count("*").alias("papers"))
-    names = alts.select("term").distinct()
-    return names.join(counts, "term", "left").select(
-        "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
-
-
-def _token_matches(corpus: DataFrame, alts: DataFrame, text: str, key: str,
-                   cfg: TermConfig, max_complex: int = 500) -> DataFrame:
-    """Equi-join form of E5 for dictionaries too large for one regex per group.
-
-    Per document (one row, so no grouping), the lower-cased text is cut into
-    maximal word runs w1, w2, … and the separator runs s1, s2, … between them.
-    An alternative that starts and ends with a word character matches as a
-    whole word exactly where some w_i s_i … w_{i+n-1} equals it (n = its number
-    of word runs), so every such n-gram of the document is formed with array
-    functions and the distinct grams are joined with the dictionary on the gram
-    (broadcast when its size is checked small, otherwise a shuffle join). Only
-    matching (term, document) pairs are shuffled. Alternatives that start or end
-    with a non-word character (few in practice, bounded) get their own regex.
+    hit_type = T.ArrayType(T.StructType([T.StructField("term", T.StringType()),
+                                         T.StructField("pattern", T.StringType())]))
+    hits = F.filter(F.array(*cands).cast(hit_type), lambda x: x.isNotNull())
+    return (src.select(key, F.explode(hits).alias("h")).select("h.term", "h.pattern", key).distinct())
+
+
+def match_listing(matches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The listing in print order: term, pattern, then document ascending."""
+    return matches.orderBy("term", "pattern", key)
+
+
+# --- token plan for large dictionaries ----------------------------------------
+
+#: Characters of an anchor that may stand inside a word.
+GRAM = 3
+
+
+def case_key(col, cfg: TermConfig):
+    """Text for anchor lookup: characters that the regex flags treat as equal become
+    equal: upper, then lower case, with the characters whose full case mapping differs
+    from the one-to-one mapping mapped by hand. The capital sigma is lowered between the two
+    (its lower case depends on the place in the word; it also keeps the optimizer from
+    folding lower(upper(x)) into lower(x), which is not the same)."""
+    if not cfg.case_insensitive:
+        return col
+    upper = F.upper(F.translate(col, "\u0130\u1e9e", "i\u00df"))
+    return F.lower(F.translate(upper, "\u03a3", "\u03c3"))
+
+
+def _longest(pieces):
+    """First longest string of an array (null when it is empty)."""
+    return F.array_max(F.transform(pieces, lambda x, i: F.struct(
+        F.length(x).alias("n"), (-i).alias("at"), x.alias("x"))))["x"]
+
+
+def _anchors(alts: DataFrame, cfg: TermConfig) -> DataFrame:
+    """(term, alt, regex, kind, anchor). Kind 0: a maximal run of word characters;
+    1: a maximal run of others; 2 to 2 + GRAM - 1: one to GRAM characters anywhere."""
+    a = alts.select("term", "alt", case_key(F.col("alt"), cfg).alias("_f"))
+    words = _longest(F.regexp_extract_all("_f", F.lit(r"(?U)(\w+)"), 1))
+    solid = _longest(F.split("_f", " ")) if cfg.normalize_ws else F.col("_f")
+    gram = F.substring(solid, 1, GRAM)
+    gram_kind = F.least(F.length(solid), F.lit(GRAM)) + 1
+    if cfg.whole_word:
+        # every run inside a whole-word match is a whole run of the text
+        gap = F.lit(cfg.normalize_ws) & F.col("_f").contains(" ")
+        kind = F.when(words.isNotNull(), 0).when(~gap, 1).otherwise(gram_kind)
+        anchor = F.when(words.isNotNull(), words).when(~gap, F.col("_f")).otherwise(gram)
+    else:
+        kind, anchor = gram_kind, gram
+    quoted = F.transform(F.split("alt", " ") if cfg.normalize_ws else F.array("alt"), lambda x: F.concat(
+        F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    edge = "\\b" if cfg.whole_word else ""
+    regex = F.concat(F.lit(flags(cfg.case_insensitive) + edge + "(?:"), F.array_join(quoted, "\\s+"), F.lit(")" + edge))
+    return a.select("term", "alt", regex.alias("regex"), kind.cast("int").alias("kind"), anchor.alias("anchor"))
+
+
+def _tokens(low, kind: int):
+    """Distinct anchors of one kind in a document (``low`` its case key, ``_c`` the characters)."""
+    if kind < 2:
+        found = F.regexp_extract_all(low, F.lit(r"(?U)(\w+)" if kind == 0 else r"(?U)(\W+)"), 1)
+    else:
+        n = kind - 1
+        found = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_c") - n, F.lit(0))),
+                            lambda i: F.concat_ws("", *[F.get("_c", i + j) for j in range(n)]))
+    return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("anchor")))
+
+
+def _token_matches(corpus: DataFrame, alts: DataFrame, text: str, key: str, cfg: TermConfig) -> DataFrame:
+    """E5 for dictionaries too large to compile: (term, alt, key) of every match.
+
+    Tokens are distinct per document before the join; candidates are gathered per
+    document (at most the alternatives its own tokens can anchor) and meet its text again
+    in one join, where their regexes decide.
     """
-    spark = corpus.sparkSession
-    a = alts.select("term", F.lower(F.col("alt")).alias("gram"), F.col("alt"))
-    simple_rule = F.col("alt").rlike(r"(?U)^\w(.*\w)?$")
-    simple = a.where(simple_rule).select(
-        "term", "alt", "gram", F.size(F.regexp_extract_all("gram", F.lit(r"(?U)\w+"), 0)).alias("n"))
-    complex_alts = bounded_collect(a.where(~simple_rule).select("term", "alt"), max_complex,
-                                   what="alternatives with non-word edges")
-    max_n = simple.agg(F.max("n")).first()[0] or 1
-    low = F.lower(F.col(text))
-    rx = F.lit(r"(?U)(\w+)(\W*)")
-    # Tokens and separators become real columns first, so the per-position
-    # lambdas below index arrays instead of re-running the tokenizer.
-    toks = corpus.select(key, F.regexp_extract_all(low, rx, 1).alias("_w"),
-                         F.regexp_extract_all(low, rx, 2).alias("_s"))
-    w, sp = F.col("_w"), F.col("_s")
-
-    def gram_at(n):
-        def f(i):
-            parts = []
-            for k in range(n):
-                parts.append(F.try_element_at(w, i + k))
-                if k < n - 1:
-                    parts.append(F.try_element_at(sp, i + k))
-            return F.concat(*parts)
-        return f
-
-    per_n = [w]
-    for n in range(2, max_n + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        grams = F.transform(starts, gram_at(n))
-        per_n.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
-    doc_grams = toks.select(key, F.explode(F.array_distinct(F.flatten(F.array(*per_n)))).alias("gram"))
-    dictionary = simple.select("term", "alt", "gram")
-    hits = doc_grams.join(sized_broadcast(dictionary, 5_000_000), "gram").select("term", "alt", key)
-    for r in complex_alts:
-        rx_c = literal_regex(r["alt"], cfg.case_insensitive, cfg.whole_word, False, cfg.normalize_ws)
-        hits = hits.unionByName(corpus.where(F.col(text).rlike(rx_c)).select(
-            F.lit(r["term"]).alias("term"), F.lit(r["alt"]).alias("alt"), key))
-    return hits
+    anchors = _anchors(alts, cfg)
+    low = case_key(F.col("_t"), cfg)
+    kinds = sorted(r["kind"] for r in anchors.select("kind").distinct().collect())  # at most GRAM + 2
+    tokens = [_tokens(low, k) for k in kinds]
+    docs = corpus.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
+    per_doc = docs.withColumn("_c", F.split(low, "")) if any(k >= 2 for k in kinds) else docs
+    toks = per_doc.select("_k", "_h", F.explode(F.concat(*tokens) if tokens else F.array().cast(
+        "array<struct<kind:int,anchor:string>>")).alias("_x")).select("_k", "_h", "_x.kind", "_x.anchor")
+    cand = (toks.join(anchors, ["kind", "anchor"])
+            .groupBy(F.col("_k").alias("c_k"), F.col("_h").alias("c_h")).agg(F.collect_set(F.struct("term", "alt", "regex")).alias("_a")))
+    met = docs.join(cand, F.col("_k").eqNullSafe(F.col("c_k")) & (F.col("_h") == F.col("c_h")))
+    sure = F.filter("_a", lambda x: F.regexp_like(F.col("_t"), x["regex"]))
+    return met.select(F.col("_k").alias(key), F.explode(sure).alias("_m")).select("_m.term", "_m.alt", key)
 
 
 def ranked_hits(hits: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def q01_term_hits(spark, sf_dir):
 
 
 def q01b_term_hits_token_join(spark, sf_dir):
-    """q01 through the large-dictionary strategy: the parsed dictionary stays a
-    DataFrame and is matched as token n-grams ⋈ dictionary."""
+    """q01 through the large-dictionary plan: the parsed dictionary stays a
+    DataFrame and its anchors are joined with the documents' tokens."""
     lines = spark.createDataFrame(list(enumerate(TERM_LINES, 1)), "line_no int, value string")
     return tm.term_hits(_docs(spark, sf_dir), tm.parse_terms(lines),
                         cfg=TermConfig(max_regex_alternatives=0))
@@ -81,8 +81,29 @@ def q01c_term_report(spark, sf_dir):
     return report_lines(tm.term_hits(docs, _groups(spark)), total)
 
 
+def _item_dictionary(spark, sf_dir):
+    """A dictionary derived from the benchmark: one group per item, its distinct
+    words and its first three words as a phrase."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    b = tb.table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    alts = F.concat(F.array_distinct("w"), F.array(F.array_join(F.slice("w", 1, 3), " ")))
+    return b.select((F.col("item_id") + 1).cast("int").alias("line_no"), F.concat(
+        F.lit("item "), F.col("item_id").cast("string"), F.lit(": "), F.array_join(alts, "|")).alias("value"))
+
+
+def q01d_large_dictionary(spark, sf_dir):
+    """A dictionary of more than 500 alternatives, derived from the tables, with the default switch."""
+    return tm.term_hits(_docs(spark, sf_dir), tm.parse_terms(_item_dictionary(spark, sf_dir)))
+
+
+def q01e_inside_words(spark, sf_dir):
+    """q01 with matches inside words."""
+    cfg = TermConfig(whole_word=False)
+    return tm.term_hits(_docs(spark, sf_dir), _groups(spark, cfg=cfg), cfg=cfg)
+
+
 def q02_term_matches(spark, sf_dir):
-    return tm.term_matches(_docs(spark, sf_dir), _groups(spark, TEST_TERM_LINES))
+    return tm.match_listing(tm.term_matches(_docs(spark, sf_dir), _groups(spark)))
 
 
 def q03_parse_terms(spark, sf_dir):
@@ -164,6 +185,8 @@ QUERIES = {
     "q01_term_hits": q01_term_hits,
     "q01b_term_hits_token_join": q01b_term_hits_token_join,
     "q01c_term_report": q01c_term_report,
+    "q01d_large_dictionary": q01d_large_dictionary,
+    "q01e_inside_words": q01e_inside_words,
     "q02_term_matches": q02_term_matches,
     "q03_parse_terms": q03_parse_terms,
     "q04_candidate_scores": q04_candidate_scores,

@@ -22,6 +22,7 @@ EMPTY_DOC_MOD = 41               # landing: documents with doc_id % 41 = 0 arriv
 BIBLIO_MOD = 3                   # truncation: a heading is spliced into doc_id % 3 = 0
 BLANK_PRIMARY_MOD = 5            # rendition fallback: primary blank for page_id % 5 = 0
 CORRECTED = "Corrected: "        # title prefix of the second delivery of a record
+SIGNS = " Fst < 0.05 and pi > 0.1 in maize"  # literal signs at the end of every 13th title
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +51,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     nxt = li.select(F.col("l_orderkey"), (F.col("l_linenumber") - 1).alias("l_linenumber"),
                     F.col("l_partkey").alias("b"))
-    fwd = li.join(nxt, ["l_orderkey", "l_linenumber"]).select(
-        F.col("l_partkey").alias("seed_id"), F.col("b").alias("cand_id"))
-    back = fwd.select(F.col("cand_id").alias("seed_id"), F.col("seed_id").alias("cand_id"))
-    return fwd.unionByName(back).where(F.col("seed_id") != F.col("cand_id"))
+    pair = li.join(nxt, ["l_orderkey", "l_linenumber"]).where(F.col("l_partkey") != F.col("b"))
+    both = F.array(F.struct(F.col("l_partkey").alias("seed_id"), F.col("b").alias("cand_id")),
+                   F.struct(F.col("b").alias("seed_id"), F.col("l_partkey").alias("cand_id")))
+    return pair.select(F.inline(both))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,8 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, batch, xml): one PubmedArticle per document — title = first line,
     one AbstractText per further line, publication types = source and lang.
 
-    Every 7th title carries inline markup, every 10th record also lists a
+    Every 7th record carries inline markup in title and abstract, every 13th title holds literal
+    ``<`` and ``>``, every 10th record also lists a
     second PMID inside a corrections list (must not start a new record), and
     every 10th document is delivered twice: batch 1 carries a corrected title
     ("Corrected: " prefix) that must win over batch 0.
@@ -109,9 +111,10 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(F.col("doc_id") % 7 == 0,
                       F.regexp_replace(t, r"^(\S+)", "<i>$1</i>")).otherwise(t)
 
-    title = marked(F.element_at(lines, 1))
+    signs = F.when(F.col("doc_id") % 13 == 0, F.lit(SIGNS)).otherwise(F.lit(""))
+    title = marked(F.concat(F.element_at(lines, 1), signs))
     sections = F.array_join(F.transform(F.slice(lines, 2, 1 << 30),
-                                        lambda s: F.concat(F.lit("<AbstractText>"), _xml_escape(s),
+                                        lambda s: F.concat(F.lit("<AbstractText>"), marked(s),
                                                            F.lit("</AbstractText>"))), "")
     corrections = F.when(F.col("doc_id") % 10 == 0, F.concat(
         F.lit("<CommentsCorrectionsList><CommentsCorrections><PMID>"),
@@ -129,7 +132,7 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     first = d.select(F.col("doc_id").alias("pmid"), F.lit(0).alias("batch"), record(title).alias("xml"))
     again = d.where(F.col("doc_id") % 10 == 0).select(
-        F.col("doc_id").alias("pmid"), F.lit(1).alias("batch"), record(marked(F.concat(F.lit(CORRECTED), F.element_at(lines, 1)))).alias("xml"))
+        F.col("doc_id").alias("pmid"), F.lit(1).alias("batch"), record(marked(F.concat(F.lit(CORRECTED), F.element_at(lines, 1), signs))).alias("xml"))
     return first.unionByName(again)
 
 
@@ -192,8 +195,17 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, path, src_bytes, content): pages as landed files; every 7th sits
     outside the raw root (its output goes to the top of the output root)."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.expr(PAGE_PATH_SQL).alias("path"),
-                    F.octet_length("html").alias("src_bytes"), F.col("html").alias("content"))
+    p = p.select("page_id", F.expr(PAGE_PATH_SQL).alias("path"), F.expr(PAGE_CONTENT_SQL).alias("content"))
+    return p.select("page_id", "path", F.octet_length("content").alias("src_bytes"), "content")
+
+
+# Every fifth page also has a table, a definition list and encoded signs; every fifth is an
+# article of the other format, with sections.
+PAGE_CONTENT_SQL = """CASE page_id % 5
+  WHEN 0 THEN html || '<table><tr><td>SNP</td><td>GWAS &lt; 0.05</td></tr></table><dl><dt>SNP</dt><dd>Fst 😀</dd></dl>'
+  WHEN 1 THEN '<article xmlns="x"><front><article-title>About ' || url || '</article-title></front><sec><title>Methods</title>'
+    || '<p>One &amp; two</p></sec><sec><title>Data</title><p>a &gt; b</p></sec></article>'
+  ELSE html END"""
 
 
 PAGE_PATH_SQL = f"""CASE WHEN page_id % 7 = 0 THEN '/elsewhere/' || CAST(page_id AS STRING) || '.htm'
@@ -210,7 +222,7 @@ def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPLICE_SQL = """CASE doc_id % 6
   WHEN 0 THEN text || chr(10) || '## References' || chr(10) || 'Smith J (2020) A cited work.'
-  WHEN 1 THEN text || chr(10) || 'BIBLIOGRAPHY' || chr(10) || '[1] Doe J.'
+  WHEN 1 THEN '😀😀😀😀 ' || text || chr(10) || 'BIBLIOGRAPHY' || chr(10) || '[1] Doe J.'
   WHEN 2 THEN text || chr(10) || 'Referenced works follow.'
   WHEN 3 THEN '  # Literature Cited' || chr(10) || text
   WHEN 4 THEN substr(text, 1, instr(text, chr(10))) || 'Reference genome v2 was used.' || chr(10) || text

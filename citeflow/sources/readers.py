@@ -63,9 +63,12 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def id_list(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+def id_list(spark: SparkSession, path: str, header: bool = False, skip: int = 0) -> DataFrame:
     """A3: ids from a plain list or a ranked TSV: first tab field, CR stripped,
-    empties dropped. ``header`` must be explicit (no silent default, trap T12)."""
+    empties dropped. ``header`` or a number of leading lines to ``skip`` per file must be
+    explicit (no silent default, trap T12). ``skip`` reads each file as a unit."""
+    if skip:
+        return tx.parse_id_lines(text_lines(spark, path), "value", header_lines=skip, line_no="line_no")
     raw = (
         spark.read.schema("value string").option("sep", "\t").option("header", header)
         .option("mode", "PERMISSIVE").csv(path)
@@ -110,7 +113,7 @@ def flatten_article(df: DataFrame, col: str | None = None, keep=()) -> DataFrame
         *keep,
         tx.clean_id(mc.getField("PMID")).alias("pmid"),
         F.coalesce(tx.strip_tags(art.getField("ArticleTitle")), F.lit("")).alias("title"),
-        F.coalesce(F.array_join(sections, " "), F.lit("")).alias("abstract"),
+        F.coalesce(F.array_join(F.transform(sections, tx.strip_tags), " "), F.lit("")).alias("abstract"),
         F.coalesce(types, F.array().cast("array<string>")).alias("pubtypes"),
         F.coalesce(F.array_join(types, ";"), F.lit("")).alias("pubtypes_joined"),
         F.when(sections.isNotNull(), F.size(sections)).otherwise(F.lit(0)).alias("n_sections"),
@@ -122,18 +125,39 @@ def crosswalk(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CROSSWALK_SCHEMA).option("sep", "\t").csv(path)
 
 
+#: Extension filter of the raw documents, applied while listing (any case).
+RAW_GLOB = "*.{[xX][mM][lL],[hH][tT][mM],[hH][tT][mM][lL]}"
+
+
+def missing_paths(spark: SparkSession, paths: list) -> list:
+    """The given files that do not exist (asked of the paths' own file systems)."""
+    sc = spark.sparkContext
+    conf, path = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if not path(p).getFileSystem(conf).exists(path(p))]
+
+
 def raw_documents(spark: SparkSession, root: str | list) -> DataFrame:
-    """.xml/.html/.htm files (case-insensitive, recursive) or an explicit list."""
-    reader = spark.read.format("binaryFile")
+    """.xml/.html/.htm files (case-insensitive, recursive) or an explicit list.
+
+    (path, src_bytes, content, status): a listed file that does not exist is a row with status
+    ``missing`` and null content, and bytes that are not UTF-8 become U+FFFD (status
+    ``repaired``) instead of ending the job; all others are ``ok``."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", RAW_GLOB)
+    gone: list = []
     if isinstance(root, (list, tuple)):
-        df = reader.load(list(root))
+        gone = missing_paths(spark, list(root))
+        there = [p for p in root if p not in set(gone)]
+        df = reader.load(there) if there else None
     else:
         df = reader.option("recursiveFileLookup", True).load(root)
-    return (
-        df.where(F.lower(F.col("path")).rlike(r"\.(xml|html?)$"))
-        .select("path", F.col("length").alias("src_bytes"),
-                F.decode(F.col("content"), "UTF-8").alias("content"))
-    )
+    lost = spark.createDataFrame([(p, None, None, "missing") for p in gone],
+                                 "path string, src_bytes bigint, content string, status string")
+    if df is None:
+        return lost
+    raw = F.col("content").cast("string")
+    found = df.select("path", F.col("length").alias("src_bytes"), F.make_valid_utf8(raw).alias("content"),
+                      F.when(F.is_valid_utf8(raw), "ok").otherwise("repaired").alias("status"))
+    return found.unionByName(lost) if gone else found
 
 
 def extraction_tsv(spark: SparkSession, path: str, columns) -> DataFrame:

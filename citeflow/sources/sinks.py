@@ -53,7 +53,8 @@ def write_converted(converted: DataFrame, path: str) -> None:
 
 def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     """Fixed-width report rows (line_no, line), header first, then
-    ``name padded 40 | count right-aligned 12`` by count desc, name asc.
+    ``name padded 40 | count right-aligned 12`` by count desc, name asc, with
+    the blank lines before, between and after.
 
     ``total_docs`` is a Column (e.g. a scalar subquery) or an int.
     """
@@ -61,10 +62,12 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     rule = "=" * cfg.REPORT_RULE_WIDTH
     total = total_docs if not isinstance(total_docs, int) else F.lit(total_docs)
     header = [
+        F.lit(""),
         F.lit(cfg.REPORT_TITLE),
         F.lit(rule),
         F.format_string(cfg.REPORT_TOTAL_LABEL + "%d", total),
         F.lit(rule),
+        F.lit(""),
         F.format_string(f"%-{cfg.REPORT_NAME_WIDTH}s | %{cfg.REPORT_COUNT_WIDTH}s",
                         F.lit(cfg.REPORT_NAME_HEADER), F.lit(cfg.REPORT_COUNT_HEADER)),
         F.lit("-" * cfg.REPORT_RULE_WIDTH),
@@ -78,8 +81,9 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
     # The body is one row per term group (dictionary-sized), so a global
     # row_number over it is bounded by the dictionary, not by the corpus.
     w = Window.orderBy(F.desc("papers"), F.asc("term"))
+    last = body.agg((F.count("*") + len(header)).cast("int").alias("line_no"), F.lit("").alias("line"))
     body = body.select((F.row_number().over(w) + len(header) - 1).alias("line_no"), "line")
-    return head.unionByName(body)
+    return head.unionByName(body).unionByName(last)
 
 
 def output_name_for_format(fmt_col, id_col) -> F.Column:

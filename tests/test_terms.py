@@ -1,3 +1,6 @@
+import itertools
+
+import pytest
 from pyspark.sql import functions as F
 
 from citeflow.config import TermConfig
@@ -81,8 +84,44 @@ def test_group_is_union_of_alternatives(spark):
 
 
 def test_token_path_equals_regex_path(spark):
-    groups = [g for g in GROUPS if g[0] != "cpp"]
-    assert _hits(spark, groups, TermConfig(max_regex_alternatives=0)) == _hits(spark, groups)
+    assert _hits(spark, GROUPS, TermConfig(max_regex_alternatives=0)) == _hits(spark, GROUPS)
+
+
+ODD_CORPUS = CORPUS + [
+    (7, "laſer and İndex at 5 \u212aelvin, STRASSE stra\u1e9ee straße"), (8, "ΟΔΟΣ οδος οδοσ Οδος-x"), (9, "soft\n sweep soft  sweep soft sweep"),
+    (10, "concatenate cats, a--b a-- --b x--y"), (10, "a cat on a second row of one id"), (11, ""), (12, None),
+    (13, "(abc) x(abc)y \\E quoted\\Ehere a|b"), (14, "e\u0301tude e\u0301 é É_é"), (15, "ǅ ǆ Ǆ ŉ ĳ Ĳ ﬁ"), (16, "tab\tsoft sweep; - - x - - y")]
+ODD_GROUPS = [("laser", ["laser"]), ("index", ["index"]), ("kelvin", ["5 kelvin"]), ("street", ["straße", "strasse"]), ("road", ["οδος"]),
+              ("sweep", ["soft sweep"]), ("cat", ["cat"]), ("dash", ["--"]), ("edges", ["--b", "a--"]), ("paren", ["(abc)"]), ("bs", ["\\E"]),
+              ("quoted", ["quoted\\Ehere"]), ("bar", ["a|b"]), ("e", ["é"]), ("dz", ["ǆ"]), ("n", ["ŉ"]), ("ij", ["ĳ"]), ("fi", ["fi"]),
+              ("gap", ["- -"]), ("x", ["x"]), ("none", ["zzz"])]
+
+
+@pytest.mark.parametrize("ci, whole, ws", list(itertools.product([True, False], repeat=3)))
+def test_both_plans_agree_for_every_switch(spark, ci, whole, ws):
+    corpus = spark.createDataFrame(ODD_CORPUS, "doc_id long, text string")
+    few = TermConfig(case_insensitive=ci, whole_word=whole, normalize_ws=ws)
+    many = TermConfig(case_insensitive=ci, whole_word=whole, normalize_ws=ws, max_regex_alternatives=0)
+    a, b = (sorted(tuple(r) for r in tm.term_hits(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many))
+    assert a == b
+    a, b = (sorted(tuple(r) for r in tm.term_matches(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many))
+    assert a == b and len(set(a)) == len(a)
+
+
+def test_distinct_documents_are_counted(spark):
+    corpus = spark.createDataFrame([(1, "a cat"), (1, "the cat"), (2, "cat")], "doc_id long, text string")
+    for n in (0, 500):
+        assert tm.term_hits(corpus, [("cat", ["cat"])], cfg=TermConfig(max_regex_alternatives=n)).first()["papers"] == 2
+
+
+def test_case_key_joins_what_the_regex_equates(spark):
+    """Every character and each of its one-to-one case partners that the regex flags equate."""
+    pairs = sorted({(chr(c), x) for c in range(0x21, 0x2FFF) if not 0xD800 <= c < 0xE000
+                    for x in (chr(c).upper(), chr(c).lower(), chr(c).title()) if len(x) == 1 and x != chr(c)})
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rx = F.concat(F.lit("(?iuU)^\\Q"), F.col("a"), F.lit("\\E$"))
+    key = [tm.case_key(F.col(c), TermConfig()) for c in ("a", "b")]
+    assert df.where(F.regexp_like("b", rx) & (key[0] != key[1])).collect() == []
 
 
 def test_term_matches_rows(spark):
@@ -95,9 +134,10 @@ def test_report_lines(spark):
     from citeflow.sources.sinks import report_lines
     hits = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5)], "term string, papers long")
     lines = [r["line"] for r in report_lines(hits, 9).orderBy("line_no").collect()]
-    assert lines[2] == "Total Markdown files searched: 9"
-    assert lines[6] == f"{'c':<40} | {5:>12}"
-    assert lines[7].startswith("a ") and lines[8].startswith("b ")
+    assert lines[0] == lines[5] == lines[11] == "" and len(lines) == 12
+    assert lines[3] == "Total Markdown files searched: 9"
+    assert lines[8] == f"{'c':<40} | {5:>12}"
+    assert lines[9].startswith("a ") and lines[10].startswith("b ")
 
 
 def test_prefilter_keeps_case_twins(spark):
