@@ -7,10 +7,12 @@ sets that link share one. A *large* set puts single prefix shingles in inverted
 large sets, and small ones of a size that can link with large, are scanned against. The boundary is the
 set size where the measured cost of enumerating passes that of scanning.
 
-Keys with one set drop out. In what remains, a pair is generated under its smallest common key
-only, and only if the sizes and a 512-bit parity sketch (an exact upper bound of the overlap)
-allow a link. Lists longer than a block are cut in blocks that meet pairwise. The
-remaining pairs are verified on the whole sets, then links give components.
+Keys with one set drop out; the sets of every other key are gathered under its smallest set, its
+hub, because near copies share many keys but few hubs. Under a hub a pair comes up only if the
+sizes and a parity sketch of a bit a shingle (an exact upper bound of the overlap) allow a link, and
+under one hub only. Lists longer than a block are cut in blocks that meet pairwise. The
+remaining pairs are verified on the whole sets; what leaves a cell is the number of links of each set and a
+spanning forest, from which connected components follow.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ class JoinConfig:
     k: int = 4
     percent: int = 85
     block: int = 1000           # sets of a long list that meet at a time
+    block_shingles: int = 2_000_000  # and the most shingles of those sets together
     compare_cost: float = 0.05  # of comparing two sets' sizes and sketches, in key rows sorted
     hot_tokens: int = 200_000   # frequent shingles whose order is known exactly; the others sort by hash
     count_tokens: int = 4_000_000   # shingles counted at a time in a task
@@ -56,9 +59,42 @@ def _set_hash(u: np.ndarray) -> int:
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """512-bit parity bitmap: bit i is the parity of the number of shingles falling on i."""
-    at = (mixed(u) >> np.uint64(55)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=512).astype(np.uint8) & 1).tobytes()
+    """Parity bitmap of a set: bit i is the parity of the number of shingles falling on i.
+
+    It has about one bit a shingle, a power of two of at least 512; xor-ing its halves gives the
+    bitmap of half the width, so sets of different sizes compare at the narrower one.
+    """
+    width = 1 << max(9, int(len(u) - 1).bit_length())
+    at = (mixed(u) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of the rows of a batch, by width; ``differ`` counts the bits in which pairs differ."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+        self.place: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for width in np.unique(self.words).tolist():
+            own = np.flatnonzero((self.words == width) | (self.words == 2 * width))
+            full = [np.frombuffer(blobs[i], dtype=np.uint64) for i in own.tolist()]
+            self.rows[width] = np.stack([m if len(m) == width else m[:width] ^ m[width:] for m in full])
+            self.place[width] = np.full(len(blobs), -1, dtype=np.int64)
+            self.place[width][own] = np.arange(len(own))
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Least size of the symmetric difference of each pair of rows, as the sketches show it."""
+        out = np.zeros(len(i), dtype=np.int64)
+        least = np.minimum(self.words[i], self.words[j])
+        for width in np.unique(least).tolist():
+            at, rows = self.place[width], self.rows[width]
+            pick = np.flatnonzero((least == width) & (at[i] >= 0) & (at[j] >= 0))
+            step = max(1, (1 << 18) // width)
+            for k in range(0, len(pick), step):
+                p = pick[k: k + step]
+                out[p] = np.bitwise_count(rows[at[i[p]]] ^ rows[at[j[p]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _sets_of(batches, column: int, k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -154,7 +190,7 @@ def boundary(sizes: dict[int, int], scan: float, c: JoinConfig) -> int:
 # ---------------------------------------------------------------- pass 2: keys
 
 def _keys(u: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray, light: int, c: JoinConfig) -> np.ndarray:
-    """Keys of a set: even ones are single prefix shingles, odd ones are 2-subsets of small sets."""
+    """Keys of a set: even ones are single prefix shingles, odd ones are 2-subsets of a small set."""
     n = len(u)
     p = n - c.least(n) + 1
     want = min(n, p + 1)
@@ -208,14 +244,15 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], list(names))
 
 
-def shared_keys(postings: DataFrame, c: JoinConfig) -> DataFrame:
-    """(key, cid, block) of the keys with two sets or more; block numbers the stretches of a long list.
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """(hub, cid): for every key with two sets or more, its sets, named by the smallest of them.
 
-    Rows come sorted by key and stream through, so a list of any length needs no memory.
+    Near copies share many keys, but few hubs; all sets of a key stand together under its hub, so no
+    pair is lost. Rows come sorted by key and stream through, so a list of any length needs no memory.
     """
     def run(batches):
-        key = cid = None   # last distinct row seen, not yet known to be shared
-        index = 0          # its place in its list
+        key = cid = hub = None  # last distinct row, and the hub of its key
+        alone = True            # is it the first of its key?
         for b in batches:
             k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
             if key is not None:
@@ -223,84 +260,94 @@ def shared_keys(postings: DataFrame, c: JoinConfig) -> DataFrame:
             fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
             k, d = k[fresh], d[fresh]
             begin = np.concatenate(([True], k[1:] != k[:-1]))
-            where = np.arange(len(k)) - np.maximum.accumulate(np.where(begin, np.arange(len(k)), 0))
-            where = where + np.where(np.cumsum(begin) == 1, index, 0)
-            follows = np.concatenate((k[1:] == k[:-1], [False]))
-            ready = (where > 0) | follows
+            first = np.maximum.accumulate(np.where(begin, np.arange(len(k)), 0))
+            hubs = d[first]
+            if key is not None:  # the held row may continue a list
+                begin[0] = alone
+                hubs[first == 0] = hub
+            ready = ~begin | np.concatenate((k[1:] == k[:-1], [False]))
             ready[-1] = False  # decided with the next batch
-            key, cid, index = k[-1], d[-1], int(where[-1])
+            key, cid, hub, alone = k[-1], d[-1], hubs[-1], bool(begin[-1])
             if ready.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[ready], pa.int64()), pa.array(d[ready], pa.int64()), pa.array(where[ready] // c.block, pa.int32())],
-                    ["key", "cid", "block"])
-        if key is not None and index > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([cid], pa.int64()),
-                                              pa.array([index // c.block], pa.int32())], ["key", "cid", "block"])
+                yield _pairs_batch(hubs[ready], d[ready], ("hub", "cid"))
+        if key is not None and not alone:
+            yield _pairs_batch(np.array([hub]), np.array([cid]), ("hub", "cid"))
 
     return (postings.repartition("key").sortWithinPartitions("key", "cid")
-            .mapInArrow(run, "key bigint, cid bigint, block int"))
+            .mapInArrow(run, "hub bigint, cid bigint").distinct())
 
 
 # ---------------------------------------------------------------- candidates
 
-def candidates(shared: DataFrame, classes: DataFrame, light: int, c: JoinConfig) -> DataFrame:
-    """(a, b), a < b: pairs that sizes and sketches allow, each once."""
-    # a set's other shared keys of the same kind: a pair belongs to its smallest common one
-    lists = shared.groupBy("cid").agg(F.collect_set("key").alias("own"))
+def candidates(shared: DataFrame, classes: DataFrame, c: JoinConfig) -> DataFrame:
+    """(hub, low, high, cid, partners): for each set of a cell the sets that sizes and sketches let it link with.
+
+    A cell is a hub's list, or two blocks of it. A pair stands once, with the smaller set, under
+    the smallest hub the two share; sets without a possible partner drop out, all others have one
+    row a cell, so the number of rows follows the sets and not the pairs.
+    """
+    lists = shared.groupBy("cid").agg(F.sort_array(F.collect_set("hub")).alias("own"))  # bounded by the set's own keys
     info = (classes.join(lists, "cid").select(F.col("cid").alias("i_cid"), "size", "sketch", "own"))
-    earlier = F.filter("own", lambda x: (x < F.col("key")) & (x.bitwiseAND(F.lit(1)) == F.col("key").bitwiseAND(F.lit(1))))
-    long = (shared.where("block > 0").groupBy(F.col("key").alias("l_key")).agg(F.max("block").alias("last")))
-    n_long = long.count()
-    cells = join_small_or_shuffle(shared, long, F.col("key") == F.col("l_key"), "left", n_long, 16)
-    cells = (cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
-             .select("key", "cid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    earlier = F.filter("own", lambda x: x < F.col("hub"))
+    sized = shared.join(classes.select("cid", "size"), "cid")
+    parts = stored(sized.groupBy(F.col("hub").alias("g_hub")).agg(F.ceil(F.greatest(
+        F.count("*") / c.block, F.sum("size") / c.block_shingles)).cast("int").alias("parts")).where("parts > 1"), "long-lists")
+    cells = join_small_or_shuffle(shared, parts, F.col("hub") == F.col("g_hub"), "left", parts.count(), 16)
+    cells = (cells.withColumn("parts", F.coalesce("parts", F.lit(1)))
+             .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("hub", "cid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
     rows = (cells.join(info, F.col("cid") == F.col("i_cid"))
-            .select("key", "low", "high", "block", "cid", "size", "sketch", earlier.alias("earlier"))
-            .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid"))
+            .select("hub", "low", "high", "block", "cid", "size", "sketch", earlier.alias("earlier"))
+            .repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high", "cid"))
     percent = c.percent
 
-    def pairs_in(key, low, high, block, cid, size, marks, earlier):
-        """All pairs of rows of the same cell, by distance in the sorted order."""
-        n = len(key)
+    def pairs_in(hub, low, high, block, size, marks, earlier):
+        """Rows of each possible pair, by distance in the sorted order."""
+        n = len(hub)
         sets: dict[int, frozenset] = {}
         left, right = [], []
         alive = np.arange(n)
         for d in range(1, n):
             alive = alive[alive + d < n]
-            alive = alive[(key[alive] == key[alive + d]) & (low[alive] == low[alive + d]) & (high[alive] == high[alive + d])]
+            alive = alive[(hub[alive] == hub[alive + d]) & (low[alive] == low[alive + d]) & (high[alive] == high[alive + d])]
             if not len(alive):
                 break
             i, j = alive, alive + d
             a, b = size[i], size[j]
             ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-            ok &= (low[i] == high[i]) | (block[i] != block[j])          # inside a block only once
-            ok &= ((key[i] & 1) == 1) | (np.maximum(a, b) > light)       # two small sets meet under subsets
+            ok &= (low[i] == high[i]) | (block[i] != block[j])  # inside a block only once
             i, j = i[ok], j[ok]
-            differ = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
             both = size[i] + size[j]
-            ok = (100 + percent) * (both - differ) >= 2 * percent * both
+            ok = (100 + percent) * (both - marks.differ(i, j)) >= 2 * percent * both
             for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 sx = sets.get(x)
                 if sx is None:
                     sx = sets[x] = frozenset(earlier[x])
                 if sx.isdisjoint(earlier[y]):
-                    left.append(cid[x])
-                    right.append(cid[y])
-        return left, right
+                    left.append(x)
+                    right.append(y)
+        return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
     def run(batches):
-        for t in _whole_groups(batches, ("key", "low", "high")):
-            column = {name: t.column(name).to_numpy(zero_copy_only=False) for name in ("key", "low", "high", "block", "cid", "size")}
-            marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, 8)
+        for t in _whole_groups(batches, ("hub", "low", "high")):
+            column = {name: t.column(name).to_numpy(zero_copy_only=False) for name in ("hub", "low", "high", "block", "cid", "size")}
             own = t.column("earlier")
             offsets, values = np.asarray(own.offsets), np.asarray(own.values)
             earlier = [values[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            left, right = pairs_in(column["key"], column["low"], column["high"], column["block"], column["cid"].tolist(),
-                                   column["size"], marks, earlier)
-            if left:
-                yield _pairs_batch(np.minimum(left, right), np.maximum(left, right), ("a", "b"))
+            left, right = pairs_in(column["hub"], column["low"], column["high"], column["block"], column["size"],
+                                   Sketches(t.column("sketch").to_pylist()), earlier)
+            if len(left):
+                order = np.argsort(left, kind="stable")
+                met = np.unique(np.concatenate((left, right)))
+                count = np.bincount(left, minlength=t.num_rows)[met]
+                partners = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()),
+                                                    pa.array(column["cid"][right[order]], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(column["hub"][met], pa.int64()), pa.array(column["low"][met], pa.int32()),
+                                                  pa.array(column["high"][met], pa.int32()), pa.array(column["cid"][met], pa.int64()),
+                                                  partners], ["hub", "low", "high", "cid", "partners"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "hub bigint, low int, high int, cid bigint, partners array<bigint>")
 
 
 def _whole_groups(batches, names) -> Iterator[pa.RecordBatch]:
@@ -330,51 +377,58 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- verification
 
-def verify(pairs: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
-    """The pairs that link, checked on the whole sets.
+def verify(cells: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
+    """(a, b, links) from the pairs that link, checked on the whole sets of their cells.
 
-    Pairs are dealt to cells by the smallest neighbour of each side, so the sets of a cluster
-    travel together, each once per cell; a neighbourhood larger than a block is split.
+    Rows with ``b`` are edges of a spanning forest of a cell's links, enough for components;
+    rows without count the rows (``members``) that set ``a`` links with in the cell. Both follow the sets,
+    so a group of many near copies is never written out pair by pair.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("label"))
-    members = label.groupBy(F.col("label").alias("g_label")).agg(F.ceil(F.count("*") / c.block).alias("parts"))
-    label = (label.join(members, F.col("label") == F.col("g_label"))
-             .select("cid", F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("home")))
-    label = stored(label, "homes")
-    n = label.count()
-    one = label.select(F.col("cid").alias("a"), F.col("home").alias("home_a"))
-    two = label.select(F.col("cid").alias("b"), F.col("home").alias("home_b"))
-    dealt = join_small_or_shuffle(join_small_or_shuffle(pairs, one, "a", "inner", n, 16), two, "b", "inner", n, 16)
-    dealt = stored(dealt.select("a", "b", F.xxhash64("home_a", "home_b").alias("cell")), "dealt")
-    needed = (dealt.select("cell", F.col("a").alias("cid")).unionByName(dealt.select("cell", F.col("b").alias("cid"))).distinct()
-              .join(sets, "cid").select("cell", "cid", F.lit(None).cast("bigint").alias("b"), "shingles"))
-    rows = (needed.unionByName(dealt.select("cell", F.col("a").alias("cid"), "b", F.lit(None).cast("binary").alias("shingles")))
-            .repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()))  # a cell's sets before its pairs
+    rows = (cells.join(sets, "cid").select("hub", "low", "high", "cid", "partners", "members", "shingles")
+            .repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high"))
     percent = c.percent
 
+    def links_of(t):
+        """Verified pairs of one or more whole cells, as row numbers."""
+        hub, low, high = (t.column(n).to_numpy() for n in ("hub", "low", "high"))
+        cut = np.flatnonzero((hub[1:] != hub[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        cid, partners, blob = (t.column(n).to_pylist() for n in ("cid", "partners", "shingles"))
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows], strict=True):
+            sets = [np.frombuffer(blob[i], dtype=np.uint64) for i in range(a, b)]
+            place = {cid[i]: i - a for i in range(a, b)}
+            for i in range(b - a):
+                for other in partners[a + i]:
+                    j = place[other]
+                    x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    overlap = int((y[at] == x).sum())
+                    if 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                        yield a + i, a + j
+
     def run(batches):
-        cell, have = None, {}
-        for b in batches:
-            a, z = [], []
-            for at, cid, other, blob in zip(*(b.column(n).to_pylist() for n in ("cell", "cid", "b", "shingles")), strict=True):
-                if at != cell:
-                    cell, have = at, {}
-                if other is None:
-                    have[cid] = np.frombuffer(blob, dtype=np.uint64)
-                    continue
-                x, y = have[cid], have[other]
-                if len(x) > len(y):
-                    x, y = y, x
-                i = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                overlap = int((y[i] == x).sum())
-                if 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                    a.append(cid)
-                    z.append(other)
-            if a:
-                yield _pairs_batch(np.array(a), np.array(z), ("a", "b"))
+        for t in _whole_groups(batches, ("hub", "low", "high")):
+            cid, members = t.column("cid").to_pylist(), t.column("members").to_pylist()
+            parent = list(range(t.num_rows))
+            total: dict[int, int] = {}
+            a, b = [], []
+            for i, j in links_of(t):
+                total[i] = total.get(i, 0) + members[j]
+                total[j] = total.get(j, 0) + members[i]
+                x, y = i, j
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    parent[x] = y
+                    a.append(cid[i])
+                    b.append(cid[j])
+            if total:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a + [cid[i] for i in total], pa.int64()), pa.array(b + [None] * len(total), pa.int64()),
+                     pa.array([None] * len(a) + list(total.values()), pa.int64())], ["a", "b", "links"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
@@ -422,7 +476,7 @@ def jaccard_join(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str
 
 
 def _links(rows: DataFrame, seen: DataFrame, classes: DataFrame, c: JoinConfig) -> DataFrame:
-    """(a, b): linked pairs of different classes."""
+    """(a, b, links): what ``verify`` gives for all pairs of different classes."""
     hot = (seen.where(F.col("kind") == _HOT).groupBy("cid").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "cid").limit(c.hot_tokens).collect())
     token = np.array([r["cid"] for r in hot], dtype=np.int64).view(np.uint64)
@@ -432,24 +486,22 @@ def _links(rows: DataFrame, seen: DataFrame, classes: DataFrame, c: JoinConfig)
     met = seen.where(F.col("kind") == _SCAN).agg(F.sum("n").alias("square"), F.sum("cid").alias("total"), F.count("*").alias("parts")).first()
     scan = 1 + (met["square"] / met["total"] - 1) * met["parts"] if met["total"] else 1.0
     light = boundary(sizes, scan, c)
-    shared = stored(shared_keys(_postings(rows, token[place], rank, light, c), c), "shared-keys")
-    pairs = stored(candidates(shared, classes.select("cid", "size", "sketch"), light, c), "candidates")
-    near = pairs.select(F.col("a").alias("c_cid")).unionByName(pairs.select(F.col("b").alias("c_cid"))).distinct()
+    shared = stored(shared_keys(_postings(rows, token[place], rank, light, c)), "shared-keys")
+    pairs = stored(candidates(shared, classes.select("cid", "size", "sketch"), c), "candidates")
+    near = pairs.select(F.col("cid").alias("c_cid")).distinct()
     wanted = stored(classes.join(near, F.col("cid") == F.col("c_cid"))
                     .select(F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "wanted")
-    sets = stored(_whole_sets(rows, wanted, wanted.count(), c.k), "whole-sets")
+    sets = _whole_sets(rows, wanted, wanted.count(), c.k).join(classes.select("cid", "members"), "cid")
     return stored(verify(pairs, sets, c), "links")
 
 
 def _groups(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, members, component, links) of the classes with more than one row or a link."""
-    one = classes.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a"), F.col("members").alias("members_a"))
-    two = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b"), F.col("members").alias("members_b"))
-    named = stored(links.join(one, "a").join(two, "b"), "named-links")
-    component = connected_components(named.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    degree = (named.select(F.col("a").alias("d_cid"), F.col("members_b").alias("m"))
-              .unionByName(named.select(F.col("b").alias("d_cid"), F.col("members_a").alias("m")))
-              .groupBy("d_cid").agg(F.sum("m").alias("others")))
+    one = classes.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a"))
+    two = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b"))
+    forest = links.where(F.col("b").isNotNull()).join(one, "a").join(two, "b")
+    component = connected_components(forest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    degree = links.where(F.col("b").isNull()).groupBy(F.col("a").alias("d_cid")).agg(F.sum("links").alias("others"))
     return (classes.join(degree, F.col("cid") == F.col("d_cid"), "left")
             .join(component, F.col("rep") == F.col("node"), "left")
             .where("members > 1 or others is not null")

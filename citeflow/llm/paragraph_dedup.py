@@ -179,18 +179,19 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, c: ParagraphConfig)
 
 
 def _near_links(rows: DataFrame, found: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(a, b): natural paragraph classes of exact Jaccard similarity at or above the threshold."""
+    """(a, b): a spanning forest of the natural paragraph classes of exact Jaccard similarity at or above the threshold."""
     join = JoinConfig(k=c.k, percent=c.percent)
     keyed = found.where(F.size("bands") > 0)
-    shared = stored(shared_keys(keyed.select(F.explode("bands").alias("key"), "cid"), join), "shared-bands")
+    shared = stored(shared_keys(keyed.select(F.explode("bands").alias("key"), "cid")), "shared-bands")
     near = shared.select(F.col("cid").alias("c_cid")).distinct()
     near = stored(keyed.join(near, F.col("cid") == F.col("c_cid")).groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("x")), "near")
     wanted = near.select(F.col("x.doc_id").alias("w_id"), F.col("x.th").alias("w_th")).distinct()
     wanted = stored(wanted, "wanted")
     sets = _sets(rows, wanted, wanted.count(), c).join(near.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
     sets = stored(sets, "paragraph-sets")
-    pairs = stored(candidates(shared, sets.select("cid", "size", "sketch"), 0, join), "candidates")
-    return stored(verify(pairs, sets.select("cid", "shingles"), join), "links")
+    pairs = stored(candidates(shared, sets.select("cid", "size", "sketch"), join), "candidates")
+    whole = sets.select("cid", "shingles", F.lit(1).cast("bigint").alias("members"))
+    return stored(verify(pairs, whole, join).where(F.col("b").isNotNull()).select("a", "b"), "links")
 
 
 def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -200,20 +201,16 @@ def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: s
     places = found.where(F.col("cid").isNotNull())
     links = _near_links(rows, places, c)
     group = connected_components(links)
-    classes = places.groupBy("cid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("x"))
-    classes = stored(classes.join(group, F.col("cid") == F.col("node"), "left").where("m > 1 or component is not null")
-                     .select("cid", "m", "x", F.coalesce("component", "cid").alias("cluster")), "paragraph-classes")
-    size = classes.count()
-    firsts = classes.groupBy(F.col("cluster").alias("f_cluster")).agg(F.min("x").alias("kept"))
-    table = stored(classes.drop("x").join(firsts, F.col("cluster") == F.col("f_cluster")).select("cid", "m", "cluster", "kept"), "clusters")
+    counts = places.groupBy("cid").agg(F.count("*").alias("m"))
+    classes = stored(counts.join(group, F.col("cid") == F.col("node"), "left").where("m > 1 or component is not null")
+                     .select("cid", "m", F.coalesce("component", "cid").alias("cluster")), "paragraph-classes")
     here = places.select("doc_id", "th", "cid", "first", "end")
-    if size * 64 <= 32 << 20:
-        spans = here.join(F.broadcast(table), "cid")
-    else:
-        spans = join_hot_split(here, table, "cid", "m", places.count(), "inner")
+    spans = stored(join_hot_split(here, classes, "cid", "m", places.count(), "inner").drop("cid", "m"), "repeats")
+    kept = (spans.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("kept")))
     stays = F.struct("doc_id", "th", "first").eqNullSafe(F.col("kept"))
-    return found.where(F.col("cid").isNull()).select("doc_id", "th", "n_words"), stored(
-        spans.select("doc_id", "th", "first", "end", "cluster", stays.alias("stays")), "repeats")
+    marked = join_hot_split(spans, kept, "cluster", "n", spans.count(), "inner")
+    return (found.where(F.col("cid").isNull()).select("doc_id", "th", "n_words"),
+            marked.select("doc_id", "th", "first", "end", "cluster", stays.alias("stays")))
 
 
 def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig(), id_col: str = "doc_id",
