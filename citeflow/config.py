@@ -159,7 +159,6 @@ class RankConfig:
     pubtype_strict: bool = False      # True: exact type membership instead of substring (D4)
     max_seeds: int | None = None      # first N seeds by ord; None/0 = all
     distinct_edges: bool = False      # True: a repeated (seed, candidate) edge counts once
-    seed_broadcast_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

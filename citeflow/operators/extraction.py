@@ -102,7 +102,11 @@ def entity_frequency(df: DataFrame, list_col: str, key: str) -> DataFrame:
     return pairs.distinct().groupBy("entity").agg(F.count("*").alias("papers"))
 
 
-RANGE_RX = r"^\D*?(\d+(?:\.\d+)?)\s*[-\x{2013}]\s*(\d+(?:\.\d+)?)"
+#: A number: thousands groups, or digits with an optional fraction and exponent.
+_NUMBER = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\d])"
+#: A sign belongs to a number only where no digit, letter or point stands before it.
+_SIGNED = rf"(?<![\d.A-Za-z,])([-+]?{_NUMBER})"
+RANGE_RX = rf"{_SIGNED}\s*[-\x{{2013}}]\s*({_NUMBER})"
 
 
 def is_range(col: Column) -> Column:
@@ -110,12 +114,14 @@ def is_range(col: Column) -> Column:
     return F.regexp_extract(col, RANGE_RX, 1) != ""
 
 
+def _number(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+
+
 def quantity_bounds(col: Column) -> tuple[Column, Column]:
-    """K6: ``~0.01-0.16`` / ``0.06–0.20 per year`` → (lo, hi); a single number or a
-    leading integer → (x, x)."""
-    lo_s = F.regexp_extract(col, RANGE_RX, 1)
-    is_range = lo_s != ""
-    lo_r = lo_s.try_cast("double")
-    hi_r = F.regexp_extract(col, RANGE_RX, 2).try_cast("double")
-    single = F.regexp_extract(col, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return (F.when(is_range, lo_r).otherwise(single), F.when(is_range, hi_r).otherwise(single))
+    """K6: ``~0.01-0.16`` / ``2 loci, 0.06–0.20 per year`` → (lo, hi) of the first range; without a
+    range the first number (``1e-4``, ``1,024``, ``-0.05``) → (x, x)."""
+    ranged = is_range(col)
+    single = _number(F.regexp_extract(col, _SIGNED, 1))
+    return (F.when(ranged, _number(F.regexp_extract(col, RANGE_RX, 1))).otherwise(single),
+            F.when(ranged, _number(F.regexp_extract(col, RANGE_RX, 2))).otherwise(single))

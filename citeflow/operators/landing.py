@@ -26,29 +26,46 @@ def pending(todo: DataFrame, landed: DataFrame, restricted: DataFrame | None = N
     return out
 
 
-def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:
+#: Statuses from worst to best; a landed document is never replaced by a worse delivery.
+STATUS_ORDER = ("failed", "restricted", "ok")
+
+
+def _rank(status):
+    return F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), status)
+
+
+def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig(), content: bool = False) -> DataFrame:
     """Status of every requested document: skipped / restricted / ok / failed.
 
     ``todo``: (pmcid, content) where content is what the fetch returned.
-    ``landed``: (pmcid, n_bytes) of targets already present.
-    Restricted documents are routed away, so they are not "landed" for a later
-    run (T14, ``retry_restricted``).
+    ``landed``: (pmcid, n_bytes) of targets already present. With ``content`` the
+    document itself comes along (B4). Restricted documents are routed away, so they are not
+    "landed" for a later run (T14, ``retry_restricted``).
     """
     present = landed_nonempty(landed).select("pmcid", F.lit(True).alias("_present"))
-    c = F.coalesce(F.col("content"), F.lit(""))
-    # An id requested twice is landed once. Only fixed-width facts about
-    # the content are carried through the de-duplicating aggregate, never the
-    # text itself (copies of one id are identical fetches).
-    facts = todo.select("pmcid", c.contains(cfg.needle).alias("_restricted"),
-                        F.octet_length(c).cast("bigint").alias("n_bytes"))
-    once = facts.groupBy("pmcid").agg(F.max("_restricted").alias("_restricted"),
-                                      F.max("n_bytes").alias("n_bytes"))
+    text = F.coalesce(F.col("content"), F.lit(""))
+    n_bytes = F.octet_length(text).cast("bigint")
+    fresh = (F.when(text.contains(cfg.needle), "restricted").when(n_bytes > 0, "ok").otherwise("failed"))
+    facts = todo.select("pmcid", fresh.alias("_fresh"), n_bytes.alias("n_bytes"), F.xxhash64(text).alias("_hash"),
+                        *([text.alias("content")] if content else []))
+    # An id requested twice is landed once: its best delivery. The aggregate carries
+    # fixed-width facts only; the text of the chosen delivery is joined back.
+    best = facts.groupBy("pmcid").agg(F.max(F.struct(_rank(F.col("_fresh")).alias("r"), "n_bytes", "_hash", "_fresh")).alias("_b"))
+    once = best.select("pmcid", "_b._fresh", "_b.n_bytes", "_b._hash")
+    if content:
+        texts = facts.select(F.col("pmcid").alias("_id"), F.col("_hash").alias("_th"), "content").dropDuplicates(["_id", "_th"])
+        once = once.join(texts, F.col("pmcid").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
     t = once.join(present, "pmcid", "left")
-    status = (F.when(F.col("_present").isNotNull(), "skipped")
-              .when(F.col("_restricted"), "restricted")
-              .when(F.col("n_bytes") > 0, "ok")
-              .otherwise("failed"))
-    return t.select("pmcid", status.alias("status"), "n_bytes")
+    status = F.when(F.col("_present").isNotNull(), "skipped").otherwise(F.col("_fresh"))
+    return t.select("pmcid", status.alias("status"), "n_bytes", *(["content"] if content else []))
+
+
+def current(landings: DataFrame) -> DataFrame:
+    """One row per id of an append-only landing table: its best delivery so far (ok, then restricted, then failed)."""
+    rank = F.struct(_rank(F.col("status")).alias("r"), "n_bytes", F.xxhash64("content").alias("h"))
+    best = landings.groupBy(F.col("pmcid").alias("_id")).agg(F.max(rank).alias("_best"))
+    return (landings.join(best, F.col("pmcid").eqNullSafe(F.col("_id")) & (rank == F.col("_best")))
+            .dropDuplicates(["pmcid"]).select(*landings.columns))
 
 
 def outcome(status_col: str = "status"):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import config as cfgmod
 from ..config import RankConfig
 from ..functions.patterns import python_regex
-from .util import latest, sized_broadcast
+from .util import latest
 
 KEPT = ("kept", "kept_no_metadata")
 
@@ -45,7 +45,7 @@ def candidate_edges(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
     found which candidate": it never puts one candidate's seeds into one row.
     """
     all_seeds = dedupe_seeds(seeds)
-    used = sized_broadcast(limit_seeds(all_seeds, cfg.max_seeds), cfg.seed_broadcast_rows)
+    used = limit_seeds(all_seeds, cfg.max_seeds)  # broadcast or not is left to the statistics
     excl = exclusions.select(F.col("pmid").alias("cand_id")).distinct()
     e = (edges.where(F.col("cand_id") >= F.lit(cfg.min_id))
          .join(used, "seed_id")
@@ -58,15 +58,29 @@ def candidate_edges(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
     return e
 
 
+def scores(edges_long: DataFrame) -> DataFrame:
+    """F2: (pmid, score) = number of surviving edges; a count with map-side combine, so a hub
+    is one pre-reduced row per task."""
+    return edges_long.groupBy(F.col("cand_id").alias("pmid")).agg(F.count("*").alias("score"))
+
+
+def with_seeds(cands: DataFrame, edges_long: DataFrame) -> DataFrame:
+    """add ``seeds`` (ARRAY<BIGINT> in seed order) to the given candidates only.
+
+    For the ranked table, which has the list in one cell; its length is bounded by the seed
+    list. ``candidate_edges`` is the long form of the same information."""
+    own = edges_long.join(cands.select(F.col("pmid").alias("cand_id")), "cand_id", "left_semi")
+    lists = own.groupBy(F.col("cand_id").alias("s_pmid")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "seed_id"))).alias("_s"))
+    return cands.join(lists, F.col("pmid") == F.col("s_pmid")).select(
+        *cands.columns, F.transform("_s", lambda x: x["seed_id"]).alias("seeds"))
+
+
 def candidate_scores(edges: DataFrame, seeds: DataFrame, exclusions: DataFrame,
                      cfg: RankConfig = RankConfig()) -> DataFrame:
-    """q04: (pmid, score, seeds ARRAY<BIGINT> in seed order).
+    """q04: (pmid, score, seeds ARRAY<BIGINT> in seed order), in one aggregate.
 
-    score = number of edges from seeds (list length, not distinct, F2). The
-    per-candidate list is the ranked table's Seeds column; its length is
-    bounded by the seed list (partial aggregation before the shuffle).
-    ``candidate_edges`` gives the same information in long form.
-    """
+    score = number of edges from seeds (list length, not distinct, F2)."""
     e = candidate_edges(edges, seeds, exclusions, cfg)
     return e.groupBy("cand_id").agg(
         F.count("*").alias("score"),
@@ -83,8 +97,7 @@ def seeds_text(col: str = "seeds") -> Column:
     return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), ",")
 
 
-def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig(),
-             id_broadcast_rows: int = 5_000_000) -> DataFrame:
+def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """q05/q06 core: add ``comparative`` and ``reason`` (ordered cascade).
 
     ``articles``: (pmid, title, abstract, pubtypes STRING joined by ';'). A
@@ -94,12 +107,9 @@ def classify(cands: DataFrame, articles: DataFrame, cfg: RankConfig = RankConfig
     """
     # Only records of candidates matter: a semi join (a broadcast filter when
     # the candidate ids are small) keeps the corpus text from being shuffled.
-    ids = sized_broadcast(cands.select("pmid"), id_broadcast_rows)
-    recs = articles.join(ids, "pmid", "left_semi")
-    if "ord" in articles.columns:
-        # Several deliveries of one record — the last ``ord`` wins. The key
-        # aggregate carries fixed-width values only (no sort of texts).
-        recs = latest(recs, "pmid", "ord")
+    recs = articles.join(cands.select("pmid"), "pmid", "left_semi")
+    # Exactly one record per id, whatever was delivered; the last ``ord`` wins.
+    recs = latest(recs, "pmid", "ord" if "ord" in articles.columns else None)
     meta = recs.select("pmid", "title", "abstract", "pubtypes", F.lit(True).alias("_has_meta"))
     j = cands.join(meta, "pmid", "left").select(
         *cands.columns, "_has_meta",

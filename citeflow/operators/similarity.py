@@ -8,8 +8,8 @@ Plan shape:
   norm, so they are dropped exactly (no frequency cap).
   tf ⋈ idf: hot tokens (df ≥ N/64) map-side against a broadcast table, the
   rest through a shuffle join without hot keys; weights are checkpointed.
-  seeds (size-checked, broadcast) ⋈ doc weights on token → partial sum per
-  (seed, doc) in the same stage as the join → cosine.
+  seeds ⋈ doc weights on token (broadcast by the statistics or AQE) → partial sum
+  per (seed, doc) in the same stage as the join → cosine.
   top-k: first per (seed, doc-bucket), then per seed over at most k × buckets
   rows — a seed's candidate list is never gathered whole into one task.
 """
@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, row_bound
+from .util import materialize
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -43,8 +43,7 @@ def weights(tf: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
     return tf.join(idf_df, "tok").select(key, "tok", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def corpus_weights(ctf: DataFrame, vocab: DataFrame, key: str, hot_fraction: int = 64,
-                   max_hot_rows: int = 5_000_000) -> DataFrame:
+def corpus_weights(ctf: DataFrame, vocab: DataFrame, key: str, hot_fraction: int = 64) -> DataFrame:
     """Skew-aware ``weights`` for the corpus side; ``vocab`` is (tok, df, idf, n).
 
     A token found in many documents is a hot join key. Tokens with
@@ -56,8 +55,6 @@ def corpus_weights(ctf: DataFrame, vocab: DataFrame, key: str, hot_fraction: int
     is_hot = F.col("df") * hot_fraction >= F.col("n")
     hot = vocab.where(is_hot).select("tok", "idf")
     cold = vocab.where(~is_hot).select("tok", "idf")
-    if not row_bound(hot, max_hot_rows):
-        return weights(ctf, vocab.select("tok", "idf"), key)
     hot_b = F.broadcast(hot)
     w_hot = ctf.join(hot_b, "tok")
     w_cold = ctf.join(hot_b.select("tok"), "tok", "left_anti").join(cold, "tok")
@@ -85,7 +82,7 @@ def tfidf_index(corpus: DataFrame, doc_key: str = "doc_id", text: str = "text",
 
 def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str = "item_id",
                   doc_key: str = "doc_id", text: str = "text", buckets: int = 64,
-                  seed_broadcast_rows: int = 2_000_000, index=None) -> DataFrame:
+                  index=None) -> DataFrame:
     """(seed_key, rank, doc_key, sim): the k most similar documents per seed.
 
     Order is sim (rounded to 6 places) descending, then document id; cosine over
@@ -94,14 +91,9 @@ def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str
     dw, idf_df = index if index is not None else tfidf_index(corpus, doc_key, text)
     dn = dw.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     stf = term_frequencies(seeds, seed_key, text)
-    # The size check reads the seed table only; seed weights have at most as
-    # many rows as the seed term frequencies.
-    small = row_bound(stf, seed_broadcast_rows)
     sw = weights(stf, idf_df, seed_key)
     sn = sw.groupBy(seed_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("sn"))
     sw = sw.withColumnRenamed("w", "ws")
-    if small:
-        sw = F.broadcast(sw)
     dot = (dw.join(sw, "tok")
            .groupBy(seed_key, doc_key).agg(F.sum(F.col("w") * F.col("ws")).alias("dot")))
     sim = (dot.join(dn, doc_key).join(sn, seed_key)
@@ -111,27 +103,25 @@ def related_items(seeds: DataFrame, corpus: DataFrame, k: int = 5, seed_key: str
 
 
 def vector_neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
-                      group: str = "label", k: int = 5, buckets: int = 64,
-                      max_centroid_rows: int = 5_000_000) -> DataFrame:
+                      group: str = "label", k: int = 5, buckets: int = 64) -> DataFrame:
     """K2 over vectors: (centroid, rank, key, sim) — the k vectors closest (cosine)
     to each group's mean vector.
 
-    Vectors are exploded per dimension and joined with the (size-checked,
-    broadcast) centroid table on the dimension index. All rows of one vector
-    come from one input row, so they sit in one partition and the partial
-    aggregate folds them into one row per (vector, centroid) before any shuffle.
+    The centroids are a stated query set, one row per group: means per dimension (an
+    aggregate with map-side combine), gathered as one array row. Every vector meets all of them
+    inside its own row, as array expressions, so vectors are neither exploded nor shuffled
+    before the top-k.
     """
-    ex = vectors.select(key, group, F.posexplode(vec).alias("dim", "x")) \
-        .withColumn("x", F.col("x").cast("double"))
-    cent = ex.groupBy(group, "dim").agg(F.avg("x").alias("c")).withColumnRenamed(group, "centroid")
-    cent = F.broadcast(cent) if row_bound(cent, max_centroid_rows) else cent
-    cn = cent.groupBy("centroid").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    vn = vectors.select(key, F.sqrt(F.aggregate(
-        vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("vn"))
-    dot = (ex.join(cent, "dim").groupBy(key, "centroid")
-           .agg(F.sum(F.col("x") * F.col("c")).alias("dot")))
-    sim = (dot.join(vn, key).join(cn, "centroid")
-           .select("centroid", key, F.round(F.col("dot") / (F.col("vn") * F.col("cn")), 6).alias("sim")))
+    mean = (vectors.select(group, F.posexplode(vec).alias("dim", "x"))
+            .groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("c")))
+    one = mean.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("c"))
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    cents = one.select(F.struct(F.col(group).alias("centroid"), "c", norm(F.col("c")).alias("cn")).alias("s"))
+    table = cents.agg(F.collect_list("s").alias("all"))  # one row: the query set
+    rows = vectors.select(key, F.transform(vec, lambda x: x.cast("double")).alias("v")).withColumn("vn", norm(F.col("v")))
+    met = rows.withColumn("all", table.scalar()).select(key, "v", "vn", F.inline("all"))
+    dot = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    sim = met.select("centroid", key, F.round(dot / (F.col("vn") * F.col("cn")), 6).alias("sim"))
     return top_k(sim, "centroid", key, k, buckets)
 
 

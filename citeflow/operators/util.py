@@ -6,29 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def row_bound(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Runs a bounded probe (``limit(max_rows + 1)``) so the check itself never
-    scans more than ``max_rows + 1`` rows past the filters.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a checked size; otherwise leave the join to
-    Catalyst/AQE (shuffle join, converted at runtime if it turns out small)."""
-    return F.broadcast(df) if row_bound(df, max_rows) else df
-
-
-def bounded_collect(df: DataFrame, max_rows: int, what: str = "rows"):
-    """Collect a configuration-sized result, refusing anything larger."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} exceeds {max_rows} rows; refusing to collect to the driver")
-    return rows
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Make sure CPU-heavy per-row work (regex over whole texts) runs on at
     least ``min_partitions`` tasks (default: the session's parallelism).
@@ -76,10 +53,13 @@ def global_rank(sorted_df: DataFrame, name: str = "rank") -> DataFrame:
             .select(*ck.columns, (F.col("_off") + pos + 1).alias(name)))
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Last delivery per key (largest ``order``) — I5, last write wins.
+def latest(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Exactly one row per key: the last delivery (largest ``order``) — I5, last write wins.
 
-    The per-key maximum is a fixed-width hash aggregate and the rows are kept by
-    a semi join, so wide payloads (texts) are never sorted by an aggregate."""
-    last = df.groupBy(key).agg(F.max(order).alias(order))
-    return df.join(last, [key, order], "left_semi")
+    Among rows equal in ``order`` (or all rows of the key when there is none) the one with the
+    largest hash of its columns stays, and of identical rows one. The aggregate is fixed-width;
+    only rows that still tie, identical ones, are de-duplicated as a whole."""
+    rank = F.struct(*([F.col(order).alias("o")] if order else []), F.xxhash64(*df.columns).alias("h"))
+    best = df.groupBy(F.col(key).alias("_best_key")).agg(F.max(rank).alias("_best"))
+    kept = df.join(best, F.col(key).eqNullSafe(F.col("_best_key")) & (rank == F.col("_best")))
+    return kept.dropDuplicates([key]).select(*df.columns)

@@ -21,8 +21,10 @@ from ..operators import similarity as sm
 from ..operators import terms as tm
 from ..operators.util import global_rank, latest, materialize, spread
 from ..session import shared_dir
+from ..sources import readers as rd
 from ..sources.readers import ARTICLE_SCHEMA, flatten_article
-from ..sources.sinks import output_name_for_format, report_lines
+from ..sources.sinks import (output_name_for_format, report_lines, write_converted, write_crosswalk, write_landed,
+                             write_ranked, write_threshold_lists)
 from ..streaming import landing_stream as ls
 from . import tables as tb
 
@@ -118,20 +120,28 @@ def q03_parse_terms(spark, sf_dir):
 
 # --- S2 related-paper ranking ------------------------------------------------
 
+def _edges(spark, sf_dir, cfg=STANDIN_RANK):
+    return rel.candidate_edges(tb.edges(spark, sf_dir), tb.seeds(spark, sf_dir), tb.exclusions(spark, sf_dir), cfg)
+
+
 def _cands(spark, sf_dir, cfg=STANDIN_RANK):
     return rel.candidate_scores(tb.edges(spark, sf_dir), tb.seeds(spark, sf_dir),
                                 tb.exclusions(spark, sf_dir), cfg)
 
 
-def _classified(spark, sf_dir, cfg=STANDIN_RANK):
-    # The candidate table feeds both the record filter and the join: compute once.
-    return rel.classify(materialize(_cands(spark, sf_dir, cfg)), tb.articles(spark, sf_dir), cfg)
+def _classified(spark, sf_dir, cfg=STANDIN_RANK, edges=None):
+    # Fixed-width candidates (id, score) feed both the record filter and the join: compute once.
+    scores = materialize(rel.scores(edges if edges is not None else _edges(spark, sf_dir, cfg)))
+    return rel.classify(scores, tb.articles(spark, sf_dir), cfg)
+
 
+def _survivors(spark, sf_dir, cfg=STANDIN_RANK, edges=None):
+    return rel.filtered(_classified(spark, sf_dir, cfg, edges))
 
-def _survivors(spark, sf_dir, cfg=STANDIN_RANK):
-    # Summaries, thresholds and the ranking all read the surviving candidates
-    # (and their run scalars): compute them once.
-    return materialize(rel.filtered(_classified(spark, sf_dir, cfg)))
+
+def _survivors_once(spark, sf_dir, cfg=STANDIN_RANK, edges=None):
+    # For outputs that read the survivors and their run scalars: compute them once.
+    return materialize(_survivors(spark, sf_dir, cfg, edges))
 
 
 def q04_candidate_scores(spark, sf_dir):
@@ -143,6 +153,11 @@ def q04b_limited_seeds(spark, sf_dir):
     return _cands(spark, sf_dir, cfg).select("pmid", "score", rel.seeds_text().alias("seeds"))
 
 
+def q04c_candidate_edges(spark, sf_dir):
+    """The long form: which seed found which candidate, one row per edge."""
+    return _edges(spark, sf_dir).select(F.col("cand_id").alias("pmid"), "seed_id", "ord")
+
+
 def q05_reject_reasons(spark, sf_dir):
     return rel.reject_reasons(_classified(spark, sf_dir))
 
@@ -151,10 +166,19 @@ def q06_filtered_candidates(spark, sf_dir):
     return _survivors(spark, sf_dir).select("pmid", "score", "comparative", "reason")
 
 
+def q06b_repeated_records(spark, sf_dir):
+    """One record per id: every record delivered twice without an order, once with a stray title."""
+    a = tb.articles(spark, sf_dir)
+    twice = a.unionByName(a).unionByName(a.withColumn("title", F.concat("title", F.lit(" again"))))
+    c = rel.classify(materialize(rel.scores(_edges(spark, sf_dir))), twice, STANDIN_RANK)
+    return c.groupBy("pmid").agg(F.count("*").alias("rows"))
+
+
 def q07_ranked_candidates(spark, sf_dir):
-    r = global_rank(rel.ranked(_survivors(spark, sf_dir), STANDIN_RANK))
-    return r.select("rank", "pmid", "score", F.round("weighted", 6).alias("weighted"),
-                    rel.seeds_text().alias("seeds"))
+    edges = materialize(_edges(spark, sf_dir))  # read for the scores and, for survivors, the seed lists
+    ranked = global_rank(rel.ranked(_survivors_once(spark, sf_dir, edges=edges), STANDIN_RANK))
+    return rel.with_seeds(ranked, edges).select(
+        "rank", "pmid", "score", F.round("weighted", 6).alias("weighted"), rel.seeds_text().alias("seeds")).orderBy("rank")
 
 
 def q08_score_histogram(spark, sf_dir):
@@ -162,15 +186,15 @@ def q08_score_histogram(spark, sf_dir):
 
 
 def q09_threshold_lists(spark, sf_dir):
-    return rel.threshold_lists(_survivors(spark, sf_dir), STANDIN_RANK)
+    return rel.threshold_lists(_survivors_once(spark, sf_dir), STANDIN_RANK)
 
 
 def q10_threshold_counts(spark, sf_dir):
-    return rel.threshold_counts(_survivors(spark, sf_dir), STANDIN_RANK)
+    return rel.threshold_counts(_survivors_once(spark, sf_dir), STANDIN_RANK)
 
 
 def q11_confidence_tiers(spark, sf_dir):
-    return rel.confidence_tiers(_survivors(spark, sf_dir), STANDIN_RANK)
+    return rel.confidence_tiers(_survivors_once(spark, sf_dir), STANDIN_RANK)
 
 
 def q12_run_summary(spark, sf_dir):
@@ -178,7 +202,7 @@ def q12_run_summary(spark, sf_dir):
 
 
 def q12b_corpus_size(spark, sf_dir):
-    return _docs(spark, sf_dir).agg(F.count("*").alias("documents"))
+    return tb.table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"))
 
 
 QUERIES = {
@@ -191,8 +215,10 @@ QUERIES = {
     "q03_parse_terms": q03_parse_terms,
     "q04_candidate_scores": q04_candidate_scores,
     "q04b_limited_seeds": q04b_limited_seeds,
+    "q04c_candidate_edges": q04c_candidate_edges,
     "q05_reject_reasons": q05_reject_reasons,
     "q06_filtered_candidates": q06_filtered_candidates,
+    "q06b_repeated_records": q06b_repeated_records,
     "q07_ranked_candidates": q07_ranked_candidates,
     "q08_score_histogram": q08_score_histogram,
     "q09_threshold_lists": q09_threshold_lists,
@@ -258,7 +284,22 @@ def q17s_stream_landing(spark, sf_dir):
     target = shared_dir(spark, "landed")
     for run in (1, 2):
         ls.run(spark, src, target, shared_dir(spark, f"landing-ckpt{run}"), LAND)
-    return spark.read.parquet(target).select("pmcid", "status", "n_bytes")
+    return ld.current(spark.read.schema(ls.SCHEMA).parquet(target)).select(
+        "pmcid", "status", "n_bytes", F.md5("content").alias("content_md5"))
+
+
+def q17t_stream_repairs(spark, sf_dir):
+    """Two deliveries: the first has failed and restricted documents, the second repairs them."""
+    target = shared_dir(spark, "repaired")
+    docs = tb.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmcid"), "doc_id", "text")
+    first = F.when(F.col("doc_id") % tb.EMPTY_DOC_MOD == 0, F.lit("")).otherwise(F.col("text"))
+    for n, content in enumerate((first, F.replace("text", F.lit("license"), F.lit("licence")))):
+        src = shared_dir(spark, f"delivery{n}")
+        docs.select("pmcid", content.alias("content")).write.parquet(src)
+        stream = spark.readStream.schema("pmcid string, content string").parquet(src)
+        ls.run(spark, stream, target, shared_dir(spark, f"repair-ckpt{n}"), LAND)
+    return ld.current(spark.read.schema(ls.SCHEMA).parquet(target)).select(
+        "pmcid", "status", "n_bytes", F.md5("content").alias("content_md5"))
 
 
 QUERIES.update({
@@ -269,6 +310,7 @@ QUERIES.update({
     "q16_landing_status": q16_landing_status,
     "q17_pending": q17_pending,
     "q17s_stream_landing": q17s_stream_landing,
+    "q17t_stream_repairs": q17t_stream_repairs,
 })
 
 
@@ -340,13 +382,13 @@ def q22_boolean_search(spark, sf_dir):
 
 def q22b_study_query(spark, sf_dir):
     """The original study's own boolean query, over the whole corpus."""
-    return se.search(_docs(spark, sf_dir), se.study_query(), _search_fields())
+    return se.search(spread(tb.study_corpus(spark, sf_dir)), se.study_query(), _search_fields())
 
 
 def q23c_study_keyword_ids(spark, sf_dir):
     """The original free-text search (AND of words, NOT review publications)."""
     q = se.keyword_query_from(cfgmod.SEARCH_QUERY_TERMS, cfgmod.SEARCH_QUERY_EXCLUDED_PUBTYPE)
-    return se.search(_docs(spark, sf_dir), q, _search_fields())
+    return se.search(spread(tb.study_corpus(spark, sf_dir)), q, _search_fields())
 
 
 def q23_keyword_ids(spark, sf_dir):
@@ -403,6 +445,11 @@ def q27_entity_frequency(spark, sf_dir):
     return ex.entity_frequency(p, "words", "p_partkey")
 
 
+def q27b_gene_frequency(spark, sf_dir):
+    """K5 on the typed list cells of both layouts, papers told apart by DOI."""
+    return ex.entity_frequency(_union(spark, sf_dir), "genes", "doi")
+
+
 def q28_quantity_ranges(spark, sf_dir):
     li = spread(tb.table(spark, sf_dir, "lineitem")).select(
         "l_returnflag", F.expr(tb.QUANTITY_SQL).alias("q"))
@@ -421,6 +468,87 @@ def q29_extraction_union(spark, sf_dir):
                     _joined("sweep_methods").alias("sweep_methods"))
 
 
+# --- sinks written, then read back through the sources -----------------------------
+
+def q31_ranked_file(spark, sf_dir):
+    """B1 → TSV: the ranked table as it stands in its files."""
+    edges = materialize(_edges(spark, sf_dir))
+    ranked = rel.ranked(_survivors_once(spark, sf_dir, edges=edges), STANDIN_RANK)
+    path = shared_dir(spark, "ranked")
+    write_ranked(rel.with_seeds(ranked, edges), path)
+    return rd.ranked_table(spark, path)
+
+
+def q31b_ranked_ids(spark, sf_dir):
+    """B1 → A3: the ids of the ranked files, header skipped."""
+    path = shared_dir(spark, "ranked")
+    edges = materialize(_edges(spark, sf_dir))
+    write_ranked(rel.with_seeds(rel.ranked(_survivors_once(spark, sf_dir, edges=edges), STANDIN_RANK), edges), path)
+    return rd.id_list(spark, path, header=True)
+
+
+def q32_threshold_files(spark, sf_dir):
+    """B2: one id list per threshold folder, read back with its threshold."""
+    path = shared_dir(spark, "thresholds")
+    write_threshold_lists(rel.threshold_lists(_survivors_once(spark, sf_dir), STANDIN_RANK), path)
+    return rd.threshold_lists(spark, path)
+
+
+def q33_crosswalk_file(spark, sf_dir):
+    """B3 → A6."""
+    path = shared_dir(spark, "crosswalk")
+    write_crosswalk(_xwalk(spark, sf_dir), path)
+    return rd.crosswalk(spark, path)
+
+
+def q34_article_files(spark, sf_dir):
+    """A5: the article records as XML files; both deliveries of a record are in them."""
+    path = shared_dir(spark, "articles")
+    sets = (tb.article_xml(spark, sf_dir).groupBy(F.floor(F.col("pmid") / 200).alias("part"))  # 200 ids a file
+            .agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("xml"), ""), F.lit("</PubmedArticleSet>")).alias("value")))
+    sets.write.partitionBy("part").text(path)
+    return rd.articles_xml(spark, path).select(
+        "pmid", "title", "abstract", F.col("pubtypes_joined").alias("pubtypes"), F.col("n_sections").cast("bigint").alias("n_sections"))
+
+
+def q35_edge_files(spark, sf_dir):
+    """Edges written as raw text ids with quotes, blanks and rejects, read back clean."""
+    path = shared_dir(spark, "edges")
+    tb.raw_edges(spark, sf_dir).write.parquet(path)
+    return rd.edges(spark, path)
+
+
+def q36_landed_files(spark, sf_dir):
+    """Landed documents routed by status, read back with their content."""
+    path = shared_dir(spark, "landed-files")
+    write_landed(ld.land(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir), LAND, content=True), path)
+    return spark.read.schema(ls.SCHEMA).parquet(path).select("pmcid", "status", "n_bytes", F.md5("content").alias("content_md5"))
+
+
+def q37_converted_files(spark, sf_dir):
+    """Converted text keyed by its output path, and how many sources share one."""
+    path = shared_dir(spark, "converted")
+    q = cv.qa(_converted(spark, sf_dir), "path", tb.RAW_ROOT, tb.MD_ROOT)
+    write_converted(q.select("out_path", "text"), path)
+    return (spark.read.parquet(path).groupBy("out_path")
+            .agg(F.count("*").alias("sources"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes")))
+
+
+def q38_extraction_file(spark, sf_dir):
+    """A10: the 25-column layout written as TSV, read back and typed."""
+    path = shared_dir(spark, "extraction")
+    raw = tb.extraction_rows(spark, sf_dir, ex.V25_RENAME, labelled=True)
+    raw = raw.select([F.replace(F.col(f"`{c}`"), F.lit("\n"), F.lit(" ")).alias(c) for c in raw.columns])  # cells are one line
+    raw.write.option("sep", "\t").option("quote", '"').option("escape", '"').option("header", True).csv(path)
+    t = ex.typed(ex.canonical(rd.extraction_tsv(spark, path, list(ex.V25_RENAME)), ex.V25_RENAME))
+    return t.select("doi", "pmid", "year", "sweeps", "pooled", "samples_n", _n("genes").alias("n_genes"))
+
+
+QUERIES.update({f.__name__: f for f in (
+    q31_ranked_file, q31b_ranked_ids, q32_threshold_files, q33_crosswalk_file, q34_article_files, q35_edge_files,
+    q36_landed_files, q37_converted_files, q38_extraction_file)})
+
+
 # --- K2 related-item discovery -----------------------------------------------
 
 RELATED_K = 5
@@ -449,6 +577,7 @@ QUERIES.update({
     "q25_extraction_typed": q25_extraction_typed,
     "q26_category_frequency": q26_category_frequency,
     "q27_entity_frequency": q27_entity_frequency,
+    "q27b_gene_frequency": q27b_gene_frequency,
     "q28_quantity_ranges": q28_quantity_ranges,
     "q29_extraction_union": q29_extraction_union,
     "q30_related_items": q30_related_items,

@@ -169,6 +169,8 @@ ORACLE = {
     "q03_parse_terms": Q03,
     "q04_candidate_scores": _ranking_ctes() + "SELECT pmid, score, seeds FROM scores",
     "q04b_limited_seeds": _ranking_ctes(25) + "SELECT pmid, score, seeds FROM scores",
+    "q04c_candidate_edges": _ranking_ctes() + "SELECT cand_id AS pmid, seed_id, CAST(ord AS INTEGER) AS ord FROM e",
+    "q06b_repeated_records": _ranking_ctes() + "SELECT pmid, CAST(1 AS BIGINT) AS rows FROM scores",
     "q05_reject_reasons": _ranking_ctes()
     + "SELECT reason, count(*) AS candidates FROM classified GROUP BY reason",
     "q06_filtered_candidates": _ranking_ctes() + "SELECT pmid, score, comparative, reason FROM sv",
@@ -227,7 +229,7 @@ l AS (
   FROM labels JOIN f ON CAST(labels.doc_id AS VARCHAR) = f.pmcid),
 present AS (SELECT DISTINCT pmcid FROM l WHERE n_bytes > 0),
 s AS (
-  SELECT f.pmcid, strlen(f.content) AS n_bytes,
+  SELECT f.pmcid, f.content, strlen(f.content) AS n_bytes,
          CASE WHEN p.pmcid IS NOT NULL THEN 'skipped'
               WHEN strpos(f.content, 'license') > 0 THEN 'restricted'
               WHEN strlen(f.content) > 0 THEN 'ok'
@@ -257,7 +259,12 @@ FROM (SELECT CASE WHEN status = 'restricted' THEN 'failed' ELSE status END AS ou
              status AS detail FROM s)
 GROUP BY ROLLUP (outcome, detail)""",
     "q17_pending": _LAND + "SELECT DISTINCT pmcid FROM f WHERE pmcid NOT IN (SELECT pmcid FROM present)",
-    "q17s_stream_landing": _LAND + "SELECT pmcid, fresh_status AS status, n_bytes FROM s",
+    "q17s_stream_landing": _LAND + "SELECT pmcid, fresh_status AS status, n_bytes, md5(content) AS content_md5 FROM s",
+    "q17t_stream_repairs": f"""
+SELECT CAST(doc_id AS VARCHAR) AS pmcid, CASE WHEN strlen(text) > 0 THEN 'ok' ELSE 'failed' END AS status,
+       strlen(c) AS n_bytes, md5(c) AS content_md5
+FROM (SELECT doc_id, text, CASE WHEN doc_id % {tb.EMPTY_DOC_MOD} = 0 OR contains(text, 'license')
+                                THEN replace(text, 'license', 'licence') ELSE text END AS c FROM documents)""",
 })
 
 
@@ -445,7 +452,11 @@ def _bounds(v):
 
 
 _LO, _HI = _bounds("sel_coef_value")
-_QLO, _QHI = _bounds("q")
+# The quantities from the columns they are written from, not from the text.
+_QLO = """CASE l_linenumber % 7 WHEN 0 THEN round(l_discount, 2) WHEN 1 THEN round(l_discount, 2) WHEN 2 THEN round(l_discount, 2)
+  WHEN 3 THEN floor(l_quantity) / 10000 WHEN 4 THEN floor(l_quantity) * 1000 + 24 WHEN 5 THEN -(10 + floor(l_quantity)) / 100
+  ELSE floor(l_quantity) END"""
+_QHI = f"CASE WHEN l_linenumber % 7 < 3 THEN round(l_tax, 2) ELSE {_QLO} END"
 
 ORACLE.update({
     "q25_extraction_typed": _EXTRACT + f"""
@@ -465,10 +476,11 @@ FROM (SELECT DISTINCT p_partkey, entity
       FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS entity FROM part)
       WHERE entity <> '')
 GROUP BY entity""",
+    "q27b_gene_frequency": _EXTRACT + """
+SELECT entity, count(*) AS papers FROM (SELECT DISTINCT doi, unnest(genes) AS entity FROM u) WHERE entity <> '' GROUP BY entity""",
     "q28_quantity_ranges": f"""
-WITH li AS (SELECT l_returnflag, {tb.QUANTITY_SQL} AS q FROM lineitem),
-v AS (SELECT l_returnflag, CASE WHEN regexp_matches(q, '{_RANGE}') THEN 'range' ELSE 'count' END AS kind,
-             {_QLO} AS lo, {_QHI} AS hi FROM li)
+WITH v AS (SELECT l_returnflag, CASE WHEN l_linenumber % 7 < 3 THEN 'range' ELSE 'count' END AS kind,
+             {_QLO} AS lo, {_QHI} AS hi FROM lineitem)
 SELECT l_returnflag, kind, count(*) AS n, min(lo) AS min_lo, max(hi) AS max_hi,
        round(avg(lo), 6) AS avg_lo, round(avg(hi), 6) AS avg_hi
 FROM v GROUP BY l_returnflag, kind""",
@@ -524,6 +536,9 @@ def _phrase_sql(t: str) -> str:
     return _m(t)
 
 
+_STUDY = f"WITH s AS (SELECT doc_id, {tb.study_text_sql()} AS text, {tb.STUDY_TYPE_SQL} AS source, lang FROM documents) "
+
+
 def _study_sql() -> str:
     from ..operators import search as se
     parts = [f"lower(source) = {_sq(se.REQUIRED_PT)}"]
@@ -533,14 +548,14 @@ def _study_sql() -> str:
         parts.append(f"NOT lower(lang) = {_sq(m.lower())}")
     excl = [_phrase_sql(t) for t in se.EXCLUDED_TIAB] + [f"lower(source) = {_sq(p)}" for p in se.EXCLUDED_PT]
     parts.append("NOT (" + " OR ".join(excl) + ")")
-    return "SELECT doc_id FROM documents WHERE " + " AND ".join(parts)
+    return _STUDY + "SELECT doc_id FROM s WHERE " + " AND ".join(parts)
 
 
 def _study_keyword_sql() -> str:
     from .. import config as c
     words = [w for t in c.SEARCH_QUERY_TERMS for w in t.split()]
     cond = " AND ".join(_m(w) for w in words)
-    return (f"SELECT doc_id FROM documents WHERE {cond} "
+    return (f"{_STUDY} SELECT doc_id FROM s WHERE {cond} "
             f"AND NOT lower(source) = {_sq(c.SEARCH_QUERY_EXCLUDED_PUBTYPE)}")
 
 
@@ -570,3 +585,31 @@ UNION ALL SELECT CAST(8 + count(*) AS INTEGER), '' FROM hits"""
 
 
 ORACLE["q01c_term_report"] = _q01c()
+
+
+# --- files written and read back ------------------------------------------------
+
+_RANKED = _ranking_ctes() + f""",
+w AS (SELECT pmid, score, seeds, CASE WHEN comparative THEN w * {_R.boost}e0 ELSE w END AS wf
+  FROM (SELECT sv.*, CASE WHEN st.mx = st.mn THEN CAST(score AS DOUBLE)
+                      ELSE score * (1.0e0 - {_R.beta}e0 * power(CAST(st.mx - pmid AS DOUBLE) / (st.mx - st.mn), {_R.gamma}e0))
+                 END AS w FROM sv, st))
+"""
+ORACLE.update({
+    "q31_ranked_file": _RANKED + "SELECT pmid AS PMID, score AS Score, printf('%.6f', wf) AS WeightedScore, seeds AS Seeds FROM w",
+    "q31b_ranked_ids": _RANKED + "SELECT CAST(pmid AS VARCHAR) AS id FROM w",
+    "q32_threshold_files": ORACLE["q09_threshold_lists"],
+    "q33_crosswalk_file": _XWALK + "SELECT pmid, pmcid FROM x WHERE pmcid IS NOT NULL",
+    "q34_article_files": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, source, lang, unnest(CASE WHEN doc_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS batch
+           FROM documents)
+SELECT doc_id AS pmid, CASE WHEN batch = 1 THEN '{tb.CORRECTED}' ELSE '' END || ls[1]
+         || CASE WHEN doc_id % 13 = 0 THEN '{tb.SIGNS}' ELSE '' END AS title,
+       array_to_string(ls[2:], ' ') AS abstract, source || ';' || lang AS pubtypes, CAST(len(ls) - 1 AS BIGINT) AS n_sections
+FROM d""",
+    "q35_edge_files": "SELECT l_suppkey AS seed_id, l_partkey AS cand_id FROM lineitem WHERE l_linenumber % 6 NOT IN (3, 4)",
+    "q36_landed_files": _LAND + "SELECT pmcid, status, n_bytes, md5(content) AS content_md5 FROM s",
+    "q37_converted_files": "SELECT out_path, count(*) AS sources, CAST(sum(out_bytes) AS BIGINT) AS n_bytes FROM ("
+    + ORACLE["q20_conversion_qa"] + ") GROUP BY out_path",
+    "q38_extraction_file": _EXTRACT + "SELECT doi, pmid, year, sweeps, pooled, samples_n, CAST(len(genes) AS BIGINT) AS n_genes FROM t25",
+})

@@ -57,6 +57,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select(F.inline(both))
 
 
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed_id, value): an edge per lineitem, the candidate as raw text: quoted, padded, with a CR,
+    blank or no number, by line."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("seed_id"), F.expr(RAW_EDGE_SQL).alias("value"))
+
+
+RAW_EDGE_SQL = """CASE l_linenumber % 6
+  WHEN 0 THEN '"' || CAST(l_partkey AS STRING) || '"' WHEN 1 THEN '  ' || CAST(l_partkey AS STRING) || ' '
+  WHEN 2 THEN CAST(l_partkey AS STRING) || chr(13) WHEN 3 THEN '' WHEN 4 THEN 'x' || CAST(l_partkey AS STRING)
+  ELSE CAST(l_partkey AS STRING) END"""
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, title, abstract, pubtypes): documents with doc_id % 4 <> 0 stand in for
     article records; the rest of the candidates have none (fail-open path)."""
@@ -297,8 +310,34 @@ def extraction_rows(spark: SparkSession, sf_dir: str, rename: dict, labelled: bo
     return src.selectExpr(*extraction_layout_exprs(rename, list_sep))
 
 
-QUANTITY_SQL = """CASE l_linenumber % 3
+QUANTITY_SQL = """CASE l_linenumber % 7
   WHEN 0 THEN '~' || printf('%.2f', l_discount) || '-' || printf('%.2f', l_tax)
   WHEN 1 THEN printf('%.2f', l_discount) || '–' || printf('%.2f', l_tax) || ' per year'
+  WHEN 2 THEN CAST(l_linenumber AS STRING) || ' loci, ' || printf('%.2f', l_discount) || ' - ' || printf('%.2f', l_tax)
+  WHEN 3 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || 'e-4 at most'
+  WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',024 samples'
+  WHEN 5 THEN 's = -0.' || CAST(10 + CAST(l_quantity AS BIGINT) AS STRING)
   ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' (' || CAST(l_linenumber AS STRING)
        || ' contemporary + ' || CAST(l_suppkey % 100 AS STRING) || ' historical)' END"""
+
+
+# --- the study's own queries (q22b, q23c) ---------------------------------------
+
+# Sentences of the study's subject at the end of some documents, and publication types.
+STUDY_TEXT_SQL = """CASE doc_id % 6
+  WHEN 0 THEN text || ' Whole-genome resequencing of crop plants: a selective sweep.'
+  WHEN 1 THEN text || ' Whole genome sequencing of a plant shows positive selection, with a genome assembly.'
+  WHEN 2 THEN text || ' ' || '{keywords}'
+  ELSE text END"""
+STUDY_TYPE_SQL = "CASE doc_id % 4 WHEN 0 THEN 'Journal Article' WHEN 1 THEN 'Review' ELSE source END"
+
+
+def study_text_sql() -> str:
+    from ..config import SEARCH_QUERY_TERMS
+    return STUDY_TEXT_SQL.replace("{keywords}", " and ".join(SEARCH_QUERY_TERMS))
+
+
+def study_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, source, lang): documents, some about the study's subject."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.expr(study_text_sql()).alias("text"), F.expr(STUDY_TYPE_SQL).alias("source"), "lang")

@@ -7,6 +7,7 @@ These helpers exist for the CLI-style entry points (tests, bench, streaming jobs
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,7 +28,7 @@ def build_session(app: str = "citeflow", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -40,11 +41,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     The location comes from ``spark.checkpoint.dir`` as configured for the session
-    (on a cluster this names shared storage reachable by every executor). Only
-    when it is unset, as in local tests, do we set one under a new scratch folder.
+    (on a cluster this names shared storage reachable by every executor). Only a local
+    master, where driver and executors are one process, may do without: there a
+    new scratch folder is set. On any other master an unset location is an error, since
+    each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name storage shared by all executors (master {master})")
         base = tempfile.mkdtemp(prefix="citeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     sc = spark.sparkContext

@@ -136,6 +136,28 @@ def missing_paths(spark: SparkSession, paths: list) -> list:
     return [p for p in paths if not path(p).getFileSystem(conf).exists(path(p))]
 
 
+RANKED_SCHEMA = "PMID bigint, Score bigint, WeightedScore string, Seeds string"
+
+
+def ranked_table(spark: SparkSession, path: str) -> DataFrame:
+    """The ranked table (B1) read back with its fixed columns."""
+    return spark.read.schema(RANKED_SCHEMA).option("sep", "\t").option("header", True).csv(path)
+
+
+def threshold_lists(spark: SparkSession, path: str) -> DataFrame:
+    """The id lists per threshold (B2): (threshold, pmid)."""
+    return spark.read.schema("value string, threshold bigint").text(path).select(
+        "threshold", tx.clean_id(F.col("value")).alias("pmid"))
+
+
+def curated_ids(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """A curated id table (seeds or exclusions), one id a line: (id, ord) in file order;
+    blank lines and lines starting with ``#`` are left out."""
+    lines = text_lines(spark, path).where(F.col("line_no") > skip)
+    v = tx.py_strip(F.col("value"))
+    return lines.where((v != "") & ~v.startswith("#")).select(tx.clean_id(v).alias("id"), F.col("line_no").alias("ord"))
+
+
 def raw_documents(spark: SparkSession, root: str | list) -> DataFrame:
     """.xml/.html/.htm files (case-insensitive, recursive) or an explicit list.
 

@@ -9,7 +9,9 @@ from .. import config as cfg
 
 
 def ranked_table(ranked: DataFrame) -> DataFrame:
-    """B1 layout: PMID, Score, WeightedScore (%.6f text), Seeds, globally ordered."""
+    """B1 layout: PMID, Score, WeightedScore (%.6f text), Seeds (comma-joined), globally ordered."""
+    if ranked.schema["seeds"].dataType.typeName() == "array":
+        ranked = ranked.withColumn("seeds", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ","))
     return ranked.orderBy(F.desc("weighted"), F.desc("score"), F.asc("pmid")).select(
         F.col("pmid").alias("PMID"),
         F.col("score").alias("Score"),
@@ -29,8 +31,10 @@ def write_ranked(ranked: DataFrame, path: str, single_file: bool = False) -> Non
 
 
 def write_threshold_lists(lists: DataFrame, path: str) -> None:
-    """B2: one headerless id list per threshold folder, ids ascending within it."""
-    (lists.repartition("threshold").sortWithinPartitions("threshold", "pmid")
+    """B2: one headerless id list per threshold folder, ids ascending over its files and within them.
+
+    Range partitions on (threshold, id): a threshold that holds almost all candidates is many tasks."""
+    (lists.repartitionByRange("threshold", "pmid").sortWithinPartitions("threshold", "pmid")
      .select(F.col("threshold"), F.col("pmid").cast("string").alias("value"))
      .write.mode("overwrite").partitionBy("threshold").text(path))
 
@@ -87,5 +91,6 @@ def report_lines(hits: DataFrame, total_docs) -> DataFrame:
 
 
 def output_name_for_format(fmt_col, id_col) -> F.Column:
-    """Output file name by format: PMC<id>.xml / .html / .pdf."""
+    """Output file name by format: PMC<id>.xml / .html / .pdf; null for any other format."""
+    fmt_col = F.when(fmt_col.isin("xml", "html", "pdf"), fmt_col)
     return F.concat(F.lit(cfg.PMC_PREFIX), id_col.cast("string"), F.lit("."), fmt_col)

@@ -1,46 +1,53 @@
-"""J1 as Structured Streaming: documents arriving as files are landed once.
-
-File source → ``trigger(availableNow=True)`` → ``foreachBatch``. Each micro-batch
-is de-duplicated and anti-joined against what is already in the target table,
-then appended. The streaming checkpoint makes the source offsets durable; the
-anti-join makes a re-delivered batch (executor or driver lost between write and
-commit, or a fresh checkpoint) a no-op, so running the job twice lands the same
-rows as running it once.
+"""J1 as Structured Streaming: documents arriving as files are landed, with their content.
+
+File source → ``trigger(availableNow=True)`` → ``foreachBatch``. Each micro-batch is
+de-duplicated and compared with what is already in the target table: a document that
+landed well is skipped; one that failed, or was restricted (``LandConfig.retry_restricted``), is
+tried again, and a delivery that is no better than the recorded one writes nothing. So a
+re-delivered batch (executor or driver lost between write and commit, or a fresh
+checkpoint) is a no-op, and running the job twice lands the same rows as running it
+once. The table is append-only; ``operators.landing.current`` reads one row per id.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LandConfig
 from ..operators import landing
-from ..operators.util import sized_broadcast
+
+SCHEMA = "pmcid string, n_bytes bigint, content string, status string"
 
 
 def _existing(spark: SparkSession, target: str) -> DataFrame | None:
+    """The target table; None only when it does not exist yet (other storage errors surface)."""
     try:
-        return spark.read.parquet(target)
-    except Exception:  # target not created yet
-        return None
+        return spark.read.schema(SCHEMA).parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig(),
-               batch_broadcast_rows: int = 5_000_000) -> None:
+def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig()) -> None:
     spark = batch.sparkSession
+    none = spark.createDataFrame([], "pmcid string, n_bytes bigint")
+    out = landing.land(batch, none, cfg, content=True)
     prior = _existing(spark, target)
-    # Every id already recorded (whatever its status) counts as landed here, so
-    # a replayed batch writes nothing; retrying failed or restricted documents
-    # is the batch ``landing.pending`` path.
     if prior is not None:
-        # Only this batch's ids can collide: filter the landed table by them
-        # (a broadcast filter when the batch is small) instead of joining it whole.
-        ids = sized_broadcast(batch.select("pmcid").distinct(), batch_broadcast_rows)
-        landed = (prior.join(ids, "pmcid", "left_semi")
-                  .select("pmcid", F.greatest(F.col("n_bytes"), F.lit(1)).alias("n_bytes")))
-    else:
-        landed = spark.createDataFrame([], "pmcid string, n_bytes long")
-    out = landing.land(batch, landed, cfg).where(F.col("status") != "skipped")
+        # Only this batch's ids can collide: the landed table is filtered by them first, and
+        # only its fixed-width columns are read.
+        ids = batch.select("pmcid").distinct()
+        rank = landing._rank(F.col("status"))
+        before = (prior.select("pmcid", "status").join(ids, "pmcid", "left_semi")
+                  .groupBy(F.col("pmcid").alias("_id")).agg(F.max(rank).alias("_before")))
+        retried = ["failed"] + (["restricted"] if cfg.retry_restricted else [])
+        again = F.col("_before").isNull() | (
+            F.col("_before").isin([i + 1 for i, x in enumerate(landing.STATUS_ORDER) if x in retried])
+            & (rank > F.col("_before")))
+        out = out.join(before, F.col("pmcid").eqNullSafe(F.col("_id")), "left").where(again).drop("_id", "_before")
     # Routed by status (restricted documents land in their own folder).
     out.write.mode("append").partitionBy("status").parquet(target)
 

@@ -74,5 +74,5 @@ def test_files_to_counts(spark, scratch):
     assert corpus.count() == n_files == 5
     lines = [r["line"] for r in report_lines(tm.term_hits(corpus, groups, key="path"), n_files)
              .orderBy("line_no").collect()]
-    assert lines[2] == "Total Markdown files searched: 5"
-    assert len(lines) == 6 + len(want)
+    assert lines[3] == "Total Markdown files searched: 5"
+    assert len(lines) == 9 + len(want)

@@ -30,3 +30,12 @@ def test_union_and_frequencies(spark):
     ent = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["x"])], "k long, e array<string>")
     got = {r["entity"]: r["papers"] for r in ex.entity_frequency(ent, "e", "k").collect()}
     assert got == {"x": 2, "y": 1}
+
+
+def test_quantities_with_exponents_thousands_and_signs(spark):
+    cells = {"1e-4": (1e-4, 1e-4), "1,024": (1024.0, 1024.0), "2 loci, 0.01-0.16": (0.01, 0.16), "-0.05": (-0.05, -0.05),
+             "~0.01-0.16": (0.01, 0.16), "0.06\u20130.20 per year": (0.06, 0.20), "1e-4 - 1e-3": (1e-4, 1e-3), "1,000-2,500": (1000.0, 2500.0),
+             "295 (187 contemporary + 108 historical)": (295.0, 295.0), "none": (None, None), "-0.2--0.1": (-0.2, -0.2), "s=3.5E2x": (350.0, 350.0)}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    lo, hi = ex.quantity_bounds(F.col("c"))
+    assert {r["c"]: (r["lo"], r["hi"]) for r in df.select("c", lo.alias("lo"), hi.alias("hi")).collect()} == cells

@@ -41,8 +41,27 @@ def test_stream_landing_twice_equals_once(spark, scratch):
     for run in range(2):
         src = spark.readStream.schema(schema).parquet(src_dir)
         ls.run(spark, src, target, f"{scratch}/ckpt{run}", cfg)
-    rows = sorted(tuple(r) for r in spark.read.parquet(target).select("pmcid", "status").collect())
-    assert rows == [("1", "ok"), ("2", "failed"), ("3", "restricted")]
+    rows = sorted(tuple(r) for r in spark.read.parquet(target).select("pmcid", "status", "content").collect())
+    assert rows == [("1", "ok", "a"), ("2", "failed", ""), ("3", "restricted", "restricted: not allow")]
+
+
+def test_stream_repairs_and_keeps(spark, scratch):
+    """Failed and restricted documents are tried again, landed ones are not; other storage errors surface."""
+    from citeflow.streaming import landing_stream as ls
+    schema = "pmcid string, content string"
+    deliveries = [[("1", "a"), ("2", ""), ("3", "not allow"), ("4", "")], [("1", "other"), ("2", "b"), ("3", "free"), ("4", "")],
+                  [("2", "not allow"), ("4", "not allow")]]
+    for retry, want in ((True, {"1": "a", "2": "b", "3": "free", "4": "not allow"}), (False, {"1": "a", "2": "b", "3": "not allow", "4": "not allow"})):
+        target = f"{scratch}/landed-{retry}"
+        cfg = LandConfig(needle="not allow", retry_restricted=retry)
+        for n, rows in enumerate(deliveries):
+            ls.land_batch(spark.createDataFrame(rows, schema), target, cfg)
+        got = ld.current(spark.read.schema(ls.SCHEMA).parquet(target))
+        assert {r["pmcid"]: r["content"] for r in got.collect()} == want and got.count() == 4
+    open(f"{scratch}/file", "w").write("no parquet")
+    import pytest
+    with pytest.raises(Exception):
+        ls.land_batch(spark.createDataFrame(deliveries[0], schema), f"{scratch}/file", LandConfig())
 
 
 def test_identity_crosswalk(spark):

@@ -96,3 +96,25 @@ def test_edge_rejects(spark):
     raw = spark.createDataFrame([(1, ' "5" '), (1, "x7"), (2, ""), (2, "8\r"), (3, "  ")], "seed_id long, value string")
     (r,) = rd.edge_rejects(raw).collect()
     assert (r["rejected"], r["lines"]) == (1, 5)
+
+
+def test_raw_documents_report_missing_and_bad_bytes(spark, scratch):
+    os.makedirs(f"{scratch}/raw2/sub")
+    for name, data in (("a.XML", b"<a>fine</a>"), ("sub/b.Htm", b"bad \xff byte"), ("c.txt", b"no")):
+        with open(f"{scratch}/raw2/{name}", "wb") as f:
+            f.write(data)
+    got = {os.path.basename(r["path"]): (r["status"], r["content"]) for r in rd.raw_documents(spark, f"{scratch}/raw2").collect()}
+    assert got == {"a.XML": ("ok", "<a>fine</a>"), "b.Htm": ("repaired", "bad \ufffd byte")}
+    listed = [f"{scratch}/raw2/a.XML", f"{scratch}/raw2/none.xml"]
+    got = {os.path.basename(r["path"]): r["status"] for r in rd.raw_documents(spark, listed).collect()}
+    assert got == {"a.XML": "ok", "none.xml": "missing"}
+    assert [r["status"] for r in rd.raw_documents(spark, listed[1:]).collect()] == ["missing"]
+
+
+def test_id_list_skips_lines_and_curated_ids_keep_order(spark, scratch):
+    with open(f"{scratch}/ids.txt", "w") as f:
+        f.write("title\nheader\n5\tx\r\n\n6\n")
+    assert [r["id"] for r in rd.id_list(spark, f"{scratch}/ids.txt", skip=2).collect()] == ["5", "6"]
+    with open(f"{scratch}/seeds.txt", "w") as f:
+        f.write("# seeds\n9\n\n 3 \n")
+    assert [tuple(r) for r in rd.curated_ids(spark, f"{scratch}/seeds.txt").orderBy("ord").collect()] == [(9, 2), (3, 4)]

@@ -65,3 +65,25 @@ def test_markup_to_text(spark):
     st = spark.createDataFrame([(html, out), (None, ""), ("<p></p>", ""), ("&copy; b", "&copy; b"), ("a < b", "a < b")], "s string, o string")
     got = [r[0] for r in st.select(tx.conversion_status(F.col("s"), F.col("o"))).collect()]
     assert got == ["ok", "failed", "empty", "ok_with_warnings", "ok_with_warnings"]
+
+
+def test_text_outside_the_bmp_and_literal_signs(spark):
+    (cut,) = _one(spark, tx.truncate_bibliography, ["\U0001F600\U0001F600\U0001F600 body\n## References\nx"])
+    assert cut == "\U0001F600\U0001F600\U0001F600 body"
+    (title,) = _one(spark, tx.strip_tags, ["Low FST < 0.05 and pi > 0.1 in <i>Zea</i> mays"])
+    assert title == "Low FST < 0.05 and pi > 0.1 in Zea mays"
+    html = "<table><tr><td>SNP</td><td>GWAS</td></tr></table><dl><dt>SNP</dt><dd>Fst</dd></dl>"
+    (out,) = _one(spark, tx.markup_to_text, [html])
+    assert out.split() == ["SNP", "GWAS", "SNP", "Fst"]
+
+
+def test_article_sections_become_headings(spark):
+    from citeflow.operators import convert as cv
+    jats = '<article xmlns="x"><front><article-title>A</article-title></front><sec><title>M</title><p>t</p></sec></article>'
+    df = spark.createDataFrame([(jats,), ("<title>T</title><p>t</p>",)], "content string")
+    assert [r["text"] for r in cv.convert(df).collect()] == ["# A\n## M\nt", "T\nt"]
+
+
+def test_size_ratio_of_large_texts(spark):
+    df = spark.range(1).select(F.repeat(F.lit("x"), 22_000_000).alias("t"))
+    assert df.select(tx.size_ratio(F.col("t"), F.lit(44_000_000))).first()[0] == 50

@@ -18,15 +18,31 @@ def test_materialize_and_latest(spark):
     assert got == [("a", 2, "y"), ("b", 1, "z")]
 
 
-def test_bounded_helpers(spark):
-    df = spark.range(10)
-    assert util.row_bound(df, 10) and not util.row_bound(df, 9)
-    assert len(util.bounded_collect(df, 10)) == 10
-    try:
-        util.bounded_collect(df, 9)
-        raise AssertionError("unbounded collect allowed")
-    except ValueError:
-        pass
+def test_latest_keeps_exactly_one_row(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 2, "z"), ("b", 2, "z"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    for order in ("o", None):
+        got = util.latest(df, "k", order).collect()
+        assert sorted(str(r["k"]) for r in got) == ["None", "a", "b"]
+        assert sorted(map(str, got)) == sorted(map(str, util.latest(df.repartition(5), "k", order).collect()))
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    import pytest
+    from citeflow import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session(), "x")
 
 
 def test_global_rank_across_partitions(spark):
