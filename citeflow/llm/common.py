@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.util import materialize  # noqa: F401  (re-exported for the operators)
 from ..session import shared_dir
 
 #: Texts are handed to numpy in groups of about this many bytes.
