@@ -212,21 +212,25 @@ def fit(docs: DataFrame, config: LangConfig = LangConfig(), id_col: str = "doc_i
         lang_col: str = "lang") -> Model:
     """Fit on excerpts of a bounded number of labelled rows that are not held out.
 
-    The rows per language are picked by a row-number limit, which Spark applies in
-    every task before the shuffle; the excerpts (bounded by the configuration) come to the driver.
+    The rows per language are the first by a hash of the id. A threshold on the hash, from the
+    language's count, leaves about four times as many for the row numbers, however many rows a
+    language has; the excerpts (bounded by the configuration) come to the driver.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     rows = docs.where(~held_out(id_col) & lang.isNotNull() & text.isNotNull())
-    names = [r[0] for r in rows.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang")
-             .limit(config.languages).collect()]
+    count = {r["lang"]: r["count"] for r in rows.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang")
+             .limit(config.languages).collect()}
+    if not count:
+        return Model({}, config.total_chars, config.model_chars)
+    most = {n: min((1 << 63) - 1, int(4 * config.rows / c * 2.0 ** 64) - (1 << 63)) for n, c in count.items()}
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[lang]
     room = F.greatest(F.length(text) - config.excerpt_chars, F.lit(0)) + 1
     at = (F.pmod(F.xxhash64(text), room.cast("bigint")) + 1).cast("int")
-    rows = (rows.where(lang.isin(names)).select(
+    first = rows.where(lang.isin(list(count)) & (F.xxhash64(F.col(id_col)) <= limit)).select(
         lang.alias("lang"), F.xxhash64(F.col(id_col)).alias("h"),
-        F.substr(text, at, F.lit(config.excerpt_chars)).alias("excerpt")) if names else
-        rows.select(lang.alias("lang"), F.lit(0).alias("h"), text.alias("excerpt")).limit(0))
+        F.substr(text, at, F.lit(config.excerpt_chars)).alias("excerpt"))
     order = Window.partitionBy("lang").orderBy("h", "excerpt")
-    picked = (rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.rows)
+    picked = (first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.rows)
               .select("lang", "place", "excerpt").collect())
     samples: dict[str, dict[str, None]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["place"])):

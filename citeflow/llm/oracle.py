@@ -51,3 +51,18 @@ SELECT d.doc_id, CAST((SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS BIGI
        CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op2_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[p : p + 3] END AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT both_ways.y, reach.c FROM reach JOIN both_ways ON reach.node = both_ways.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(c) FROM reach WHERE node = d.doc_id) AS component_id,
+       (SELECT CAST(count(*) AS BIGINT) FROM both_ways WHERE x = d.doc_id) AS n_links
+FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents")).drop("text_hash")
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents")).drop("class_id", "text_hash")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
