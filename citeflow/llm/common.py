@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: Texts are handed to numpy in groups of about this many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xBF58476D1CE4E5B9)
@@ -107,16 +107,18 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER, SPACE_WORD = byte_tables(SPACES)
 
 
-def text_chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, UTF-8 texts) in groups of about ``limit`` bytes; null is empty."""
+def text_chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, UTF-8 texts) of an Arrow column in groups of about ``limit`` bytes;
+    null is empty. Only a slice of the column is held as Python strings at a time."""
     first, size, part = 0, 0, []
-    for i, t in enumerate(texts):
-        b = t.encode() if t else b""
-        if part and size + len(b) > limit:
-            yield first, part
-            first, size, part = i, 0, []
-        part.append(b)
-        size += len(b) + 1
+    for at in range(0, len(column), 256):
+        for i, t in enumerate(column.slice(at, 256).to_pylist(), at):
+            b = t.encode() if t else b""
+            if part and size + len(b) > limit:
+                yield first, part
+                first, size, part = i, 0, []
+            part.append(b)
+            size += len(b) + 1
     if part:
         yield first, part
 

@@ -114,7 +114,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             out = [hashlib.sha256(normalised(t)).digest() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
 

@@ -40,8 +40,8 @@ class JoinConfig:
     block: int = 1000           # sets of a long list that meet at a time
     block_shingles: int = 2_000_000  # and the most shingles of those sets together
     compare_cost: float = 0.05  # of comparing two sets' sizes and sketches, in key rows sorted
-    hot_tokens: int = 200_000   # frequent shingles whose order is known exactly; the others sort by hash
-    count_tokens: int = 4_000_000   # shingles counted at a time in a task
+    hot_tokens: int = 100_000   # frequent shingles whose order is known exactly; the others sort by hash
+    count_tokens: int = 1_000_000   # shingles counted at a time in a task
 
     def least(self, n):
         """Smallest overlap of a set of size n with any set it links with."""
@@ -100,7 +100,7 @@ class Sketches:
 def _sets_of(batches, column: int, k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
     """(batch, row, sorted distinct shingles) for every row."""
     for b in batches:
-        for first, texts in text_chunks(b.column(column).to_pylist()):
+        for first, texts in text_chunks(b.column(column)):
             for i, u in enumerate(shingle_sets(texts, k)):
                 yield b, first + i, u
 

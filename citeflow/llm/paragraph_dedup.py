@@ -122,7 +122,7 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at, texts in text_chunks(b.column(2).to_pylist()):
+            for at, texts in text_chunks(b.column(2)):
                 grams, found, _ = _paragraphs(texts, c)
                 begin, end, owner, offset, keyed = [], [], [], [], []
                 for i, (a, n, natural, embedded) in enumerate(found):
@@ -163,7 +163,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, c: ParagraphConfig)
 
     def run(batches):
         for b in batches:
-            for _, texts in text_chunks(b.column(2).to_pylist()):
+            for _, texts in text_chunks(b.column(2)):
                 grams, found, _ = _paragraphs(texts, c)
                 spans = np.concatenate([natural for _, _, natural, _ in found])
                 if not len(spans):

@@ -50,7 +50,7 @@ class Transducer:
 
     _made: dict[str, "Transducer"] = {}
 
-    def __init__(self, path: str, capacity: int = 1 << 16, remember: int = 200_000):
+    def __init__(self, path: str, capacity: int = 1 << 16, remember: int = 100_000):
         self.words = WordIds.of(path)
         self.symbol_of, self.kind, self.symbol = _alphabet()
         self.width = len(self.kind)

@@ -50,7 +50,7 @@ class WordIds:
 
     _made: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 100_000):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
