@@ -74,20 +74,25 @@ def join_small_or_shuffle(left: DataFrame, right: DataFrame, on, how: str, rows:
 
 def join_hot_split(left: DataFrame, right: DataFrame, key: str, size_col: str, total: int,
                    how: str = "left") -> DataFrame:
-    """Left join of rows with their group's row where one group may hold a third of all rows.
+    """Join (left or inner) of rows with their group's row where one group may hold a third of all rows.
 
     ``right`` has one row per ``key`` and the number of left rows of it in ``size_col``. Groups of
     at least total/1000 rows number at most 1000, so that part of ``right`` is a broadcast of
-    proven size; only rows of smaller groups are shuffled on the key.
+    proven size; only rows of smaller groups meet theirs by a shuffle on the key.
     """
     limit = max(1, total // 1000)
-    hot = right.where(F.col(size_col) > limit)
-    cold = right.where(F.col(size_col) <= limit)
-    keys = F.broadcast(hot.select(F.col(key).alias("_hot_key")))
-    marked = left.join(keys, F.col(key) == F.col("_hot_key"), "left")
-    on_hot = marked.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot), key, how)
-    on_cold = marked.where(F.col("_hot_key").isNull()).drop("_hot_key").join(cold, key, how)
-    return on_hot.unionByName(on_cold)
+    others = [c for c in right.columns if c != key]
+    hot, cold = (part.select([F.col(c).alias(f"{name}_{c}") for c in right.columns]) for name, part in (
+        ("hot", right.where(F.col(size_col) > limit)), ("cold", right.where(F.col(size_col) <= limit))))
+    # rows that need no lookup, or had theirs, are spread by their own hash, which meets no key
+    spread = F.xxhash64(*left.columns)
+    if left.schema[key].dataType.typeName() == "binary":
+        spread = spread.cast("string").cast("binary")
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col(f"hot_{key}"), "left")
+    at = F.when(F.col(f"hot_{key}").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread)
+    out = (marked.withColumn("cold_at", at).join(cold, F.col("cold_at") == F.col(f"cold_{key}"), "left")
+           .select(*left.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in others]))
+    return out.where(F.col(size_col).isNotNull()) if how == "inner" else out
 
 
 # ---------------------------------------------------------------- words and shingles in numpy

@@ -226,11 +226,9 @@ def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()
     every, spans = repeated_spans(docs, config, id_col, text_col)
     ranges = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
         F.collect_set(F.struct("first", "end", "stays")).alias("spans"))  # bounded by the text's own length
-    ranges = stored(ranges, "ranges")
-    size = ranges.agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("n")).first()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
-    joined = join_small_or_shuffle(rows, ranges, on, "left", 64 * size["rows"] + 16 * (size["n"] or 0), 1)
+    joined = rows.join(ranges, on, "left")  # the spans grow with the corpus: a shuffle join at any size
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
