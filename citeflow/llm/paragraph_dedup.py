@@ -1,14 +1,15 @@
-"""Substring de-duplication: MinHash banding over paragraphs.
+"""Substring de-duplication: MinHash banding over paragraphs, and exact windows inside them.
 
-Two kinds of paragraph are compared, both of at least MIN_WORDS words. *Natural* ones are the lines
+Two kinds of passage are compared, both of at least MIN_WORDS words. *Natural* ones are the lines
 of a text: MinHash signatures are cut in bands, paragraphs sharing a band are joined, and their exact
-Jaccard similarity over distinct 5-word shingles decides. *Embedded* ones are stretches of
-MIN_WORDS words that begin at content-chosen places (the smallest shingle of every window of
-``anchor`` shingles), so a passage copied into the midst of other text is cut in the same places
-wherever it stands: any shared passage of MIN_WORDS + anchor + 3 words or more has a common stretch.
+Jaccard similarity over distinct 5-word shingles decides. *Embedded* ones are exact runs of words at any
+place. Seeds of ``seed`` words begin at content-chosen places (the smallest shingle of every window
+of MIN_WORDS - seed + 1), so any run of MIN_WORDS words holds a seed wherever it stands. Around the seeds
+that occur again every window of MIN_WORDS words is compared, so a shared passage is found up to
+its last word for each pair of copies: its windows cover it, and no pair is ever written out.
 Equal paragraphs are one class from the start (one row per class meets in the join, however many
-copies there are); links between classes are clustered by connected components. Of each cluster the first
-occurrence (smallest id, then place) stays and the others are cut out of their texts.
+copies there are); links between classes are clustered by connected components. Of each cluster, and of
+each class of equal windows, the first occurrence (smallest id, then place) stays and the others are cut out of their texts.
 """
 
 from __future__ import annotations
@@ -34,18 +35,23 @@ class ParagraphConfig:
     k: int = 5
     percent: int = 80
     min_words: int = 25
-    anchor: int = 22
+    seed: int = 13
     bands: int = 12
     rows: int = 4
 
+    @property
+    def reach(self) -> int:
+        """Shingles in a window of places, of which the smallest begins a seed."""
+        return self.min_words - self.seed + 1
+
 
 def recall(c: ParagraphConfig, similarity: float) -> float:
     """Probability that banding finds a pair of this similarity."""
     return 1 - (1 - similarity ** c.rows) ** c.bands
 
 
-def _anchors(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest gram of every window (the earliest of equal ones)."""
+def _minima(grams: np.ndarray, window: int) -> np.ndarray:
+    """Per window the place of its smallest gram (the earliest of equal ones)."""
     n = len(grams)
     if n < window:
         return np.empty(0, dtype=np.int64)
@@ -58,7 +64,24 @@ def _anchors(grams: np.ndarray, window: int) -> np.ndarray:
         width *= 2
     rest = window - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    return np.unique((least & low).astype(np.int64))
+    return (least & low).astype(np.int64)
+
+
+def _viable(grams: np.ndarray, hits: np.ndarray, c: ParagraphConfig) -> np.ndarray:
+    """Places of the windows of min_words words that can occur again: all their seeds do.
+
+    A seed counts when the window of places that chose it lies inside, so that any copy has it too.
+    """
+    n = len(grams) - (c.min_words - c.k)
+    hit = np.zeros(len(grams), dtype=bool)
+    hit[hits] = True
+    at = _minima(grams, c.reach)
+    x = np.flatnonzero(~hit[at])
+    low = np.maximum(np.maximum(x - (c.min_words - c.k + 1 - c.reach), at[x] - (c.reach - 1)), 0)
+    bad = np.zeros(len(grams) + 1, dtype=np.int64)
+    np.add.at(bad, low, 1)
+    np.add.at(bad, x + 1, -1)
+    return np.flatnonzero(np.cumsum(bad)[:n] == 0)
 
 
 def _run_hashes(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -94,7 +117,7 @@ def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
 
 
 def _paragraphs(texts: list[bytes], c: ParagraphConfig):
-    """Per text: number of words, natural (begin, end) and embedded begins, with the words' grams for all texts."""
+    """Per text: number of words, natural (begin, end) and begins of seeds, with the words' grams for all texts."""
     words, start, _, first = word_spans(texts, SPACE_WORD)
     grams = gram_hashes(words, c.k)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -103,21 +126,21 @@ def _paragraphs(texts: list[bytes], c: ParagraphConfig):
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         n = b - a
-        natural, embedded = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
+        natural, seeds = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
         if n >= c.min_words:
             edge = np.flatnonzero(np.diff(line[a:b])) + 1
             bounds = np.concatenate(([0], edge, [n]))
             both = np.stack([bounds[:-1], bounds[1:]], axis=1)
             natural = both[both[:, 1] - both[:, 0] >= c.min_words] + a
-            at = _anchors(grams[a: b - c.k + 1], c.anchor)
-            embedded = at[at + c.min_words <= n] + a
-        out.append((a, n, natural, embedded))
+            at = np.unique(_minima(grams[a: b - c.k + 1], c.reach))
+            seeds = at[at + c.seed <= n] + a
+        out.append((a, n, natural, seeds))
     return grams, out, sizes
 
 
 def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(doc_id, th, n_words, cid, first, end, bands): all paragraphs of all texts, and one row
-    without cid per text. Only natural paragraphs have band keys."""
+    """(doc_id, th, n_words, cid, first, end, bands): all paragraphs and seeds of all texts, and one
+    row without cid per text. Only natural paragraphs have an end and band keys."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -125,8 +148,8 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
             for at, texts in text_chunks(b.column(2)):
                 grams, found, _ = _paragraphs(texts, c)
                 begin, end, owner, offset, keyed = [], [], [], [], []
-                for i, (a, n, natural, embedded) in enumerate(found):
-                    for x, y, banded in ((natural[:, 0], natural[:, 1], True), (embedded, embedded + c.min_words, False)):
+                for i, (a, _, natural, seeds) in enumerate(found):
+                    for x, y, banded in ((natural[:, 0], natural[:, 1], True), (seeds, seeds + c.seed, False)):
                         begin.append(x)
                         end.append(y)
                         owner.append(np.full(len(x), i))
@@ -150,7 +173,7 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
                 if len(owner):
                     yield pa.RecordBatch.from_arrays(
                         [own.column(0).take(take), own.column(1).take(take), pa.nulls(len(owner), pa.int64()), pa.array(cid, pa.int64()),
-                         pa.array(begin - offset, pa.int32()), pa.array(end - offset, pa.int32()), bands],
+                         pa.array(begin - offset, pa.int32()), pa.array(end - offset, pa.int32(), mask=~keyed), bands],
                         ["doc_id", "th", "n_words", "cid", "first", "end", "bands"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, th bigint, n_words bigint, cid bigint, first int, end int, bands array<bigint>")
@@ -194,11 +217,64 @@ def _near_links(rows: DataFrame, found: DataFrame, c: ParagraphConfig) -> DataFr
     return stored(verify(pairs, whole, join).where(F.col("b").isNotNull()).select("a", "b"), "links")
 
 
+def _windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
+    """(doc_id, th, cid, first): the windows of min_words words whose seeds all occur again.
+
+    Every run of min_words words that two places share is among them: its seeds are the same in both.
+    """
+    shared = stored(seeds.groupBy("cid").agg(F.count("*").alias("m")).where("m > 1"), "shared-seeds")
+    hits = (join_hot_split(seeds, shared, "cid", "m", seeds.count(), "inner")
+            .groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"))
+            .agg(F.collect_set("first").alias("at")))  # bounded by the text's own length
+    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
+    texts = rows.join(hits, on).select("doc_id", "th", "text", "at")  # the hits grow with the corpus: a shuffle join at any size
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at, texts in text_chunks(b.column(2)):
+                words, _, _, first = word_spans(texts, SPACE_WORD)
+                grams = gram_hashes(words, c.k)
+                places = []
+                for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    hits = np.array(b.column(3)[at + i].as_py(), dtype=np.int64)
+                    places.append(_viable(grams[x: y - c.k + 1], hits, c) if y - x >= c.min_words else np.empty(0, dtype=np.int64))
+                owner = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+                place = np.concatenate(places)
+                begin = place + first[owner]
+                cid = _run_hashes(grams, begin, begin + c.min_words - c.k + 1)
+                own, take = b.slice(at, len(texts)), pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column(0).take(take), own.column(1).take(take), pa.array(cid, pa.int64()),
+                                                  pa.array(place, pa.int32())], ["doc_id", "th", "cid", "first"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, th bigint, cid bigint, first int")
+
+
+def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
+    """(doc_id, th, first, end, gone) of the windows that repeat.
+
+    ``gone`` is the first word to cut, null where the window stays; words of the staying window are
+    left when a later one of the same text overlaps it, as in a text that says one thing over and over.
+    """
+    windows = stored(_windows(rows, seeds, c), "windows")
+    kept = stored(windows.groupBy("cid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept"))
+                  .where("m > 1"), "kept-windows")
+    marked = join_hot_split(windows, kept, "cid", "m", windows.count(), "inner")
+    same = F.struct("doc_id", "th").eqNullSafe(F.struct("kept.doc_id", "kept.th"))
+    gone = (F.when(~same, F.col("first")).when(F.col("first") != F.col("kept.first"),
+                                               F.greatest(F.col("first"), F.col("kept.first") + c.min_words)))
+    return marked.select("doc_id", "th", "first", (F.col("first") + c.min_words).alias("end"), gone.alias("gone"))
+
+
 def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, th, n_words) per row, (doc_id, th, first, end, cluster, stays) of the paragraphs that repeat)."""
+    """((doc_id, th, n_words) per row, (doc_id, th, first, end, gone) of the passages that repeat).
+
+    Words from ``gone`` to ``end`` are to be cut; a null there means that the passage stays.
+    """
     rows = spread_tasks(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")))
     found = stored(_occurrences(rows, c), "paragraphs")
-    places = found.where(F.col("cid").isNotNull())
+    places = found.where(F.col("cid").isNotNull() & F.col("end").isNotNull())
+    seeds = found.where(F.col("cid").isNotNull() & F.col("end").isNull()).select("doc_id", "th", "cid", "first")
     links = _near_links(rows, places, c)
     group = connected_components(links)
     counts = places.groupBy("cid").agg(F.count("*").alias("m"))
@@ -209,15 +285,16 @@ def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: s
     kept = (spans.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("kept")))
     stays = F.struct("doc_id", "th", "first").eqNullSafe(F.col("kept"))
     marked = join_hot_split(spans, kept, "cluster", "n", spans.count(), "inner")
+    natural = marked.select("doc_id", "th", "first", "end", F.when(~stays, F.col("first")).alias("gone"))
     return (found.where(F.col("cid").isNull()).select("doc_id", "th", "n_words"),
-            marked.select("doc_id", "th", "first", "end", "cluster", stays.alias("stays")))
+            natural.unionByName(_repeated_windows(rows, seeds, c)))
 
 
 def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_words, n_repeated, n_removed, repeats, removed_spans, text.
 
-    ``n_repeated`` counts the words in paragraphs that occur again anywhere, ``n_removed`` those cut out
+    ``n_repeated`` counts the words in passages that occur again anywhere, ``n_removed`` those cut out
     because an earlier occurrence stays; ``removed_spans`` lists them as merged (first word, end);
     ``text`` is what is left. Null and empty texts have no words; null stays null. Rows equal in id
     and text repeat each other but share the staying occurrence, so both keep it. Extra columns are
@@ -225,7 +302,7 @@ def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()
     """
     every, spans = repeated_spans(docs, config, id_col, text_col)
     ranges = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
-        F.collect_set(F.struct("first", "end", "stays")).alias("spans"))  # bounded by the text's own length
+        F.collect_set(F.struct("first", "end", "gone")).alias("spans"))  # bounded by the text's own length
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
     joined = rows.join(ranges, on, "left")  # the spans grow with the corpus: a shuffle join at any size
@@ -259,7 +336,7 @@ def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = text.encode() if text else b""
         _, start, end, _ = word_spans([raw], SPACE_WORD)
         n_words.append(len(start))
-        gone = _merged((s["first"], s["end"]) for s in own or () if not s["stays"])
+        gone = _merged((s["gone"], s["end"]) for s in own or () if s["gone"] is not None)
         n_repeated.append(sum(e - a for a, e in _merged((s["first"], s["end"]) for s in own or ())))
         n_removed.append(sum(e - a for a, e in gone))
         removed.append([{"first": a, "end": e} for a, e in gone])

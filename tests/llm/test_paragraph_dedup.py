@@ -56,6 +56,47 @@ def test_embedded_passages_and_clean_texts(frame):
     assert len(first) == 20  # the first of each three keeps its passage
 
 
+def test_whole_passages_go(frame):
+    """Every copy but the first loses the passage to its last word, from 25 words on and in the midst of a line."""
+    rng = random.Random(12)
+    rows, around = [], {}
+    for n in (25, 26, 30, 49, 50, 51, 60, 80, 130):
+        passage = text(rng, n)
+        for _ in range(3):
+            around[len(rows)] = text(rng, 70), passage, text(rng, 70)
+            rows.append((len(rows), " ".join(around[len(rows)])))
+    got = run(frame(rows, D))
+    for i, (before, passage, after) in around.items():
+        assert got[i].n_repeated == len(passage.split())
+        assert got[i].text.split() == (before + " " + (passage + " " if i % 3 == 0 else "") + after).split()
+
+
+def test_copies_that_share_more_with_each_other_than_with_the_first(frame):
+    rng = random.Random(13)
+    a, b, c = text(rng, 51), text(rng, 9), text(rng, 8)
+    rows = [(1, f"{text(rng, 70)} {a} {text(rng, 70)}"), (2, f"{text(rng, 70)} {a} {b} {text(rng, 70)}"),
+            (3, f"{text(rng, 70)} {a} {b} {c} {text(rng, 70)}"), (4, f"{text(rng, 70)} {a} {b} {c} {text(rng, 70)}")]
+    got = run(frame(rows, D))
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 51, 60, 68]
+
+
+def test_one_edit_leaves_no_long_exact_part(frame):
+    """A word replaced in the middle: both halves of 25 words or more go."""
+    rng = random.Random(14)
+    rows = []
+    for n in (51, 60, 80):
+        passage = text(rng, n).split()
+        other = [*passage[: n // 2], "changed", *passage[n // 2 + 1:]]
+        rows += [(len(rows) + k, f"{text(rng, 70)} {' '.join(p)} {text(rng, 70)}") for k, p in enumerate((passage, other))]
+    got = run(frame(rows, D))
+    assert [got[i].n_removed for i in range(6)] == [0, 50, 0, 59, 0, 79]
+
+
+def test_a_text_that_repeats_itself_keeps_one_window(frame):
+    got = run(frame([(1, "again " * 1000), (2, "one two three " * 100)], D))
+    assert [len(got[i].text.split()) for i in (1, 2)] == [25, 25]
+
+
 def test_near_paragraphs_by_exact_similarity(frame):
     rng = random.Random(4)
     base = text(rng, 120).split()
