@@ -433,7 +433,7 @@ def verify(cells: DataFrame, sets: DataFrame, c: JoinConfig) -> DataFrame:
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
     """(cid, shingles) of the wanted classes, from the text of one document each."""
-    texts = join_small_or_shuffle(rows, wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("th") == F.col("w_th")),
+    texts = join_small_or_shuffle(rows, wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")),
                                   "inner", n_wanted, 48).select("doc_id", "th", "text")
 
     def run(batches):
@@ -456,9 +456,14 @@ def jaccard_join(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str
     the whole text, or the whole sequence when it has fewer words. Two rows link when 100 * |A n B| >= percent *
     |A u B|; component_id is the smallest id reachable, n_links the number of other rows linked with. Null,
     empty and wordless texts have an empty set: no class, no link, their own component. Repeated
-    rows count as rows of one class. An empty table gives an empty result; other columns are ignored.
+    rows count as rows of one class. A null id is no smallest id: component_id is null only when no row reached
+    has an id. An empty table gives an empty result; other columns are ignored.
     """
-    c = config
+    return _joined_rows(docs, config, id_col, text_col).drop("leads")
+
+
+def _joined_rows(docs: DataFrame, c: JoinConfig, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``jaccard_join``, and ``leads``: in a group without any id, whether the row stands for it."""
     rows = spread_tasks(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")))
     seen = stored(_describe(rows, c), "sets")
     every = seen.where(F.col("kind") == _DOC).select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
@@ -467,12 +472,12 @@ def jaccard_join(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str
         F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.max("n").alias("size"), F.max("sketch").alias("sketch"),
         F.min(F.struct("doc_id", "th")).alias("first")), "classes")
     links = _links(rows, seen, classes, c)
-    by_rep = classes.select("cid", "rep", "members")
+    by_rep = classes.select("cid", "rep", "members", F.col("first.th").alias("lead_th"))
     result = _groups(links, by_rep)
     joined = join_hot_split(every, result, "cid", "members", total)
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
                          F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"), F.col("cid").alias("class_id"),
-                         F.col("th").alias("text_hash"))
+                         F.col("th").alias("text_hash"), (F.col("leads") & (F.col("th") == F.col("lead_th"))).alias("leads"))
 
 
 def _links(rows: DataFrame, seen: DataFrame, classes: DataFrame, c: JoinConfig) -> DataFrame:
@@ -496,28 +501,35 @@ def _links(rows: DataFrame, seen: DataFrame, classes: DataFrame, c: JoinConfig)
 
 
 def _groups(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, members, component, links) of the classes with more than one row or a link."""
-    one = classes.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a"))
-    two = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b"))
+    """(cid, members, component, links, leads, lead_th) of the classes with more than one row or a link."""
+    node = F.col("rep")
+    nameless = not classes.where(node.isNull()).isEmpty()
+    if nameless:  # classes without an id are nodes of their own, after all those with one
+        node = F.struct(node.isNull().alias("nameless"), node.alias("rep"), F.when(node.isNull(), F.col("cid")).alias("own"))
+    one = classes.select(F.col("cid").alias("a"), node.alias("node_a"))
+    two = classes.select(F.col("cid").alias("b"), node.alias("node_b"))
     forest = links.where(F.col("b").isNotNull()).join(one, "a").join(two, "b")
-    component = connected_components(forest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    component = connected_components(forest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     degree = links.where(F.col("b").isNull()).groupBy(F.col("a").alias("d_cid")).agg(F.sum("links").alias("others"))
-    return (classes.join(degree, F.col("cid") == F.col("d_cid"), "left")
-            .join(component, F.col("rep") == F.col("node"), "left")
+    group = F.coalesce("component", "at")
+    return (classes.withColumn("at", node).join(degree, F.col("cid") == F.col("d_cid"), "left")
+            .join(component, F.col("at") == F.col("node"), "left")
             .where("members > 1 or others is not null")
-            .select("cid", "members", F.coalesce("component", "rep").alias("component"),
-                    (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("links")))
+            .select("cid", "members", (group["rep"] if nameless else group).alias("component"),
+                    (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("links"),
+                    (group["own"] == F.col("cid") if nameless else F.lit(None).cast("boolean")).alias("leads"), "lead_th"))
 
 
 def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig(k=5, percent=80), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
 
-    Rows repeated with the same id and text are one document and stay once; rows with an empty set all stay.
+    Rows repeated with the same id and text are one document and stay once; rows with an empty set all stay. A row without an id goes when its
+    component has one; of a component without any id one row stays.
     """
-    found = stored(jaccard_join(docs, config, id_col, text_col), "near-groups")
+    found = stored(_joined_rows(docs, config, id_col, text_col), "near-groups")
     p = free_prefix(docs.columns, "keep_")
-    kept = found.where("component_id is null or doc_id is null or doc_id = component_id")
+    kept = found.where("doc_id = component_id or (component_id is null and coalesce(leads, true))")
     plan = (kept.groupBy(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}text")).agg(F.count("*").alias(f"{p}n")))
     plan = stored(plan, "near-plan")
     on = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{p}text"))

@@ -92,3 +92,24 @@ def test_keep_one(frame):
     assert got.columns == ["doc_id", "text", "keep_n"]
     want = {c for _, _, c, _ in brute.near_groups([r[:2] for r in rows], 5, 80)}
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_null_ids(frame):
+    """Among near copies (here the only bridge between two ids), among exact copies, and in a group without any id."""
+    base = [f"w{i}" for i in range(90)]
+    left, right = list(base), list(base)
+    left[20] = "x1"
+    right[70] = "x2"
+    lone = [f"v{i}" for i in range(60)]
+    other = [*lone[:30], "y", *lone[31:]]
+    rows = [(5, " ".join(left)), (None, " ".join(base)), (3, " ".join(right)), (8, "the same words in both"), (None, "the same words in both"),
+            (None, " ".join(lone)), (None, " ".join(other)), (None, None), (None, "one of its own kind")]
+    config = JoinConfig(percent=86)
+    pairs = [(brute.shingles(rows[x][1], 4), brute.shingles(rows[y][1], 4)) for x, y in ((0, 1), (1, 2), (0, 2), (5, 6))]
+    assert [100 * len(a & b) >= 86 * len(a | b) for a, b in pairs] == [True, True, False, True]
+    found = ngram_join.jaccard_join(frame(rows, D), config).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    want = [(5, 87, 3, 1), (None, 87, 3, 2), (3, 87, 3, 1), (8, 2, 8, 1), (None, 2, 8, 1), (None, 57, None, 1), (None, 57, None, 1),
+            (None, 0, None, 0), (None, 2, None, 0)]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    kept = [r.text for r in ngram_join.keep_one(frame(rows, D), config).collect()]
+    assert len(kept) == 5 and {rows[i][1] for i in (2, 3, 7, 8)} < set(kept) and len(set(kept) & {rows[5][1], rows[6][1]}) == 1
