@@ -33,7 +33,7 @@ van het een niet op te zijn met voor och att som av den till med om
 """.split())
 
 # Tag roles.
-RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "object", "select", "math", "noframes")
+RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "select", "noframes")
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset("""

@@ -47,3 +47,10 @@ def test_edges(frame):
     rows = [(1, None, None, 1), (2, "u", "", None), (2, "u", "", None), (3, "v", long, 2), (None, "w", CASES[0][0], 3)]
     got = sorted((r.page_id or 0, r.url, r.n_chars) for r in H.extract(frame(rows, schema)).collect() if r.url)
     assert got == [(0, "w", len(CASES[0][1])), (2, "u", 0), (2, "u", 0), (3, "v", (len(P) + 1) * 3000 - 1)]
+
+
+def test_formula_and_fallback_text_stay():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi></math>"
+    assert H.main_text(f"<article><p>{P} Here {formula} holds.</p></article>") == f"{P} Here E=m holds."
+    assert H.main_text(f'<article><object data="a.pdf"><param name="x"><p>{P} See the file.</p></object></article>') == f"{P} See the file."
+    assert H.main_text(f"<nav>{formula}<object>{P}</object></nav><article><p>{P}</p></article>") == P
