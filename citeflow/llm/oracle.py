@@ -66,3 +66,57 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(c)
        (SELECT CAST(count(*) AS BIGINT) FROM both_ways WHERE x = d.doc_id) AS n_links
 FROM d LEFT JOIN n USING (doc_id)
 """
+
+
+def _op11() -> str:
+    """Forward dynamic programme over a conversation's rows: per automaton state the least (cost, audit, messages)."""
+    def least(*ways):
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def go(way, cost, letter, line="''"):
+        return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'm': {way}.m || {line}}}"
+
+    user, assistant = (f"chr(10) || '{r}:'" for r in ("user", "assistant"))
+    far = "{'c': 1000000, 'a': '', 'm': ''}"
+    # w: ways after a row; v: with the insertions before the next
+    inserted_u = least("w.u", *[go(f"w.{s}", 3, "I", user) for s in "zsa"])
+    inserted = (f"list_transform([w], lambda w: {{'z': w.z, 's': w.s, 'u': {inserted_u}, 'a': w.a, 'o': w.u}})")
+    inserted = (f"list_transform({inserted}, lambda w: {{'z': w.z, 's': w.s, 'u': w.u, 'a': {least('w.a', go('w.u', 3, 'I', assistant))}}})[1]")
+    late, keep = "(3 * x.late)", "chr(10) || x.role || ':' || x.text"
+    to_u = [go(f"v.{s}", f"3 + {late}", "R", f"{user} || x.text") for s in "zsa"]
+    kept_u = [f"CASE WHEN x.i = 'u' THEN {go(f'v.{s}', late, 'K', keep)} ELSE {far} END" for s in "zsa"]
+    row = f"""CASE WHEN x.gone THEN {{{', '.join(f"'{s}': {go(f'v.{s}', 4, 'D')}" for s in 'zsua')}}} ELSE {{
+        'z': {go('v.z', 4, 'D')},
+        's': {least(go('v.s', 4, 'D'), f"CASE WHEN x.i = 's' THEN {go('v.z', late, 'K', keep)} ELSE {far} END")},
+        'u': {least(go('v.u', 4, 'D'), *to_u, *kept_u)},
+        'a': {least(go('v.a', 4, 'D'), go('v.u', f'3 + {late}', 'R', f'{assistant} || x.text'),
+                    f"CASE WHEN x.i = 'a' THEN {go('v.u', late, 'K', keep)} ELSE {far} END")}}} END"""
+    return f"""
+WITH named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+coded AS (SELECT *, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)),
+    4294967295::BIGINT), 4294967295) % 20 AS harm FROM named),
+harmed AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
+placed AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM harmed),
+judged AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+    right(bare, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS i,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd FROM placed),
+listed AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (odd) AS illegal,
+    list({{'gone': blank OR again, 'late': cut::INT, 'i': i, 'role': role, 'text': text}} ORDER BY place) AS xs
+    FROM judged GROUP BY conv_id),
+solved AS (SELECT *, list_reduce(xs, lambda w, x: list_transform([{inserted}], lambda v: {row})[1],
+    {{'z': {{'c': 0, 'a': '', 'm': ''}}, 's': {far}, 'u': {far}, 'a': {far}}}) AS w FROM listed),
+ended AS (SELECT *, {least("w.z", "w.a", go("w.u", 3, "I", assistant), go("(" + go("w.s", 3, "I", user) + ")", 3, "I", assistant))} AS best FROM solved)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+    coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.m, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLE["op11_conversation_repair"] = _op11()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, paragraph_dedup, simhash, token_counts, token_output
+from . import conversation_repair, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, paragraph_dedup, simhash, token_counts, token_output
 from .common import read_table
 
 #: Vocabulary file of the token queries, as the public tokenizer package names it.
@@ -63,10 +63,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_benchmark_decontamination, op7_exact_dedup, op8_token_output,
-                                    op9_html_extraction, op10_mixing, op12_simhash)}
+                                    op9_html_extraction, op10_mixing, op11_conversation_repair, op12_simhash)}
