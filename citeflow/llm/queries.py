@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import conversation_repair, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, paragraph_dedup, simhash, token_counts, token_output
+from . import conversation_repair, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, paragraph_dedup, simhash, token_align, token_counts, token_output
 from .common import read_table
 
 #: Vocabulary file of the token queries, as the public tokenizer package names it.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: The two vocabularies that are aligned.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +75,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_align.align(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+    return token_align.agreement(out).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_line_dedup, op4_token_counts, op5_substring_dedup, op6_benchmark_decontamination, op7_exact_dedup, op8_token_output,
-                                    op9_html_extraction, op10_mixing, op11_conversation_repair, op12_simhash)}
+                                    op9_html_extraction, op10_mixing, op11_conversation_repair, op12_simhash,
+                                    op13_token_alignment)}
