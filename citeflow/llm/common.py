@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,20 +113,24 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER, SPACE_WORD = byte_tables(SPACES)
 
 
+def text_slices(column, limit: int = CHUNK_BYTES) -> Iterator[list[str]]:
+    """An Arrow text column as lists of about ``limit`` bytes, one text at least; null is empty. Only
+    one list is held as Python strings."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
+        yield [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def text_chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, UTF-8 texts) of an Arrow column in groups of about ``limit`` bytes;
-    null is empty. Only a slice of the column is held as Python strings at a time."""
-    first, size, part = 0, 0, []
-    for at in range(0, len(column), 256):
-        for i, t in enumerate(column.slice(at, 256).to_pylist(), at):
-            b = t.encode() if t else b""
-            if part and size + len(b) > limit:
-                yield first, part
-                first, size, part = i, 0, []
-            part.append(b)
-            size += len(b) + 1
-    if part:
-        yield first, part
+    """(index of the first text, UTF-8 texts) of an Arrow column, as ``text_slices``."""
+    at = 0
+    for texts in text_slices(column, limit):
+        yield at, [t.encode() for t in texts]
+        at += len(texts)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

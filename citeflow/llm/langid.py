@@ -1,17 +1,23 @@
 """Language identification by cross-parsing entropy.
 
-For every language a suffix automaton of a bounded sample of labelled text accepts all
+For every label a suffix automaton of a bounded sample of labelled text accepts all
 its substrings. A text is parsed greedily into longest matches ("phrases") against each
-language; the language whose phrases cost fewest bits, phrases * log2(sample length),
-wins. Missing transitions are compiled to "end the phrase, begin the next one from the
+label; the label needing fewest phrases per symbol wins. Every phrase is charged the same, whatever the
+length of the label's sample, so a label learned from a few symbols never is cheap: its matches are short.
+Missing transitions are compiled to "end the phrase, begin the next one from the
 root", so a parse is one table lookup per symbol, done by numpy for many blocks of text
-and all languages at once. Whole texts are parsed, in blocks of BLOCK symbols that each
-begin a new phrase.
+and all labels at once. Whole texts are parsed, in blocks of BLOCK symbols that each
+begin a new phrase; texts are taken from Arrow by bytes, so one very long text is alone in its pass.
+
+No label is left out: samples get shorter as labels get more (256 symbols at least), and the
+table grows by at most half a megabyte a label.
+
+Defined results: null and empty texts and texts without a letter are ``und``; ties go to the first
+name; repeated rows get equal results; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,21 +26,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_prefix, spread_tasks
+from .common import join_small_or_shuffle, ship_code, spread_tasks, stored, text_slices
 
-#: Symbols parsed from the root at a time, and symbols handled by one numpy pass.
-BLOCK, PASS_SYMBOLS = 256, 1 << 20
+#: Symbols parsed from the root at a time, and symbols times labels handled by one numpy pass.
+BLOCK, PASS_SYMBOLS = 256, 1 << 21
 
 
 @dataclass(frozen=True)
 class LangConfig:
     """Bounds of the labelled sample the model is fitted on; nothing else is sampled."""
 
-    rows: int = 512            # labelled rows per language, in the order of a hash of the id
+    rows: int = 512            # labelled rows per label at most, in the order of a hash
     excerpt_chars: int = 128   # taken from each of them
-    model_chars: int = 16384   # symbols per language; less when languages are many
-    total_chars: int = 262144  # symbols of all languages
-    languages: int = 256       # most frequent labels
+    model_chars: int = 16384   # symbols per label; less when labels are many
+    total_chars: int = 262144  # symbols of all labels, unless 256 for each are more
+    apart: int = 8             # every so many rows of a label are not learned but tell its usual phrase rate
+
+    def bound(self, labels: int) -> int:
+        """Symbols per label."""
+        return max(256, min(self.model_chars, self.total_chars // max(1, labels)))
+
+    def picks(self, labels: int) -> int:
+        """Rows per label."""
+        return min(self.rows, max(4 * self.apart, 4 * self.bound(labels) // self.excerpt_chars))
 
 
 # ---------------------------------------------------------------- symbols
@@ -128,11 +142,11 @@ def parse_table(step: list[dict[int, int]], width: int, base: int) -> np.ndarray
 
 
 class Model:
-    """Automata of all languages in one table."""
+    """Automata of all labels in one table, and the largest phrase rate of each label's rows kept apart."""
 
-    def __init__(self, samples: dict[str, str], total_chars: int, model_chars: int):
+    def __init__(self, samples: dict[str, str], total_chars: int, model_chars: int, apart: dict[str, list[str]] | None = None):
         names = sorted(samples)
-        bound = max(256, min(model_chars, total_chars // max(1, len(names))))
+        bound = LangConfig(model_chars=model_chars, total_chars=total_chars).bound(len(names))
         points = [code_points(samples[n]) for n in names]
         self.table = symbol_table(points)
         parts = [symbols(p, self.table)[:bound] for p in points]
@@ -145,9 +159,14 @@ class Model:
             tables.append(parse_table(step, self.width, base))
             starts.append(base * self.width)
             base += len(step)
-        self.next = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
-        self.starts = np.array(starts, dtype=np.int32)
-        self.bits = np.array([math.log2(max(2, len(parts[i]))) for i in keep])
+        number = np.int32 if base * self.width < 1 << 28 else np.int64
+        self.next = np.concatenate([t.astype(number) for t in tables]) if tables else np.empty(0, number)
+        self.starts = np.array(starts, dtype=number)
+        self.usual = np.full(len(keep), np.nan)
+        for i, n in enumerate(self.names):
+            own = [s for s in (symbols(code_points(t), self.table) for t in (apart or {}).get(n, [])) if (s != GAP).any()]
+            if own:
+                self.usual[i] = max(c[i] / len(s) for c, s in zip(self.phrases(own), own, strict=True))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(text, language) number of phrases of the symbol arrays."""
@@ -160,8 +179,8 @@ class Model:
             at += b * BLOCK
         count = np.zeros((len(self.names), n), dtype=np.int32)
         if n:
-            columns = np.ascontiguousarray(grid.T).astype(np.int32)
-            state = np.repeat(self.starts[:, None], n, axis=1)
+            columns = np.ascontiguousarray(grid.T).astype(self.next.dtype)
+            state = np.repeat(self.starts[:, None], n, axis=1)  # one row per label
             value = np.empty_like(state)
             for c in columns:
                 state += c
@@ -173,32 +192,35 @@ class Model:
         return np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], axis=1) \
             if len(self.names) else np.zeros((len(texts), 0))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """(language, score, phrases per symbol of the winner) of every text."""
-        langs, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
-        group, size = [], 0
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float, int]]:
+        """(label, score, phrases per symbol of the winner, symbols) of every text."""
+        out, group, size = [("und", 0.0, 1.0, 0)] * len(texts), [], 0
         for i, t in enumerate(texts):
             s = symbols(code_points(t), self.table) if t else np.empty(0, np.uint8)
-            if len(s) and (s != GAP).any():
+            if self.names and len(s) and (s != GAP).any():
+                if group and size + len(s) > PASS_SYMBOLS // len(self.names):
+                    self._predict(group, out)
+                    group, size = [], 0
                 group.append((i, s))
-                size += len(s)
-            if group and (size >= PASS_SYMBOLS or i == len(texts) - 1):
-                self._predict(group, langs, scores, rates)
-                group, size = [], 0
+                size += len(s) + BLOCK
         if group:
-            self._predict(group, langs, scores, rates)
-        return langs, scores, rates
+            self._predict(group, out)
+        return out
 
-    def _predict(self, group, langs, scores, rates) -> None:
-        if not self.names:
-            return
+    def _predict(self, group, out) -> None:
         count = self.phrases([s for _, s in group])
-        cost = count * self.bits
-        best = cost.argmin(axis=1)  # a tie goes to the first name in order
-        for (i, s), b, c, row in zip(group, best.tolist(), cost, count, strict=True):
-            langs[i], rates[i] = self.names[b], min(1.0, float(row[b]) / len(s))
-            rest = np.delete(c, b)
-            scores[i] = 1.0 if not len(rest) else float(1 - c[b] / rest.min())
+        best = count.argmin(axis=1)  # a tie goes to the first name in order
+        for (i, s), b, row in zip(group, best.tolist(), count, strict=True):
+            rest = np.delete(row, b)
+            score = 1.0 if not len(rest) else float(1 - row[b] / rest.min())
+            out[i] = (self.names[b], score, min(1.0, float(row[b]) / len(s)), len(s))
+
+    def foreign(self, label: str, rate: float, n: int, max_rate: float) -> bool:
+        """Is a text of n symbols in none of the labels' languages? Its best label's phrases would have to be more
+        than one above ``max_rate`` and above 5/4 of the largest rate of rows of that label kept apart; a
+        label too small to have any such row rejects nothing."""
+        usual = self.usual[self.names.index(label)]
+        return not np.isnan(usual) and rate * n > max(max_rate, 1.25 * usual) * n + 1
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -212,72 +234,83 @@ def fit(docs: DataFrame, config: LangConfig = LangConfig(), id_col: str = "doc_i
         lang_col: str = "lang") -> Model:
     """Fit on excerpts of a bounded number of labelled rows that are not held out.
 
-    The rows per language are the first by a hash of the id. A threshold on the hash, from the
-    language's count, leaves about four times as many for the row numbers, however many rows a
-    language has; the excerpts (bounded by the configuration) come to the driver.
+    The rows per label are the first by a hash of id and text. A threshold on the hash, from the
+    label's count, leaves about four times as many for the row numbers, however many rows a
+    label has, and its first row always; the excerpts (bounded by the configuration) come to the driver.
     """
-    text, lang = F.col(text_col), F.col(lang_col)
-    rows = docs.where(~held_out(id_col) & lang.isNotNull() & text.isNotNull())
-    count = {r["lang"]: r["count"] for r in rows.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang")
-             .limit(config.languages).collect()}
-    if not count:
+    text = F.col(text_col)
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & text.isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "languages")
+    labels = counts.count()
+    if not labels:
         return Model({}, config.total_chars, config.model_chars)
-    most = {n: min((1 << 63) - 1, int(4 * config.rows / c * 2.0 ** 64) - (1 << 63)) for n, c in count.items()}
-    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[lang]
-    room = F.greatest(F.length(text) - config.excerpt_chars, F.lit(0)) + 1
-    at = (F.pmod(F.xxhash64(text), room.cast("bigint")) + 1).cast("int")
-    first = rows.where(lang.isin(list(count)) & (F.xxhash64(F.col(id_col)) <= limit)).select(
-        lang.alias("lang"), F.xxhash64(F.col(id_col)).alias("h"),
-        F.substr(text, at, F.lit(config.excerpt_chars)).alias("excerpt"))
+    picks = config.picks(labels)
+    share = F.lit(4.0 * picks) / F.col("n")
+    limit = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0 ** 64 - 2.0 ** 63).cast("long"))
+    most = counts.select("lang", F.greatest(limit, "least").alias("limit"))
+    room = F.greatest(F.length("text") - config.excerpt_chars, F.lit(0)) + 1
+    at = (F.pmod(F.xxhash64("text"), room.cast("bigint")) + 1).cast("int")
+    first = (join_small_or_shuffle(rows, most, "lang", "inner", labels, 128).where("h <= limit")
+             .select("lang", "h", F.substr("text", at, F.lit(config.excerpt_chars)).alias("excerpt")))
     order = Window.partitionBy("lang").orderBy("h", "excerpt")
-    picked = (first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.rows)
+    picked = (first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= picks)
               .select("lang", "place", "excerpt").collect())
     samples: dict[str, dict[str, None]] = {}
+    apart: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["place"])):
-        samples.setdefault(r["lang"], {})[r["excerpt"]] = None  # equal texts give equal excerpts: once
-    return Model({k: " ".join(v) for k, v in samples.items()}, config.total_chars, config.model_chars)
+        if r["place"] % config.apart:
+            samples.setdefault(r["lang"], {})[r["excerpt"]] = None  # equal texts give equal excerpts: once
+        else:
+            apart.setdefault(r["lang"], []).append(r["excerpt"])
+    return Model({k: " ".join(v) for k, v in samples.items()}, config.total_chars, config.model_chars, apart)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score, phrase_rate; with ``keep`` all columns of ``docs``
-    and lang, score and rate under a prefix no column has, ``lid_`` if free, instead.
+def _column(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every text when
-    nothing was learned. ``score`` is 1 - (cost of the best language / cost of the second); ties go
-    to the first name. Repeated rows get equal results; other columns play no part.
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score (1 - phrases of the best label / phrases of the second), phrase_rate.
+
+    ``und`` with score 0 is also every text when nothing was learned.
     """
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    if keep:
-        rows, at = docs, docs.columns.index(text_col)
-        p = free_prefix(docs.columns, "lid_")
-        names = [*docs.columns, f"{p}lang", f"{p}score", f"{p}rate"]
-    else:
-        rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-        at, names = 2, ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"]
-    rows = spread_tasks(rows)
+    rows = spread_tasks(docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")))
 
     def run(batches):
         for b in batches:
-            step = 2000
-            for i in range(0, max(1, b.num_rows), step):
-                part = b.slice(i, step)
-                langs, scores, rates = shared.value.predict(part.column(at).to_pylist())
-                own = part.columns if keep else part.columns[:2]
+            at = 0
+            for texts in text_slices(b.column(2)):
+                lang, score, rate, _ = zip(*shared.value.predict(texts), strict=True)
+                own = b.slice(at, len(texts)).columns[:2]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names)
+                    [*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
+                    ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"])
+                at += len(texts)
 
-    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
-    own = fields if keep else fields[:2]
-    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in own), f"{names[-3]} string", f"{names[-2]} double",
-                                           f"{names[-1]} double"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_rate double")
 
 
-def reject_foreign(docs: DataFrame, max_rate: float = 0.5, config: LangConfig = LangConfig()) -> DataFrame:
-    """The rows of ``docs`` written in a learned language.
+def reject_foreign(docs: DataFrame, max_rate: float = 0.5, config: LangConfig = LangConfig(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, written in a learned language.
 
-    Rejected are texts without letters and texts whose longest matches against the best language
-    average fewer than 1 / ``max_rate`` symbols, that is, text in none of the languages.
+    Rejected are null texts, texts without letters and texts in none of the languages (``Model.foreign``); when
+    nothing was learned all texts are ``und`` and go. Rows are filtered in the worker that reads them.
     """
-    out = identify(docs, fit(docs, config), keep=True)
-    lang, _, rate = out.columns[-3:]
-    return out.where((F.col(lang) != "und") & (F.col(rate) <= max_rate)).select(*docs.columns)
+    ship_code(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, config, text_col=text_col))
+    rows, at = spread_tasks(docs), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            first = 0
+            for texts in text_slices(b.column(at)):
+                model = shared.value
+                keep = [lang != "und" and not model.foreign(lang, rate, n, max_rate) for lang, _, rate, n in model.predict(texts)]
+                yield b.slice(first, len(texts)).filter(pa.array(keep, pa.bool_()))
+                first += len(texts)
+
+    return rows.mapInArrow(run, ", ".join(f"{_column(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields))

@@ -24,16 +24,14 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code, spread_tasks, stored
+from .common import ship_code, spread_tasks, stored, text_slices
 
 #: Bytes of text handled at once, and encoded at once.
 CHUNK, PIECE = 1 << 18, 1 << 16
@@ -209,18 +207,6 @@ def group_texts(ids_a, ids_b, at_a, at_b, first_a, first_b) -> list[str]:
     return ["".join(words[x:y])[:-1] for x, y in zip(first[:-1], first[1:], strict=True)]
 
 
-def text_slices(column, limit: int) -> Iterator[list[str]]:
-    """An Arrow text column as lists of about ``limit`` bytes; null is empty. Only one list is held as Python strings."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    total = np.cumsum(sizes)
-    at = 0
-    while at < len(column):
-        done = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
-        yield [t or "" for t in column.slice(at, end - at).to_pylist()]
-        at = end
-
-
 def align_chunk(a, b, texts: list[str], limit: int) -> dict:
     """Columns of the alignment of one chunk."""
     raw = [b" " + t.encode() if t else b"" for t in texts]
