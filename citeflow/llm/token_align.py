@@ -10,9 +10,9 @@ A link is a pair of token occurrences that end together: the last tokens of a gr
 a plain aggregate over the corpus. They come back to the texts by a broadcast of the most frequent pairs, at most ``HEAD`` by their
 share of all links, and a shuffle on the pair for the others, none of which is frequent.
 
-A text longer than ``PIECE`` bytes is encoded in pieces cut at a single blank between two other characters, where neither
-tokenizer can join: the byte-level one starts a new word there, and no entry of the other one has a blank behind
-another character (checked when its file is loaded; otherwise texts go to it whole).
+Texts are cut at single blanks between two other characters, where neither tokenizer can join: the byte-level one
+starts a new word there, and no entry of the other one has a blank behind another character (checked when its file is
+loaded; otherwise texts go to it whole). The words in between are encoded once and remembered, up to ``WORDS`` of them.
 
 Defined results: a null or empty text, and one whose tokens' bytes are not those of space + text (a tokenizer that
 replaces characters), have no tokens: zeros and an empty digest. Repeated rows and equal ids are rows of their own, null ids
@@ -22,9 +22,12 @@ included; ties for the highest count of an id all count; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import ship_code, spread_tasks, stored, text_slices
 
-#: Bytes of text handled at once, and encoded at once.
-CHUNK, PIECE = 1 << 18, 1 << 16
+#: Bytes of texts aligned at once, characters of a text cut into words at once.
+CHUNK, PIECE = 1 << 18, 1 << 20
+#: Remembered words of a tokenizer, and their greatest length.
+WORDS, WORD_CHARS = 1 << 17, 64
 #: Elements of the shorter list that one lane walks.
 LANE = 64
 #: Pairs that are broadcast with their counts at most.
@@ -51,23 +56,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The published word pattern of byte-level BPE, and the texts in whose characters all regex engines see the same classes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = re.compile("[\n -~\u00a1-\u024f]*")
+
+
 class ByteLevel:
-    """A byte-level BPE of the tokenizers library; special strings inside texts are plain text."""
+    """A byte-level BPE in the tokenizers library's file; special strings inside texts are plain text.
+
+    Latin texts go through tiktoken with the same vocabulary, several times as fast, if the file's merges are in the order
+    of their ids, so that ranks mean the same; all others through the tokenizers library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.entries = [b""] * self.model.get_vocab_size()
-        for entry, i in self.model.get_vocab().items():
+        alphabet, vocabulary = byte_alphabet(), self.model.get_vocab()
+        self.entries = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
             self.entries[i] = bytes(alphabet[c] for c in entry)
-        self.cuts = True
+        self.cuts, self.ranked = True, None
+        file = json.loads(self.model.to_str())
+        plain = file["model"]["vocab"]
+        merged = [plain["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
+        if file["normalizer"] is None and merged == sorted(set(merged)) and set(plain.values()) - set(merged) == set(range(256)):
+            import tiktoken
+            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, special_tokens={},
+                                            mergeable_ranks={self.entries[i]: i for i in plain.values() if i < 256 + len(merged)})
+
+    def common(self, text: str) -> bool:
+        return self.ranked is not None and _LATIN.fullmatch(text) is not None
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces that begin with their blank."""
-        return [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        fast = [self.common(p) for p in pieces]
+        slow = iter(self.model.encode_batch_fast([p for p, f in zip(pieces, fast, strict=True) if not f], add_special_tokens=False))
+        return [self.ranked.encode_ordinary(p) if f else next(slow).ids for p, f in zip(pieces, fast, strict=True)]
 
 
 class Pieces:
@@ -82,6 +108,9 @@ class Pieces:
                         for i, p in enumerate(names)]
         self.cuts = all(re.fullmatch("▁*[^▁]*", p) for p in names)
 
+    def common(self, text: str) -> bool:
+        return True
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
         return self.model.encode([p[1:] for p in pieces], num_threads=1)
 
@@ -90,39 +119,68 @@ class Pieces:
 def load(kind: type, path: str):
     coder = kind(path)
     coder.sizes = np.array([len(e) for e in coder.entries], dtype=np.int64)
+    coder.words = {}
     return coder
 
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT, _OTHER_WHITE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\S \n]")
 
 
-def pieces(text: str, limit: int) -> list[str]:
-    """Space + text in pieces of about ``limit`` characters, each beginning with its blank."""
-    text = " " + text
-    out, at = [], 0
-    while at + limit < len(text):
-        cut = _CUT.search(text, at + limit)
+def pieces(text: str, limit: int) -> Iterator[str]:
+    """The text without the blanks at which it is cut, after about ``limit`` characters each."""
+    at = 0
+    while True:
+        cut = _CUT.search(text, at + limit) if at + limit < len(text) else None
+        yield text[at: cut.start() if cut else len(text)]
         if cut is None:
-            break
-        out.append(text[at: cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
-def encoded(coder, texts: list[str], limit: int) -> list[list[int]]:
-    """Ids of every text."""
-    parts = [pieces(t, limit) if coder.cuts else [" " + t] for t in texts]
-    flat = [p for ps in parts for p in ps]
-    ids, at, size = [], 0, 0
-    for i, p in enumerate(flat):
-        size += len(p)
-        if size > CHUNK or i + 1 == len(flat):
-            ids += coder.encode(flat[at: i + 1])
-            at, size = i + 1, 0
-    out, at = [], 0
-    for ps in parts:
-        out.append([x for one in ids[at: at + len(ps)] for x in one])
-        at += len(ps)
+            return
+        at = cut.end()
+
+
+def words(piece: str) -> list[str]:
+    """The piece cut at every single blank between two other characters."""
+    if piece[:1] == " " or piece[-1:] == " " or any(x in piece for x in ("  ", " \n", "\n ")) or _OTHER_WHITE.search(piece):
+        return _CUT.split(piece)
+    return piece.split(" ")
+
+
+def _learn(coder, new: list[str]) -> dict[str, tuple[int, ...]]:
+    """Ids of words, each with a blank before it. Words that do not begin or end with white space are encoded
+    together, some hundred in one text, and taken apart where their bytes end."""
+    known: dict[str, tuple[int, ...]] = {}
+    plain = [w for w in new if len(w) <= WORD_CHARS and w == w.strip() != ""] if coder.cuts else []
+    latin = {w for w in plain if coder.common(w)}
+    for one in (list(latin), [w for w in plain if w not in latin]):
+        for at in range(0, len(one), 128):
+            part = one[at: at + 128]
+            joined = " " + " ".join(part)
+            ids = coder.encode([joined])[0]
+            ends = np.cumsum(coder.sizes[ids])
+            wanted = np.cumsum([len(w.encode()) + 1 for w in part])
+            last = np.searchsorted(ends, wanted)
+            if last[-1] < len(ends) and (ends[last] == wanted).all():
+                cut = [0, *(last + 1).tolist()]
+                known |= {w: tuple(ids[x:y]) for w, x, y in zip(part, cut[:-1], cut[1:], strict=True)}
+    rest = [w for w in new if w not in known]
+    for at in range(0, len(rest), 64):
+        part = rest[at: at + 64]
+        known |= zip(part, map(tuple, coder.encode([" " + w for w in part])), strict=True)
+    return known
+
+
+def encoded(coder, texts: list[str], limit: int) -> list[np.ndarray]:
+    """Ids of space + text, for every text."""
+    out = []
+    cut = [[words(p) for p in pieces(t, limit)] if coder.cuts else [[t]] for t in texts]
+    if len(coder.words) > WORDS:
+        coder.words = {}
+    known = coder.words
+    new = _learn(coder, sorted(set().union(*(ws for ps in cut for ws in ps)) - known.keys()))
+    every = known | new if any(len(w) > WORD_CHARS for w in new) else known
+    known |= {w: i for w, i in new.items() if len(w) <= WORD_CHARS}
+    for ps in cut:
+        parts = [np.array(list(chain.from_iterable(map(every.__getitem__, ws))), dtype=np.int64) for ws in ps]
+        out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
     return out
 
 
@@ -209,25 +267,26 @@ def group_texts(ids_a, ids_b, at_a, at_b, first_a, first_b) -> list[str]:
 
 def align_chunk(a, b, texts: list[str], limit: int) -> dict:
     """Columns of the alignment of one chunk."""
-    raw = [b" " + t.encode() if t else b"" for t in texts]
-    ids = []
+    none = np.empty(0, dtype=np.int64)
+    ids, right = [], [bool(t) for t in texts]
     for coder in (a, b):
         rows = iter(encoded(coder, [t for t in texts if t], limit))
-        ids.append([next(rows) if t else [] for t in texts])
-    right = [all(b"".join(map(c.entries.__getitem__, x[k])) == want for c, x in ((a, ids[0]), (b, ids[1])))
-             for k, want in enumerate(raw)]
-    ids = [[r if ok else [] for r, ok in zip(x, right, strict=True)] for x in ids]
+        ids.append([next(rows) if t else none for t in texts])
+        entry = coder.entries.__getitem__
+        right = [ok and b"".join(map(entry, i.tolist())) == b" " + t.encode() for ok, i, t in zip(right, ids[-1], texts, strict=True)]
+    ids = [[r if ok else none for r, ok in zip(x, right, strict=True)] for x in ids]
     n = [np.array([len(r) for r in x], dtype=np.int64) for x in ids]
     first = [np.concatenate(([0], np.cumsum(x))) for x in n]
-    flat = [np.fromiter((i for r in x for i in r), dtype=np.int64, count=int(k.sum())) for x, k in zip(ids, n, strict=True)]
+    flat = [np.concatenate(x) for x in ids]
     ends = [np.cumsum(c.sizes[f]) for c, f in zip((a, b), flat, strict=True)]  # both count the same bytes of the same texts
     at_a, at_b = aligned(*n, *ends)
     text_of = np.searchsorted(first[0], at_a, side="right") - 1
     groups = np.bincount(text_of, minlength=len(texts))
-    pair = np.stack((text_of, flat[0][at_a], flat[1][at_b]), axis=1)
-    pair, times = np.unique(pair, axis=0, return_counts=True)
+    key, times = np.unique((text_of * len(a.entries) + flat[0][at_a]) * len(b.entries) + flat[1][at_b], return_counts=True)
+    key, id_b = np.divmod(key, len(b.entries))
+    text_of, id_a = np.divmod(key, len(a.entries))
     return {"n_a": n[0], "n_b": n[1], "n_groups": groups, "groups": group_texts(*flat, at_a, at_b, *first),
-            "pair": pair, "times": times, "cut": np.searchsorted(pair[:, 0], np.arange(len(texts) + 1))}
+            "id_a": id_a, "id_b": id_b, "times": times, "cut": np.searchsorted(text_of, np.arange(len(texts) + 1))}
 
 
 LINK = "array<struct<a:int,b:int,n:int>>"
@@ -248,7 +307,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, a_kind: type = ByteLevel, b
             for texts in text_slices(batch.column(1), CHUNK):
                 c = align_chunk(a, b, texts, piece)
                 groups = c["groups"] if texts_out else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in c["groups"]]
-                pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (c["pair"][:, 1], c["pair"][:, 2], c["times"])],
+                pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (c["id_a"], c["id_b"], c["times"])],
                                                    fields=list(link))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(c["n_a"]), pa.array(c["n_b"]), pa.array(c["n_groups"].astype(np.int64)),

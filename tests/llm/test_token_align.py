@@ -109,14 +109,16 @@ def test_empty(frame):
     assert out.collect() == []
 
 
-@pytest.mark.parametrize("limit", [1, 5, 40])
-def test_pieces_of_a_long_text_encode_like_the_whole(coders, limit):
+@pytest.mark.parametrize("limit", [1, 5, 40, 1 << 20])
+def test_words_and_pieces_encode_like_the_whole(coders, limit, monkeypatch):
+    monkeypatch.setattr(token_align, "WORDS", 50)
+    monkeypatch.setattr(token_align, "WORD_CHARS", 6)
     rng = random.Random(limit)
-    texts = ["".join(rng.choice(["word", "s", " ", " ", "  ", "\n", "\t", "'s", "é", ".", "9", "日", " ", "🙂", "The", "ing"]) for _ in range(400))
-             for _ in range(30)]
+    texts = ["".join(rng.choice(["word", "s", " ", " ", "  ", "\n", "\t", "'s", "é", ".", "9", "日", " ", "🙂", "The", "ing", "\x1c", "\xa0"])
+                     for _ in range(400)) for _ in range(30)] + [" ", "x", " x ", "a  b", *filter(None, ODD)]
     for coder in coders:
-        assert token_align.encoded(coder, texts, limit) == [coder.encode([" " + t])[0] for t in texts]
         assert coder.cuts
+        assert [i.tolist() for i in token_align.encoded(coder, texts, limit)] == [coder.encode([" " + t])[0] for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
