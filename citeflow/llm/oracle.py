@@ -42,7 +42,10 @@ l AS (SELECT doc_id, i - 1 AS pos, trim(lines[i], chr(32) || chr(9) || chr(13))
 f AS (SELECT doc_id, pos, line, row_number() OVER w AS s, lead(line) OVER w AS after, lead(pos) OVER w AS after_pos
       FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 r AS (SELECT doc_id, pos, after_pos, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, s) AS k FROM f WHERE after IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM r WHERE k > 1 UNION ALL SELECT doc_id, after_pos FROM r WHERE k > 1)),
+lone AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, s) AS k
+         FROM f WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 5),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM r WHERE k > 1 UNION ALL SELECT doc_id, after_pos FROM r WHERE k > 1
+                                           UNION ALL SELECT doc_id, pos FROM lone WHERE k > 1)),
 g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM gone GROUP BY doc_id),
 kept AS (SELECT l.doc_id, string_agg(d.lines[l.pos + 1], chr(10) ORDER BY l.pos) AS text
          FROM l JOIN d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY l.doc_id)

@@ -103,8 +103,8 @@ def near_groups(rows, k=4, percent=85):
 
 # ---------------------------------------------------------------- lines
 
-def repeated_lines(rows, run):
-    """[(id, lines, removed places, text)] for rows of distinct ids."""
+def repeated_lines(rows, run, lone=5):
+    """[(id, lines, removed places, text)] for rows of distinct ids; a line of ``lone`` words is a run by itself."""
     seen, out = set(), []
     for i, text in sorted(rows):
         lines = (text or "").split("\n")
@@ -115,6 +115,11 @@ def repeated_lines(rows, run):
             if key in seen:
                 gone.update(at for at, _ in full[s:s + run])
             seen.add(key)
+        for at, x in full:
+            if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= lone:
+                if (x, "alone") in seen:
+                    gone.add(at)
+                seen.add((x, "alone"))
         left = text if not gone else "\n".join(x for at, x in enumerate(lines) if at not in gone)
         out.append((i, len(full), len(gone), ",".join(map(str, sorted(gone))), left))
     return out
