@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -67,6 +68,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored`` after their last reader has run, and let Spark's cleaner take away the shuffle
+    files of jobs whose frames are gone. Nothing may depend on the tables any more but other stored tables."""
+    for table in tables:
+        session = table.sparkSession
+        jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def join_small_or_shuffle(left: DataFrame, right: DataFrame, on, how: str, rows: int,
                           row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
     """Broadcast ``right`` only when its measured ``rows`` prove it small."""

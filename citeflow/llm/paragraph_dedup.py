@@ -1,15 +1,23 @@
 """Substring de-duplication: MinHash banding over paragraphs, and exact windows inside them.
 
-Two kinds of passage are compared, both of at least MIN_WORDS words. *Natural* ones are the lines
-of a text: MinHash signatures are cut in bands, paragraphs sharing a band are joined, and their exact
-Jaccard similarity over distinct 5-word shingles decides. *Embedded* ones are exact runs of words at any
-place. Seeds of ``seed`` words begin at content-chosen places (the smallest shingle of every window
+Two kinds of passage are compared. *Natural* ones are the lines of ``k`` words or more: MinHash signatures are cut in bands,
+paragraphs sharing a band are joined, and their exact Jaccard similarity over distinct 5-word shingles decides. Lines
+of fewer than MIN_WORDS words have too few shingles for that many bands; their bands are single minima, as
+many as make sure that two lines of the wanted similarity share one. *Embedded* passages are exact runs of MIN_WORDS words
+or more at any place. Seeds of ``seed`` words begin at content-chosen places (the smallest shingle of every window
 of MIN_WORDS - seed + 1), so any run of MIN_WORDS words holds a seed wherever it stands. Around the seeds
 that occur again every window of MIN_WORDS words is compared, so a shared passage is found up to
 its last word for each pair of copies: its windows cover it, and no pair is ever written out.
+
+Windows beside each other, up to the next chosen place, form a *span*. Spans are grouped first, one row each: those
+in another text than the first of their group are repeats as they are, and only the others are taken apart into
+windows. So the rows follow the distinct text and not the copies. Spans and windows are equal when two hashes of
+64 bits are, one of their shingles and one of their words.
+
 Equal paragraphs are one class from the start (one row per class meets in the join, however many
 copies there are); links between classes are clustered by connected components. Of each cluster, and of
 each class of equal windows, the first occurrence (smallest id, then place) stays and the others are cut out of their texts.
+Stored tables are removed after their last reader.
 """
 
 from __future__ import annotations
@@ -21,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SPACE_WORD, connected_components, gram_hashes, join_hot_split, join_small_or_shuffle, mixed, spread_tasks,
-                     stored, text_chunks, word_spans)
+from .common import (SPACE_WORD, connected_components, discard, gram_hashes, join_hot_split, join_small_or_shuffle, mixed,
+                     ship_code, spread_tasks, stored, text_chunks, word_spans)
 from .ngram_join import JoinConfig, candidates, shared_keys, sketch, verify
 
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -52,19 +60,20 @@ def recall(c: ParagraphConfig, similarity: float) -> float:
 
 def _minima(grams: np.ndarray, window: int) -> np.ndarray:
     """Per window the place of its smallest gram (the earliest of equal ones)."""
-    n = len(grams)
-    if n < window:
-        return np.empty(0, dtype=np.int64)
-    low = np.uint64((1 << 24) - 1)
-    m = (mixed(grams) & ~low) | (np.arange(n, dtype=np.uint64) & low)
+    h = mixed(grams)
+    least = np.arange(len(h))
+    if len(h) < window:
+        return least[:0]
+
+    def smaller(a, b):
+        return np.where(h[b] < h[a], b, a)
+
     width = 1
-    least = m
     while width * 2 <= window:  # minima over 1, 2, 4, ... places, then over the window
-        least = np.minimum(least[: len(least) - width], least[width:])
+        least = smaller(least[: len(least) - width], least[width:])
         width *= 2
     rest = window - width
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    return (least & low).astype(np.int64)
+    return smaller(least[: len(least) - rest], least[rest:]) if rest else least
 
 
 def _viable(grams: np.ndarray, hits: np.ndarray, c: ParagraphConfig) -> np.ndarray:
@@ -101,6 +110,8 @@ def _run_hashes(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
 
 def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> np.ndarray:
     """(paragraph, band) keys from the minima of bands * rows hash functions."""
+    if not len(begin):
+        return np.empty((0, c.bands), dtype=np.uint64)
     cut = np.stack([begin, end], axis=1).ravel()
     cut = cut[:-1] if cut[-1] == len(grams) else cut
     keys = np.empty((len(begin), c.bands), dtype=np.uint64)
@@ -112,8 +123,32 @@ def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
             value = (grams ^ seeds[j]) * factors[j]
             value ^= value >> np.uint64(32)
             key = mixed(key + np.minimum.reduceat(value, cut)[::2])
-        keys[:, band] = key & ~np.uint64(1)
-    return keys.view(np.int64)
+        keys[:, band] = key
+    return keys & ~np.uint64(1)
+
+
+def _least(grams: np.ndarray, c: ParagraphConfig) -> np.ndarray:
+    """The smallest shingles of a short line: n - ceil(similarity * n) + 1 of its n distinct ones. Two sets
+    of the wanted similarity share more than what both leave out, so they share one of these."""
+    u = np.unique(mixed(grams))
+    n = len(u)
+    return u[: n - -(-c.percent * n // 100) + 1] | np.uint64(1)
+
+
+def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> list[np.ndarray]:
+    """Band keys of natural paragraphs grams[begin:end]. Between the two kinds of band lines have keys of both."""
+    size, short = end - begin, c.min_words - c.k + 1
+    long = np.flatnonzero(size >= short)
+    keys = [[] for _ in size]
+    for i, row in zip(long.tolist(), _bands(grams, begin[long], end[long], c), strict=True):
+        keys[i].append(row)
+    for i in np.flatnonzero(size * c.percent <= 100 * short).tolist():
+        keys[i].append(_least(grams[begin[i]: end[i]], c))
+    # a long line of many repeated shingles may be similar to a short one too
+    for i in np.flatnonzero((size >= short) & (size * c.percent > 100 * short)).tolist():
+        if len(np.unique(grams[begin[i]: end[i]])) * c.percent <= 100 * short:
+            keys[i].append(_least(grams[begin[i]: end[i]], c))
+    return [np.concatenate(k) if k else np.empty(0, dtype=np.uint64) for k in keys]
 
 
 def _paragraphs(texts: list[bytes], c: ParagraphConfig):
@@ -127,11 +162,12 @@ def _paragraphs(texts: list[bytes], c: ParagraphConfig):
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         n = b - a
         natural, seeds = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
-        if n >= c.min_words:
+        if n >= c.k:
             edge = np.flatnonzero(np.diff(line[a:b])) + 1
             bounds = np.concatenate(([0], edge, [n]))
             both = np.stack([bounds[:-1], bounds[1:]], axis=1)
-            natural = both[both[:, 1] - both[:, 0] >= c.min_words] + a
+            natural = both[both[:, 1] - both[:, 0] >= c.k] + a
+        if n >= c.min_words:
             at = np.unique(_minima(grams[a: b - c.k + 1], c.reach))
             seeds = at[at + c.seed <= n] + a
         out.append((a, n, natural, seeds))
@@ -139,8 +175,8 @@ def _paragraphs(texts: list[bytes], c: ParagraphConfig):
 
 
 def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(doc_id, th, n_words, cid, first, end, bands): all paragraphs and seeds of all texts, and one
-    row without cid per text. Only natural paragraphs have an end and band keys."""
+    """(doc_id, th, cid, first, end, bands): all paragraphs and seeds of all texts. Only natural paragraphs
+    have an end and band keys."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -157,26 +193,18 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
                         keyed.append(np.full(len(x), banded))
                 begin, end, owner, offset, keyed = (np.concatenate(v) for v in (begin, end, owner, offset, keyed))
                 cid = _run_hashes(grams, begin, end - c.k + 1)
-                keys = np.zeros((0, c.bands), dtype=np.int64)
-                if keyed.any():
-                    keys = _bands(grams, begin[keyed], end[keyed] - c.k + 1, c)
-                counts = np.where(keyed, c.bands, 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                keys = _keys(grams, begin[keyed], end[keyed] - c.k + 1, c)
+                counts = np.zeros(len(keyed), dtype=np.int64)
+                counts[keyed] = [len(k) for k in keys]
+                flat = np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat))
                 own = b.slice(at, len(texts))
                 take = pa.array(owner, pa.int64())
-                n_words = np.array([n for _, n, _, _ in found], dtype=np.int64)
-                m = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(n_words), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()),
-                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))],
-                    ["doc_id", "th", "n_words", "cid", "first", "end", "bands"])
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays(
-                        [own.column(0).take(take), own.column(1).take(take), pa.nulls(len(owner), pa.int64()), pa.array(cid, pa.int64()),
-                         pa.array(begin - offset, pa.int32()), pa.array(end - offset, pa.int32(), mask=~keyed), bands],
-                        ["doc_id", "th", "n_words", "cid", "first", "end", "bands"])
+                    [own.column(0).take(take), own.column(1).take(take), pa.array(cid, pa.int64()), pa.array(begin - offset, pa.int32()),
+                     pa.array(end - offset, pa.int32(), mask=~keyed), bands], ["doc_id", "th", "cid", "first", "end", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, n_words bigint, cid bigint, first int, end int, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, cid bigint, first int, end int, bands array<bigint>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, c: ParagraphConfig) -> DataFrame:
@@ -214,67 +242,118 @@ def _near_links(rows: DataFrame, found: DataFrame, c: ParagraphConfig) -> DataFr
     sets = stored(sets, "paragraph-sets")
     pairs = stored(candidates(shared, sets.select("cid", "size", "sketch"), join), "candidates")
     whole = sets.select("cid", "shingles", F.lit(1).cast("bigint").alias("members"))
-    return stored(verify(pairs, whole, join).where(F.col("b").isNotNull()).select("a", "b"), "links")
+    links = stored(verify(pairs, whole, join).where(F.col("b").isNotNull()).select("a", "b"), "links")
+    discard(shared, near, wanted, sets, pairs)
+    return links
 
 
-def _windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(doc_id, th, cid, first): the windows of min_words words whose seeds all occur again.
+def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
+    """(doc_id, th, cid, first, n, windows): spans of n neighbouring windows of min_words words whose seeds all occur again.
 
-    Every run of min_words words that two places share is among them: its seeds are the same in both.
+    Every run of min_words words that two places share is among the windows: its seeds are the same in both. The hashes of
+    a span's windows come once from every task that sees it, null otherwise.
     """
+    n_seeds = seeds.count()
     shared = stored(seeds.groupBy("cid").agg(F.count("*").alias("m")).where("m > 1"), "shared-seeds")
-    hits = (join_hot_split(seeds, shared, "cid", "m", seeds.count(), "inner")
-            .groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"))
-            .agg(F.collect_set("first").alias("at")))  # bounded by the text's own length
+    hits = stored(join_hot_split(seeds, shared, "cid", "m", n_seeds, "inner")
+                  .groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"))
+                  .agg(F.collect_set("first").alias("at")), "seed-places")  # bounded by the text's own length
+    discard(shared)
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
     texts = rows.join(hits, on).select("doc_id", "th", "text", "at")  # the hits grow with the corpus: a shuffle join at any size
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def both(grams, words, begin, size):
+        """16 bytes of every run of words: a hash of its shingles and one of its words."""
+        return np.stack([_run_hashes(grams, begin, begin + size - c.k + 1), _run_hashes(words, begin, begin + size)], axis=1)
+
+    def binary(hashes):
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))]).cast(pa.binary())
+
     def run(batches):
+        known: set[bytes] = set()
         for b in batches:
             for at, texts in text_chunks(b.column(2)):
                 words, _, _, first = word_spans(texts, SPACE_WORD)
                 grams = gram_hashes(words, c.k)
-                places = []
+                owner, start, size, place = [], [], [], []
                 for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    hits = np.array(b.column(3)[at + i].as_py(), dtype=np.int64)
-                    places.append(_viable(grams[x: y - c.k + 1], hits, c) if y - x >= c.min_words else np.empty(0, dtype=np.int64))
-                owner = np.repeat(np.arange(len(texts)), [len(p) for p in places])
-                place = np.concatenate(places)
-                begin = place + first[owner]
-                cid = _run_hashes(grams, begin, begin + c.min_words - c.k + 1)
-                own, take = b.slice(at, len(texts)), pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(0).take(take), own.column(1).take(take), pa.array(cid, pa.int64()),
-                                                  pa.array(place, pa.int32())], ["doc_id", "th", "cid", "first"])
+                    if y - x < c.min_words:
+                        continue
+                    own = grams[x: y - c.k + 1]
+                    windows = _viable(own, np.array(b.column(3)[at + i].as_py(), dtype=np.int64), c)
+                    if not len(windows):
+                        continue
+                    block = np.searchsorted(np.unique(_minima(own, c.reach)), windows)
+                    cut = np.flatnonzero((np.diff(windows) > 1) | (np.diff(block) > 0)) + 1
+                    begins = np.concatenate(([0], cut))
+                    ends = np.concatenate((cut, [len(windows)]))
+                    owner.append(np.full(len(begins), i))
+                    place.append(windows[begins])
+                    start.append(windows[begins] + x)
+                    size.append(ends - begins)
+                if not owner:
+                    continue
+                owner, start, size, place = (np.concatenate(v) for v in (owner, start, size, place))
+                cid = both(grams, words, start, size + c.min_words - 1)
+                keys = [k.tobytes() for k in cid]
+                fresh = np.array([k not in known and not known.add(k) for k in keys])
+                count = np.where(fresh, size, 0)
+                each = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()),
+                                                   binary(both(grams, words, each, c.min_words)))
+                own, take = b.slice(at, len(texts)), pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), own.column(1).take(take), binary(cid), pa.array(place, pa.int32()), pa.array(size, pa.int32()),
+                     windows], ["doc_id", "th", "cid", "first", "n", "windows"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, th bigint, cid bigint, first int")
+    found = stored(texts.mapInArrow(run, f"doc_id {kind}, th bigint, cid binary, first int, n int, windows array<binary>"), "spans")
+    discard(hits)
+    return found
 
 
 def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(doc_id, th, first, end, gone) of the windows that repeat.
+    """(doc_id, th, first, end, gone) of the windows, or spans of windows, that repeat.
 
     ``gone`` is the first word to cut, null where the window stays; words of the staying window are
     left when a later one of the same text overlaps it, as in a text that says one thing over and over.
     """
-    windows = stored(_windows(rows, seeds, c), "windows")
-    kept = stored(windows.groupBy("cid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept"))
-                  .where("m > 1"), "kept-windows")
-    marked = join_hot_split(windows, kept, "cid", "m", windows.count(), "inner")
-    same = F.struct("doc_id", "th").eqNullSafe(F.struct("kept.doc_id", "kept.th"))
-    gone = (F.when(~same, F.col("first")).when(F.col("first") != F.col("kept.first"),
+    spans = _spans(rows, seeds, c)
+    first = stored(spans.groupBy("cid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept")), "first-spans")
+    here = F.struct("doc_id", "th").eqNullSafe(F.struct("kept.doc_id", "kept.th"))
+    members = spans.select("doc_id", "th", "cid", "first", "n")
+    n_spans = members.count()
+    repeats = join_hot_split(members, first.where("m > 1"), "cid", "m", n_spans, "inner")
+    # in another text than the first of its group: all windows have an earlier occurrence there
+    copies = stored(repeats.where(~here).select("doc_id", "th", "first", (F.col("first") + F.col("n") + c.min_words - 1).alias("end"),
+                                                F.col("first").alias("gone")), "copied-spans")
+    # the others are taken apart: the first of each group, and further ones in its own text
+    alone = first.select("kept.doc_id", "kept.th", "cid", "kept.first", F.col("m") > 1)
+    own = repeats.where(here & (F.col("first") != F.col("kept.first"))).select("doc_id", "th", "cid", "first", F.col("m") > 1)
+    hashes = spans.where(F.size("windows") > 0).select("cid", "windows").dropDuplicates(["cid"])
+    windows = stored(alone.toDF("doc_id", "th", "cid", "first", "again").unionByName(own.toDF("doc_id", "th", "cid", "first", "again"))
+                     .join(hashes, "cid").select("doc_id", "th", "first", "again", F.posexplode("windows").alias("nth", "wid"))
+                     .select("doc_id", "th", "again", "wid", (F.col("first") + F.col("nth")).alias("first")), "windows")
+    discard(spans, first)
+    kept = stored(windows.groupBy("wid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept"),
+                                             F.max("again").alias("any_again")).where("m > 1 or any_again"), "kept-windows")
+    marked = join_hot_split(windows.drop("again"), kept.drop("any_again"), "wid", "m", windows.count(), "inner")
+    gone = (F.when(~here, F.col("first")).when(F.col("first") != F.col("kept.first"),
                                                F.greatest(F.col("first"), F.col("kept.first") + c.min_words)))
-    return marked.select("doc_id", "th", "first", (F.col("first") + c.min_words).alias("end"), gone.alias("gone"))
+    marked = stored(marked.select("doc_id", "th", "first", (F.col("first") + c.min_words).alias("end"), gone.alias("gone")), "marked-windows")
+    discard(windows, kept)
+    return copies.unionByName(marked)
 
 
-def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, th, n_words) per row, (doc_id, th, first, end, gone) of the passages that repeat).
+def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, first, end, gone) of the passages that repeat.
 
     Words from ``gone`` to ``end`` are to be cut; a null there means that the passage stays.
     """
     rows = spread_tasks(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")))
     found = stored(_occurrences(rows, c), "paragraphs")
-    places = found.where(F.col("cid").isNotNull() & F.col("end").isNotNull())
-    seeds = found.where(F.col("cid").isNotNull() & F.col("end").isNull()).select("doc_id", "th", "cid", "first")
+    places = found.where(F.col("end").isNotNull())
+    seeds = found.where(F.col("end").isNull()).select("doc_id", "th", "cid", "first")
     links = _near_links(rows, places, c)
     group = connected_components(links)
     counts = places.groupBy("cid").agg(F.count("*").alias("m"))
@@ -282,12 +361,14 @@ def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: s
                      .select("cid", "m", F.coalesce("component", "cid").alias("cluster")), "paragraph-classes")
     here = places.select("doc_id", "th", "cid", "first", "end")
     spans = stored(join_hot_split(here, classes, "cid", "m", places.count(), "inner").drop("cid", "m"), "repeats")
+    discard(links, classes)
     kept = (spans.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("kept")))
     stays = F.struct("doc_id", "th", "first").eqNullSafe(F.col("kept"))
     marked = join_hot_split(spans, kept, "cluster", "n", spans.count(), "inner")
     natural = marked.select("doc_id", "th", "first", "end", F.when(~stays, F.col("first")).alias("gone"))
-    return (found.where(F.col("cid").isNull()).select("doc_id", "th", "n_words"),
-            natural.unionByName(_repeated_windows(rows, seeds, c)))
+    repeated = _repeated_windows(rows, seeds, c)
+    discard(found)
+    return natural.unionByName(repeated)
 
 
 def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig(), id_col: str = "doc_id",
@@ -300,7 +381,8 @@ def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()
     and text repeat each other but share the staying occurrence, so both keep it. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    every, spans = repeated_spans(docs, config, id_col, text_col)
+    ship_code(docs.sparkSession)
+    spans = repeated_spans(docs, config, id_col, text_col)
     ranges = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
         F.collect_set(F.struct("first", "end", "gone")).alias("spans"))  # bounded by the text's own length
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))

@@ -136,3 +136,91 @@ def test_hot_passage(frame):
 
 def test_bands_are_tuned_for_recall():
     assert recall(ParagraphConfig(), 0.8) > 0.99
+
+
+def plain(rows):
+    """{id: (words in repeats, words cut)} by comparing every line with every line and listing every window of 25 words."""
+    words = {i: brute.word_list(t) for i, t in rows}
+    repeated, cut = ({i: set() for i in words} for _ in range(2))
+    lines = []
+    for i, t in sorted(rows):
+        at = 0
+        for line in (t or "").split("\n"):
+            n = len(brute.word_list(line))
+            if n >= 5:
+                lines.append((i, at, n, frozenset(tuple(words[i][k: k + 5]) for k in range(at, at + n - 4))))
+            at += n
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_shingle = {}
+    for x, (_, _, _, s) in enumerate(lines):
+        for y in {y for g in s for y in by_shingle.get(g, ())}:
+            both = len(s & lines[y][3])
+            if 100 * both >= 80 * (len(s) + len(lines[y][3]) - both):
+                parent[max(find(x), find(y))] = min(find(x), find(y))
+        for g in s:
+            by_shingle.setdefault(g, []).append(x)
+    size = {}
+    for x in range(len(lines)):
+        size[find(x)] = size.get(find(x), 0) + 1
+    for x, (i, at, n, _) in enumerate(lines):
+        if size[find(x)] > 1:
+            repeated[i].update(range(at, at + n))
+            if find(x) != x:  # the root is the first of its cluster
+                cut[i].update(range(at, at + n))
+    places = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 24):
+            places.setdefault(tuple(words[i][k: k + 25]), []).append((i, k))
+    for found in places.values():
+        if len(found) > 1:
+            for i, k in found:
+                repeated[i].update(range(k, k + 25))
+                if (i, k) != found[0]:
+                    cut[i].update(range(max(k, found[0][1] + 25) if i == found[0][0] else k, k + 25))
+    return {i: (len(repeated[i]), sorted(cut[i])) for i in words}
+
+
+def cut_words(r):
+    return r.n_repeated, [k for s in r.removed_spans for k in range(s["first"], s["end"])]
+
+
+def test_whole_table_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: cut_words(r) for r in queries.op5_substring_dedup(spark, SMALL).collect()}
+    want = plain(rows)
+    assert got == want
+    assert any(w[1] for w in want.values())
+
+
+def test_lines_and_runs_against_brute_force(frame):
+    """Copies of copies: texts put together from a few passages, some edited, cut anywhere, in lines of any length."""
+    rng = random.Random(21)
+    passages = [text(rng, rng.randrange(5, 90)).split() for _ in range(12)]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = list(rng.choice(passages))
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                p[rng.randrange(len(p))] = f"e{rng.randrange(10 ** 6)}"
+            p = p[rng.choice([0, 0, rng.randrange(len(p))]):]
+            parts.append(" ".join(p) + rng.choice([" ", "\n", "\n"]))
+        rows.append((i, "".join(parts)))
+    want = plain(rows)
+    assert {i: cut_words(r) for i, r in run(frame(rows, D)).items()} == want
+
+
+def test_short_lines(frame):
+    """The same line of 16 words in five texts, one with a word more, and lines of four words."""
+    rng = random.Random(22)
+    line = text(rng, 16)
+    rows = [(i, f"{text(rng, 30)}\n{line}\n{text(rng, 30)}\nonly four words here") for i in range(5)] + [(5, f"{text(rng, 8)}\n{line} more")]
+    got = run(frame(rows, D))
+    assert [got[i].n_removed for i in range(6)] == [0, 16, 16, 16, 16, 17]
+    assert {i: cut_words(r) for i, r in got.items()} == plain(rows)
