@@ -27,7 +27,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from .common import ship_code, spread_tasks, stored, text_slices
 #: Bytes of texts aligned at once, characters of a text cut into words at once.
 CHUNK, PIECE = 1 << 18, 1 << 20
 #: Remembered words of a tokenizer, and their greatest length.
-WORDS, WORD_CHARS = 1 << 17, 64
+WORDS, WORD_CHARS = 1 << 18, 64
 #: Elements of the shorter list that one lane walks.
 LANE = 64
 #: Pairs that are broadcast with their counts at most.
@@ -119,7 +118,7 @@ class Pieces:
 def load(kind: type, path: str):
     coder = kind(path)
     coder.sizes = np.array([len(e) for e in coder.entries], dtype=np.int64)
-    coder.words = {}
+    coder.words, coder.wrong = {}, set()
     return coder
 
 
@@ -144,10 +143,11 @@ def words(piece: str) -> list[str]:
     return piece.split(" ")
 
 
-def _learn(coder, new: list[str]) -> dict[str, tuple[int, ...]]:
-    """Ids of words, each with a blank before it. Words that do not begin or end with white space are encoded
-    together, some hundred in one text, and taken apart where their bytes end."""
-    known: dict[str, tuple[int, ...]] = {}
+def _learn(coder, new: list[str]) -> tuple[dict[str, bytes], set[str]]:
+    """(ids of words, each with a blank before it, as int32 bytes; the words whose tokens are not their bytes). Words that
+    do not begin or end with white space are encoded together, some hundred in one text, and taken apart where their bytes end."""
+    known: dict[str, bytes] = {}
+    entry = coder.entries.__getitem__
     plain = [w for w in new if len(w) <= WORD_CHARS and w == w.strip() != ""] if coder.cuts else []
     latin = {w for w in plain if coder.common(w)}
     for one in (list(latin), [w for w in plain if w not in latin]):
@@ -155,32 +155,46 @@ def _learn(coder, new: list[str]) -> dict[str, tuple[int, ...]]:
             part = one[at: at + 128]
             joined = " " + " ".join(part)
             ids = coder.encode([joined])[0]
-            ends = np.cumsum(coder.sizes[ids])
+            if b"".join(map(entry, ids)) != joined.encode():
+                continue
+            ids = np.array(ids, dtype=np.int32)
             wanted = np.cumsum([len(w.encode()) + 1 for w in part])
-            last = np.searchsorted(ends, wanted)
-            if last[-1] < len(ends) and (ends[last] == wanted).all():
-                cut = [0, *(last + 1).tolist()]
-                known |= {w: tuple(ids[x:y]) for w, x, y in zip(part, cut[:-1], cut[1:], strict=True)}
-    rest = [w for w in new if w not in known]
+            cut = np.searchsorted(np.cumsum(coder.sizes[ids]), wanted) + 1  # words end where tokens do
+            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            known |= {w: raw[x:y] for w, x, y in zip(part, cut[:-1], cut[1:], strict=True)}
+    rest, wrong = [w for w in new if w not in known], set()
     for at in range(0, len(rest), 64):
         part = rest[at: at + 64]
-        known |= zip(part, map(tuple, coder.encode([" " + w for w in part])), strict=True)
-    return known
+        for w, ids in zip(part, coder.encode([" " + w for w in part]), strict=True):
+            known[w] = np.array(ids, dtype=np.int32).tobytes()
+            if b"".join(map(entry, ids)) != b" " + w.encode():
+                wrong.add(w)
+    return known, wrong
 
 
-def encoded(coder, texts: list[str], limit: int) -> list[np.ndarray]:
-    """Ids of space + text, for every text."""
-    out = []
-    cut = [[words(p) for p in pieces(t, limit)] if coder.cuts else [[t]] for t in texts]
+def cut_texts(texts: list[str], limit: int) -> list[list[list[str]]]:
+    """The words of every piece of every text."""
+    return [[words(p) for p in pieces(t, limit)] for t in texts]
+
+
+def encoded(coder, texts: list[str], cut: list[list[list[str]]]) -> list[np.ndarray]:
+    """Ids of space + text for every text, or none where the tokens' bytes are not those of space + text."""
+    if not coder.cuts:
+        cut = [[[t]] for t in texts]
     if len(coder.words) > WORDS:
-        coder.words = {}
-    known = coder.words
-    new = _learn(coder, sorted(set().union(*(ws for ps in cut for ws in ps)) - known.keys()))
-    every = known | new if any(len(w) > WORD_CHARS for w in new) else known
-    known |= {w: i for w, i in new.items() if len(w) <= WORD_CHARS}
-    for ps in cut:
-        parts = [np.array(list(chain.from_iterable(map(every.__getitem__, ws))), dtype=np.int64) for ws in ps]
-        out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+        coder.words, coder.wrong = {}, set()
+    new, wrong = _learn(coder, list(set().union(*(ws for ps in cut for ws in ps)) - coder.words.keys()))
+    coder.words |= new
+    coder.wrong |= wrong
+    every, wrong, out = coder.words, coder.wrong, []
+    for text, ps in zip(texts, cut, strict=True):
+        ids = np.frombuffer(b"".join(b"".join(map(every.__getitem__, ws)) for ws in ps), dtype=np.int32)
+        if wrong and any(not wrong.isdisjoint(ws) for ws in ps) and b"".join(map(coder.entries.__getitem__, ids.tolist())) != b" " + text.encode():
+            ids = ids[:0]
+        out.append(ids)
+    for w in [w for w in new if len(w) > WORD_CHARS]:  # not remembered
+        del coder.words[w]
+        coder.wrong.discard(w)
     return out
 
 
@@ -267,17 +281,14 @@ def group_texts(ids_a, ids_b, at_a, at_b, first_a, first_b) -> list[str]:
 
 def align_chunk(a, b, texts: list[str], limit: int) -> dict:
     """Columns of the alignment of one chunk."""
-    none = np.empty(0, dtype=np.int64)
-    ids, right = [], [bool(t) for t in texts]
-    for coder in (a, b):
-        rows = iter(encoded(coder, [t for t in texts if t], limit))
-        ids.append([next(rows) if t else none for t in texts])
-        entry = coder.entries.__getitem__
-        right = [ok and b"".join(map(entry, i.tolist())) == b" " + t.encode() for ok, i, t in zip(right, ids[-1], texts, strict=True)]
-    ids = [[r if ok else none for r, ok in zip(x, right, strict=True)] for x in ids]
+    none = np.empty(0, dtype=np.int32)
+    full = [t for t in texts if t]
+    cut = cut_texts(full, limit)
+    pairs = zip(encoded(a, full, cut), encoded(b, full, cut), strict=True)
+    ids = list(zip(*((x, y) if len(x) and len(y) else (none, none) for x, y in (next(pairs) if t else (none, none) for t in texts)), strict=True))
     n = [np.array([len(r) for r in x], dtype=np.int64) for x in ids]
     first = [np.concatenate(([0], np.cumsum(x))) for x in n]
-    flat = [np.concatenate(x) for x in ids]
+    flat = [np.concatenate(x).astype(np.int64) for x in ids]
     ends = [np.cumsum(c.sizes[f]) for c, f in zip((a, b), flat, strict=True)]  # both count the same bytes of the same texts
     at_a, at_b = aligned(*n, *ends)
     text_of = np.searchsorted(first[0], at_a, side="right") - 1
