@@ -169,7 +169,8 @@ class TermConfig:
     whole_word: bool = True
     regex: bool = False               # True: alternatives are regexes (shell flavour)
     last_wins: bool = False           # duplicate group names: error unless True
-    max_regex_alternatives: int = 500  # above this the token plan runs (same rows)
+    max_regex_alternatives: int = 500  # above this the automaton runs (same rows)
+    automaton_chars: int = 1 << 18    # characters of all alternatives; above this the token plan runs (same rows)
     normalize_ws: bool = False        # True: a space in a phrase also matches line breaks
 
 

@@ -4,11 +4,15 @@ How many documents mention each term group, where a group is a set of literal
 alternatives matched as whole words, case-insensitively (``TermConfig``).
 
 A match has one definition: the regex of ``functions.patterns.literal_regex`` finds
-the alternative in the text. Two plans evaluate it, and give the same rows:
+the alternative in the text. Three plans evaluate it, and give the same rows:
 
 * a configuration-sized dictionary is compiled into *foldable* regexes, and one
   scan of the corpus evaluates all of them;
-* a larger dictionary stays a DataFrame. Every alternative has an *anchor*, a
+* a larger one becomes an Aho–Corasick automaton (``operators.automaton``): its distinct alternatives, of
+  measured size, are broadcast, and one scan finds all of them in each text's case key. Where key
+  and ASCII word boundaries decide, that is the match; the few others are decided by their regexes. Groups
+  are counted in the scan, with map-side combine;
+* a dictionary too large to broadcast stays a DataFrame. Every alternative has an *anchor*, a
   token its match cannot do without (a whole word run, a whole run between words,
   or, for matches inside words, a short character sequence). The documents' tokens are
   joined with the anchors, and each candidate (document, alternative) is then
@@ -21,14 +25,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import TermConfig
 from ..functions.patterns import alternation_regex, flags, literal_regex
 from ..functions.text import py_strip
-from .util import latest
+from ..session import ship_package
+from .automaton import PASS_CHARS, automata, occurrences
+from .util import latest, materialize
 
 TERM_GROUP_SCHEMA = "line_no int, name string, patterns array<string>"
 
@@ -167,8 +174,12 @@ def term_hits(corpus: DataFrame, groups, text: str = "text", key: str = "doc_id"
         pairs = src.select("_k", F.explode(found).alias("term"))
         names = spark.createDataFrame([(n,) for n, _ in listed], "term string")
     else:
-        pairs = _token_matches(corpus, alts, text, key, cfg).select(F.col(key).alias("_k"), "term")
         names = alts.select("term").distinct()
+        dictionary = _broadcastable(alts, cfg)
+        if dictionary is not None:
+            return names.join(_automaton_counts(corpus, *dictionary, text, key, cfg), "term", "left").select(
+                "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
+        pairs = _token_matches(corpus, alts, text, key, cfg).select(F.col(key).alias("_k"), "term")
     counts = pairs.distinct().groupBy("term").agg(F.count("*").alias("papers"))
     return names.join(counts, "term", "left").select(
         "term", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
@@ -179,8 +190,10 @@ def term_matches(corpus: DataFrame, groups, text: str = "text", key: str = "doc_
     """q02 / B7: one row per (term, pattern, document) that matches, single scan."""
     listed, alts = _plan(corpus, groups, cfg)
     if listed is None:
-        return (_token_matches(corpus, alts, text, key, cfg)
-                .select("term", F.col("alt").alias("pattern"), key).distinct())
+        dictionary = _broadcastable(alts, cfg)
+        found = (_token_matches(corpus, alts, text, key, cfg) if dictionary is None
+                 else _automaton_matches(corpus, *dictionary, text, key, cfg))
+        return found.select("term", F.col("alt").alias("pattern"), key).distinct()
     src = corpus.select(key, F.col(text).alias("_t"), folded(F.col(text)).alias("_f"))
     cands = [
         F.when(_guarded(F.col("_f"), F.col("_t"), [p], cfg, single=True),
@@ -198,7 +211,112 @@ def match_listing(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.orderBy("term", "pattern", key)
 
 
-# --- token plan for large dictionaries ----------------------------------------
+# --- automaton plan -----------------------------------------------------------
+
+def _regex(alt, cfg: TermConfig):
+    """The regex of an alternative, as a column."""
+    quoted = F.transform(F.split(alt, " ") if cfg.normalize_ws else F.array(alt), lambda x: F.concat(
+        F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    edge = "\\b" if cfg.whole_word else ""
+    return F.concat(F.lit(flags(cfg.case_insensitive) + edge + "(?:"), F.array_join(quoted, "\\s+"), F.lit(")" + edge))
+
+
+def _lookup_key(col, cfg: TermConfig):
+    """The case key, with every run of white space as one blank where a blank matches any."""
+    low = case_key(col, cfg)
+    return F.regexp_replace(low, "(?U)\\s+", " ") if cfg.normalize_ws else low
+
+
+#: Literals of these characters need no regex: beyond, case pairs newer than the regex engine's tables occur.
+_OLD_LETTERS = "^[\\x{0}-\\x{2bff}\\x{3000}-\\x{9fff}]*$"
+
+
+def _broadcastable(alts: DataFrame, cfg: TermConfig):
+    """((id, alt, key, exact) rows, (term, id, alt, regex) table) of a dictionary whose measured size allows a
+    broadcast, else None. ``exact``: where the key stands, the alternative does, whatever the characters."""
+    distinct = alts.select("alt").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("alt")), F.lit(0)).alias("chars"),
+                        F.min(F.length("alt")).alias("least")).first()
+    if size["chars"] > cfg.automaton_chars or not size["least"]:
+        return None
+    key = _lookup_key(F.col("alt"), cfg)
+    exact = (F.length(case_key(F.col("alt"), cfg)) == F.length("alt")) & key.rlike(_OLD_LETTERS)
+    if cfg.normalize_ws:
+        exact &= (key == F.btrim(key)) & (F.regexp_replace("alt", "(?U)\\s+", " ") == F.col("alt"))
+    rows = distinct.select("alt", key.alias("key"), exact.alias("exact")).orderBy("alt").collect()
+    listed = [(i, r["alt"], r["key"], r["exact"]) for i, r in enumerate(rows)]
+    numbered = alts.sparkSession.createDataFrame([(i, a) for i, a, _, _ in listed], "id int, alt string")
+    table = alts.join(F.broadcast(numbered), "alt").select("term", "id", "alt", _regex(F.col("alt"), cfg).alias("regex"))
+    return listed, materialize(table.distinct())
+
+
+def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig) -> DataFrame:
+    """(_k, _t, sure, open): the ids of alternatives that match for sure, and of those the regex has to decide."""
+    ship_package(corpus.sparkSession)
+    literals = sorted({k for _, _, k, _ in listed})
+    place = {k: i for i, k in enumerate(literals)}
+    of: list[list[tuple[int, bool]]] = [[] for _ in literals]
+    for i, _, k, exact in listed:
+        of[place[k]].append((i, exact))
+    machines = corpus.sparkSession.sparkContext.broadcast((automata(literals), of))
+    whole = cfg.whole_word
+
+    @F.arrow_udf("struct<sure:array<int>,open:array<int>>")
+    def scan(keys: pa.Array, plain: pa.Array) -> pa.Array:
+        found, owners = machines.value
+        sure = [[] for _ in range(len(keys))]
+        unsure = [[] for _ in range(len(keys))]
+        at = 0
+        while at < len(keys):
+            texts, size = [], 0
+            while at + len(texts) < len(keys) and (not texts or size < PASS_CHARS):
+                texts.append(keys[at + len(texts)].as_py() or "")
+                size += len(texts[-1])
+            for t, literal, decided in zip(*(x.tolist() for x in occurrences(found, texts, whole)), strict=True):
+                for i, exact in owners[literal]:
+                    (sure if decided and exact and plain[at + t].as_py() else unsure)[at + t].append(i)
+            at += len(texts)
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(sure, kind), pa.array(unsure, kind)], names=["sure", "open"])
+
+    t = F.col(text)
+    low = case_key(t, cfg)
+    # a text whose case key has other characters in other places is decided by regexes throughout
+    plain = F.coalesce(F.length(low) == F.length(t), F.lit(True))
+    return (corpus.select(F.col(key).alias("_k"), t.alias("_t"), scan(_lookup_key(t, cfg), plain).alias("_m"))
+            .select("_k", F.when(F.size("_m.open") > 0, F.col("_t")).alias("_t"), F.col("_m.sure").alias("sure"), F.col("_m.open").alias("open")))
+
+
+def _automaton_matches(corpus: DataFrame, listed, table: DataFrame, text: str, key: str, cfg: TermConfig) -> DataFrame:
+    """(term, alt, key) of every match, a pair of one row and alternative once."""
+    hits = materialize(_scanned(corpus, listed, text, key, cfg))
+    small = F.broadcast(table)  # of measured size
+    sure = hits.select("_k", F.explode("sure").alias("id")).join(small, "id").select("term", "alt", F.col("_k").alias(key))
+    rest = (hits.select("_k", "_t", F.explode("open").alias("id")).join(small, "id").where(F.regexp_like("_t", F.col("regex")))
+            .select("term", "alt", F.col("_k").alias(key)))
+    return sure.unionByName(rest)
+
+
+def _automaton_counts(corpus: DataFrame, listed, table: DataFrame, text: str, key: str, cfg: TermConfig) -> DataFrame:
+    """(term, papers). Where keys are unique, rows whose matches are all sure are counted as they
+    are, each of their terms once; pairs of other rows are made distinct first."""
+    hits = materialize(_scanned(corpus, listed, text, key, cfg))
+    terms = table.select("term").distinct().withColumn("t", F.row_number().over(Window.orderBy("term")))  # a broadcast's size
+    of_alt = {r["id"]: r["ts"] for r in table.join(terms, "term").groupBy("id").agg(F.collect_set("t").alias("ts")).collect()}
+    sizes = [of_alt.get(i, []) for i in range(len(listed))]
+    named = F.array_distinct(F.flatten(F.transform("sure", lambda i: F.get(F.lit(sizes).cast("array<array<int>>"), i))))
+    unique = corpus.groupBy(key).count().where("count > 1").isEmpty()
+    alone = hits.where((F.size("open") == 0) & F.lit(unique))
+    others = hits.where(~((F.size("open") == 0) & F.lit(unique)))
+    counted = alone.select(F.explode(named).alias("t")).groupBy("t").agg(F.count("*").alias("papers"))
+    rest = (others.select("_k", "_t", F.explode("open").alias("id")).join(F.broadcast(table), "id")
+            .where(F.regexp_like("_t", F.col("regex"))).join(F.broadcast(terms), "term").select("_k", "t"))
+    pairs = others.select("_k", F.explode(named).alias("t")).unionByName(rest).distinct()
+    total = counted.unionByName(pairs.groupBy("t").agg(F.count("*").alias("papers"))).groupBy("t").agg(F.sum("papers").alias("papers"))
+    return total.join(F.broadcast(terms), "t").select("term", "papers")
+
+
+# --- token plan for larger dictionaries ---------------------------------------
 
 #: Characters of an anchor that may stand inside a word.
 GRAM = 3
@@ -237,11 +355,7 @@ def _anchors(alts: DataFrame, cfg: TermConfig) -> DataFrame:
         anchor = F.when(words.isNotNull(), words).when(~gap, F.col("_f")).otherwise(gram)
     else:
         kind, anchor = gram_kind, gram
-    quoted = F.transform(F.split("alt", " ") if cfg.normalize_ws else F.array("alt"), lambda x: F.concat(
-        F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    edge = "\\b" if cfg.whole_word else ""
-    regex = F.concat(F.lit(flags(cfg.case_insensitive) + edge + "(?:"), F.array_join(quoted, "\\s+"), F.lit(")" + edge))
-    return a.select("term", "alt", regex.alias("regex"), kind.cast("int").alias("kind"), anchor.alias("anchor"))
+    return a.select("term", "alt", _regex(F.col("alt"), cfg).alias("regex"), kind.cast("int").alias("kind"), anchor.alias("anchor"))
 
 
 def _tokens(low, kind: int):

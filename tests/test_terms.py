@@ -1,9 +1,12 @@
 import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from citeflow.config import TermConfig
+from citeflow.operators import automaton
 from citeflow.operators import terms as tm
 
 
@@ -98,14 +101,15 @@ ODD_GROUPS = [("laser", ["laser"]), ("index", ["index"]), ("kelvin", ["5 kelvin"
 
 
 @pytest.mark.parametrize("ci, whole, ws", list(itertools.product([True, False], repeat=3)))
-def test_both_plans_agree_for_every_switch(spark, ci, whole, ws):
+def test_all_plans_agree_for_every_switch(spark, ci, whole, ws):
     corpus = spark.createDataFrame(ODD_CORPUS, "doc_id long, text string")
     few = TermConfig(case_insensitive=ci, whole_word=whole, normalize_ws=ws)
     many = TermConfig(case_insensitive=ci, whole_word=whole, normalize_ws=ws, max_regex_alternatives=0)
-    a, b = (sorted(tuple(r) for r in tm.term_hits(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many))
-    assert a == b
-    a, b = (sorted(tuple(r) for r in tm.term_matches(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many))
-    assert a == b and len(set(a)) == len(a)
+    more = TermConfig(case_insensitive=ci, whole_word=whole, normalize_ws=ws, max_regex_alternatives=0, automaton_chars=0)
+    a, b, c = (sorted(tuple(r) for r in tm.term_hits(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many, more))
+    assert a == b == c
+    a, b, c = (sorted(tuple(r) for r in tm.term_matches(corpus, ODD_GROUPS, cfg=c).collect()) for c in (few, many, more))
+    assert a == b == c and len(set(a)) == len(a)
 
 
 def test_distinct_documents_are_counted(spark):
@@ -181,3 +185,42 @@ def test_term_matches_token_path(spark):
     b = sorted(tuple(r) for r in tm.term_matches(corpus, tm.term_groups(parsed)).collect())
     # "C++" never matches as a whole word before a space (a boundary after "+" needs a word character)
     assert a == b and ("g", "genome-wide association", 4) in a and not any(r[0] == "c" for r in a)
+
+
+def test_equal_case_keys_are_equal_for_the_regex(spark):
+    """Single characters whose case keys are equal and as long as they are: the regex flags equate them."""
+    pairs = sorted({(chr(c), x) for c in range(0x21, 0x2C00)
+                    for x in {*map(str, (chr(c).upper(), chr(c).lower(), chr(c).title())), "i", "k", "s"} if len(x) == 1 and x != chr(c)})
+    df = spark.createDataFrame(pairs, "a string, b string")
+    key = [tm.case_key(F.col(c), TermConfig()) for c in ("a", "b")]
+    rx = F.concat(F.lit("(?iuU)^\\Q"), F.col("a"), F.lit("\\E$"))
+    wrong = df.where((key[0] == key[1]) & (F.length(key[0]) == 1) & ~F.regexp_like("b", rx))
+    assert wrong.collect() == []
+
+
+def test_automaton_finds_all_literals(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(100):
+        literals = list({"".join(rng.choice("abc d") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 12))})
+        texts = ["".join(rng.choice("abc dé_") for _ in range(rng.randrange(60))) for _ in range(8)]
+        monkeypatch.setattr(automaton, "LANE", rng.choice([4, 8, 1024]))
+        monkeypatch.setattr(automaton, "TABLE_ENTRIES", rng.choice([10, 60, 1 << 24]))
+        machines = automaton.automata(literals)
+        for whole in (False, True):
+            t, n, sure = (x.tolist() for x in automaton.occurrences(machines, texts, whole))
+            got = {(i, literals[k]) for i, k in zip(t, n)}
+            want = {(i, x) for i, text in enumerate(texts) for x in literals if x in text}
+            if whole:
+                ways = {(i, x): [(m.start(), m.start() + len(x)) for m in re.finditer(f"(?={re.escape(x)})", texts[i])] for i, x in want}
+                want = {k for k, at in ways.items() if any(re.compile(rf"\b{re.escape(k[1])}\b").match(texts[k[0]], a) for a, _ in at)}
+                assert want <= got and {k for k, s in zip(zip(t, (literals[k] for k in n)), sure) if s} <= want
+            else:
+                assert got == want and all(sure) and len(t) == len(got)
+
+
+def test_large_dictionary_over_repeated_and_null_keys(spark):
+    corpus = spark.createDataFrame([(1, "a cat"), (1, "the cat and a dog"), (2, "cat é"), (None, "dog"), (None, "cat"), (3, None), (4, "")],
+                                   "doc_id long, text string")
+    groups = [("animals", ["cat", "dog"]), ("dog", ["dog"]), ("cat too", ["cat"]), ("none", ["cow"])] + [(f"g{i}", [f"w{i}"]) for i in range(600)]
+    got = {r["term"]: r["papers"] for r in tm.term_hits(corpus, groups).collect()}
+    assert {k: v for k, v in got.items() if v} == {"animals": 3, "dog": 2, "cat too": 3} and len(got) == 604
