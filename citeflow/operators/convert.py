@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import ConvertConfig
 from ..functions import text as tx
+from .util import latest
 
 
 def sniff(docs: DataFrame, content: str = "content", cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
@@ -47,6 +48,13 @@ def out_path_collisions(qa_df: DataFrame) -> DataFrame:
     return qa_df.groupBy("out_path").agg(F.count("*").alias("sources")).where(F.col("sources") > 1)
 
 
+def one_per_path(qa_df: DataFrame, path: str = "path") -> DataFrame:
+    """Of the sources that share an output path the last by source path stays, as when files are written one
+    after the other; ``sources`` says how many there were."""
+    groups = qa_df.groupBy(F.col("out_path").alias("_out")).agg(F.count("*").alias("sources"))
+    return latest(qa_df, "out_path", path).join(groups, F.col("out_path") == F.col("_out")).drop("_out")
+
+
 def truncate(docs: DataFrame, text: str = "text", cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
     """Add ``body`` (text before the first bibliography heading) and ``cut``."""
     body = tx.truncate_bibliography(F.col(text), cfg.headings)

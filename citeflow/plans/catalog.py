@@ -4,11 +4,12 @@ the same names as the oracle SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfgmod
 from ..config import RankConfig, TermConfig
+from ..functions import text as tx
 from ..functions.patterns import Phrase, Tag, all_of, any_of
 from ..functions.text import first_nonempty, parse_id_lines
 from ..operators import convert as cv
@@ -22,6 +23,7 @@ from ..operators import terms as tm
 from ..operators.util import global_rank, latest, materialize, spread
 from ..session import shared_dir
 from ..sources import readers as rd
+from ..sources.files import listed_documents, read_documents, write_documents
 from ..sources.readers import ARTICLE_SCHEMA, flatten_article
 from ..sources.sinks import (output_name_for_format, report_lines, write_converted, write_crosswalk, write_landed,
                              write_ranked, write_threshold_lists)
@@ -501,6 +503,19 @@ def q33_crosswalk_file(spark, sf_dir):
     return rd.crosswalk(spark, path)
 
 
+def q33b_kept_mapping(spark, sf_dir):
+    """Two deliveries of ids. The second repeats the first with other answers, which change nothing that is mapped,
+    and asks for the rest; a third run, with the mapping taken as whole, asks for nothing."""
+    path = shared_dir(spark, "kept-mapping")
+    ids = parse_id_lines(tb.id_lines(spark, sf_dir), "value")
+    answers = tb.crosswalk_answers(spark, sf_dir)
+    early = answers.where(F.year("ord.o_orderdate") < tb.LATE_YEAR)
+    xw.update_mapping(ids.where(F.col("id").cast("bigint") % 3 != 0), early, path)
+    late = answers.withColumn("pmcid", F.concat(F.lit("late "), "pmcid"))
+    xw.update_mapping(ids, late, path)
+    return xw.update_mapping(ids, answers, path, whole=True)
+
+
 def q34_article_files(spark, sf_dir):
     """A5: the article records as XML files; both deliveries of a record are in them."""
     path = shared_dir(spark, "articles")
@@ -534,6 +549,68 @@ def q37_converted_files(spark, sf_dir):
             .agg(F.count("*").alias("sources"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes")))
 
 
+def q39_document_files(spark, sf_dir):
+    """B5 → A1: one file per document, named by the path algebra; of two sources of one name the last stays. Read back
+    as a corpus by the text source and by the data source, which must agree."""
+    path = shared_dir(spark, "document-files")
+    docs = tb.named_documents(spark, sf_dir).withColumn("out_path", tx.output_path(F.col("path"), tb.RAW_ROOT, "."))
+    kept = cv.one_per_path(docs)
+    write_documents(kept.select(F.regexp_replace("out_path", "^(\\./)+", "").alias("out_path"), F.col("text").alias("content")), path)
+    name = F.regexp_extract("path", "[^/]+/[^/]+$", 0)
+    texts = rd.corpus(spark, path).select(name.alias("out_path"), F.md5("text").alias("text_md5"))
+    files = read_documents(spark, path).select(name.alias("name"), "src_bytes", "status", F.md5("content").alias("content_md5"))
+    sources = kept.select(F.regexp_extract("out_path", "[^/]+/[^/]+$", 0).alias("kept_path"), "sources")
+    return (texts.join(files, (F.col("out_path") == F.col("name")) & (F.col("text_md5") == F.col("content_md5")))
+            .join(sources, F.col("out_path") == F.col("kept_path")).select("out_path", "sources", "src_bytes", "status", "text_md5"))
+
+
+def q40_raw_files(spark, sf_dir):
+    """Raw documents as files, some with bytes that are no UTF-8, extensions in any case; found by
+    the folder and by a list that also names files that are not there."""
+    path = shared_dir(spark, "raw-files")
+    docs = tb.named_documents(spark, sf_dir).withColumn("out_path", F.regexp_replace("path", f"^{tb.RAW_ROOT}/", ""))
+    broken = F.when(F.col("doc_id") % tb.BROKEN_MOD == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    there = F.col("doc_id") % tb.MISSING_MOD != 0
+    write_documents(docs.where(there).select("out_path", F.concat(F.encode("text", "UTF-8"), broken).alias("content")), path)
+    names = docs.select(F.concat(F.lit(path + "/"), "out_path").alias("path"))
+    short = F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("path")
+    columns = (short, "src_bytes", "status", F.md5("content").alias("content_md5"))
+    listed = listed_documents(names).select(F.lit("list").alias("via"), *columns)
+    native = rd.raw_documents(spark, path).select(F.lit("folder").alias("via"), *columns)
+    source = read_documents(spark, path, "xml,html,htm").select(F.lit("source").alias("via"), *columns)
+    return listed.unionByName(native).unionByName(source)
+
+
+def q41_curated_ids(spark, sf_dir):
+    """The seeds as a curated file with a heading, remarks and blank lines, read back in their order."""
+    path = shared_dir(spark, "curated")
+    rows = tb.seeds(spark, sf_dir).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "seed_id"))), lambda x: F.concat(
+        F.when(x["seed_id"] % 5 == 0, "# next\n\n").otherwise(""), F.lit(' "'), x["seed_id"].cast("string"), F.lit('"\r'))), "\n").alias("t"))
+    rows.select(F.concat(F.lit("Heading\n"), "t").alias("value")).write.text(path)  # a curated list is one small file
+    ids = rd.curated_ids(spark, path, skip=1)
+    return ids.select("id", F.rank().over(Window.orderBy("ord")).cast("bigint").alias("nth"))
+
+
+def q42_edge_rejects(spark, sf_dir):
+    """Raw edge lines that clean to no id."""
+    return rd.edge_rejects(tb.raw_edges(spark, sf_dir))
+
+
+def q43_first_lines(spark, sf_dir):
+    """The first line of every document, as of an answer of several lines, CR removed."""
+    d = tb.table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.first_line(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("line"))
+
+
+def q44_dictionary_file(spark, sf_dir):
+    """A2: the dictionary lines written as a file and read back by their line numbers, then parsed."""
+    path = shared_dir(spark, "dictionary")
+    lines = tb.term_lines(spark, sf_dir)
+    lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("value")) \
+        .write.text(path)  # a dictionary is one file
+    return tm.parse_terms(rd.text_lines(spark, path)).select("line_no", "name", F.array_join("patterns", "|").alias("patterns"), "status")
+
+
 def q38_extraction_file(spark, sf_dir):
     """A10: the 25-column layout written as TSV, read back and typed."""
     path = shared_dir(spark, "extraction")
@@ -546,7 +623,8 @@ def q38_extraction_file(spark, sf_dir):
 
 QUERIES.update({f.__name__: f for f in (
     q31_ranked_file, q31b_ranked_ids, q32_threshold_files, q33_crosswalk_file, q34_article_files, q35_edge_files,
-    q36_landed_files, q37_converted_files, q38_extraction_file)})
+    q36_landed_files, q37_converted_files, q38_extraction_file, q33b_kept_mapping, q39_document_files, q40_raw_files,
+    q41_curated_ids, q42_edge_rejects, q43_first_lines, q44_dictionary_file)})
 
 
 # --- K2 related-item discovery -----------------------------------------------

@@ -613,3 +613,37 @@ FROM d""",
     + ORACLE["q20_conversion_qa"] + ") GROUP BY out_path",
     "q38_extraction_file": _EXTRACT + "SELECT doi, pmid, year, sweeps, pooled, samples_n, CAST(len(genes) AS BIGINT) AS n_genes FROM t25",
 })
+
+_NAMED = """
+WITH d AS (SELECT doc_id, text, CAST(floor(doc_id / 10) AS BIGINT) % 7 AS dir, CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END AS stem,
+  CASE WHEN doc_id % 10 = 1 THEN '.html' WHEN doc_id % 3 = 0 THEN '.HTM' ELSE '.xml' END AS ext FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, text, dir || '/doc.' || stem || ext AS path, dir || '/doc.' || stem || '.md' AS out_path FROM d)
+"""
+_READ = f"""strlen(text) + CASE WHEN doc_id % {tb.BROKEN_MOD} = 0 THEN 1 ELSE 0 END AS src_bytes,
+  CASE WHEN doc_id % {tb.BROKEN_MOD} = 0 THEN 'repaired' ELSE 'ok' END AS status,
+  md5(text || CASE WHEN doc_id % {tb.BROKEN_MOD} = 0 THEN chr(65533) ELSE '' END) AS content_md5 FROM n WHERE doc_id % {tb.MISSING_MOD} <> 0"""
+ORACLE.update({
+    "q33b_kept_mapping": f"""
+WITH ids AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey FROM customer),
+early AS (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS pmcid FROM orders
+          WHERE o_orderstatus = 'F' AND year(o_orderdate) < {tb.LATE_YEAR} GROUP BY o_custkey),
+late AS (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS pmcid FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT id AS pmid, CASE WHEN c_custkey % 3 <> 0 AND early.pmcid IS NOT NULL THEN CAST(early.pmcid AS VARCHAR)
+                        ELSE 'late ' || CAST(late.pmcid AS VARCHAR) END AS pmcid
+FROM ids LEFT JOIN early ON early.o_custkey = c_custkey JOIN late ON late.o_custkey = c_custkey""",
+    "q39_document_files": _NAMED + """
+SELECT out_path, count(*) AS sources, strlen(arg_max(text, path)) AS src_bytes, 'ok' AS status, md5(arg_max(text, path)) AS text_md5
+FROM n GROUP BY out_path""",
+    "q40_raw_files": _NAMED + f"""
+SELECT 'list' AS via, path, {_READ}
+UNION ALL SELECT 'folder', path, {_READ}
+UNION ALL SELECT 'source', path, {_READ}
+UNION ALL SELECT 'list', path, NULL, 'missing', NULL FROM n WHERE doc_id % {tb.MISSING_MOD} = 0""",
+    "q41_curated_ids": f"""SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS nth FROM part
+WHERE p_partkey % {tb.SEED_MOD} = {tb.SEED_REM}""",
+    "q42_edge_rejects": "SELECT count(*) FILTER (l_linenumber % 6 = 4) AS rejected, count(*) AS lines FROM lineitem",
+    "q43_first_lines": "SELECT doc_id, replace(split_part(text, chr(10), 1), chr(13), '') AS line FROM documents",
+    # a text file ends with a line break, so a blank line follows the last one
+    "q44_dictionary_file": f"""SELECT CAST(row_number() OVER (ORDER BY line_no) AS INTEGER) AS line_no, name, patterns, status FROM ({Q03})
+UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), NULL, NULL, 'blank' FROM part""",
+})

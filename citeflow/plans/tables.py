@@ -189,6 +189,21 @@ RAW_ROOT = "/data/raw"
 MD_ROOT = "/data/md"
 
 
+#: Role rules: documents whose file has a byte that is no UTF-8, or is named but not there; answers from this year on are late.
+BROKEN_MOD, MISSING_MOD, LATE_YEAR = 11, 13, 1998
+
+
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, text): documents as raw files in folders; of every ten the first two differ in their extension only."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return d.select("doc_id", F.expr(NAMED_PATH_SQL).alias("path"), "text")
+
+
+NAMED_PATH_SQL = f"""concat('{RAW_ROOT}/', CAST(floor(doc_id / 10) % 7 AS INT), '/doc.',
+  CAST(CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END AS BIGINT),
+  CASE WHEN doc_id % 10 = 1 THEN '.html' WHEN doc_id % 3 = 0 THEN '.HTM' ELSE '.xml' END)"""
+
+
 def sniff_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): web pages plus article XML whose format marker sits on
     line 1..6 (line 6 is past the sniff window)."""
