@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_part(spark: SparkSession, schema, path: str) -> DataFrame:
+    """One folder of a table written with ``partitionBy``, empty where no row fell into it."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables made by ``stored`` after their last reader has run, and let Spark's cleaner take away the shuffle
     files of jobs whose frames are gone. Nothing may depend on the tables any more but other stored tables."""

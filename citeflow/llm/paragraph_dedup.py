@@ -9,7 +9,7 @@ of MIN_WORDS - seed + 1), so any run of MIN_WORDS words holds a seed wherever it
 that occur again every window of MIN_WORDS words is compared, so a shared passage is found up to
 its last word for each pair of copies: its windows cover it, and no pair is ever written out.
 
-Windows beside each other, up to the next chosen place, form a *span*. Spans are grouped first, one row each: those
+Windows beside each other, up to a chosen place, form a *span*. Spans are grouped first, one row each: those
 in another text than the first of their group are repeats as they are, and only the others are taken apart into
 windows. So the rows follow the distinct text and not the copies. Spans and windows are equal when two hashes of
 64 bits are, one of their shingles and one of their words.
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (SPACE_WORD, connected_components, discard, gram_hashes, join_hot_split, join_small_or_shuffle, mixed,
-                     ship_code, spread_tasks, stored, text_chunks, word_spans)
+                     ship_code, spread_tasks, stored, stored_part, text_chunks, word_spans)
+from ..session import shared_dir
 from .ngram_join import JoinConfig, candidates, shared_keys, sketch, verify
 
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -46,6 +47,7 @@ class ParagraphConfig:
     seed: int = 13
     bands: int = 12
     rows: int = 4
+    span: int = 2  # a span of windows ends at every so many chosen places
 
     @property
     def reach(self) -> int:
@@ -258,7 +260,7 @@ def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
     hits = stored(join_hot_split(seeds, shared, "cid", "m", n_seeds, "inner")
                   .groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"))
                   .agg(F.collect_set("first").alias("at")), "seed-places")  # bounded by the text's own length
-    discard(shared)
+    discard(shared, seeds)
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
     texts = rows.join(hits, on).select("doc_id", "th", "text", "at")  # the hits grow with the corpus: a shuffle join at any size
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -284,7 +286,8 @@ def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
                     windows = _viable(own, np.array(b.column(3)[at + i].as_py(), dtype=np.int64), c)
                     if not len(windows):
                         continue
-                    block = np.searchsorted(np.unique(_minima(own, c.reach)), windows)
+                    chosen = np.unique(_minima(own, c.reach))
+                    block = np.searchsorted(chosen[mixed(own[chosen]) % np.uint64(c.span) == 0], windows)
                     cut = np.flatnonzero((np.diff(windows) > 1) | (np.diff(block) > 0)) + 1
                     begins = np.concatenate(([0], cut))
                     ends = np.concatenate((cut, [len(windows)]))
@@ -323,10 +326,10 @@ def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) ->
     here = F.struct("doc_id", "th").eqNullSafe(F.struct("kept.doc_id", "kept.th"))
     members = spans.select("doc_id", "th", "cid", "first", "n")
     n_spans = members.count()
-    repeats = join_hot_split(members, first.where("m > 1"), "cid", "m", n_spans, "inner")
+    repeats = stored(join_hot_split(members, first.where("m > 1"), "cid", "m", n_spans, "inner"), "repeated-spans")
     # in another text than the first of its group: all windows have an earlier occurrence there
-    copies = stored(repeats.where(~here).select("doc_id", "th", "first", (F.col("first") + F.col("n") + c.min_words - 1).alias("end"),
-                                                F.col("first").alias("gone")), "copied-spans")
+    copies = repeats.where(~here).select("doc_id", "th", "first", (F.col("first") + F.col("n") + c.min_words - 1).alias("end"),
+                                         F.col("first").alias("gone"))
     # the others are taken apart: the first of each group, and further ones in its own text
     alone = first.select("kept.doc_id", "kept.th", "cid", "kept.first", F.col("m") > 1)
     own = repeats.where(here & (F.col("first") != F.col("kept.first"))).select("doc_id", "th", "cid", "first", F.col("m") > 1)
@@ -351,9 +354,12 @@ def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: s
     Words from ``gone`` to ``end`` are to be cut; a null there means that the passage stays.
     """
     rows = spread_tasks(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")))
-    found = stored(_occurrences(rows, c), "paragraphs")
-    places = found.where(F.col("end").isNotNull())
-    seeds = found.where(F.col("end").isNull()).select("doc_id", "th", "cid", "first")
+    # two tables in one pass, so that each can go after its last reader
+    found = _occurrences(rows, c)
+    path = shared_dir(docs.sparkSession, "paragraphs")
+    found.withColumn("seed", F.col("end").isNull()).write.partitionBy("seed").parquet(path)
+    places, seeds = (stored_part(docs.sparkSession, found.schema, f"{path}/seed={kind}") for kind in ("false", "true"))
+    seeds = seeds.select("doc_id", "th", "cid", "first")
     links = _near_links(rows, places, c)
     group = connected_components(links)
     counts = places.groupBy("cid").agg(F.count("*").alias("m"))
@@ -361,14 +367,12 @@ def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: s
                      .select("cid", "m", F.coalesce("component", "cid").alias("cluster")), "paragraph-classes")
     here = places.select("doc_id", "th", "cid", "first", "end")
     spans = stored(join_hot_split(here, classes, "cid", "m", places.count(), "inner").drop("cid", "m"), "repeats")
-    discard(links, classes)
+    discard(links, classes, places)
     kept = (spans.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("kept")))
     stays = F.struct("doc_id", "th", "first").eqNullSafe(F.col("kept"))
     marked = join_hot_split(spans, kept, "cluster", "n", spans.count(), "inner")
     natural = marked.select("doc_id", "th", "first", "end", F.when(~stays, F.col("first")).alias("gone"))
-    repeated = _repeated_windows(rows, seeds, c)
-    discard(found)
-    return natural.unionByName(repeated)
+    return natural.unionByName(_repeated_windows(rows, seeds, c))
 
 
 def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig(), id_col: str = "doc_id",
