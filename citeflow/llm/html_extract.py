@@ -6,6 +6,11 @@ comments) or when most of it is link text; good when it is long enough and dense
 all others are open. Second pass: an open block takes the label of its nearest decided
 neighbours, those of its own article first. Where a page has an article with text, blocks
 outside of it are bad.
+
+Stop words of Latin-script languages are a list; for other scripts the most frequent words of up to four letters are
+learned from the pages themselves. A name (class, id, role) is boilerplate when one of its words is, whatever the others say,
+unless the name tells a state (``has-sidebar``). A heading straight in the article stays; one in a ``header`` goes with it. An
+element whose end tag is missing hides nothing but itself, only script and style run to the end of the page.
 """
 
 from __future__ import annotations
@@ -14,10 +19,10 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_tasks
+from .common import ship_code, spread_tasks, text_slices
 
 #: First-pass limits: words of a block that stop words can decide, their least share, most share of link text.
 GOOD_WORDS, STOP_SHARE, LINK_SHARE = 12, 0.10, 0.5
@@ -32,8 +37,12 @@ di il che per una del non con sono della nel alla si più gli ma anche como uma
 van het een niet op te zijn met voor och att som av den till med om
 """.split())
 
-# Tag roles.
-RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "select", "noframes")
+#: Learned stop words per script (block of 256 code points) beyond Latin.
+LEARNED = 60
+
+# Tag roles. The first two hold no markup; the others are dropped with what they hold if they end.
+CODE = ("script", "style")
+RAW = ("noscript", "template", "title", "textarea", "svg", "iframe", "select", "noframes")
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset("""
@@ -43,7 +52,7 @@ summary table tbody td tfoot th thead tr ul br
 """.split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-# Words of class, id and role that name boilerplate, and those that name content.
+# Words of class, id and role that name boilerplate.
 BAD_WORDS = frozenset("""
 ad ads adv advert adverts advertisement adsense advertising sponsor sponsored sponsors promo promotion promoted
 banner cookie cookies consent gdpr notice notices notification alert disclaimer paywall popup modal overlay toast
@@ -53,16 +62,18 @@ header masthead topbar footer copyright colophon contentinfo complementary
 comment comments commentlist disqus replies reply respond discussion
 form search login signup signin register subscribe subscription newsletter share sharing social follow hidden
 """.split())
-GOOD_WORDS_IN_NAMES = frozenset("content article main post entry story body text page".split())
+#: A name with one of these tells what else there is, or a state.
+STATE_WORDS = frozenset("has have no with without is not open closed enabled disabled".split())
 
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<({'|'.join(RAW)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({'|'.join(CODE)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 NONE, MAIN, HINTED, BAD = range(4)
 
@@ -76,8 +87,8 @@ def _role(tag: str, attrs: str) -> int:
                 (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return BAD
         if key in ("class", "id", "role"):
-            names = {w.lower() for w in _NAME.findall(value)}
-            if names & BAD_WORDS and not names & GOOD_WORDS_IN_NAMES:
+            names = [{w.lower() for w in _NAME.findall(name)} for name in value.split()]
+            if any(n & BAD_WORDS and not n & STATE_WORDS for n in names):
                 hint = True
     if tag in BAD_TAGS:
         return HINTED if tag == "form" else BAD
@@ -159,29 +170,38 @@ _NESTING = frozenset("div section ul ol table td span li dl blockquote".split())
 
 def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
     p, at = _Page(), 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # elements that no end tag follows any more
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             p.text(page[at: m.start()])
         at = m.end()
-        tag = m[3]
-        if tag:
-            if m[2]:
-                p.end(tag.lower())
-            else:
-                p.start(tag.lower(), m[4])
+        tag = (m[3] or "").lower()
+        if not tag:
+            continue
+        if m[2]:
+            p.end(tag)
+            continue
+        if tag in _ENDS and tag not in endless and not m[4].endswith("/"):
+            end = _ENDS[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(tag)
+        p.start(tag, m[4])
     if at < len(page):
         p.text(page[at:])
     p.flush()
     return p.blocks
 
 
-def classify(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
-    """Is a block main text? The two passes."""
+def classify(blocks: list[tuple[str, int, bool, int]], learned: frozenset[str] = frozenset()) -> list[bool]:
+    """Is a block main text? The two passes; ``learned`` are stop words of other scripts."""
     label: list[bool | None] = []
     for text, linked, bad, _ in blocks:
         words = text.lower().split()
         size = len(text) - len(words) + 1
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+        bare = [w.strip(".,;:!?\"'()«»„“”") for w in words]
+        stops = sum(w in STOP_WORDS or w in learned for w in bare)
         if bad or linked > LINK_SHARE * size:
             label.append(False)
         elif len(words) >= GOOD_WORDS and stops >= STOP_SHARE * len(words):
@@ -225,12 +245,27 @@ def _inherit(blocks, label: list[bool | None]) -> list[bool]:
     return out
 
 
-def main_text(page: str | None) -> str:
+#: A word of up to four letters that are not Latin.
+_OTHER_SCRIPT = r"[\p{L}&&[^\p{IsLatin}]]"
+_SHORT_OTHER = rf"(?<!\p{{L}})({_OTHER_SCRIPT}{{1,4}})(?!\p{{L}})"
+
+
+def learned_stop_words(pages: DataFrame, html_col: str = "html") -> frozenset[str]:
+    """The ``LEARNED`` most frequent short words of every script but Latin, over all pages; pages without such letters
+    are passed over. What comes to the driver is bounded by the number of scripts."""
+    text = F.lower(F.regexp_replace(F.col(html_col), "<[^>]*+>", " "))
+    words = (pages.where(F.col(html_col).rlike(_OTHER_SCRIPT)).select(F.explode(F.regexp_extract_all(text, F.lit(_SHORT_OTHER), 1)).alias("w"))
+             .groupBy("w").agg(F.count("*").alias("n")).withColumn("script", F.floor(F.ascii("w") / 256)))
+    place = F.row_number().over(Window.partitionBy("script").orderBy(F.desc("n"), "w"))
+    return frozenset(r["w"] for r in words.withColumn("place", place).where(F.col("place") <= LEARNED).select("w").collect())
+
+
+def main_text(page: str | None, learned: frozenset[str] = frozenset()) -> str:
     """Main text of a page: good blocks in page order joined by one space; empty for null or none."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    return " ".join(b[0] for b, good in zip(blocks, classify(blocks), strict=True) if good)
+    return " ".join(b[0] for b, good in zip(blocks, classify(blocks, learned), strict=True) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -239,17 +274,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The whole page is read, broken-off ones too. Null or empty pages, and pages without main text, give
     an empty text; null urls stay null; repeated rows get equal results; other columns are ignored.
     """
+    ship_code(pages.sparkSession)
     rows = spread_tasks(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     kind = dict(rows.dtypes)
+    learned = learned_stop_words(pages, html_col)
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            at = 0
+            for pages_ in text_slices(b.column(2)):
+                part = b.slice(at, len(pages_))
+                at += len(pages_)
                 texts, n_blocks, n_kept = [], [], []
-                for page in part.column(2).to_pylist():
-                    blocks = blocks_of(page) if page else []
-                    good = classify(blocks)
+                for page in pages_:
+                    blocks = blocks_of(page)
+                    good = classify(blocks, learned)
                     texts.append(" ".join(x[0] for x, g in zip(blocks, good, strict=True) if g))
                     n_blocks.append(len(blocks))
                     n_kept.append(sum(good))
