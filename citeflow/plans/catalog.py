@@ -16,6 +16,7 @@ from ..operators import convert as cv
 from ..operators import crosswalk as xw
 from ..operators import extraction as ex
 from ..operators import landing as ld
+from ..operators import phrases as ph
 from ..operators import related as rel
 from ..operators import search as se
 from ..operators import similarity as sm
@@ -393,6 +394,22 @@ def q23c_study_keyword_ids(spark, sf_dir):
     return se.search(spread(tb.study_corpus(spark, sf_dir)), q, _search_fields())
 
 
+def _indexed(spark, sf_dir, query):
+    corpus, fields = spread(tb.study_corpus(spark, sf_dir)), _search_fields()
+    index = ph.build_index(corpus, {"tiab": fields["tiab"]})
+    return ph.indexed_search(corpus, index, query, fields)
+
+
+def q22c_study_query_indexed(spark, sf_dir):
+    """q22b through the table of positions."""
+    return _indexed(spark, sf_dir, se.study_query())
+
+
+def q23d_study_keyword_indexed(spark, sf_dir):
+    """q23c through the table of positions."""
+    return _indexed(spark, sf_dir, se.keyword_query_from(cfgmod.SEARCH_QUERY_TERMS, cfgmod.SEARCH_QUERY_EXCLUDED_PUBTYPE))
+
+
 def q23_keyword_ids(spark, sf_dir):
     hits = se.search(_docs(spark, sf_dir), keyword_query(), _search_fields())
     return se.first_hits(hits, KEYWORD_LIMIT)
@@ -650,6 +667,8 @@ QUERIES.update({
     "q23_keyword_ids": q23_keyword_ids,
     "q22b_study_query": q22b_study_query,
     "q23c_study_keyword_ids": q23c_study_keyword_ids,
+    "q22c_study_query_indexed": q22c_study_query_indexed,
+    "q23d_study_keyword_indexed": q23d_study_keyword_indexed,
     "q23b_keyword_hit_count": q23b_keyword_hit_count,
     "q24_rendition_fallback": q24_rendition_fallback,
     "q25_extraction_typed": q25_extraction_typed,

@@ -647,3 +647,4 @@ WHERE p_partkey % {tb.SEED_MOD} = {tb.SEED_REM}""",
     "q44_dictionary_file": f"""SELECT CAST(row_number() OVER (ORDER BY line_no) AS INTEGER) AS line_no, name, patterns, status FROM ({Q03})
 UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), NULL, NULL, 'blank' FROM part""",
 })
+ORACLE.update({"q22c_study_query_indexed": ORACLE["q22b_study_query"], "q23d_study_keyword_indexed": ORACLE["q23c_study_keyword_ids"]})
