@@ -47,9 +47,9 @@ def build_index(corpus: DataFrame, fields: dict, key: str = "doc_id") -> PhraseI
     low = case_key(F.col("text"), _CASE)
     words, gaps = (F.regexp_extract_all(low, F.lit(rf"(?U)(\{c}+)"), 1) for c in ("w", "W"))
     # words and gaps alternate; a text that begins with a gap has one in front of its first word
-    shift = F.when(low.rlike(r"(?U)^\W"), 0).otherwise(1)
-    rows = (texts.where(F.col("text").isNotNull()).select("key", "slot", gaps.alias("gaps"), shift.alias("shift"), F.posexplode(words).alias("place", "word"))
-            .select("slot", "word", "key", "place", F.coalesce(F.get("gaps", F.col("place") - F.col("shift")), F.lit("")).alias("gap")))
+    before = F.when(low.rlike(r"(?U)^\W"), gaps).otherwise(F.concat(F.array(F.lit("")), gaps))
+    pairs = texts.where(F.col("text").isNotNull()).select("key", "slot", F.posexplode(F.arrays_zip(words.alias("word"), before.alias("gap"))).alias("place", "pair"))
+    rows = pairs.where(F.col("pair.word").isNotNull()).select("slot", "pair.word", "key", "place", "pair.gap")
     path = shared_dir(spark, "postings")
     rows.repartitionByRange("word", "key").sortWithinPartitions("word", "key", "slot", "place").write.parquet(path)
     odd_path = shared_dir(spark, "odd-texts")
