@@ -190,3 +190,50 @@ def conversion_status(src, out, fmt=None) -> Column:
             .when(o == "", "empty")
             .when(_without_markup(s, fmt).rlike(rf"[<>]|&(?!(?:{known});)[A-Za-z#0-9]+;"), "ok_with_warnings")
             .otherwise("ok"))
+
+
+# --- the strict pass (K1) -----------------------------------------------------
+
+# FIXED VALUES: elements without an end tag, and elements whose end tag HTML lets one leave out.
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+OPTIONAL_END = ("body", "colgroup", "dd", "dt", "head", "html", "li", "optgroup", "option", "p", "tbody", "td", "tfoot", "th", "thead", "tr")
+_TAGS = r"<(/?[A-Za-z][^\s<>/]*(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+
+
+def markup_fault(col, fmt) -> Column:
+    """First fault of the tags of a text as a stack sees them, null when they are well-formed.
+
+    ``unclosed:x`` (x still open at the end), ``stray:x`` (an end without a start), ``crossed:x`` (x ends while another
+    element is open inside it). In html, elements without an end tag are no elements of the stack and optional ends may
+    be missing; the article format asks for every end. Comments, CDATA and what script and style hold are no tags."""
+    html = _c(fmt) == "html"
+    bare = F.regexp_replace(_c(col), r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    bare = F.when(html, F.regexp_replace(bare, r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")).otherwise(bare)
+    tags = F.transform(F.regexp_extract_all(bare, F.lit(_TAGS), 1), lambda t: F.struct(
+        F.when(html, F.lower(F.regexp_extract(t, r"^/?([^\s/]+)", 1))).otherwise(F.regexp_extract(t, r"^/?([^\s/]+)", 1)).alias("name"),
+        t.startswith("/").alias("end"), t.endswith("/").alias("empty")))
+    tags = F.filter(tags, lambda t: ~t["empty"] & ~(html & t["name"].isin(*VOID_ELEMENTS)))
+
+    def lax(name):
+        return html & name.isin(*OPTIONAL_END)
+
+    def step(state, t):
+        stack, name = state["stack"], t["name"]
+        # ends that may be left out are taken off down to the element that ends here
+        at = F.size(stack) - F.array_position(F.reverse(stack), name) + 1
+        above = F.slice(stack, at + 1, F.size(stack))
+        known = F.array_contains(stack, name)
+        closes = known & F.forall(above, lax)
+        fault = (F.when(state["fault"].isNotNull(), state["fault"])
+                 .when(t["end"] & ~known & ~lax(name), F.concat(F.lit("stray:"), name))
+                 .when(t["end"] & known & ~closes, F.concat(F.lit("crossed:"), name)))
+        after = (F.when(~t["end"], F.concat(stack, F.array(name))).when(closes, F.slice(stack, F.lit(1), at - 1)).otherwise(stack))
+        return F.struct(after.alias("stack"), fault.cast("string").alias("fault"))
+
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(None).cast("string").alias("fault"))
+
+    def last(state):
+        still = F.filter(state["stack"], lambda x: ~lax(x))
+        return F.coalesce(state["fault"], F.when(F.size(still) > 0, F.concat(F.lit("unclosed:"), F.element_at(still, -1))))
+
+    return F.aggregate(tags, start, step, last)

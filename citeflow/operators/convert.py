@@ -26,6 +26,17 @@ def convert(docs: DataFrame, content: str = "content", cfg: ConvertConfig = Conv
     return docs.withColumn("text", out).withColumn("status", tx.conversion_status(F.col(content), F.col("text"), fmt))
 
 
+def outcome(docs: DataFrame, content: str = "content", cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
+    """K1: which pass converts a document: ``strict`` (its tags are well-formed and the chain knows all of its markup), ``lenient``
+    (warnings, with the first ``fault``), ``empty`` (no text comes out) or ``failed`` (no input)."""
+    done = convert(docs, content, cfg)
+    fault = tx.markup_fault(F.col(content), F.col("format"))
+    fault = F.coalesce(fault, F.when(F.col("status") == "ok_with_warnings", "unknown markup"))
+    return done.withColumn("fault", F.when(F.col("status").isin("ok", "ok_with_warnings"), fault)).withColumn(
+        "outcome", F.when(F.col("status").isin("failed", "empty"), F.col("status"))
+        .when(F.col("fault").isNull(), "strict").otherwise("lenient"))
+
+
 def qa(converted: DataFrame, path: str, root: str, out_root: str, src_bytes: str = "src_bytes",
        text: str = "text", cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
     """Output path, size ratio and line-count class.

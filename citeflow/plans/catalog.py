@@ -331,6 +331,11 @@ def q19_markup_to_text(spark, sf_dir):
     return _converted(spark, sf_dir).select("page_id", "text", "status")
 
 
+def q19b_strict_outcome(spark, sf_dir):
+    """K1: the strict pass and the lenient one, decided by the tag stack."""
+    return cv.outcome(spread(tb.marked_up(spark, sf_dir))).select("doc_id", "format", "outcome", "fault")
+
+
 def q20_conversion_qa(spark, sf_dir):
     q = cv.qa(_converted(spark, sf_dir), "path", tb.RAW_ROOT, tb.MD_ROOT)
     return q.select("page_id", "out_path", F.col("out_bytes").cast("bigint").alias("out_bytes"),
@@ -661,6 +666,7 @@ QUERIES.update({
     "q30b_vector_neighbours": q30b_vector_neighbours,
     "q18_format_sniff": q18_format_sniff,
     "q19_markup_to_text": q19_markup_to_text,
+    "q19b_strict_outcome": q19b_strict_outcome,
     "q20_conversion_qa": q20_conversion_qa,
     "q21_truncate_bibliography": q21_truncate_bibliography,
     "q22_boolean_search": q22_boolean_search,

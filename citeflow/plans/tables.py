@@ -189,6 +189,23 @@ RAW_ROOT = "/data/raw"
 MD_ROOT = "/data/md"
 
 
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): documents as markup, by id: well-formed, an end left out, two elements crossed, an end too many,
+    html with optional ends left out and empty elements, a comment full of tags, no text, nothing at all."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKED_UP_SQL).alias("content"))
+
+
+_PLAIN = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+MARKED_UP_SQL = f"""CASE doc_id % 8
+  WHEN 0 THEN concat('<article xmlns="x"><sec><title>T</title><p>', {_PLAIN}, '</p></sec></article>')
+  WHEN 1 THEN concat('<article xmlns="x"><sec><title>T</title><p>', {_PLAIN}, '</sec></article>')
+  WHEN 2 THEN concat('<html><body><p><b><i>', {_PLAIN}, '</b></i></p></body></html>')
+  WHEN 3 THEN concat('<html><body><div><p>', {_PLAIN}, '</p></div></div></body></html>')
+  WHEN 4 THEN concat('<html><body><ul><li>one<li>', {_PLAIN}, '</ul><p>a<br>b<img src="x"><p>c</body></html>')
+  WHEN 5 THEN concat('<html><body><!-- <p><div> --><div>', {_PLAIN}, '</body></html>')
+  WHEN 6 THEN '<html><body><div></div></body></html>' ELSE CAST(NULL AS STRING) END"""
+
+
 #: Role rules: documents whose file has a byte that is no UTF-8, or is named but not there; answers from this year on are late.
 BROKEN_MOD, MISSING_MOD, LATE_YEAR = 11, 13, 1998
 

@@ -87,3 +87,15 @@ def test_article_sections_become_headings(spark):
 def test_size_ratio_of_large_texts(spark):
     df = spark.range(1).select(F.repeat(F.lit("x"), 22_000_000).alias("t"))
     assert df.select(tx.size_ratio(F.col("t"), F.lit(44_000_000))).first()[0] == 50
+
+
+def test_markup_faults(spark):
+    cases = [("html", "<p>a<p>b", None), ("html", "<div><p>a</div>", None), ("html", "<ul><li>a<li>b</ul>", None), ("html", "<DIV>a</div>", None),
+             ("jats", "<P>a</p>", "stray:p"), ("jats", "<p>a", "unclosed:p"), ("jats", "<a><b/></a>", None), ("html", "<br>a<img src='x>y'>", None),
+             ("html", "<b><i>x</b></i>", "crossed:b"), ("html", "x</span>", "stray:span"), ("html", "x</p>", None), ("html", "<div><span>x", "unclosed:span"),
+             ("html", "<script>if (a<b) '</div>'</script><p>x", None), ("html", "<!-- <div> -->x", None), ("jats", "<a><![CDATA[<b>]]></a>", None),
+             ("html", "a < b and c > d", None), ("html", "", None), ("html", None, None), ("jats", "<s><p>x</s></p>", "crossed:s"),
+             ("html", "<div>" * 300 + "</div>" * 300, None), ("html", '<a title="</a>">x</a>', None)]
+    df = spark.createDataFrame([(i, f, t) for i, (f, t, _) in enumerate(cases)], "i int, f string, t string")
+    got = dict(df.select("i", tx.markup_fault("t", F.col("f"))).collect())
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
