@@ -3,6 +3,8 @@ skip, routing of restricted documents (D14, D15, D16, E7, F12, B4, J1, T14, T21)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,25 @@ def landed_nonempty(landed: DataFrame) -> DataFrame:
     return landed.where(F.col("n_bytes") > 0).select("pmcid").distinct()
 
 
+def keep_bucketed(landed: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """The landed ids kept as a table in buckets of the id. A later ``pending`` reads the buckets where they are
+    and shuffles the requested ids alone; choose as many buckets as the shuffle has partitions, or more."""
+    spark = landed.sparkSession
+    name = "landed_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (landed.select("pmcid", "n_bytes").repartition(n, "pmcid").write.bucketBy(n, "pmcid").sortBy("pmcid")
+     .option("path", path).mode("overwrite").saveAsTable(name))
+    return spark.table(name)
+
+
 def pending(todo: DataFrame, landed: DataFrame, restricted: DataFrame | None = None,
             cfg: LandConfig = LandConfig()) -> DataFrame:
     """Ids still to fetch — de-duplicated, minus non-empty landed ones.
 
     Restricted documents were routed away, so by default (T14) they are tried
     again; with ``cfg.retry_restricted`` off, the ``restricted`` ids are skipped."""
-    out = todo.select("pmcid").distinct().join(landed_nonempty(landed), "pmcid", "left_anti")
+    # an anti join asks only whether an id is there, so the landed side needs no distinct
+    out = todo.select("pmcid").distinct().join(landed.where(F.col("n_bytes") > 0).select("pmcid"), "pmcid", "left_anti")
     if restricted is not None and not cfg.retry_restricted:
         out = out.join(restricted.select("pmcid").distinct(), "pmcid", "left_anti")
     return out

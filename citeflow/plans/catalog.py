@@ -275,6 +275,12 @@ def q17_pending(spark, sf_dir):
     return ld.pending(tb.fetched(spark, sf_dir), tb.landed(spark, sf_dir))
 
 
+def q17b_pending_bucketed(spark, sf_dir):
+    """q17 against a landed table kept in buckets of its id: only the requested ids move."""
+    kept = ld.keep_bucketed(tb.landed(spark, sf_dir), shared_dir(spark, "landed-buckets"))
+    return ld.pending(tb.fetched(spark, sf_dir), kept)
+
+
 def q17s_stream_landing(spark, sf_dir):
     """J1 as a stream, run twice (the second time with a fresh checkpoint, as
     after losing it): the landed table must hold each document once."""
@@ -312,6 +318,7 @@ QUERIES.update({
     "q15_unmapped_ids": q15_unmapped_ids,
     "q16_landing_status": q16_landing_status,
     "q17_pending": q17_pending,
+    "q17b_pending_bucketed": q17b_pending_bucketed,
     "q17s_stream_landing": q17s_stream_landing,
     "q17t_stream_repairs": q17t_stream_repairs,
 })
@@ -470,8 +477,12 @@ def q27_entity_frequency(spark, sf_dir):
 
 
 def q27b_gene_frequency(spark, sf_dir):
-    """K5 on the typed list cells of both layouts, papers told apart by DOI."""
-    return ex.entity_frequency(_union(spark, sf_dir), "genes", "doi")
+    """K5 on the typed list cells of both layouts, papers told apart by DOI. The two cells are made once,
+    since typing names each of them several times."""
+    layouts = ((ex.V25_RENAME, True, "; "), (ex.V23_RENAME, False, ", "))
+    cells = [materialize(ex.canonical(tb.extraction_rows(spark, sf_dir, names, labelled, sep), names).select("doi", "genes"))
+             for names, labelled, sep in layouts]
+    return ex.entity_frequency(ex.union_layouts(*map(ex.typed, cells)), "genes", "doi")
 
 
 def q28_quantity_ranges(spark, sf_dir):

@@ -655,3 +655,4 @@ SELECT doc_id, CASE WHEN doc_id % 8 < 2 THEN 'jats' ELSE 'html' END AS format,
   CASE doc_id % 8 WHEN 0 THEN 'strict' WHEN 4 THEN 'strict' WHEN 6 THEN 'empty' WHEN 7 THEN 'failed' ELSE 'lenient' END AS outcome,
   CASE doc_id % 8 WHEN 1 THEN 'crossed:sec' WHEN 2 THEN 'crossed:b' WHEN 3 THEN 'stray:div' WHEN 5 THEN 'crossed:body' END AS fault
 FROM documents"""
+ORACLE["q17b_pending_bucketed"] = ORACLE["q17_pending"]

@@ -76,3 +76,23 @@ def test_restricted_retry_option(spark):
     again = sorted(r[0] for r in ld.pending(todo, landed, restricted).collect())
     skip = sorted(r[0] for r in ld.pending(todo, landed, restricted, LandConfig(retry_restricted=False)).collect())
     assert again == ["a", "b"] and skip == ["a"]
+
+
+def test_bucketed_landed_ids_do_not_move(spark):
+    """The kept side has no exchange, whatever its size; rows equal the plain anti join's."""
+    from citeflow.operators import landing as ld
+    from citeflow.session import shared_dir
+    landed = spark.range(5000).selectExpr("cast(id * 2 as string) pmcid", "id % 5 n_bytes")
+    todo = spark.range(4000).selectExpr("cast(id as string) pmcid")
+    kept = ld.keep_bucketed(landed, shared_dir(spark, "buckets"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ld.pending(todo, kept)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        landed_side = final[final.index("landed_"):] if "landed_" in final else final
+        assert "Join" in plan and "Exchange" not in landed_side and "Bucketed: true" in final
+        assert {r.pmcid for r in out.collect()} == {r.pmcid for r in ld.pending(todo, landed).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
