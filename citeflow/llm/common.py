@@ -57,6 +57,7 @@ def free_prefix(columns: list[str], base: str) -> str:
 def spread_tasks(df: DataFrame) -> DataFrame:
     """At least as many tasks as cores for CPU-heavy work on a small input; an
     input that already arrives in more splits is returned as it is."""
+    ship_code(df.sparkSession)
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
@@ -64,6 +65,7 @@ def spread_tasks(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed
     once, lineage cut, columns still prunable by every later reader."""
+    ship_code(df.sparkSession)
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -194,8 +194,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     in_snapshot = in_snapshot if in_snapshot is not None else F.pmod(F.xxhash64(F.col("doc_id")), F.lit(2)) == 0
     rows = stored(digests(docs, id_col, text_col).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "digests")
     snapshot = stored(_groups(rows.where("old")), "snapshot")
-    n_old = snapshot.count()
-    buckets = 1 + n_old // bucket_keys
+    # by the rows of both sides: neither the snapshot's nor the batch's part of a bucket grows with the input
+    buckets = 1 + rows.count() // bucket_keys
     filters = stored(build_filters(snapshot, buckets), "filters")
     batch = stored(screen(_groups(rows.where("not old")), filters, buckets), "screened")
     maybe = batch.where("maybe").select(F.col("digest").alias("b_digest"), F.col("keep_id").alias("b_keep"),

@@ -7,8 +7,8 @@ the tokenizer itself. A character or run outside the machine leads to the trap s
 blank leaves; the piece around it is counted by the tokenizer, so counts are always exact.
 
 Text is cut in lanes that numpy drives through the table together, one lookup per character.
-A lane's map is first computed from the blank state; the maps are then composed from
-left to right: a lane entered in another state is driven again only until its states
+No state maps are composed and no prefix scan is made: every lane first runs from the blank state, as a
+guess; a lane entered in another state is driven again until its states
 meet those already computed, which the first blank guarantees.
 """
 
