@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each one operator of the llm subpackage.
 
 Every stage works on all rows its predecessor kept, and all but the last return the columns of
-``documents``. Near duplicates are 5-word shingle sets of Jaccard similarity 0.8 or more.
+``documents``, whatever further ones there are. Near duplicates are 5-word shingle sets of Jaccard similarity 0.8 or more.
+
+Defined results, stage by stage: null texts, empty ones and texts without letters go in the first stage; texts of any
+length are read whole by every stage; rows without an id are kept like others and link like others, but lose against any id;
+equal texts are one near-duplicate group, of which the smallest id stays, and rows equal in id and text stand or fall together;
+the mix takes documents again and again where a source is below its target; an empty table passes through all
+stages as an empty one.
 """
 
 from __future__ import annotations
