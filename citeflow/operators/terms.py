@@ -250,20 +250,21 @@ def _broadcastable(alts: DataFrame, cfg: TermConfig):
     return listed, materialize(table.distinct())
 
 
-def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig) -> DataFrame:
-    """(_k, _t, sure, open): the ids of alternatives that match for sure, and of those the regex has to decide."""
+def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig, named: list[list[int]] | None = None) -> DataFrame:
+    """(_k, _t, sure, open): the ids of alternatives that match for sure, and of those the regex has to decide. With
+    ``named``, the numbers of each alternative's terms, ``sure`` has the distinct terms of the former instead."""
     ship_package(corpus.sparkSession)
     literals = sorted({k for _, _, k, _ in listed})
     place = {k: i for i, k in enumerate(literals)}
     of: list[list[tuple[int, bool]]] = [[] for _ in literals]
     for i, _, k, exact in listed:
         of[place[k]].append((i, exact))
-    machines = corpus.sparkSession.sparkContext.broadcast((automata(literals), of))
+    machines = corpus.sparkSession.sparkContext.broadcast((automata(literals), of, named))
     whole = cfg.whole_word
 
     @F.arrow_udf("struct<sure:array<int>,open:array<int>>")
     def scan(keys: pa.Array, plain: pa.Array) -> pa.Array:
-        found, owners = machines.value
+        found, owners, terms = machines.value
         sure = [[] for _ in range(len(keys))]
         unsure = [[] for _ in range(len(keys))]
         at = 0
@@ -276,6 +277,8 @@ def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig) ->
                 for i, exact in owners[literal]:
                     (sure if decided and exact and plain[at + t].as_py() else unsure)[at + t].append(i)
             at += len(texts)
+        if terms is not None:
+            sure = [sorted({t for i in row for t in terms[i]}) for row in sure]
         kind = pa.list_(pa.int32())
         return pa.StructArray.from_arrays([pa.array(sure, kind), pa.array(unsure, kind)], names=["sure", "open"])
 
@@ -300,18 +303,16 @@ def _automaton_matches(corpus: DataFrame, listed, table: DataFrame, text: str, k
 def _automaton_counts(corpus: DataFrame, listed, table: DataFrame, text: str, key: str, cfg: TermConfig) -> DataFrame:
     """(term, papers). Where keys are unique, rows whose matches are all sure are counted as they
     are, each of their terms once; pairs of other rows are made distinct first."""
-    hits = materialize(_scanned(corpus, listed, text, key, cfg))
     terms = table.select("term").distinct().withColumn("t", F.row_number().over(Window.orderBy("term")))  # a broadcast's size
     of_alt = {r["id"]: r["ts"] for r in table.join(terms, "term").groupBy("id").agg(F.collect_set("t").alias("ts")).collect()}
-    sizes = [of_alt.get(i, []) for i in range(len(listed))]
-    named = F.array_distinct(F.flatten(F.transform("sure", lambda i: F.get(F.lit(sizes).cast("array<array<int>>"), i))))
+    hits = materialize(_scanned(corpus, listed, text, key, cfg, [of_alt.get(i, []) for i in range(len(listed))]))
     unique = corpus.groupBy(key).count().where("count > 1").isEmpty()
     alone = hits.where((F.size("open") == 0) & F.lit(unique))
     others = hits.where(~((F.size("open") == 0) & F.lit(unique)))
-    counted = alone.select(F.explode(named).alias("t")).groupBy("t").agg(F.count("*").alias("papers"))
+    counted = alone.select(F.explode("sure").alias("t")).groupBy("t").agg(F.count("*").alias("papers"))
     rest = (others.select("_k", "_t", F.explode("open").alias("id")).join(F.broadcast(table), "id")
             .where(F.regexp_like("_t", F.col("regex"))).join(F.broadcast(terms), "term").select("_k", "t"))
-    pairs = others.select("_k", F.explode(named).alias("t")).unionByName(rest).distinct()
+    pairs = others.select("_k", F.explode("sure").alias("t")).unionByName(rest).distinct()
     total = counted.unionByName(pairs.groupBy("t").agg(F.count("*").alias("papers"))).groupBy("t").agg(F.sum("papers").alias("papers"))
     return total.join(F.broadcast(terms), "t").select("term", "papers")
 
