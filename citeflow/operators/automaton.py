@@ -26,6 +26,8 @@ class Automaton:
         self.sizes = np.array([len(x) for x in literals], dtype=np.int64)
         self.alphabet = np.array(sorted({ord(c) for x in literals for c in x}), dtype=np.uint32)
         place = {c: i + 1 for i, c in enumerate(self.alphabet.tolist())}
+        self.classes = np.zeros(int(self.alphabet.max(initial=0)) + 2, dtype=np.int32)  # the last entry stands for all beyond
+        self.classes[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         parent, char, depth, own = [0], [0], [0], [-1]
         child: dict[tuple[int, int], int] = {}
         for n, x in enumerate(literals):
@@ -63,9 +65,7 @@ class Automaton:
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last place, literal) of every occurrence in an array of character codes."""
-        at = np.searchsorted(self.alphabet, codes)
-        at[at == len(self.alphabet)] = 0
-        classes = np.where(self.alphabet[at] == codes, at + 1, 0).astype(np.int32)
+        classes = self.classes[np.minimum(codes, len(self.classes) - 1)]
         before = int(self.sizes.max()) - 1
         lane = max(LANE, 4 * before)
         n = -(-len(codes) // lane)
@@ -107,13 +107,21 @@ def automata(literals: list[str]) -> list[Automaton]:
     return [*out, Automaton([literals[j] for j in part], part)] if part else out
 
 
-_WORD = np.zeros(128, dtype=bool)
-_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
+#: What a character is at a word's edge.
+OTHER, WORD, UNDECIDED = 0, 1, 2
 
+#: Known for ASCII characters and for the end of a text.
+_ASCII = np.full(EDGE + 1, UNDECIDED, dtype=np.uint8)
+_ASCII[:128] = OTHER
+_ASCII[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = WORD
+_ASCII[EDGE] = OTHER
 
-def occurrences(machines: list[Automaton], texts: list[str], whole_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def occurrences(machines: list[Automaton], texts: list[str], whole_word: bool, keys: np.ndarray | None = None,
+                kinds: np.ndarray = _ASCII) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, literal, sure): each literal of each text once. ``sure`` means that an occurrence stands between word boundaries
-    as far as ASCII characters tell (or that none are asked for); others have a character beyond ASCII at an edge."""
+    as far as ``kinds``, of every character, tells (or that none are asked for); others have an undecided character at an edge.
+    The literals are looked for in the characters' ``keys``, if given."""
     none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
     if not texts or not machines:
         return none
@@ -123,22 +131,22 @@ def occurrences(machines: list[Automaton], texts: list[str], whole_word: bool) -
         first[i] = at
         codes[at: at + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at += len(t) + 1
-    keys, known = [], []
+    found, known = [], []
+    looked = codes if keys is None else keys[codes]
     for m in machines:
-        last, literal = m.find(codes)
+        last, literal = m.find(looked)
         sure = np.ones(len(last), dtype=bool)
         if whole_word:
-            edges = [codes[p] for p in (last - m.sizes[literal], last - m.sizes[literal] + 1, last, last + 1)]
-            ascii_only = np.logical_and.reduce([(c < 128) | (c == EDGE) for c in edges])
-            word = [_WORD[np.minimum(c, 127)] for c in edges]  # 127 and what lies beyond are no ASCII word characters
-            fits = (word[0] != word[1]) & (word[2] != word[3])
-            last, literal, sure = (x[fits | ~ascii_only] for x in (last, literal, ascii_only))
+            edges = [kinds[codes[p]] for p in (last - m.sizes[literal], last - m.sizes[literal] + 1, last, last + 1)]
+            decided = np.logical_and.reduce([k != UNDECIDED for k in edges])
+            fits = (edges[0] != edges[1]) & (edges[2] != edges[3])
+            last, literal, sure = (x[fits | ~decided] for x in (last, literal, decided))
         text = np.searchsorted(first, last, side="right") - 1
-        keys.append((text * (1 << 32) + m.ids[literal]) * 2 + ~sure)
+        found.append((text * (1 << 32) + m.ids[literal]) * 2 + ~sure)
         known.append(len(last))
     if not sum(known):
         return none
-    key = np.unique(np.concatenate(keys))
+    key = np.unique(np.concatenate(found))
     pair = key >> 1
     fresh = np.concatenate(([True], pair[1:] != pair[:-1]))  # a sure occurrence stands before an unsure one
     pair, sure = pair[fresh], key[fresh] % 2 == 0

@@ -9,8 +9,9 @@ the alternative in the text. Three plans evaluate it, and give the same rows:
 * a configuration-sized dictionary is compiled into *foldable* regexes, and one
   scan of the corpus evaluates all of them;
 * a larger one becomes an Aho–Corasick automaton (``operators.automaton``): its distinct alternatives, of
-  measured size, are broadcast, and one scan finds all of them in each text's case key. Where key
-  and ASCII word boundaries decide, that is the match; the few others are decided by their regexes. Groups
+  measured size, are broadcast, and one scan finds all of them in each text, character by character in its case key. Where
+  keys and word boundaries decide, by tables of what the regex engine says of every character, that is the match; the
+  few others are decided by their regexes. Groups
   are counted in the scan, with map-side combine;
 * a dictionary too large to broadcast stays a DataFrame. Every alternative has an *anchor*, a
   token its match cannot do without (a whole word run, a whole run between words,
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from ..config import TermConfig
 from ..functions.patterns import alternation_regex, flags, literal_regex
 from ..functions.text import py_strip
 from ..session import ship_package
-from .automaton import PASS_CHARS, automata, occurrences
+from .automaton import EDGE, OTHER, PASS_CHARS, UNDECIDED, WORD, automata, occurrences
 from .util import latest, materialize
 
 TERM_GROUP_SCHEMA = "line_no int, name string, patterns array<string>"
@@ -221,10 +223,35 @@ def _regex(alt, cfg: TermConfig):
     return F.concat(F.lit(flags(cfg.case_insensitive) + edge + "(?:"), F.array_join(quoted, "\\s+"), F.lit(")" + edge))
 
 
-def _lookup_key(col, cfg: TermConfig):
-    """The case key, with every run of white space as one blank where a blank matches any."""
-    low = case_key(col, cfg)
-    return F.regexp_replace(low, "(?U)\\s+", " ") if cfg.normalize_ws else low
+def _one_blank(col, cfg: TermConfig):
+    """Every run of white space as one blank where a blank matches any."""
+    return F.regexp_replace(col, "(?U)\\s+", " ") if cfg.normalize_ws else col
+
+
+_CHARACTERS: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def characters(spark, cfg: TermConfig = TermConfig()) -> tuple[np.ndarray, np.ndarray]:
+    """(case key, kind) of every code point, as Spark and its regex engine have them: a table of fixed size, made once.
+
+    A key is one character, also where the full case mapping has more ("ß" is not "ss" for the regex).
+    Marks are undecided: whether they belong to a word depends on what they stand on."""
+    name = spark.sparkContext.applicationId, cfg.case_insensitive
+    if name not in _CHARACTERS:
+        keys, kinds = np.arange(EDGE + 1, dtype=np.uint32), np.zeros(EDGE + 1, dtype=np.uint8)
+        char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        kind = (F.when(char.rlike("\\p{Mn}"), UNDECIDED)
+                .when(char.rlike(flags(cfg.case_insensitive) + "\\b"), WORD).otherwise(OTHER).alias("kind"))
+        key = case_key(F.col("c"), cfg)
+        low = F.lower("c") if cfg.case_insensitive else F.col("c")
+        key = F.when(F.length(key) == 1, key).when(F.length(low) == 1, low).otherwise(F.col("c"))
+        rows = (spark.range(EDGE).where("id < 55296 or id > 57343").select("id", char.alias("c"), kind)
+                .select("id", "kind", "c", key.alias("key")).where("kind <> 0 or key <> c").select("id", "kind", "key").toArrow())
+        at = rows["id"].to_numpy()
+        kinds[at] = rows["kind"].to_numpy()
+        keys[at] = [ord(k) for k in rows["key"].to_pylist()]
+        _CHARACTERS[name] = keys, kinds
+    return _CHARACTERS[name]
 
 
 #: Literals of these characters need no regex: beyond, case pairs newer than the regex engine's tables occur.
@@ -239,12 +266,13 @@ def _broadcastable(alts: DataFrame, cfg: TermConfig):
                         F.min(F.length("alt")).alias("least")).first()
     if size["chars"] > cfg.automaton_chars or not size["least"]:
         return None
-    key = _lookup_key(F.col("alt"), cfg)
+    key = _one_blank(case_key(F.col("alt"), cfg), cfg)
     exact = (F.length(case_key(F.col("alt"), cfg)) == F.length("alt")) & key.rlike(_OLD_LETTERS)
     if cfg.normalize_ws:
         exact &= (key == F.btrim(key)) & (F.regexp_replace("alt", "(?U)\\s+", " ") == F.col("alt"))
-    rows = distinct.select("alt", key.alias("key"), exact.alias("exact")).orderBy("alt").collect()
-    listed = [(i, r["alt"], r["key"], r["exact"]) for i, r in enumerate(rows)]
+    rows = distinct.select("alt", _one_blank(F.col("alt"), cfg).alias("plain"), exact.alias("exact")).orderBy("alt").collect()
+    keys, _ = characters(alts.sparkSession, cfg)
+    listed = [(i, r["alt"], "".join(chr(keys[ord(c)]) for c in r["plain"]), r["exact"]) for i, r in enumerate(rows)]
     numbered = alts.sparkSession.createDataFrame([(i, a) for i, a, _, _ in listed], "id int, alt string")
     table = alts.join(F.broadcast(numbered), "alt").select("term", "id", "alt", _regex(F.col("alt"), cfg).alias("regex"))
     return listed, materialize(table.distinct())
@@ -259,23 +287,23 @@ def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig, na
     of: list[list[tuple[int, bool]]] = [[] for _ in literals]
     for i, _, k, exact in listed:
         of[place[k]].append((i, exact))
-    machines = corpus.sparkSession.sparkContext.broadcast((automata(literals), of, named))
+    machines = corpus.sparkSession.sparkContext.broadcast((automata(literals), of, named, characters(corpus.sparkSession, cfg)))
     whole = cfg.whole_word
 
     @F.arrow_udf("struct<sure:array<int>,open:array<int>>")
-    def scan(keys: pa.Array, plain: pa.Array) -> pa.Array:
-        found, owners, terms = machines.value
-        sure = [[] for _ in range(len(keys))]
-        unsure = [[] for _ in range(len(keys))]
+    def scan(column: pa.Array) -> pa.Array:
+        found, owners, terms, (keys, kinds) = machines.value
+        sure = [[] for _ in range(len(column))]
+        unsure = [[] for _ in range(len(column))]
         at = 0
-        while at < len(keys):
+        while at < len(column):
             texts, size = [], 0
-            while at + len(texts) < len(keys) and (not texts or size < PASS_CHARS):
-                texts.append(keys[at + len(texts)].as_py() or "")
+            while at + len(texts) < len(column) and (not texts or size < PASS_CHARS):
+                texts.append(column[at + len(texts)].as_py() or "")
                 size += len(texts[-1])
-            for t, literal, decided in zip(*(x.tolist() for x in occurrences(found, texts, whole)), strict=True):
+            for t, literal, decided in zip(*(x.tolist() for x in occurrences(found, texts, whole, keys, kinds)), strict=True):
                 for i, exact in owners[literal]:
-                    (sure if decided and exact and plain[at + t].as_py() else unsure)[at + t].append(i)
+                    (sure if decided and exact else unsure)[at + t].append(i)
             at += len(texts)
         if terms is not None:
             sure = [sorted({t for i in row for t in terms[i]}) for row in sure]
@@ -283,10 +311,7 @@ def _scanned(corpus: DataFrame, listed, text: str, key: str, cfg: TermConfig, na
         return pa.StructArray.from_arrays([pa.array(sure, kind), pa.array(unsure, kind)], names=["sure", "open"])
 
     t = F.col(text)
-    low = case_key(t, cfg)
-    # a text whose case key has other characters in other places is decided by regexes throughout
-    plain = F.coalesce(F.length(low) == F.length(t), F.lit(True))
-    return (corpus.select(F.col(key).alias("_k"), t.alias("_t"), scan(_lookup_key(t, cfg), plain).alias("_m"))
+    return (corpus.select(F.col(key).alias("_k"), t.alias("_t"), scan(_one_blank(t, cfg)).alias("_m"))
             .select("_k", F.when(F.size("_m.open") > 0, F.col("_t")).alias("_t"), F.col("_m.sure").alias("sure"), F.col("_m.open").alias("open")))
 
 

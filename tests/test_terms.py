@@ -224,3 +224,27 @@ def test_large_dictionary_over_repeated_and_null_keys(spark):
     groups = [("animals", ["cat", "dog"]), ("dog", ["dog"]), ("cat too", ["cat"]), ("none", ["cow"])] + [(f"g{i}", [f"w{i}"]) for i in range(600)]
     got = {r["term"]: r["papers"] for r in tm.term_hits(corpus, groups).collect()}
     assert {k: v for k, v in got.items() if v} == {"animals": 3, "dog": 2, "cat too": 3} and len(got) == 604
+
+
+def test_letters_beyond_ascii_need_no_regex(spark):
+    """Accents at a word's edge and letters of two-letter upper case are decided in the scan; the rows are the regexes'."""
+    texts = [(1, "la Straße été"), (2, "STRASSE ete"), (3, "caféine café"), (4, "naïve-été"), (5, "ÉTÉ, ﬁn de caf́e"), (6, "ße aé éa _é"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    alts = ["été", "caf", "café", "t", "a", "e", "straße", "strasse", "fin", "naïve", "l", "s", "é"]
+    groups = [(x, [x]) for x in alts]
+    quick, exact = TermConfig(max_regex_alternatives=0), TermConfig(max_regex_alternatives=10**9)
+    rows = lambda df: sorted((r["term"], r["doc_id"]) for r in df.collect())
+    assert rows(tm.term_matches(docs, groups, cfg=quick)) == rows(tm.term_matches(docs, groups, cfg=exact))
+    listed, _ = tm._broadcastable(tm._as_alternatives(spark, groups), quick)
+    left = {alts for r in tm._scanned(docs, listed, "text", "doc_id", quick).collect() for alts in (r["_k"] for _ in r["open"])}
+    assert left <= {1, 5}  # the alternative with the sharp s itself, and marks
+
+
+def test_characters_join_what_the_regex_equates(spark):
+    """Characters that the regex engine takes as equal have one key, and where a key differs the regex does."""
+    keys, kinds = tm.characters(spark)
+    c = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    pairs = c.select("c", F.explode(F.array(F.upper("c"), F.lower("c"), F.lower(F.upper("c")), F.upper(F.lower("c")))).alias("d")).where("c <> d and length(d) = 1")
+    equal = pairs.where(F.regexp_like("d", F.concat(F.lit("(?iuU)^\\Q"), F.col("c"), F.lit("\\E$"))))
+    assert not [r for r in equal.collect() if keys[ord(r["c"])] != keys[ord(r["d"])]]
+    assert kinds[ord("é")] == 1 and kinds[ord("—")] == 0 and kinds[0x301] == 2 and keys[ord("ß")] == ord("ß")
