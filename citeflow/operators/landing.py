@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LandConfig
+from .util import kept
 
 
 def landed_nonempty(landed: DataFrame) -> DataFrame:
@@ -57,29 +58,55 @@ def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig(), con
     "landed" for a later run (T14, ``retry_restricted``).
     """
     present = landed_nonempty(landed).select("pmcid", F.lit(True).alias("_present"))
+    status = F.when(F.col("_present").isNotNull(), "skipped").otherwise(F.col("status"))
+    t = best_deliveries(todo, cfg).join(present, "pmcid", "left").select("pmcid", status.alias("status"), "n_bytes", "_hash")
+    return with_texts(t, todo) if content else t.drop("_hash")
+
+
+def best_deliveries(todo: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:
+    """(pmcid, status, n_bytes, _hash) of every id's best delivery. The aggregate carries fixed-width facts only."""
     text = F.coalesce(F.col("content"), F.lit(""))
     n_bytes = F.octet_length(text).cast("bigint")
     fresh = (F.when(text.contains(cfg.needle), "restricted").when(n_bytes > 0, "ok").otherwise("failed"))
-    facts = todo.select("pmcid", fresh.alias("_fresh"), n_bytes.alias("n_bytes"), F.xxhash64(text).alias("_hash"),
-                        *([text.alias("content")] if content else []))
-    # An id requested twice is landed once: its best delivery. The aggregate carries
-    # fixed-width facts only; the text of the chosen delivery is joined back.
-    best = facts.groupBy("pmcid").agg(F.max(F.struct(_rank(F.col("_fresh")).alias("r"), "n_bytes", "_hash", "_fresh")).alias("_b"))
-    once = best.select("pmcid", "_b._fresh", "_b.n_bytes", "_b._hash")
-    if content:
-        texts = facts.select(F.col("pmcid").alias("_id"), F.col("_hash").alias("_th"), "content").dropDuplicates(["_id", "_th"])
-        once = once.join(texts, F.col("pmcid").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    t = once.join(present, "pmcid", "left")
-    status = F.when(F.col("_present").isNotNull(), "skipped").otherwise(F.col("_fresh"))
-    return t.select("pmcid", status.alias("status"), "n_bytes", *(["content"] if content else []))
+    facts = todo.select("pmcid", F.struct(_rank(fresh).alias("r"), n_bytes.alias("n_bytes"), F.xxhash64(text).alias("_hash"), fresh.alias("status")).alias("_f"))
+    return facts.groupBy("pmcid").agg(F.max("_f").alias("_b")).select("pmcid", "_b.status", "_b.n_bytes", "_b._hash")
+
+
+def _same_id():
+    """The id in columns that are never null: a null id is an id, and join and aggregate share their partitioning."""
+    return F.coalesce("pmcid", F.lit("")).alias("_i"), F.col("pmcid").isNull().alias("_z")
+
+
+#: Rows (an id, a hash and few bytes more) of a table whose measured size allows a broadcast.
+FEW = 200_000
+
+
+def with_texts(chosen: DataFrame, todo: DataFrame, few: bool = False) -> DataFrame:
+    """(pmcid, status, n_bytes, content): the texts of the chosen deliveries, of equal ones one.
+
+    Texts move once: a merge join keeps the partitioning that the aggregate after it needs. With ``few``, a
+    measured fact, the chosen ones go to the texts instead, and no other text moves."""
+    text = F.coalesce(F.col("content"), F.lit(""))
+    wanted = chosen.select(*_same_id(), F.col("_hash"), "status", "n_bytes")
+    texts = todo.select(*_same_id(), F.xxhash64(text).alias("_hash"), "pmcid", text.alias("content"))
+    return (texts.join(wanted.hint("broadcast" if few else "merge"), ["_i", "_z", "_hash"])
+            .dropDuplicates(["_i", "_z", "_hash"]).select("pmcid", "status", "n_bytes", "content"))
 
 
 def current(landings: DataFrame) -> DataFrame:
     """One row per id of an append-only landing table: its best delivery so far (ok, then restricted, then failed)."""
     rank = F.struct(_rank(F.col("status")).alias("r"), "n_bytes", F.xxhash64("content").alias("h"))
-    best = landings.groupBy(F.col("pmcid").alias("_id")).agg(F.max(rank).alias("_best"))
-    return (landings.join(best, F.col("pmcid").eqNullSafe(F.col("_id")) & (rank == F.col("_best")))
-            .dropDuplicates(["pmcid"]).select(*landings.columns))
+    best = landings.groupBy("pmcid").agg(F.max(rank).alias("_best"), F.count("*").alias("_n"))
+    # only ids that landed more than once need a choice; where they are few, no other text moves
+    often = kept(best.where("_n > 1").select(*_same_id(), "_best"), "landed-again")
+    few = often.count() <= FEW
+    rows, often = landings.select("*", *_same_id()), often.hint("broadcast" if few else "merge")
+    if few:
+        once = rows.join(often, ["_i", "_z"], "left_anti")
+        again = rows.join(often, ["_i", "_z"]).where(rank == F.col("_best")).dropDuplicates(["_i", "_z"])
+        return once.select(*landings.columns).unionByName(again.select(*landings.columns))
+    return (rows.join(often, ["_i", "_z"], "left").where(F.col("_best").isNull() | (rank == F.col("_best")))
+            .dropDuplicates(["_i", "_z"]).select(*landings.columns))
 
 
 def outcome(status_col: str = "status"):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import LandConfig
 from ..operators import landing
+from ..operators.util import kept
 
 SCHEMA = "pmcid string, n_bytes bigint, content string, status string"
 
@@ -33,8 +34,7 @@ def _existing(spark: SparkSession, target: str) -> DataFrame | None:
 
 def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig()) -> None:
     spark = batch.sparkSession
-    none = spark.createDataFrame([], "pmcid string, n_bytes bigint")
-    out = landing.land(batch, none, cfg, content=True)
+    out = landing.best_deliveries(batch, cfg)  # facts only; the texts follow for what is written
     prior = _existing(spark, target)
     if prior is not None:
         # Only this batch's ids can collide: the landed table is filtered by them first, and
@@ -49,7 +49,11 @@ def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig()) ->
             & (rank > F.col("_before")))
         out = out.join(before, F.col("pmcid").eqNullSafe(F.col("_id")), "left").where(again).drop("_id", "_before")
     # Routed by status (restricted documents land in their own folder).
-    out.write.mode("append").partitionBy("status").parquet(target)
+    out = kept(out, "landing-batch")
+    n = out.count()
+    if n == 0 and prior is not None:
+        return
+    landing.with_texts(out, batch, few=n <= landing.FEW).write.mode("append").partitionBy("status").parquet(target)
 
 
 def run(spark: SparkSession, source: DataFrame, target: str, checkpoint: str,
