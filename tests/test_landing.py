@@ -96,3 +96,44 @@ def test_bucketed_landed_ids_do_not_move(spark):
         assert {r.pmcid for r in out.collect()} == {r.pmcid for r in ld.pending(todo, landed).collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _moved(df):
+    """Column lists of the shuffles of the plan as it ran."""
+    import re
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"): plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    return [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", final)]
+
+
+def test_a_landed_text_moves_once(spark, scratch):
+    """Whether chosen deliveries are few or many, texts meet one shuffle, and the rows are the same; a null id is an id."""
+    rows = [(str(i % 7), "x" * (i % 5)) for i in range(40)] + [(None, "a"), (None, "bb"), (None, "bb"), ("8", None)]
+    todo = spark.createDataFrame(rows, "pmcid string, content string")
+    todo.write.parquet(f"{scratch}/todo")
+    todo = spark.read.parquet(f"{scratch}/todo")
+    none = spark.createDataFrame([], "pmcid string, n_bytes long")
+    want = {}
+    for i, c in rows:
+        want[i] = max(want.get(i, ""), c or "")
+    best = ld.best_deliveries(todo, LandConfig())
+    for out in (ld.land(todo, none, content=True), ld.with_texts(best, todo, few=True), ld.with_texts(best, todo)):
+        got = [(r["pmcid"], r["content"]) for r in out.collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert len([x for x in _moved(out) if x.startswith(("_i", "coalesce"))]) <= 2  # ids and texts, once each
+
+
+def test_current_moves_only_ids_that_landed_again(spark, scratch, monkeypatch):
+    from citeflow.streaming import landing_stream as ls
+    rows = [(str(i), 1, "a", "ok") for i in range(20)] + [("3", 0, "", "failed"), ("4", 9, "no", "restricted"), ("5", 2, "bb", "ok"),
+            ("5", 2, "bb", "ok"), (None, 1, "c", "ok"), (None, 2, "dd", "restricted")]
+    spark.createDataFrame(rows, "pmcid string, n_bytes long, content string, status string").write.parquet(f"{scratch}/again")
+    landings = spark.read.schema(ls.SCHEMA).parquet(f"{scratch}/again")
+    want = {str(i): "a" for i in range(20)} | {"5": "bb", None: "c"}
+    for few in (1, 100):
+        monkeypatch.setattr(ld, "FEW", few)
+        out = ld.current(landings)
+        got = [(r["pmcid"], r["content"]) for r in out.collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert len(_moved(out)) <= (2 if few == 1 else 1)
