@@ -9,10 +9,11 @@ of MIN_WORDS - seed + 1), so any run of MIN_WORDS words holds a seed wherever it
 that occur again every window of MIN_WORDS words is compared, so a shared passage is found up to
 its last word for each pair of copies: its windows cover it, and no pair is ever written out.
 
-Windows beside each other, up to a chosen place, form a *span*. Spans are grouped first, one row each: those
-in another text than the first of their group are repeats as they are, and only the others are taken apart into
-windows. So the rows follow the distinct text and not the copies. Spans and windows are equal when two hashes of
-64 bits are, one of their shingles and one of their words.
+Windows beside each other that choose the same place form a *span*; its seed begins there. Spans are grouped first, one row
+each. Equal windows choose the same place, so they stand in spans of one seed. Where all spans of a seed are equal, the
+group decides for its windows; only where spans of one seed differ, as at the ends of a copy or beside an edit, are they
+taken apart into windows, once per distinct span. So the rows follow the places of seeds, not the words. Spans and windows
+are equal when two hashes of 64 bits are, one of their shingles and one of their words.
 
 Equal paragraphs are one class from the start (one row per class meets in the join, however many
 copies there are); links between classes are clustered by connected components. Of each cluster, and of
@@ -47,7 +48,6 @@ class ParagraphConfig:
     seed: int = 13
     bands: int = 12
     rows: int = 4
-    span: int = 2  # a span of windows ends at every so many chosen places
 
     @property
     def reach(self) -> int:
@@ -129,32 +129,46 @@ def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
     return keys & ~np.uint64(1)
 
 
-def _least(grams: np.ndarray, c: ParagraphConfig) -> np.ndarray:
-    """The smallest shingles of a short line: n - ceil(similarity * n) + 1 of its n distinct ones. Two sets
-    of the wanted similarity share more than what both leave out, so they share one of these."""
-    u = np.unique(mixed(grams))
-    n = len(u)
-    return u[: n - -(-c.percent * n // 100) + 1] | np.uint64(1)
-
-
-def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> list[np.ndarray]:
-    """Band keys of natural paragraphs grams[begin:end]. Between the two kinds of band lines have keys of both."""
+def _least(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key), in order: the smallest shingles of short lines, n - ceil(similarity * n) + 1 of the n distinct ones of each.
+    Two sets of the wanted similarity share more than what both leave out, so they share one of these."""
+    size = end - begin
+    place = np.arange(size.max(initial=0))
+    inside = place < size[:, None]
+    values = np.full(inside.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
+    values[inside] = mixed(grams[(begin[:, None] + place)[inside]])
+    values.sort(axis=1)  # a real value of the filling's size is equal to it: the first ``size`` places are the line's
+    fresh = inside.copy()
+    fresh[:, 1:] &= values[:, 1:] != values[:, :-1]
+    nth = np.cumsum(fresh, axis=1)
+    n = fresh.sum(axis=1)
+    owner, at = np.nonzero(fresh & (nth <= (n + (-c.percent * n) // 100 + 1)[:, None]))
+    return owner, values[owner, at] | np.uint64(1)
+
+
+def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(number of keys per paragraph, keys in their order): band keys of natural paragraphs grams[begin:end]. Between the two
+    kinds of band lines have keys of both."""
     size, short = end - begin, c.min_words - c.k + 1
     long = np.flatnonzero(size >= short)
-    keys = [[] for _ in size]
-    for i, row in zip(long.tolist(), _bands(grams, begin[long], end[long], c), strict=True):
-        keys[i].append(row)
-    for i in np.flatnonzero(size * c.percent <= 100 * short).tolist():
-        keys[i].append(_least(grams[begin[i]: end[i]], c))
+    owners, keys = [np.repeat(long, c.bands)], [_bands(grams, begin[long], end[long], c).ravel()]
+    few = np.flatnonzero(size * c.percent <= 100 * short)
+    owner, key = _least(grams, begin[few], end[few], c)
+    owners.append(few[owner])
+    keys.append(key)
     # a long line of many repeated shingles may be similar to a short one too
     for i in np.flatnonzero((size >= short) & (size * c.percent > 100 * short)).tolist():
-        if len(np.unique(grams[begin[i]: end[i]])) * c.percent <= 100 * short:
-            keys[i].append(_least(grams[begin[i]: end[i]], c))
-    return [np.concatenate(k) if k else np.empty(0, dtype=np.uint64) for k in keys]
+        own = np.unique(grams[begin[i]: end[i]])
+        if len(own) * c.percent <= 100 * short:
+            key = _least(own, np.zeros(1, dtype=np.int64), np.array([len(own)]), c)[1]
+            owners.append(np.full(len(key), i))
+            keys.append(key)
+    owner = np.concatenate(owners)
+    return np.bincount(owner, minlength=len(size)), np.concatenate(keys)[np.argsort(owner, kind="stable")]
 
 
-def _paragraphs(texts: list[bytes], c: ParagraphConfig):
-    """Per text: number of words, natural (begin, end) and begins of seeds, with the words' grams for all texts."""
+def _paragraphs(texts: list[bytes], c: ParagraphConfig, seeded: bool = True):
+    """Per text: number of words, natural (begin, end) and begins of seeds if wanted, with the words' grams for all texts."""
     words, start, _, first = word_spans(texts, SPACE_WORD)
     grams = gram_hashes(words, c.k)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -169,7 +183,7 @@ def _paragraphs(texts: list[bytes], c: ParagraphConfig):
             bounds = np.concatenate(([0], edge, [n]))
             both = np.stack([bounds[:-1], bounds[1:]], axis=1)
             natural = both[both[:, 1] - both[:, 0] >= c.k] + a
-        if n >= c.min_words:
+        if seeded and n >= c.min_words:
             at = np.unique(_minima(grams[a: b - c.k + 1], c.reach))
             seeds = at[at + c.seed <= n] + a
         out.append((a, n, natural, seeds))
@@ -195,10 +209,9 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
                         keyed.append(np.full(len(x), banded))
                 begin, end, owner, offset, keyed = (np.concatenate(v) for v in (begin, end, owner, offset, keyed))
                 cid = _run_hashes(grams, begin, end - c.k + 1)
-                keys = _keys(grams, begin[keyed], end[keyed] - c.k + 1, c)
                 counts = np.zeros(len(keyed), dtype=np.int64)
-                counts[keyed] = [len(k) for k in keys]
-                flat = np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)
+                counts[keyed], keys = _keys(grams, begin[keyed], end[keyed] - c.k + 1, c)
+                flat = keys.view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat))
                 own = b.slice(at, len(texts))
                 take = pa.array(owner, pa.int64())
@@ -209,16 +222,18 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, th bigint, cid bigint, first int, end int, bands array<bigint>")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, c: ParagraphConfig) -> DataFrame:
-    """(cid, size, sketch, shingles) of the natural paragraphs whose classes share a band, from one text each."""
+def _sets(rows: DataFrame, wanted: DataFrame, n_bytes: int, c: ParagraphConfig) -> DataFrame:
+    """(cid, size, sketch, shingles) of the wanted natural paragraphs, ``w_at`` being the first words of those of a text."""
     texts = join_small_or_shuffle(rows, wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")),
-                                  "inner", n_wanted, 48).select("doc_id", "th", "text")
+                                  "inner", n_bytes, 1).select("doc_id", "th", "text", "w_at")
 
     def run(batches):
         for b in batches:
-            for _, texts in text_chunks(b.column(2)):
-                grams, found, _ = _paragraphs(texts, c)
-                spans = np.concatenate([natural for _, _, natural, _ in found])
+            for at, texts in text_chunks(b.column(2)):
+                grams, found, _ = _paragraphs(texts, c, seeded=False)
+                spans = [natural[np.isin(natural[:, 0] - a, np.array(b.column(3)[at + i].as_py(), dtype=np.int64))]
+                         for i, (a, _, natural, _) in enumerate(found)]
+                spans = np.concatenate(spans)
                 if not len(spans):
                     continue
                 end = spans[:, 1] - c.k + 1
@@ -237,11 +252,11 @@ def _near_links(rows: DataFrame, found: DataFrame, c: ParagraphConfig) -> DataFr
     keyed = found.where(F.size("bands") > 0)
     shared = stored(shared_keys(keyed.select(F.explode("bands").alias("key"), "cid")), "shared-bands")
     near = shared.select(F.col("cid").alias("c_cid")).distinct()
-    near = stored(keyed.join(near, F.col("cid") == F.col("c_cid")).groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("x")), "near")
-    wanted = near.select(F.col("x.doc_id").alias("w_id"), F.col("x.th").alias("w_th")).distinct()
-    wanted = stored(wanted, "wanted")
-    sets = _sets(rows, wanted, wanted.count(), c).join(near.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    sets = stored(sets, "paragraph-sets")
+    near = stored(keyed.join(near, F.col("cid") == F.col("c_cid")).groupBy("cid").agg(F.min(F.struct("doc_id", "th", "first")).alias("x")), "near")
+    wanted = near.groupBy(F.col("x.doc_id").alias("w_id"), F.col("x.th").alias("w_th")).agg(F.collect_list("x.first").alias("w_at"))
+    wanted = stored(wanted, "wanted")  # the places are bounded by the text's own length
+    sets = _sets(rows, wanted, 64 * wanted.count() + 8 * near.count(), c)
+    sets = stored(sets.dropDuplicates(["cid"]), "paragraph-sets")  # rows equal in id and text give equal sets
     pairs = stored(candidates(shared, sets.select("cid", "size", "sketch"), join), "candidates")
     whole = sets.select("cid", "shingles", F.lit(1).cast("bigint").alias("members"))
     links = stored(verify(pairs, whole, join).where(F.col("b").isNotNull()).select("a", "b"), "links")
@@ -249,11 +264,18 @@ def _near_links(rows: DataFrame, found: DataFrame, c: ParagraphConfig) -> DataFr
     return links
 
 
+def _both(grams, words, begin, size, k):
+    """16 bytes of every run of words: a hash of its shingles and one of its words."""
+    hashes = np.stack([_run_hashes(grams, begin, begin + size - k + 1), _run_hashes(words, begin, begin + size)], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))]).cast(pa.binary())
+
+
 def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
-    """(doc_id, th, cid, first, n, windows): spans of n neighbouring windows of min_words words whose seeds all occur again.
+    """(doc_id, th, seed, cid, first, n): spans of n neighbouring windows of min_words words that choose the same place and
+    whose seeds all occur again.
 
-    Every run of min_words words that two places share is among the windows: its seeds are the same in both. The hashes of
-    a span's windows come once from every task that sees it, null otherwise.
+    Every run of min_words words that two places share is among the windows: its seeds are the same in both, and so is
+    the place it chooses, whose seed lies inside it. So equal windows belong to spans of one seed.
     """
     n_seeds = seeds.count()
     shared = stored(seeds.groupBy("cid").agg(F.count("*").alias("m")).where("m > 1"), "shared-seeds")
@@ -265,20 +287,12 @@ def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
     texts = rows.join(hits, on).select("doc_id", "th", "text", "at")  # the hits grow with the corpus: a shuffle join at any size
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def both(grams, words, begin, size):
-        """16 bytes of every run of words: a hash of its shingles and one of its words."""
-        return np.stack([_run_hashes(grams, begin, begin + size - c.k + 1), _run_hashes(words, begin, begin + size)], axis=1)
-
-    def binary(hashes):
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))]).cast(pa.binary())
-
     def run(batches):
-        known: set[bytes] = set()
         for b in batches:
             for at, texts in text_chunks(b.column(2)):
                 words, _, _, first = word_spans(texts, SPACE_WORD)
                 grams = gram_hashes(words, c.k)
-                owner, start, size, place = [], [], [], []
+                owner, start, size, place, chosen = [], [], [], [], []
                 for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     if y - x < c.min_words:
                         continue
@@ -286,35 +300,56 @@ def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
                     windows = _viable(own, np.array(b.column(3)[at + i].as_py(), dtype=np.int64), c)
                     if not len(windows):
                         continue
-                    chosen = np.unique(_minima(own, c.reach))
-                    block = np.searchsorted(chosen[mixed(own[chosen]) % np.uint64(c.span) == 0], windows)
-                    cut = np.flatnonzero((np.diff(windows) > 1) | (np.diff(block) > 0)) + 1
+                    least = _minima(own, c.reach)[windows]
+                    cut = np.flatnonzero((np.diff(windows) > 1) | (np.diff(least) > 0)) + 1
                     begins = np.concatenate(([0], cut))
-                    ends = np.concatenate((cut, [len(windows)]))
                     owner.append(np.full(len(begins), i))
                     place.append(windows[begins])
                     start.append(windows[begins] + x)
-                    size.append(ends - begins)
+                    chosen.append(least[begins] + x)
+                    size.append(np.diff(np.concatenate((begins, [len(windows)]))))
                 if not owner:
                     continue
-                owner, start, size, place = (np.concatenate(v) for v in (owner, start, size, place))
-                cid = both(grams, words, start, size + c.min_words - 1)
-                keys = [k.tobytes() for k in cid]
-                fresh = np.array([k not in known and not known.add(k) for k in keys])
-                count = np.where(fresh, size, 0)
-                each = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                windows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()),
-                                                   binary(both(grams, words, each, c.min_words)))
+                owner, start, size, place, chosen = (np.concatenate(v) for v in (owner, start, size, place, chosen))
                 own, take = b.slice(at, len(texts)), pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(take), own.column(1).take(take), binary(cid), pa.array(place, pa.int32()), pa.array(size, pa.int32()),
-                     windows], ["doc_id", "th", "cid", "first", "n", "windows"])
+                    [own.column(0).take(take), own.column(1).take(take), pa.array(_run_hashes(grams, chosen, chosen + c.seed - c.k + 1)),
+                     _both(grams, words, start, size + c.min_words - 1, c.k), pa.array(place, pa.int32()), pa.array(size, pa.int32())],
+                    ["doc_id", "th", "seed", "cid", "first", "n"])
 
-    found = stored(texts.mapInArrow(run, f"doc_id {kind}, th bigint, cid binary, first int, n int, windows array<binary>"), "spans")
+    found = stored(texts.mapInArrow(run, f"doc_id {kind}, th bigint, seed bigint, cid binary, first int, n int"), "spans")
     discard(hits)
     return found
 
 
+def _windows(rows: DataFrame, spans: DataFrame, c: ParagraphConfig) -> DataFrame:
+    """(doc_id, th, again, wid, first): the windows of the spans (doc_id, th, first, n, again) of these texts."""
+    places = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
+        F.collect_list(F.struct("first", "n", "again")).alias("at"))  # bounded by the text's own length
+    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
+    texts = rows.join(places, on).select("doc_id", "th", "text", "at")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at, texts in text_chunks(b.column(2)):
+                words, _, _, first = word_spans(texts, SPACE_WORD)
+                grams = gram_hashes(words, c.k)
+                own = b.slice(at, len(texts))
+                lists = own.column(3)
+                begin, size, again = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                each = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                owner = np.repeat(owner, size)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), own.column(1).take(take), pa.array(np.repeat(again, size), pa.bool_()),
+                     _both(grams, words, first[owner] + each, c.min_words, c.k), pa.array(each, pa.int32())],
+                    ["doc_id", "th", "again", "wid", "first"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, th bigint, again boolean, wid binary, first int")
+
+
 def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
     """(doc_id, th, first, end, gone) of the windows, or spans of windows, that repeat.
 
@@ -322,22 +357,27 @@ def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) ->
     left when a later one of the same text overlaps it, as in a text that says one thing over and over.
     """
     spans = _spans(rows, seeds, c)
-    first = stored(spans.groupBy("cid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept")), "first-spans")
+    groups = stored(spans.groupBy("cid").agg(F.count("*").alias("m"), F.min("seed").alias("seed"), F.min("n").alias("n"),
+                                             F.min(F.struct("doc_id", "th", "first")).alias("kept")), "span-groups")
+    # seeds whose spans differ: only their windows can be equal without their spans being so
+    mixed_seeds = groups.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1")
+    first = stored(join_hot_split(groups, stored(mixed_seeds, "mixed-seeds"), "seed", "k", groups.count()).drop("seed")
+                   .where("m > 1 or k > 1"), "first-spans")
     here = F.struct("doc_id", "th").eqNullSafe(F.struct("kept.doc_id", "kept.th"))
-    members = spans.select("doc_id", "th", "cid", "first", "n")
-    n_spans = members.count()
-    repeats = stored(join_hot_split(members, first.where("m > 1"), "cid", "m", n_spans, "inner"), "repeated-spans")
+    members = spans.select("doc_id", "th", "cid", "first")
+    repeats = stored(join_hot_split(members, first.where("m > 1"), "cid", "m", spans.count(), "inner").drop("cid"), "repeated-spans")
+    discard(spans, groups)
+    end = F.col("first") + F.col("n") + c.min_words - 1
     # in another text than the first of its group: all windows have an earlier occurrence there
-    copies = repeats.where(~here).select("doc_id", "th", "first", (F.col("first") + F.col("n") + c.min_words - 1).alias("end"),
-                                         F.col("first").alias("gone"))
-    # the others are taken apart: the first of each group, and further ones in its own text
-    alone = first.select("kept.doc_id", "kept.th", "cid", "kept.first", F.col("m") > 1)
-    own = repeats.where(here & (F.col("first") != F.col("kept.first"))).select("doc_id", "th", "cid", "first", F.col("m") > 1)
-    hashes = spans.where(F.size("windows") > 0).select("cid", "windows").dropDuplicates(["cid"])
-    windows = stored(alone.toDF("doc_id", "th", "cid", "first", "again").unionByName(own.toDF("doc_id", "th", "cid", "first", "again"))
-                     .join(hashes, "cid").select("doc_id", "th", "first", "again", F.posexplode("windows").alias("nth", "wid"))
-                     .select("doc_id", "th", "again", "wid", (F.col("first") + F.col("nth")).alias("first")), "windows")
-    discard(spans, first)
+    copies = repeats.where(~here).select("doc_id", "th", "first", end.alias("end"), F.col("first").alias("gone"))
+    # the first of each group, and further ones in its own text
+    alone = first.select("kept.doc_id", "kept.th", "kept.first", "n", "m", "k", F.lit(None).cast("int").alias("gone"))
+    own = repeats.where(here & (F.col("first") != F.col("kept.first"))).select(
+        "doc_id", "th", "first", "n", "m", "k", F.greatest(F.col("first"), F.col("kept.first") + c.min_words).alias("gone"))
+    firsts = alone.unionByName(own)
+    plain = firsts.where("k is null").select("doc_id", "th", "first", end.alias("end"), "gone")
+    apart = firsts.where("k > 1").select("doc_id", "th", "first", "n", (F.col("m") > 1).alias("again"))
+    windows = stored(_windows(rows, apart, c), "windows")
     kept = stored(windows.groupBy("wid").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "first")).alias("kept"),
                                              F.max("again").alias("any_again")).where("m > 1 or any_again"), "kept-windows")
     marked = join_hot_split(windows.drop("again"), kept.drop("any_again"), "wid", "m", windows.count(), "inner")
@@ -345,7 +385,7 @@ def _repeated_windows(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) ->
                                                F.greatest(F.col("first"), F.col("kept.first") + c.min_words)))
     marked = stored(marked.select("doc_id", "th", "first", (F.col("first") + c.min_words).alias("end"), gone.alias("gone")), "marked-windows")
     discard(windows, kept)
-    return copies.unionByName(marked)
+    return copies.unionByName(plain).unionByName(marked)
 
 
 def repeated_spans(docs: DataFrame, c: ParagraphConfig, id_col: str, text_col: str) -> DataFrame:
@@ -396,48 +436,56 @@ def paragraph_dedup(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                yield _cut(b.slice(i, 500))
+            for at, texts in text_chunks(b.column(1)):
+                yield _cut(b.slice(at, len(texts)), texts)
 
     return (joined.select("doc_id", "text", "spans")
             .mapInArrow(run, f"doc_id {kind}, n_words bigint, n_repeated bigint, n_removed bigint, repeats boolean, "
                              "removed_spans array<struct<first:int,end:int>>, text string"))
 
 
-def _merged(spans) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Cut the removed spans out of a batch of texts."""
-    ids, texts, spans = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-    n_words, n_repeated, n_removed, removed, left = [], [], [], [], []
-    for text, own in zip(texts, spans, strict=True):
-        raw = text.encode() if text else b""
-        _, start, end, _ = word_spans([raw], SPACE_WORD)
-        n_words.append(len(start))
-        gone = _merged((s["gone"], s["end"]) for s in own or () if s["gone"] is not None)
-        n_repeated.append(sum(e - a for a, e in _merged((s["first"], s["end"]) for s in own or ())))
-        n_removed.append(sum(e - a for a, e in gone))
-        removed.append([{"first": a, "end": e} for a, e in gone])
-        if gone:
-            parts, at = [], 0
-            for a, e in gone:
-                parts.append(raw[at: start[a]])
-                at = int(start[e]) if e < len(start) else len(raw)
-                if e < len(start) and b"\n" in raw[end[e - 1]: at]:
-                    parts.append(b"\n")  # the line break after a cut stays one
-            parts.append(raw[at:])
-            text = b"".join(parts).decode()
-        left.append(text)
-    struct = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+def _merged(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first, end) in order, those of one owner that overlap or touch made one."""
+    wide = int(end.max(initial=0)) + 2
+    order = np.lexsort((first, owner))
+    low = owner[order] * wide + first[order]
+    high = np.maximum.accumulate(owner[order] * wide + end[order])
+    new = np.concatenate(([True], low[1:] > high[:-1]))[: len(low)]
+    last = np.concatenate((new[1:], [True]))[: len(low)]
+    return low[new] // wide, low[new] % wide, high[last] % wide
+
+
+def _cut(b: pa.RecordBatch, raws: list[bytes]) -> pa.RecordBatch:
+    """Cut the removed spans out of a batch of texts, given as UTF-8 too."""
+    n = len(raws)
+    _, start, end, word = word_spans(raws, SPACE_WORD)
+    lists = b.column(2)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    first, stop, gone = lists.flatten().flatten()
+    first, stop = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, stop))
+    owner, cut = np.repeat(np.arange(n), lengths), gone.is_valid().to_numpy(zero_copy_only=False)
+    gone = gone.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def words(merged):
+        return np.bincount(merged[0], weights=merged[2] - merged[1], minlength=n).astype(np.int64)
+
+    repeated, removed = _merged(owner, first, stop), _merged(owner[cut], gone[cut], stop[cut])
+    bounds = np.searchsorted(removed[0], np.arange(n + 1))
+    texts = b.column(1).to_pylist()
+    base = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws])))  # as word_spans joins them
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        raw, parts, at = raws[i], [], 0
+        starts, ends = (x[word[i]: word[i + 1]] - base[i] for x in (start, end))
+        for x, y in zip(removed[1][bounds[i]: bounds[i + 1]].tolist(), removed[2][bounds[i]: bounds[i + 1]].tolist(), strict=True):
+            parts.append(raw[at: starts[x]])
+            at = int(starts[y]) if y < len(starts) else len(raw)
+            if y < len(starts) and b"\n" in raw[ends[y - 1]: at]:
+                parts.append(b"\n")  # the line break after a cut stays one
+        parts.append(raw[at:])
+        texts[i] = b"".join(parts).decode()
+    struct = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in removed[1:]], ["first", "end"])
+    n_repeated = words(repeated)
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n_words, pa.int64()), pa.array(n_repeated, pa.int64()), pa.array(n_removed, pa.int64()),
-         pa.array([n > 0 for n in n_repeated], pa.bool_()), pa.array(removed, struct), pa.array(left, pa.string())],
+        [b.column(0), pa.array(np.diff(word), pa.int64()), pa.array(n_repeated), pa.array(words(removed)),
+         pa.array(n_repeated > 0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct), pa.array(texts, pa.string())],
         ["doc_id", "n_words", "n_repeated", "n_removed", "repeats", "removed_spans", "text"])

@@ -224,3 +224,42 @@ def test_short_lines(frame):
     got = run(frame(rows, D))
     assert [got[i].n_removed for i in range(6)] == [0, 16, 16, 16, 16, 17]
     assert {i: cut_words(r) for i, r in got.items()} == plain(rows)
+
+
+def test_only_spans_that_differ_are_taken_apart(frame, monkeypatch):
+    """Whole copies leave no window to compare; an edit leaves those beside it. Of a text only the lines with a neighbour give sets."""
+    count, real, real_sets = {}, paragraph_dedup.stored, paragraph_dedup._sets
+
+    def stored(df, purpose):
+        count[purpose] = (table := real(df, purpose)).count()
+        return table
+
+    def sets(*args):
+        count["sets"] = (out := real_sets(*args)).count()
+        return out
+
+    monkeypatch.setattr(paragraph_dedup, "stored", stored)
+    monkeypatch.setattr(paragraph_dedup, "_sets", sets)
+    rng = random.Random(23)
+    whole = [text(rng, 300) for _ in range(20)]
+    copies = [(i, whole[i % 20]) for i in range(80)]
+    assert {i: cut_words(r) for i, r in run(frame(copies, D)).items()} == plain(copies)
+    assert count["windows"] == 0 and count["sets"] == 0
+    words = whole[0].split()
+    line = text(rng, 40)
+    edited = copies + [(100, " ".join([*words[:150], "edit", *words[151:]])),
+                       (101, "\n".join(text(rng, 20) for _ in range(30)) + "\n" + line), (102, line + " more")]
+    assert {i: cut_words(r) for i, r in run(frame(edited, D)).items()} == plain(edited)
+    assert 0 < count["windows"] < 200 and count["sets"] <= 4
+
+
+def test_texts_of_a_period_against_brute_force(frame):
+    """Overlapping copies in one text, and the same run in others, shifted and cut."""
+    rng = random.Random(24)
+    rows = []
+    for period in (1, 3, 7, 12, 13, 24, 25, 26, 31):
+        unit = text(rng, period).split() * (200 // period)
+        rows += [(len(rows), " ".join(unit)), (len(rows) + 1, text(rng, 9) + " " + " ".join(unit[5: 90]) + " " + text(rng, 9)),
+                 (len(rows) + 2, text(rng, 30) + "\n" + " ".join(unit[: 41]) + " x " + " ".join(unit[2: 60]))]
+    want = plain(rows)
+    assert {i: cut_words(r) for i, r in run(frame(rows, D)).items()} == want
