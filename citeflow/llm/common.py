@@ -192,8 +192,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((total[end - 1] - low) * q[start] + (end - start).astype(np.uint64) * _MULT)
 
 
-def word_spans(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, ...]:
-    """(hash, first byte, end byte) of every word (A-Z lower-cased) of the texts joined by a blank, and
+def word_places(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, ...]:
+    """The texts joined by a blank (A-Z lower-cased), (first byte, end byte) of every word of them, and
     the array ``first`` with text i owning words first[i]:first[i+1]."""
     data = LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     inside = word[data]
@@ -202,6 +202,12 @@ def word_spans(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.nd
     end = np.flatnonzero(edge == -1)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     first = np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))))
+    return data, start, end, first
+
+
+def word_spans(texts: list[bytes], word: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, ...]:
+    """``word_places`` with the words' hashes instead of the bytes."""
+    data, start, end, first = word_places(texts, word)
     return span_hashes(data, start, end), start, end, first
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (SPACE_WORD, connected_components, discard, gram_hashes, join_hot_split, join_small_or_shuffle, mixed,
-                     ship_code, spread_tasks, stored, stored_part, text_chunks, word_spans)
+                     ship_code, spread_tasks, stored, stored_part, text_chunks, word_places, word_spans)
 from ..session import shared_dir
 from .ngram_join import JoinConfig, candidates, shared_keys, sketch, verify
 
@@ -78,18 +78,18 @@ def _minima(grams: np.ndarray, window: int) -> np.ndarray:
     return smaller(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def _viable(grams: np.ndarray, hits: np.ndarray, c: ParagraphConfig) -> np.ndarray:
-    """Places of the windows of min_words words that can occur again: all their seeds do.
+def _viable(size: int, at: np.ndarray, hits: np.ndarray, c: ParagraphConfig) -> np.ndarray:
+    """Places of the windows of min_words words that can occur again: all their seeds do. ``at`` are the places
+    chosen in a text of ``size`` shingles.
 
     A seed counts when the window of places that chose it lies inside, so that any copy has it too.
     """
-    n = len(grams) - (c.min_words - c.k)
-    hit = np.zeros(len(grams), dtype=bool)
+    n = size - (c.min_words - c.k)
+    hit = np.zeros(size, dtype=bool)
     hit[hits] = True
-    at = _minima(grams, c.reach)
     x = np.flatnonzero(~hit[at])
     low = np.maximum(np.maximum(x - (c.min_words - c.k + 1 - c.reach), at[x] - (c.reach - 1)), 0)
-    bad = np.zeros(len(grams) + 1, dtype=np.int64)
+    bad = np.zeros(size + 1, dtype=np.int64)
     np.add.at(bad, low, 1)
     np.add.at(bad, x + 1, -1)
     return np.flatnonzero(np.cumsum(bad)[:n] == 0)
@@ -114,8 +114,9 @@ def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
     """(paragraph, band) keys from the minima of bands * rows hash functions."""
     if not len(begin):
         return np.empty((0, c.bands), dtype=np.uint64)
-    cut = np.stack([begin, end], axis=1).ravel()
-    cut = cut[:-1] if cut[-1] == len(grams) else cut
+    size = end - begin
+    cut = np.cumsum(size) - size
+    grams = grams[np.repeat(begin - cut, size) + np.arange(size.sum())]
     keys = np.empty((len(begin), c.bands), dtype=np.uint64)
     seeds = mixed(np.arange(1, c.bands * c.rows + 1, dtype=np.uint64) * _ODD)
     factors = mixed(seeds) | np.uint64(1)
@@ -124,7 +125,7 @@ def _bands(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
         for j in range(band * c.rows, (band + 1) * c.rows):
             value = (grams ^ seeds[j]) * factors[j]
             value ^= value >> np.uint64(32)
-            key = mixed(key + np.minimum.reduceat(value, cut)[::2])
+            key = mixed(key + np.minimum.reduceat(value, cut))
         keys[:, band] = key
     return keys & ~np.uint64(1)
 
@@ -146,6 +147,15 @@ def _least(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCo
     return owner, values[owner, at] | np.uint64(1)
 
 
+def _distinct(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of distinct leading bits of the shingles of every line: of distinct shingles there are as many or more."""
+    size, bits = end - begin, max(1, len(begin).bit_length())
+    flat = grams[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    packed = np.sort(np.repeat(np.arange(len(begin), dtype=np.uint64), size) << np.uint64(64 - bits) | flat >> np.uint64(bits))
+    fresh = np.concatenate(([True], packed[1:] != packed[:-1]))[: len(packed)]
+    return np.bincount((packed[fresh] >> np.uint64(64 - bits)).astype(np.int64), minlength=len(begin))
+
+
 def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
     """(number of keys per paragraph, keys in their order): band keys of natural paragraphs grams[begin:end]. Between the two
     kinds of band lines have keys of both."""
@@ -157,7 +167,8 @@ def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCon
     owners.append(few[owner])
     keys.append(key)
     # a long line of many repeated shingles may be similar to a short one too
-    for i in np.flatnonzero((size >= short) & (size * c.percent > 100 * short)).tolist():
+    big = np.flatnonzero((size >= short) & (size * c.percent > 100 * short))
+    for i in big[_distinct(grams, begin[big], end[big]) * c.percent <= 100 * short].tolist():
         own = np.unique(grams[begin[i]: end[i]])
         if len(own) * c.percent <= 100 * short:
             key = _least(own, np.zeros(1, dtype=np.int64), np.array([len(own)]), c)[1]
@@ -167,27 +178,29 @@ def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCon
     return np.bincount(owner, minlength=len(size)), np.concatenate(keys)[np.argsort(owner, kind="stable")]
 
 
-def _paragraphs(texts: list[bytes], c: ParagraphConfig, seeded: bool = True):
-    """Per text: number of words, natural (begin, end) and begins of seeds if wanted, with the words' grams for all texts."""
+def _paragraphs(texts: list[bytes], c: ParagraphConfig):
+    """Words' grams of all texts, the first word of each text, and (begin, end, text) of the natural paragraphs."""
     words, start, _, first = word_spans(texts, SPACE_WORD)
-    grams = gram_hashes(words, c.k)
-    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     line = np.searchsorted(np.flatnonzero(data == 10), start)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        n = b - a
-        natural, seeds = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
-        if n >= c.k:
-            edge = np.flatnonzero(np.diff(line[a:b])) + 1
-            bounds = np.concatenate(([0], edge, [n]))
-            both = np.stack([bounds[:-1], bounds[1:]], axis=1)
-            natural = both[both[:, 1] - both[:, 0] >= c.k] + a
-        if seeded and n >= c.min_words:
-            at = np.unique(_minima(grams[a: b - c.k + 1], c.reach))
-            seeds = at[at + c.seed <= n] + a
-        out.append((a, n, natural, seeds))
-    return grams, out, sizes
+    edge = np.concatenate((first, np.flatnonzero(np.diff(line)) + 1))
+    bounds = np.unique(edge)
+    begin, end = bounds[:-1], bounds[1:]
+    wide = end - begin >= c.k
+    begin, end = begin[wide], end[wide]
+    return gram_hashes(words, c.k), first, begin, end, np.searchsorted(first, begin, side="right") - 1
+
+
+def _seeds(grams: np.ndarray, first: np.ndarray, c: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, text) of the seeds: the chosen places of texts of min_words words or more."""
+    at = _minima(grams, c.reach)
+    size = np.diff(first)
+    text = np.repeat(np.arange(len(size)), size)[: len(at)]
+    inside = (np.arange(len(at)) + c.reach <= first[1:][text] - c.k + 1) & (size >= c.min_words)[text]
+    at, text = at[inside], text[inside]
+    fresh = np.diff(at, prepend=-1) > 0  # chosen places go up with the windows
+    fresh &= at + c.seed <= first[1:][text]
+    return at[fresh], text[fresh]
 
 
 def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
@@ -198,16 +211,11 @@ def _occurrences(rows: DataFrame, c: ParagraphConfig) -> DataFrame:
     def run(batches):
         for b in batches:
             for at, texts in text_chunks(b.column(2)):
-                grams, found, _ = _paragraphs(texts, c)
-                begin, end, owner, offset, keyed = [], [], [], [], []
-                for i, (a, _, natural, seeds) in enumerate(found):
-                    for x, y, banded in ((natural[:, 0], natural[:, 1], True), (seeds, seeds + c.seed, False)):
-                        begin.append(x)
-                        end.append(y)
-                        owner.append(np.full(len(x), i))
-                        offset.append(np.full(len(x), a))
-                        keyed.append(np.full(len(x), banded))
-                begin, end, owner, offset, keyed = (np.concatenate(v) for v in (begin, end, owner, offset, keyed))
+                grams, first, begin, end, owner = _paragraphs(texts, c)
+                seeds, seeded = _seeds(grams, first, c)
+                keyed = np.repeat([True, False], [len(begin), len(seeds)])
+                begin, end, owner = (np.concatenate(v) for v in ((begin, seeds), (end, seeds + c.seed), (owner, seeded)))
+                offset = first[owner]
                 cid = _run_hashes(grams, begin, end - c.k + 1)
                 counts = np.zeros(len(keyed), dtype=np.int64)
                 counts[keyed], keys = _keys(grams, begin[keyed], end[keyed] - c.k + 1, c)
@@ -230,10 +238,10 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_bytes: int, c: ParagraphConfig)
     def run(batches):
         for b in batches:
             for at, texts in text_chunks(b.column(2)):
-                grams, found, _ = _paragraphs(texts, c, seeded=False)
-                spans = [natural[np.isin(natural[:, 0] - a, np.array(b.column(3)[at + i].as_py(), dtype=np.int64))]
-                         for i, (a, _, natural, _) in enumerate(found)]
-                spans = np.concatenate(spans)
+                grams, first, begin, end, owner = _paragraphs(texts, c)
+                places = b.column(3).slice(at, len(texts))
+                asked = first[np.repeat(np.arange(len(texts)), places.value_lengths().to_numpy(zero_copy_only=False))] + places.flatten().to_numpy()
+                spans = np.stack([begin, end], axis=1)[np.isin(begin, asked)]
                 if not len(spans):
                     continue
                 end = spans[:, 1] - c.k + 1
@@ -289,18 +297,21 @@ def _spans(rows: DataFrame, seeds: DataFrame, c: ParagraphConfig) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            hits = b.column(3).flatten().to_numpy()
+            bounds = np.concatenate(([0], np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))))
             for at, texts in text_chunks(b.column(2)):
                 words, _, _, first = word_spans(texts, SPACE_WORD)
                 grams = gram_hashes(words, c.k)
+                minima = _minima(grams, c.reach)
                 owner, start, size, place, chosen = [], [], [], [], []
                 for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     if y - x < c.min_words:
                         continue
-                    own = grams[x: y - c.k + 1]
-                    windows = _viable(own, np.array(b.column(3)[at + i].as_py(), dtype=np.int64), c)
+                    own = minima[x: y - c.k + 2 - c.reach] - x
+                    windows = _viable(y - x - c.k + 1, own, hits[bounds[at + i]: bounds[at + i + 1]], c)
                     if not len(windows):
                         continue
-                    least = _minima(own, c.reach)[windows]
+                    least = own[windows]
                     cut = np.flatnonzero((np.diff(windows) > 1) | (np.diff(least) > 0)) + 1
                     begins = np.concatenate(([0], cut))
                     owner.append(np.full(len(begins), i))
@@ -458,7 +469,7 @@ def _merged(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.n
 def _cut(b: pa.RecordBatch, raws: list[bytes]) -> pa.RecordBatch:
     """Cut the removed spans out of a batch of texts, given as UTF-8 too."""
     n = len(raws)
-    _, start, end, word = word_spans(raws, SPACE_WORD)
+    _, start, end, word = word_places(raws, SPACE_WORD)
     lists = b.column(2)
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     first, stop, gone = lists.flatten().flatten()
