@@ -163,9 +163,10 @@ def _keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, c: ParagraphCon
     long = np.flatnonzero(size >= short)
     owners, keys = [np.repeat(long, c.bands)], [_bands(grams, begin[long], end[long], c).ravel()]
     few = np.flatnonzero(size * c.percent <= 100 * short)
-    owner, key = _least(grams, begin[few], end[few], c)
-    owners.append(few[owner])
-    keys.append(key)
+    for part in (few[i: i + 10_000] for i in range(0, len(few), 10_000)):  # one text may have millions of lines
+        owner, key = _least(grams, begin[part], end[part], c)
+        owners.append(part[owner])
+        keys.append(key)
     # a long line of many repeated shingles may be similar to a short one too
     big = np.flatnonzero((size >= short) & (size * c.percent > 100 * short))
     for i in big[_distinct(grams, begin[big], end[big]) * c.percent <= 100 * short].tolist():
