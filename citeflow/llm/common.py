@@ -19,6 +19,10 @@ from ..session import shared_dir
 #: Texts are handed to numpy in groups of about this many bytes.
 CHUNK_BYTES = 1 << 19
 
+#: Bytes of rows that go to a Python worker at a time where the session sets nothing. Every task holds such a batch several
+#: times over outside the heap (vectors and socket buffers, which double as they grow); Spark's own bound is 64 MB.
+ARROW_BYTES, ARROW_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xBF58476D1CE4E5B9)
 _MULT2 = np.uint64(0x94D049BB133111EB)
@@ -26,7 +30,9 @@ _MULT2 = np.uint64(0x94D049BB133111EB)
 
 def ship_code(spark: SparkSession) -> None:
     """Hand this package's modules to the Python workers through Spark itself, once per
-    application, so that no worker depends on the driver's folders."""
+    application, so that no worker depends on the driver's folders; their batches are bounded to ``ARROW_BYTES``."""
+    if spark.conf.get(ARROW_SETTING, None) is None:
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
     sc = spark.sparkContext
     if _SHIPPED.get("app") == sc.applicationId:
         return

@@ -74,3 +74,35 @@ def test_short_label_and_odd_rows_pass_the_stages(spark, scratch):
     assert kept.columns == [*columns, "lid_lang"]
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {r.doc_id for r in real.collect() if any(c.isalpha() for c in r.text or "")} | {10 ** 6, None} == ids
+
+
+def test_workers_get_bounded_batches(spark):
+    """Whole texts reach a Python worker in batches of a few MB, not all that fit 64 MB; the caller's own bound stands."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from citeflow.llm import langid
+    from citeflow.llm.common import ARROW_BYTES, ARROW_SETTING
+
+    def largest(docs):
+        langid.reject_foreign(docs)  # binds the session
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 2000
+        return max(r["bytes"] for r in got)
+
+    docs = (spark.range(0, 2000, 1, 1).withColumnRenamed("id", "doc_id")
+            .withColumn("text", F.repeat(F.lit("some words "), 1000)).withColumn("lang", F.lit("en")))
+    before = spark.conf.get(ARROW_SETTING, None)
+    try:
+        spark.conf.unset(ARROW_SETTING)
+        assert largest(docs) < 2 * ARROW_BYTES
+        spark.conf.set(ARROW_SETTING, str(4 * ARROW_BYTES))
+        assert largest(docs) > 2 * ARROW_BYTES
+    finally:
+        spark.conf.unset(ARROW_SETTING)
+        if before is not None:
+            spark.conf.set(ARROW_SETTING, before)
