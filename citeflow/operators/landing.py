@@ -63,13 +63,20 @@ def land(todo: DataFrame, landed: DataFrame, cfg: LandConfig = LandConfig(), con
     return with_texts(t, todo) if content else t.drop("_hash")
 
 
-def best_deliveries(todo: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:
-    """(pmcid, status, n_bytes, _hash) of every id's best delivery. The aggregate carries fixed-width facts only."""
+def _facts(cfg: LandConfig):
+    """(text, bytes, status) of a delivery by itself."""
     text = F.coalesce(F.col("content"), F.lit(""))
     n_bytes = F.octet_length(text).cast("bigint")
-    fresh = (F.when(text.contains(cfg.needle), "restricted").when(n_bytes > 0, "ok").otherwise("failed"))
+    return text, n_bytes, F.when(text.contains(cfg.needle), "restricted").when(n_bytes > 0, "ok").otherwise("failed")
+
+
+def best_deliveries(todo: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:
+    """(pmcid, status, n_bytes, _hash, _n) of every id's best delivery, _n being its deliveries. The aggregate carries
+    fixed-width facts only."""
+    text, n_bytes, fresh = _facts(cfg)
     facts = todo.select("pmcid", F.struct(_rank(fresh).alias("r"), n_bytes.alias("n_bytes"), F.xxhash64(text).alias("_hash"), fresh.alias("status")).alias("_f"))
-    return facts.groupBy("pmcid").agg(F.max("_f").alias("_b")).select("pmcid", "_b.status", "_b.n_bytes", "_b._hash")
+    return (facts.groupBy("pmcid").agg(F.max("_f").alias("_b"), F.count("*").alias("_n"))
+            .select("pmcid", "_b.status", "_b.n_bytes", "_b._hash", "_n"))
 
 
 def _same_id():
@@ -93,6 +100,15 @@ def with_texts(chosen: DataFrame, todo: DataFrame, few: bool = False) -> DataFra
             .dropDuplicates(["_i", "_z", "_hash"]).select("pmcid", "status", "n_bytes", "content"))
 
 
+def all_but(apart: DataFrame, todo: DataFrame, cfg: LandConfig = LandConfig()) -> DataFrame:
+    """(pmcid, status, n_bytes, content) of the deliveries of all ids but those of ``apart``, which a count showed to be
+    few: no text moves."""
+    text, n_bytes, fresh = _facts(cfg)
+    rows = todo.select(*_same_id(), "pmcid", fresh.alias("status"), n_bytes.alias("n_bytes"), text.alias("content"))
+    return (rows.join(apart.select(*_same_id()).hint("broadcast"), ["_i", "_z"], "left_anti")
+            .select("pmcid", "status", "n_bytes", "content"))
+
+
 def current(landings: DataFrame) -> DataFrame:
     """One row per id of an append-only landing table: its best delivery so far (ok, then restricted, then failed)."""
     rank = F.struct(_rank(F.col("status")).alias("r"), "n_bytes", F.xxhash64("content").alias("h"))

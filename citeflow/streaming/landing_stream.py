@@ -47,13 +47,23 @@ def land_batch(batch: DataFrame, target: str, cfg: LandConfig = LandConfig()) ->
         again = F.col("_before").isNull() | (
             F.col("_before").isin([i + 1 for i, x in enumerate(landing.STATUS_ORDER) if x in retried])
             & (rank > F.col("_before")))
-        out = out.join(before, F.col("pmcid").eqNullSafe(F.col("_id")), "left").where(again).drop("_id", "_before")
-    # Routed by status (restricted documents land in their own folder).
+        out = (out.join(before, F.col("pmcid").eqNullSafe(F.col("_id")), "left")
+               .withColumn("_again", again).drop("_id", "_before"))
+    else:
+        out = out.withColumn("_again", F.lit(True))
     out = kept(out, "landing-batch")
-    n = out.count()
+    apart = ~F.col("_again") | (F.col("_n") > 1)  # ids whose rows are not simply all written
+    n, m = out.agg(F.count_if("_again"), F.count_if(apart)).first()
     if n == 0 and prior is not None:
         return
-    landing.with_texts(out, batch, few=n <= landing.FEW).write.mode("append").partitionBy("status").parquet(target)
+    if m <= landing.FEW:
+        rows = landing.all_but(out.where(apart), batch, cfg)
+        if m:
+            rows = rows.unionByName(landing.with_texts(out.where("_again and _n > 1"), batch, few=True))
+    else:
+        rows = landing.with_texts(out.where("_again"), batch, few=n <= landing.FEW)
+    # Routed by status (restricted documents land in their own folder).
+    rows.write.mode("append").partitionBy("status").parquet(target)
 
 
 def run(spark: SparkSession, source: DataFrame, target: str, checkpoint: str,

@@ -137,3 +137,33 @@ def test_current_moves_only_ids_that_landed_again(spark, scratch, monkeypatch):
         got = [(r["pmcid"], r["content"]) for r in out.collect()]
         assert dict(got) == want and len(got) == len(want)
         assert len(_moved(out)) <= (2 if few == 1 else 1)
+
+
+def test_texts_delivered_once_land_where_they_are(spark, scratch, monkeypatch):
+    """No text moves but those of ids delivered more than once; many such ids, or many kept ones, give the same rows."""
+    from citeflow.streaming import landing_stream as ls
+    first = [(str(i), "x" * (i % 4)) for i in range(30)] + [("3", "long text"), ("4", ""), (None, "a"), (None, "bb"), (None, "bb"), ("n", None)]
+    second = [(str(i), "new") for i in range(40)] + [("0", "newer"), ("8", "need"), ("n", "need"), ("n", "need")]
+    cfg = LandConfig(needle="need")
+    want = {}
+    for rows in (first, second):
+        best = {}
+        for i, c in rows:
+            status = "restricted" if "need" in (c or "") else "ok" if c else "failed"
+            best[i] = max(best.get(i, (-1,)), (ld.STATUS_ORDER.index(status), len(c or ""), c or "", status))
+        for i, b in best.items():
+            if i not in want or want[i][0] < 2 and b[0] > want[i][0]:
+                want[i] = b
+    asked = []
+    with_texts = ld.with_texts
+    monkeypatch.setattr(ld, "with_texts", lambda chosen, todo, few=False: (asked.append(chosen.count()), with_texts(chosen, todo, few))[1])
+    for few in (200_000, 0):
+        monkeypatch.setattr(ld, "FEW", few)
+        for n, rows in enumerate((first, second)):
+            ls.land_batch(spark.createDataFrame(rows, "pmcid string, content string"), f"{scratch}/{few}", cfg)
+        got = ld.current(spark.read.schema(ls.SCHEMA).parquet(f"{scratch}/{few}")).collect()
+        assert {r["pmcid"]: (r["status"], r["n_bytes"], r["content"]) for r in got} == {i: (b[3], b[1], b[2]) for i, b in want.items()}
+        assert len(got) == len(want)
+    assert asked[:2] == [3, 3] and asked[2] == 32  # ids "3", "4" and null; "0", "8" and "n"; then every id
+    none = ld.best_deliveries(spark.createDataFrame(first, "pmcid string, content string"), cfg).where("_n > 1")
+    assert not [x for x in _moved(ld.all_but(none, spark.createDataFrame(first, "pmcid string, content string"), cfg)) if "content" in x or x.startswith("_i")]
