@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: Texts are handed to numpy in groups of about this many bytes.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 #: Bytes of rows that go to a Python worker at a time where the session sets nothing. Every task holds such a batch several
-#: times over outside the heap (vectors and socket buffers, which double as they grow); Spark's own bound is 64 MB.
-ARROW_BYTES, ARROW_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: times over outside the heap (vectors and socket buffers, which double as they grow); Spark's own bound is 64 MB. Buffers of
+#: a MB or two come out of the allocator's pool, larger ones are allocated one by one and leave gaps that stay with the process.
+ARROW_BYTES, ARROW_SETTING = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0xBF58476D1CE4E5B9)

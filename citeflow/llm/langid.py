@@ -67,8 +67,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-#: Symbol 0 pads blocks, 1 is a run of non-letters, 2..33 share the rarer letters.
-PAD, GAP, SHARED, FIRST = 0, 1, 2, 34
+#: Symbol 0 pads blocks, 1 is a run of non-letters, from 2 on come those that the rarer letters share: one if the samples
+#: have no such letter, as then it always is a phrase of its own, 32 otherwise. The frequent letters' own symbols follow.
+PAD, GAP, SHARED = 0, 1, 2
+SHARES, FREQUENT = 32, 200
 
 
 def symbol_table(samples: list[np.ndarray]) -> np.ndarray:
@@ -76,10 +78,11 @@ def symbol_table(samples: list[np.ndarray]) -> np.ndarray:
     table = np.full(0x110000, GAP, dtype=np.uint8)
     every = letters()
     where = np.flatnonzero(every)
-    table[where] = SHARED + where % (FIRST - SHARED)
     seen = Counter(c for s in samples for c in s.tolist() if every[c])
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:200]):
-        table[c] = FIRST + i
+    shares = SHARES if len(seen) > FREQUENT else 1
+    table[where] = SHARED + where % shares
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]):
+        table[c] = SHARED + shares + i
     return table
 
 

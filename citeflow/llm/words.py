@@ -143,19 +143,23 @@ _NONE = np.empty(0, dtype=np.uint32)
 
 
 class RunTable:
-    """Open-addressing table from 64-bit run hashes to id lists in one pool; starts anew when it is full."""
+    """Open-addressing table from 64-bit run hashes to id lists in one pool; grows with its runs and starts anew when it is full."""
 
     def __init__(self, runs: int):
-        self.limit, self.slots = runs, 1 << (2 * runs - 1).bit_length()
+        self.limit = runs
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros(self.slots, dtype=np.uint64)
-        self.row = np.full(self.slots, -1, dtype=np.int64)
+        self._empty(1 << 12)
         self.n = self.used = 0
         self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
 
+    def _empty(self, slots: int) -> None:
+        self.slots = slots
+        self.key = np.zeros(slots, dtype=np.uint64)
+        self.row = np.full(slots, -1, dtype=np.int64)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of every hash, -1 where it is unknown."""
         out = np.full(len(hashes), -1, dtype=np.int64)
@@ -174,7 +178,6 @@ class RunTable:
         if self.n + more <= self.limit:
             return False
         self.limit = max(self.limit, more)
-        self.slots = max(self.slots, 1 << (2 * self.limit - 1).bit_length())
         self._clear()
         return True
 
@@ -191,6 +194,14 @@ class RunTable:
         self.begin[rows] = self.used + np.cumsum(lengths) - lengths
         self.length[rows] = lengths
         self.n, self.used = n, self.used + total
+        if 2 * n > self.slots:  # half of the slots stay free
+            known = self.row >= 0
+            held, held_rows = self.key[known], self.row[known]
+            self._empty(1 << (2 * n - 1).bit_length())
+            self._place(held, held_rows)
+        self._place(hashes, rows)
+
+    def _place(self, hashes: np.ndarray, rows: np.ndarray) -> None:
         todo, slot = np.arange(len(hashes)), (hashes & np.uint64(self.slots - 1)).astype(np.int64)
         while len(todo):
             free = self.row[slot] < 0

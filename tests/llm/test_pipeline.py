@@ -106,3 +106,48 @@ def test_workers_get_bounded_batches(spark):
         spark.conf.unset(ARROW_SETTING)
         if before is not None:
             spark.conf.set(ARROW_SETTING, before)
+
+
+def test_workers_hold_what_they_met():
+    """Batches of a MB, a table of runs that grows with its runs, and no columns for letters that no sample has."""
+    from citeflow.llm import common, langid, words
+
+    assert common.ARROW_BYTES <= 1 << 20
+    table, rng = words.RunTable(300_000), np.random.default_rng(3)
+    assert table.key.nbytes + table.row.nbytes <= 1 << 16
+    hashes = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    for part in np.array_split(rng.permutation(hashes), 7):
+        table.add(part, [[int(h % 97)] * int(h % 3) for h in part])
+    row = table.find(hashes)
+    assert sorted(row.tolist()) == list(range(len(hashes))) and table.slots == 1 << 16
+    assert [table.pool[b: b + n].tolist() for b, n in zip(table.begin[row], table.length[row], strict=True)] \
+        == [[int(h % 97)] * int(h % 3) for h in hashes]
+    assert (table.find(np.setdiff1d(hashes + np.uint64(1), hashes)) < 0).all()
+    assert table.make_room(300_000) and (table.find(hashes) < 0).all()
+
+    few = langid.Model({"aa": "abc cab bca " * 40, "bb": "xyz zyx yxz " * 40}, 4096, 2048)
+    assert few.width == 2 + 1 + 6
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300))
+    assert langid.Model({"aa": "abc cab " * 40, "zz": many * 3}, 4096, 2048).width == 2 + 32 + 200
+
+
+def test_letters_that_no_sample_has_may_share_one_symbol(monkeypatch):
+    """One shared symbol or 32: the same predictions, unknown letters included."""
+    from citeflow.llm import langid
+
+    samples = {"aa": "the cat sat on the mat and the dog ran home " * 30, "bb": "der hund lief nach haus und die katze schlief " * 30}
+    texts = ["the dog sat", "der hund lief", "\u0436\u0437\u0438 the", "\u4e00\u4e8c\u4e09 der hund", "q", "\u0436", "cat\u00e9 j\u00e9 x", "", "12"]
+    want = langid.Model(samples, 8192, 4096).predict(texts)
+    every = langid.letters()
+
+    def spread(points):
+        table = np.full(0x110000, langid.GAP, dtype=np.uint8)
+        where = np.flatnonzero(every)
+        table[where] = 2 + where % 32
+        seen = langid.Counter(c for s in points for c in s.tolist() if every[c])
+        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:200]):
+            table[c] = 34 + i
+        return table
+
+    monkeypatch.setattr(langid, "symbol_table", spread)
+    assert langid.Model(samples, 8192, 4096).predict(texts) == want
