@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .files import discovered, file_bytes, is_folder, open_storage
 
 # PubMed-style article record. Title is a plain STRING so inline markup such as
 # <i>…</i> stays inside the title text instead of being split off (schema
@@ -136,6 +137,34 @@ def missing_paths(spark: SparkSession, paths: list) -> list:
     return [p for p in paths if not path(p).getFileSystem(conf).exists(path(p))]
 
 
+def _raw_name(name: str) -> bool:
+    """RAW_GLOB, and the names that Spark's readers leave out."""
+    return _entered(name) and name.lower().endswith((".xml", ".htm", ".html"))
+
+
+def _entered(name: str) -> bool:
+    """Whether Spark's readers list a file or folder of this name."""
+    hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return not hidden or name.startswith(("_common_metadata", "_metadata"))
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path, length, content) of the raw documents below a folder, listed and read by tasks, paths written as Spark's
+    readers write them; None for what only Spark's readers open: a pattern, a single file, another store."""
+    if any(c in root for c in "{}[]*?\\"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    uri = path.toUri()
+    place = uri.getPath() if uri.getScheme() == "file" else uri.toASCIIString()
+    if not is_folder(place):
+        return None
+    top = open_storage(place)[1].rstrip("/")
+    name = F.concat(F.lit(path.toString().rstrip("/")), F.substring("place", len(top) + 1, 1 << 30))
+    files = file_bytes(discovered(spark, place, _raw_name, _entered), place)
+    return files.select(name.alias("path"), F.col("size").alias("length"), "content")
+
+
 RANKED_SCHEMA = "PMID bigint, Score bigint, WeightedScore string, Seeds string"
 
 
@@ -163,7 +192,8 @@ def raw_documents(spark: SparkSession, root: str | list) -> DataFrame:
 
     (path, src_bytes, content, status): a listed file that does not exist is a row with status
     ``missing`` and null content, and bytes that are not UTF-8 become U+FFFD (status
-    ``repaired``) instead of ending the job; all others are ``ok``."""
+    ``repaired``) instead of ending the job; all others are ``ok``. A folder is listed and read by tasks; the driver holds
+    the names of all files for a list, a pattern and a store that only Spark's readers open."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", RAW_GLOB)
     gone: list = []
     if isinstance(root, (list, tuple)):
@@ -171,7 +201,9 @@ def raw_documents(spark: SparkSession, root: str | list) -> DataFrame:
         there = [p for p in root if p not in set(gone)]
         df = reader.load(there) if there else None
     else:
-        df = reader.option("recursiveFileLookup", True).load(root)
+        df = _files_below(spark, root)
+        if df is None:
+            df = reader.option("recursiveFileLookup", True).load(root)
     lost = spark.createDataFrame([(p, None, None, "missing") for p in gone],
                                  "path string, src_bytes bigint, content string, status string")
     if df is None:

@@ -118,3 +118,56 @@ def test_id_list_skips_lines_and_curated_ids_keep_order(spark, scratch):
     with open(f"{scratch}/seeds.txt", "w") as f:
         f.write("# seeds\n9\n\n 3 \n")
     assert [tuple(r) for r in rd.curated_ids(spark, f"{scratch}/seeds.txt").orderBy("ord").collect()] == [(9, 2), (3, 4)]
+
+
+def _many_files(root, n):
+    """Files in folders of three levels, names of every kind; the paths of those that hold raw documents."""
+    kept = []
+    for i in range(n):
+        folder = ("", "a b/%20x", "k=v/deep/er", "dir.xml")[i % 4]
+        path = os.path.join(root, folder, f"é {i}.{('xml', 'HTM', 'hTml')[i % 3]}")
+        _write(path, b"<p>%d</p>" % i + (b"\xff\xe2\x82" if i % 7 == 0 else b""), "wb")
+        kept.append(path)
+    for name in (".h/x.xml", "_u/x.xml", ".x.xml", "_x.xml", "x.xml._COPYING_", "x.pdf", "k=v/xml"):
+        _write(f"{root}/{name}", "no")
+    os.makedirs(f"{root}/empty")
+    os.symlink("/nowhere", f"{root}/broken.xml")
+    return kept
+
+
+def test_raw_documents_of_a_folder_are_no_file_index_of_the_driver(spark, scratch):
+    kept = _many_files(f"{scratch}/raw", 120)
+    got = rd.raw_documents(spark, f"{scratch}/raw/")
+    raw = F.col("content").cast("string")
+    native = (spark.read.format("binaryFile").option("pathGlobFilter", rd.RAW_GLOB).option("recursiveFileLookup", True).load(f"{scratch}/raw")
+              .select("path", "length", F.make_valid_utf8(raw), F.when(F.is_valid_utf8(raw), "ok").otherwise("repaired")))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, native.collect()))
+    assert [r[0] for r in rows] == sorted(f"file:{p}" for p in kept)
+    assert len(native.inputFiles()) == 120
+    assert len(got.inputFiles()) < 20             # the kept lists of names, not the files
+
+
+def test_document_source_gives_tasks_lists_not_names(spark, scratch):
+    from citeflow.sources import files
+    kept = _many_files(f"{scratch}/docs", 120)
+    df = files.read_documents(spark, f"{scratch}/docs", "xml,html,htm")
+    rows = sorted((r["path"], r["src_bytes"], r["status"]) for r in df.collect())
+    hidden_folders = [f"{scratch}/docs/.h/x.xml", f"{scratch}/docs/_u/x.xml"]
+    assert [r[0] for r in rows] == sorted(kept + hidden_folders)
+    assert all(size == os.path.getsize(p) for p, size, _ in rows)
+    assert sum(s == "repaired" for *_, s in rows) == 18
+    parts = df._jdf.queryExecution().toRdd().partitions()
+    size = sum(len(part.inputPartitions().apply(i).pickedPartition())
+               for part in parts for i in range(part.inputPartitions().size()))
+    assert size < 120 * len(scratch)
+
+
+def test_many_small_files_are_many_tasks(spark, scratch, monkeypatch):
+    from citeflow.sources import files
+    monkeypatch.setattr(files, "PART_FILES", 10)
+    kept = _many_files(f"{scratch}/small", 95)
+    found = files.discovered(spark, f"{scratch}/small", rd._raw_name, rd._entered)
+    assert found.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, found.collect())) == sorted((p, os.path.getsize(p)) for p in kept)
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 40
